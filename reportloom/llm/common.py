@@ -245,3 +245,60 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
         if mark == seen:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+# ------------------------------------------------------------- frequent tokens
+
+COUNT_ROWS = 2_000_000
+
+
+def local_heavy(tokens_of, share: int):
+    """mapInArrow function: tokens that make up 1 / share of a task's tokens, with counts.
+
+    A token that makes up 1 / share of all tokens does so in some task, so none is missed;
+    a task holds at most COUNT_ROWS new tokens and 4 * share counted ones at a time."""
+
+    def run(batches):
+        total, keys, counts, waiting, held = 0, np.zeros(0, U64), np.zeros(0, np.int64), [], 0
+
+        def merge():
+            k = np.concatenate([keys, *waiting])
+            c = np.concatenate([counts, np.ones(held, np.int64)])
+            k, back = np.unique(k, return_inverse=True)
+            c = np.bincount(back, weights=c, minlength=len(k)).astype(np.int64)
+            keep = c > total // (4 * share)
+            return k[keep], c[keep]
+
+        for whole in batches:
+            for b in chunks(whole, "text"):
+                g = tokens_of(b)
+                total += len(g)
+                waiting.append(g)
+                held += len(g)
+                if held > COUNT_ROWS:
+                    keys, counts = merge()
+                    waiting, held = [], 0
+        if total:
+            keys, counts = merge()
+            keep = counts >= max(4, total // share)
+            yield pa.RecordBatch.from_arrays([as_long(keys[keep]), pa.array(counts[keep], pa.int64()), pa.array(np.full(int(keep.sum()), 0), pa.int64())], ["token", "n", "all"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], ["token", "n", "all"])
+
+    return run
+
+
+def heavy_tokens(docs: DataFrame, tokens_of, share: int, least: int = 64) -> np.ndarray:
+    """Sorted hashes of the tokens that make up 1 / share of all: at most `share` of them, so
+    the list is bounded. Results never depend on it; it only shapes the load."""
+    found = docs.select("text").mapInArrow(local_heavy(tokens_of, share), "token long, n long, all long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
+    found.persist()
+    total = (found.filter("token is null").first() or [0, 0, 0])[2] or 0
+    got = found.filter("token is not null").filter(F.col("n") >= max(least, total // share)).select("token").collect()
+    found.unpersist()
+    return np.sort(np.array([r[0] for r in got], np.int64).view(U64))
+
+
+def among(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x

@@ -1,10 +1,17 @@
 """Queries and DuckDB SQL of the training-data operators."""
 
-from . import op3_ngram_join
+from . import op1_quality, op3_ngram_join, op5_token_files, op8_substring_dedup, op9_decontamination, op10_sharding
 
 
 def queries():
-    return {"op3_ngram_join": op3_ngram_join.query}
+    return {
+        "op1_quality": op1_quality.query,
+        "op3_ngram_join": op3_ngram_join.query,
+        "op5_token_files": op5_token_files.query,
+        "op8_substring_dedup": op8_substring_dedup.query,
+        "op9_decontamination": op9_decontamination.query,
+        "op10_sharding": op10_sharding.query,
+    }
 
 
 def oracle_sql():
