@@ -198,6 +198,18 @@ def quality_scores(docs: DataFrame, model: Model | None, keep_text: bool = False
     return out.select("doc_id", *["text"] * keep_text, held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def good_documents(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold."""
+
+    def run(batches):
+        for whole in batches:
+            for b in C.chunks(whole, "text"):
+                s = model.score(features(b)) if model else np.full(b.num_rows, 0.5)
+                yield b.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir):
     docs = C.table(spark, sf_dir, "documents")
     return quality_scores(docs, fit(docs, C.table(spark, sf_dir, "labels")))

@@ -190,5 +190,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out if out is not None else docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id long, distance long, allowed long")
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that hold no item of the benchmark."""
+
+    def free_of(items):
+        def run(batches):
+            matcher = Matcher(items)
+            for whole in batches:
+                for b in C.chunks(whole, "text"):
+                    texts = normals(b.column(b.schema.get_field_index("text")))
+                    yield b.filter(pa.array([not matcher.find_normal(t) for t in texts], pa.bool_()))
+
+        return run
+
+    for items in slices(benchmark):
+        docs = docs.mapInArrow(free_of(items), docs.schema)
+    return docs
+
+
 def query(spark, sf_dir):
     return contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))

@@ -1,18 +1,42 @@
 """Queries and DuckDB SQL of the training-data operators."""
 
-from . import op1_quality, op3_ngram_join, op5_token_files, op8_substring_dedup, op9_decontamination, op10_sharding
+from . import (
+    op1_quality,
+    op2_pii_surrogates,
+    op3_ngram_join,
+    op4_html_text,
+    op5_token_files,
+    op6_nbest,
+    op7_nn_descent,
+    op8_substring_dedup,
+    op9_decontamination,
+    op10_sharding,
+)
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries():
     return {
         "op1_quality": op1_quality.query,
+        "op2_pii_surrogates": op2_pii_surrogates.query,
         "op3_ngram_join": op3_ngram_join.query,
+        "op4_html_text": op4_html_text.query,
         "op5_token_files": op5_token_files.query,
+        "op6_nbest": op6_nbest.query,
+        "op7_nn_descent": op7_nn_descent.query,
         "op8_substring_dedup": op8_substring_dedup.query,
         "op9_decontamination": op9_decontamination.query,
         "op10_sharding": op10_sharding.query,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql():
+    """None yet: SQL has no crc32, sha256 of rebuilt texts on all engines, or models; each
+    query is tested against brute force or a round trip in tests/llm."""
     return {}
