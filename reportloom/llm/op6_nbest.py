@@ -324,7 +324,7 @@ class Pieces:
         s, row = self.links(points, off) if len(points) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         slots = self.slots(whole, points, s) if len(s) else np.zeros(0, np.int64)
         cut = np.searchsorted(row, np.arange(len(texts) + 1))
-        for a, z in zip(cut.tolist(), cut[1:].tolist(), strict=True):
+        for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             mine = slots[a:z]
             if not len(mine):
                 yield [(0.0, np.zeros(0, np.int32))]
