@@ -551,6 +551,6 @@ def daily_counts(spark, sf):
     return I.daily_counts(read(spark, sf, "events"))
 
 
-@query("SELECT o_orderkey, trim(regexp_replace('Bao dong ' || o_orderpriority, '[^A-Za-z0-9]+', '_', 'g'), '_') FROM orders")
+@query("SELECT o_orderkey, trim(regexp_replace('Bao dong ' || o_orderpriority, '[^A-Za-z0-9]+', '_', 'g'), '_') AS stem FROM orders")
 def file_names(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", S.file_stem(F.concat(F.lit("Báo động "), F.col("o_orderpriority"))).alias("stem"))
