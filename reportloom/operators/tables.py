@@ -50,21 +50,25 @@ def unit_audit(long: DataFrame) -> DataFrame:
 ROLES = [("rate", "tỷ lệ|tỉ lệ|%"), ("plan", "kế hoạch|dự toán|chỉ tiêu"), ("actual", "thực hiện|kết quả|đạt|giải ngân")]
 
 
+def role_test(pattern: str, earlier: list[str]):
+    """Whether a header has a role's words and none of an earlier role's."""
+
+    def fits(x):
+        ok = x["h"].rlike(S.web_regex(pattern))
+        for p in earlier:
+            ok = ok & ~x["h"].rlike(S.web_regex(p))
+        return ok
+
+    return fits
+
+
 def header_roles(headers: Column, last: bool = False, exclusive: bool = True, roles=ROLES) -> Column:
     """struct<rate, plan, actual> of 1-based columns (null: none). The auditor takes the first
     match with exclusive roles (T5), the extractor the last with independent ones (T6)."""
     indexed = F.transform(headers, lambda h, i: F.struct((i + 1).alias("i"), F.lower(F.trim(h)).alias("h")))
     out, before = [], []
     for name, pattern in roles:
-        earlier = list(before)
-
-        def fits(x, p=pattern, e=earlier):
-            ok = x["h"].rlike(S.web_regex(p))
-            for q in e:
-                ok = ok & ~x["h"].rlike(S.web_regex(q))
-            return ok
-
-        hits = F.filter(indexed, fits)
+        hits = F.filter(indexed, role_test(pattern, list(before)))
         out.append(F.when(F.size(hits) > 0, F.element_at(hits, -1 if last else 1)["i"]).alias(name))
         if exclusive:
             before.append(pattern)
