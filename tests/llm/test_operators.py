@@ -1,0 +1,393 @@
+"""The training-data operators on small hostile tables, against brute force."""
+
+import hashlib
+import re
+import struct
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from reportloom.llm import op1_quality as op1
+from reportloom.llm import op2_pii_surrogates as op2
+from reportloom.llm import op3_ngram_join as op3
+from reportloom.llm import op4_html_text as op4
+from reportloom.llm import op5_token_files as op5
+from reportloom.llm import op6_nbest as op6
+from reportloom.llm import op7_nn_descent as op7
+from reportloom.llm import op8_substring_dedup as op8
+from reportloom.llm import op9_decontamination as op9
+from reportloom.llm import op10_sharding as op10
+from reportloom.llm import common as C
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+rng = np.random.default_rng(5)
+VOCAB = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
+LONG = " ".join(rng.choice(VOCAB, 60))
+NEAR = LONG.split()
+NEAR[10] = "changed"
+PASSAGE = " ".join(rng.choice(VOCAB, 40))
+TEXTS = [
+    None, "", "   \n\t ", "one", "one two three", "ONE two three", LONG, LONG, " ".join(NEAR), LONG.upper(),
+    f"before {PASSAGE} after it", f"other {PASSAGE}\nwords here", "the " * 200, "é ü 日本 語 text with nbsp", "mail joe@mail7.example.com or 4111111111111111 and 10.1.2.3",
+    "mail JOE@mail7.example.com again +1 (017) 555-7713", " ".join(rng.choice(VOCAB, 3000)), "x" * 5000,
+]
+CLASH = ["score", "shard", "rank", "member", "set_id", "th", "places", "part", "uid", "kind", "canon", "component", "node", "host", "grp", "n", "positive", "_found", "class"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(3, "one"), (None, LONG), (16, TEXTS[16])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    return df.withColumns({c: F.lit(7) for c in CLASH if c != "_found"}).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.filter("doc_id = -1")
+
+
+def rows_of(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+def test_quality(spark, docs, empty):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(99, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    model = op1.fit(docs, labels)
+    out = op1.quality_scores(docs, model).collect()
+    assert len(out) == docs.count()
+    for r in out:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    assert op1.quality_scores(empty, model).count() == 0
+    assert op1.fit(docs, labels.filter("quality = 0")) is None
+    assert {r.score for r in op1.quality_scores(docs, None).collect()} == {0.5}
+    assert op1.good_documents(docs, None).columns == docs.columns
+
+
+def test_quality_learns():
+    g = np.random.default_rng(1)
+    pos = g.normal(1, 1, (800, op1.N_FEATURES))
+    unl = np.concatenate([g.normal(1, 1, (700, op1.N_FEATURES)), g.normal(-1, 1, (300, op1.N_FEATURES))])
+    m = op1.train(pos, unl, 0.7)
+    good = m.score(g.normal(1, 1, (300, op1.N_FEATURES))) >= 0.3
+    bad = m.score(g.normal(-1, 1, (300, op1.N_FEATURES))) >= 0.3
+    assert good.mean() > 0.95 and bad.mean() < 0.05
+
+
+def test_surrogates(spark, docs, empty):
+    out = {(r.doc_id, r.n_entities): r.text for r in op2.replace_pii(docs.drop("n")).collect()}
+    assert len(op2.replace_pii(docs.drop("n")).collect()) == docs.count()
+    a, b = out[14, 3], out[15, 2]
+    assert "joe@mail7.example.com" not in a and "4111111111111111" not in a and "10.1.2.3" not in a and "555-7713" not in b
+    mail = re.search(r"(\S+)@(\S+)", a), re.search(r"(\S+)@(\S+)", b)
+    assert mail[0][0] == mail[1][0].lower() and mail[1][1].isupper() and mail[0][0].endswith(".com")  # coreference and case
+    card = re.search(r"\d{16}", a)[0]
+    luhn = lambda s: sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(s)))) % 10
+    assert luhn(card) == luhn("4111111111111111")
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", b)
+    assert out[0, 0] is None and out[1, 0] == ""
+    assert op2.replace_pii(empty.drop("n")).count() == 0
+
+
+def test_surrogates_of_names_and_forms(spark):
+    rows = [(1, "Mr John Smith met Mrs. Anna Berg; Г-жа Мария Иванова came"), (2, "Mr John Smith paid 4111-1111-1111-1111"), (3, "4111111111111111 and (017) 555-7713, +1 (017) 555-7713"), (4, "10.0.0.1 " * 50)]
+    t = {r.doc_id: r.text for r in op2.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "Smith" not in t[1] + t[2] and "Berg" not in t[1] and "Иванова" not in t[1]
+    assert re.search(r"Mr (\w+ \w+)", t[1])[1] == re.search(r"Mr (\w+ \w+)", t[2])[1]
+    assert re.search(r"Г-жа [А-Я][а-я]+ [А-Я][а-я]+", t[1])
+    female = op2.GIVEN["latin", "f"].split()
+    assert re.search(r"Mrs\. (\w+)", t[1])[1] in female
+    assert re.search(r"[\d-]{19}", t[2])[0].replace("-", "") == re.search(r"\d{16}", t[3])[0]
+    assert re.search(r"^\d{16} and (\(\d{3}\) \d{3}-\d{4}), \+1 \1", t[3])
+    assert len(set(t[4].split())) == 1
+
+
+def test_surrogates_are_distinct(spark):
+    found = spark.range(3000).select(F.lit("ip").alias("kind"), F.concat_ws(".", F.lit("10"), F.lit("0"), (F.col("id") / 250).cast("int"), F.col("id") % 250).alias("canon"))
+    t = op2.surrogate_table(found, "k", C.Scratch(spark, "t")).collect()
+    assert len({r.sur for r in t}) == 3000 and not {r.sur for r in t} & {r.canon for r in t}
+
+
+def sets_of(text, width, lower=True):
+    w = WORD.findall(text or "")
+    if lower:
+        w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in w]
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+
+
+def expected_components(rows, width, percent):
+    sets = [sets_of(t, width) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                up[top(i)] = top(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            least[top(i)] = min(k, least.get(top(i), k))
+    return Counter((rows[i][0], len(sets[i]), least.get(top(i)) if sets[i] else rows[i][0]) for i in range(len(rows)))
+
+
+def test_jaccard_join(docs, empty):
+    out = op3.ngram_jaccard_join(docs, 4, 85)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == expected_components(rows_of(docs), 4, 85)
+    assert op3.ngram_jaccard_join(empty, 4, 85).count() == 0
+
+
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80), (1, 60)])
+def test_jaccard_join_of_edited_copies(spark, width, percent):
+    g = np.random.default_rng(width)
+    rows = []
+    for size in (6, 9, 14, 40, 150):
+        base = g.choice(VOCAB, size)
+        for _ in range(25):
+            t = base.copy()
+            for _ in range(g.integers(0, max(2, size // 8))):
+                t[g.integers(0, size)] = g.choice(VOCAB)
+            rows.append((len(rows), " ".join(t)))
+    out = op3.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width, percent)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == expected_components(rows, width, percent)
+
+
+@pytest.mark.parametrize("frequent", [0.0, 0.3, 0.9])
+def test_linked_sets_always_collide(frequent):
+    """Whatever segments are given up as frequent, linked pairs share a signature."""
+    g = np.random.default_rng(int(frequent * 10))
+    rule = op3.Rule(4, 85, True)
+    for n in (7, 8, 13, 30, 80, 300):
+        for _ in range(15):
+            a = np.unique(g.integers(1, 1 << 62, n).astype(np.uint64))
+            b = a.copy()
+            k = int(3 * 2 * n // 37 // 2)
+            if k:
+                b[g.choice(len(b), k, replace=False)] = g.integers(1, 1 << 62, k).astype(np.uint64)
+            b = np.unique(b)
+            inter = len(np.intersect1d(a, b))
+            if 100 * inter < 85 * (len(a) + len(b) - inter):
+                continue
+            heavy = np.sort(a[g.random(len(a)) < frequent])
+            r = np.concatenate([np.zeros(len(a), np.int64), np.ones(len(b), np.int64)])
+            s, m = op3.signatures(r, np.concatenate([a, b]), np.array([len(a), len(b)]), np.array([10, 20]), rule, heavy)
+            assert set(s[m == 10]) & set(s[m == 20])
+
+
+def test_html_text(spark):
+    page = "<html><head><title>T</title><style>p{}</style></head><body><nav><a>Home</a></nav><div class='ad'>Buy</div><article><h1>Head&amp;er</h1><p>One <b>bold</b>\n text<p>Two &lt;x&gt;<br>three<script>var a='</p>';</script><aside>no</aside></article><section id=comments>me too</section><footer>&copy; f</footer></body></html>"
+    plain = [(10 + i, "http://a.example/x", f"<div><div>Site wide line of boilerplate words</div><div>Unique content number {i} {VOCAB[i]} {VOCAB[i + 20]} stays here</div></div>") for i in range(6)]
+    rows = [(1, "http://a.example/1", page), (2, None, None), (3, "http://b.example", ""), (3, "http://b.example", ""), (4, "x", "<p>cut &am"), *plain]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "text": F.lit("t"), "grp": F.lit(2)})
+    out = [(r.page_id, r.text, r.n_chars) for r in op4.main_texts(df).collect()]
+    got = {k: t for k, t, _ in out}
+    assert got[1] == "Head&er One bold text Two <x> three" and got[2] == "" and got[3] == "" and got[4] == "cut &am"
+    assert all(n == len(t) for _, t, n in out) and len(out) == len(rows)
+    for i in range(6):
+        assert "boilerplate" not in got[10 + i] and VOCAB[i] in got[10 + i]
+    assert op4.main_texts(df.limit(0)).count() == 0
+
+
+def test_repeated_tokens():
+    g = np.random.default_rng(3)
+    for _ in range(40):
+        pages = [list(g.integers(0, 4, g.integers(0, 25))) for _ in range(4)]
+        stream, page, where, want = [], [], {}, []
+        for i, p in enumerate(pages):
+            stream += [*p, -1 - i]
+            page += [i] * (len(p) + 1)
+            for j in range(len(p) - 3):
+                where.setdefault(tuple(p[j : j + 4]), set()).add(i)
+        for p in pages:
+            flags = [False] * (len(p) + 1)
+            for j in range(len(p) - 3):
+                if len(where[tuple(p[j : j + 4])]) > 1:
+                    flags[j : j + 4] = [True] * 4
+            want += flags
+        assert op4.repeated_tokens(np.array(stream), np.array(page), 4).tolist() == want
+
+
+def tokenizer_path():
+    return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+
+
+def test_token_files(spark, docs, empty):
+    path = tokenizer_path()
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    d = docs.filter("doc_id is not null")
+    out = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in op5.read_tokens(op5.write_tokens(d, path, 2, C.Scratch(spark, "t"))).collect())
+    want = Counter()
+    for k, t in rows_of(d):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        want[k, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))] += 1
+    assert Counter(x[1:] for x in out) == want
+    assert [x[1] for x in out] == sorted(x[1] for x in out) and all(b[0] == a[0] + a[2] for a, b in zip(out, out[1:], strict=False))
+    assert op5.read_tokens(op5.write_tokens(empty, path, 2, C.Scratch(spark, "t"))).count() == 0
+
+
+def test_token_block_round_trip():
+    g = np.random.default_rng(2)
+    for n in (0, 1, 3, 4, 5, 1000):
+        ids = np.minimum(g.zipf(1.3, n), 2**31).astype(np.uint32)
+        d, lengths, back = op5.decode_block(op5.encode_block(np.array([5]), np.array([n]), ids))
+        assert d.tolist() == [5] and lengths.tolist() == [n] and (back == ids).all()
+    many = np.arange(70_000, dtype=np.uint32)  # three-byte ranks
+    assert (op5.decode_block(op5.encode_block(np.array([1]), np.array([len(many)]), many))[2] == many).all()
+
+
+def test_token_pieces_match_whole_texts():
+    enc = op5.Encoder(tokenizer_path())
+    texts = ["a  b\n\nc  d", " lead", "trail ", "don't we'll\t\tx 's", "日本 語　テ", "a\n b", "é  è", "<|endoftext|> x", "", "\r\n\r\n x", "a  b"]
+    data, off = C.text_bytes(pa.array(texts))
+    ids, n = enc(data, off)
+    want = [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
+def test_nbest(spark, docs, empty):
+    pytest.importorskip("public_tokenizers")
+    m = op6.Pieces(op6.default_model())
+
+    def paths(s):
+        if not s:
+            yield 0.0, ()
+            return
+        for j, p, x in m.edges(s, 0):
+            for y, q in paths(s[j:]):
+                yield x + y, (*((p,) if p is not None else m.fallback(s[0])), *q)
+
+    for t in ["ab", "the cat", "né à", "x\ny z", "  lead", "日本 a", "hello wor"]:
+        best = sorted(paths(m.sp.normalize(t).replace("▁", " ")), key=lambda z: -z[0])[:4]
+        got = next(iter(m.segmentations([t])))
+        assert [round(x[0], 6) for x in best] == [round(x[0], 6) for x in got]
+        assert len({tuple(x[1].tolist()) for x in got}) == len(got)
+        assert all(m.decode(x[1]) == m.sp.decode(x[1].tolist()) for x in got)
+    out = op6.nbest_digests(docs).collect()
+    assert len(out) == docs.count()
+    for r in out:
+        assert r.scores == sorted(r.scores, reverse=True) and len(set(r.ids_crc32)) == len(r.ids_crc32)
+    assert {r.n_pieces for r in out if r.doc_id in (0, 1)} == {0}
+    long = op6.nbest_segmentations(docs).filter("doc_id = 6 and rank = 0").first()
+    assert m.decode(np.array(long.ids)) == LONG
+    assert op6.nbest_digests(empty).count() == 0
+
+
+def test_nn_descent(spark):
+    g = np.random.default_rng(4)
+    base = g.normal(size=(12, 16))
+    vectors = [(i, (base[i % 12] + g.normal(size=16) * (0.05 if i % 3 else 1.5)).astype(np.float32).tolist()) for i in range(400)]
+    big = base[0] * 3
+    vectors += [(1000 + i, (big + g.normal(size=16) * 0.01).astype(np.float32).tolist()) for i in range(60)]
+    hostile = [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] * 16), (2004, [None] + [1.0] * 15), (2005, [1.0] * 8), (2006, [1.0] * 8), (2007, [float("inf")] * 16)]
+    df = spark.createDataFrame(vectors + hostile, "vec_id long, embedding array<float>").withColumns({"label": F.lit(1), "component": F.lit(2), "unit": F.lit(3)})
+    out = {r.vec_id: r for r in op7.near_vectors(df).collect()}
+    x = np.array([v for _, v in vectors], np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    got = np.array([out[i].n_links for i, _ in vectors])
+    assert got.sum() >= 0.97 * near.sum() and (got <= near.sum(1)).all()
+    assert len(out) == len(vectors) + len(hostile)
+    assert all(out[i].n_links == 0 and out[i].kept and out[i].component_id == i for i in (2000, 2001, 2002, 2003, 2004, 2007))
+    assert out[2005].n_links == out[2006].n_links == 1 and out[2006].component_id == 2005 and not out[2006].kept
+    assert op7.near_vectors(df.limit(0)).count() == 0
+
+
+def test_substring(docs, empty):
+    rows = rows_of(docs)
+    seen = Counter()
+    for _, t in rows:
+        w = WORD.findall(t or "")
+        seen.update(tuple(w[i : i + 35]) for i in range(len(w) - 34))
+    want = Counter()
+    for k, t in rows:
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for i in range(len(w) - 34):
+            if seen[tuple(w[i : i + 35])] > 1:
+                gone[i : i + 35] = [True] * 35
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        want[k, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in op8.drop_repeated_windows(docs).collect()) == want
+    assert op8.drop_repeated_windows(empty).count() == 0
+
+
+def test_decontamination(spark, docs, empty):
+    edited = PASSAGE[:50] + "zz" + PASSAGE[53:]
+    bench = spark.createDataFrame([(1, PASSAGE), (2, edited), (3, " ".join(VOCAB[:40])), (4, None), (5, ""), (6, "ONE, two"), (7, PASSAGE)], "item_id long, text string")
+    out = {(r.doc_id, r.item_id): r.distance for r in op9.contaminated(docs, bench).collect()}
+    assert out[10, 1] == out[11, 1] == out[10, 7] == 0 and 0 < out[10, 2] <= 4 and (4, 6) in out and (5, 6) in out
+    assert not [k for k in out if k[1] in (3, 4, 5)] and not [k for k in out if k[0] in (0, 1, 2, 6)]
+    clean = op9.clean_documents(docs, bench)
+    assert clean.columns == docs.columns and {10, 11, 4, 5}.isdisjoint({r.doc_id for r in clean.collect()})
+    assert op9.contaminated(empty, bench).count() == 0 and op9.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_edit_distance():
+    g = np.random.default_rng(6)
+    for _ in range(60):
+        p, t = ("".join(g.choice(list("abc"), n)) for n in (g.integers(1, 12), g.integers(0, 30)))
+        row = [0] * (len(t) + 1)
+        for i, c in enumerate(p, 1):
+            new = [i]
+            for j, d in enumerate(t, 1):
+                new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+            row = new
+        assert op9.myers(op9.masks_of(p), len(p), t)[0] == min(row)
+
+
+def test_pieces_survive_edits():
+    g = np.random.default_rng(7)
+    item = op9.normal(" ".join(g.choice(VOCAB, 40)))
+    m = op9.Matcher([(1, item)])
+    allowed = len(item) // op9.ERROR_DIVISOR
+    for _ in range(40):
+        t = list(item)
+        for _ in range(allowed):
+            i = g.integers(0, len(t))
+            t[i : i + 1] = [[], ["q"], [t[i], "q"]][g.integers(0, 3)]
+        assert m.find("start words " + "".join(t) + " end words")
+
+
+def test_sharding(spark, docs, empty):
+    out = sorted((r.shard, r.slot, r.doc_id if r.doc_id is not None else -1, r.size, r.text_crc32) for r in op10.shard_by_bytes(docs, 5).collect())
+    rows = rows_of(docs)
+    assert Counter(x[2:] for x in out) == Counter((k if k is not None else -1, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for k, t in rows)
+    for s in {x[0] for x in out}:
+        assert [x[1] for x in out if x[0] == s] == list(range(sum(x[0] == s for x in out)))
+    assert [x[2] for x in out] == sorted(x[2] for x in out)
+    total, largest = sum(x[3] for x in out), max(x[3] for x in out)
+    at = 0
+    for s in range(5):
+        at += sum(x[3] for x in out if x[0] == s)
+        assert abs(at - total * (s + 1) / 5) <= largest
+    assert op10.shard_by_bytes(empty, 5).count() == 0
+
+
+def test_components(spark):
+    g = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in g.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 440)]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    got = {r.node: r.component for r in C.components(spark, df, C.Scratch(spark, "t")).collect()}
+    ends = {x for e in edges if e[0] != e[1] for x in e}
+    assert got == {x: top(x) for x in ends}
