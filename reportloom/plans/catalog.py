@@ -554,3 +554,82 @@ def daily_counts(spark, sf):
 @query("SELECT o_orderkey, trim(regexp_replace('Bao dong ' || o_orderpriority, '[^A-Za-z0-9]+', '_', 'g'), '_') AS stem FROM orders")
 def file_names(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", S.file_stem(F.concat(F.lit("Báo động "), F.col("o_orderpriority"))).alias("stem"))
+
+
+def order_tables(spark, sf) -> DataFrame:
+    o = read(spark, sf, "orders")
+    rows = F.array(F.array(F.lit("1"), F.concat(F.col("o_orderstatus"), F.lit("  x\ny"))), F.array(F.lit("tổng cộng"), F.col("o_totalprice").cast("int").cast("string")))
+    return o.select(F.col("o_orderkey").alias("table_id"), rows.alias("rows"))
+
+
+@query("""SELECT o_orderkey AS table_id, r AS row_index, c AS col_index, CASE WHEN r = 0 AND c = 0 THEN '1' WHEN r = 0 THEN o_orderstatus || ' x y' WHEN c = 0 THEN 'tổng cộng' ELSE trunc(o_totalprice)::INTEGER::VARCHAR END AS text
+ FROM orders, (VALUES (0), (1)) AS a(r), (VALUES (0), (1)) AS b(c)""")
+def table_cells(spark, sf):
+    t = order_tables(spark, sf)
+    return T.cells(t.withColumn("rows", T.clean_cells(F.col("rows"))))
+
+
+@query("SELECT o_orderkey AS table_id, i AS row_no, CASE WHEN i = 0 THEN 'DATA' ELSE 'TOTAL' END AS row_class FROM orders, (VALUES (0), (1)) AS a(i)")
+def row_classes(spark, sf):
+    return order_tables(spark, sf).select("table_id", F.posexplode("rows").alias("row_no", "row")).select("table_id", "row_no", T.row_class(F.col("row")).alias("row_class"))
+
+
+@query("SELECT l_orderkey AS table_id, c AS col_index, CASE WHEN c = 0 THEN 'RIGHT' ELSE 'LEFT' END AS align FROM (SELECT DISTINCT l_orderkey FROM lineitem), (VALUES (0), (1)) AS a(c)")
+def column_alignment(spark, sf):
+    l = read(spark, sf, "lineitem")
+    cell = F.posexplode(F.array(F.col("l_quantity").cast("int").cast("string"), F.col("l_returnflag"))).alias("col_index", "text")
+    return T.alignment(l.select(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") - 1).alias("row_index"), cell))
+
+
+@query("""WITH h AS (SELECT l_orderkey AS table_id, l_linenumber AS col_index, CASE WHEN l_linenumber % 3 = 1 THEN min(l_returnflag) ELSE '' END AS parent FROM lineitem GROUP BY 1, 2),
+ r AS (SELECT *, sum(CASE WHEN parent <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY table_id ORDER BY col_index) AS run FROM h)
+ SELECT table_id, run::BIGINT AS run, min(col_index) AS from_col, count(*) AS span, arg_min(parent, col_index) AS parent FROM r GROUP BY 1, 2""")
+def header_spans(spark, sf):
+    l = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("col_index")).agg(F.min("l_returnflag").alias("flag"))
+    return T.header_spans(l.select("table_id", "col_index", F.when(F.col("col_index") % 3 == 1, F.col("flag")).otherwise("").alias("parent")))
+
+
+@query("""SELECT o_orderkey AS doc_id, o_orderstatus AS title, 'Triển khai: ' || o_orderstatus AS description, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'Văn phòng' END AS assignee, 'Trong kỳ' AS due, 'NORMAL' AS priority FROM orders WHERE o_custkey % 10 IN (1, 3)""")
+def work_items(spark, sf):
+    a = read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 10).cast("int").alias("ord"), F.col("o_orderstatus").alias("action_title"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise("").alias("owner_department"), F.lit(None).cast("string").alias("deadline"))
+    return R.work_items(a, [1, 3])
+
+
+@query("""SELECT o_orderkey AS doc_id, o_custkey || '/BC-UBND' AS document_number, strftime(o_orderdate, '%Y-%m-%d') AS issuance_date, 'tháng ' || month(o_orderdate) || ' năm ' || year(o_orderdate) AS reporting_period, CASE WHEN o_orderkey % 2 = 0 THEN 'TO_TRINH' ELSE 'BAO_CAO' END AS document_type FROM orders""")
+def metadata_scalars(spark, sf):
+    o = read(spark, sf, "orders")
+    day = F.concat(F.lit("ngày "), F.dayofmonth("o_orderdate"), F.lit(" tháng "), F.month("o_orderdate"), F.lit(" năm "), F.year("o_orderdate"))
+    text = F.concat(F.lit("UBND\nSố: "), F.col("o_custkey"), F.lit("/BC-UBND "), day, F.when(F.col("o_orderkey") % 2 == 0, F.lit("\nTỜ TRÌNH\n")).otherwise("\nBÁO CÁO\n"))
+    t = o.select(F.col("o_orderkey").alias("doc_id"), text.alias("t"))
+    return t.select("doc_id", S.document_number(F.col("t")).alias("document_number"), S.issuance_date(F.col("t")).alias("issuance_date"), S.reporting_period(F.col("t")).alias("reporting_period"), S.document_type(F.col("t")).alias("document_type"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(degrees(atan2(l_discount, l_quantity)), 1) AS angle FROM lineitem")
+def rotation_angle(spark, sf):
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.rotation(F.col("l_quantity"), F.col("l_discount")).alias("angle"))
+
+
+@query("""WITH w AS (SELECT p_partkey, string_split(p_type, ' ') AS s FROM part) SELECT p_partkey, unnest(s) AS word, 100.0 * unnest(range(len(s))) / len(s) AS x0 FROM w""")
+def word_boxes(spark, sf):
+    b = F.explode(S.word_boxes(F.col("p_type"), F.lit(0.0), F.lit(100.0))).alias("b")
+    return read(spark, sf, "part").select("p_partkey", b).select("p_partkey", "b.word", F.col("b.x0").alias("x0"))
+
+
+@query("SELECT conv_id, turn, (length(text) < 40 AND turn % 2 = 0) OR length(text) = 0 AS needs_ocr FROM conversations")
+def ocr_routing(spark, sf):
+    from ..sources.files import needs_ocr
+
+    c = read(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("char_count"), (F.col("turn") % 2 == 0).alias("has_images"))
+    return needs_ocr(c).select("conv_id", "turn", "needs_ocr")
+
+
+@query()
+def table_stitching(spark, sf):
+    t = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.array(F.lit("STT"), F.when(F.col("l_linenumber") > 4, F.lit("Giá")).otherwise("Tên")).alias("headers"), F.array(F.array(F.col("l_linenumber").cast("string"), F.col("l_returnflag"))).alias("rows"))
+    return TX.stitch_tables(t).select("doc_id", "master", "pieces", F.size("rows").alias("n_rows"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 5 THEN 'WATERMARK' WHEN p_size * 15 < 70 THEN 'HEADER' WHEN p_size * 15 + 10 > 700 - 60 THEN 'FOOTER' WHEN p_partkey % 3 = 0 THEN 'HEADING_1' ELSE 'PARAGRAPH' END AS block_type FROM part")
+def block_types(spark, sf):
+    top = F.col("p_size") * 15
+    return read(spark, sf, "part").select("p_partkey", S.block_type(top, top + 10, F.lit(700), F.col("p_partkey") % 3 == 0, F.col("p_size") < 5).alias("block_type"))
