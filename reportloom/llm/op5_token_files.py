@@ -27,7 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -217,14 +217,17 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, scratch: C.Scratch) ->
 def read_tokens(files: DataFrame) -> DataFrame:
     """Documents of a file table: doc_id, start, n_tokens, ids_crc32."""
     spark = files.sparkSession
-    sizes = files.select("part", "block", "tokens").orderBy("part", "block").collect()  # one row a block
+    totals = files.groupBy("part").agg(F.sum("tokens").alias("n")).orderBy("part").collect()  # one row a partition
     seen, rows = 0, []
-    for x in sizes:
-        rows.append((x.part, x.block, seen))
-        seen += x.tokens
-    base = spark.createDataFrame(rows, "part int, block int, base long")
+    for x in totals:
+        rows.append((x.part, seen))
+        seen += x.n
+    part_base = spark.createDataFrame(rows, "part int, part_base long")
+    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = files.select("part", "block", F.coalesce(F.sum("tokens").over(inside), F.lit(0)).alias("block_base"))
+    base = blocks.join(F.broadcast(part_base), "part").select("part", "block", (F.col("part_base") + F.col("block_base")).alias("base"))
     docs = files.select("part", "block", "payload").mapInArrow(read_blocks, "part int, block int, doc_id long, n_tokens long, ids_crc32 long, before long")
-    return docs.join(F.broadcast(base), ["part", "block"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(base, ["part", "block"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark, sf_dir, tokenizer: str | None = None):
