@@ -53,7 +53,13 @@ class Rule:
         self.low, self.high = np.array(self.low), np.array(self.high)
         # |x ^ y| <= (x + y) (1 - t) / (1 + t), x + y <= 2 * high
         self.most = 2 * self.high * (100 - percent) // (100 + percent)
-        self.slack = 1 + self.most // 16
+        # room for the empty segments that the smallest sets of a scheme are likely to have
+        fewest, slack = self.low * percent / 100, np.ones(len(self.low))
+        for _ in range(30):
+            m = self.most + 1 + slack
+            empty = m * np.exp(-fewest / m)
+            slack = np.minimum(1 + empty + 3 * np.sqrt(empty), 1 + self.most)
+        self.slack = np.ceil(np.where(self.most > 0, slack, 1)).astype(np.int64)
         self.m = self.most + 1 + self.slack
 
 
@@ -199,32 +205,74 @@ def unique_pairs(s, m):
     return s[new], m[new]
 
 
-def index_rows(rule: Rule, heavy_list: list[int]):
-    """(key, sig, member): the index entries of a task, repeated ones once. Long local lists
-    go out under keys of their own, in pieces that each hold the list's smallest member."""
+KEY_BYTES = 6
+
+
+def list_ids(s: np.ndarray, parts: int) -> np.ndarray:
+    """Signatures cut to KEY_BYTES inside their part. Lists that coincide so only add pairs to
+    verify."""
+    cut = U64((1 << 8 * KEY_BYTES) - 1)
+    return (s // U64(parts) & cut) * U64(parts) + s % U64(parts)
+
+
+def pack_entries(key: np.ndarray, sig: np.ndarray, mem: np.ndarray, parts: int) -> bytes:
+    """Index entries of one part: keys in six bytes, members by place in a table, and the
+    list id of the entries that were moved to a key of their own."""
+    table, place = np.unique(mem, return_inverse=True)
+    wide = len(table) > 1 << 16
+    moved = np.flatnonzero(key != sig)
+    head = np.array([len(key), len(table), len(moved), wide], "<u4").tobytes()
+    short = (key // U64(parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+    return b"".join([head, table.astype("<i8").tobytes(), place.astype("<u4" if wide else "<u2").tobytes(), moved.astype("<u4").tobytes(), list_ids(sig[moved], parts).astype("<u8").tobytes(), short.tobytes()])
+
+
+def unpack_entries(raw: bytes, part: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, n_table, n_moved, wide = np.frombuffer(raw, "<u4", 4).tolist()
+    at = 16
+
+    def take(kind, count):
+        nonlocal at
+        out = np.frombuffer(raw, kind, count, at)
+        at += out.nbytes
+        return out
+
+    table, place = take("<i8", n_table), take("<u4" if wide else "<u2", n)
+    moved, own = take("<u4", n_moved), take("<u8", n_moved)
+    full = np.zeros((n, 8), np.uint8)
+    full[:, :KEY_BYTES] = take(np.uint8, n * KEY_BYTES).reshape(n, KEY_BYTES)
+    key = full.view("<u8")[:, 0] * U64(parts) + U64(part)
+    sig = key.copy()
+    sig[moved] = own
+    return key, sig, table[place]
+
+
+def index_rows(rule: Rule, heavy_list: list[int], lanes: list[int]):
+    """(lane, part, entries): the index entries of a task by part, repeated ones once. Long
+    local lists go out under keys of their own, in pieces that each hold the list's smallest
+    member. lanes[part] is the number that the partitioner sends to partition `part`."""
     heavy = np.sort(np.array(heavy_list, np.int64).view(U64))
+    parts = len(lanes)
 
-    def out(s, m):
-        s, m = unique_pairs(s, m)
+    def out(held):
+        s, m = unique_pairs(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
         first = np.ones(len(s), bool)
         first[1:] = s[1:] != s[:-1]
         start = np.flatnonzero(first)
         size = np.diff(np.append(start, len(s)))
         rank = np.arange(len(s)) - np.repeat(start, size)
-        long = np.repeat(size > LOCAL_LIST, size)
         lead = m[np.repeat(start, size)]
         key = s.copy()
-        move = long & (rank > 0)
+        move = np.repeat(size > LOCAL_LIST, size) & (rank > 0)
         key[move] = C.mix(s[move] ^ C.mix(lead[move].view(U64) + (rank[move] // SALT_ROWS).astype(U64)))
-
         extra = move & ((rank == 1) | (rank % SALT_ROWS == 0))
-
-        key = np.concatenate([key, key[extra]])
-        sig = np.concatenate([s, s[extra]])
-        mem = np.concatenate([m, lead[extra]])
-        for i in range(0, len(key), 1 << 18):
-            k = slice(i, i + (1 << 18))
-            yield pa.RecordBatch.from_arrays([C.as_long(key[k]), C.as_long(sig[k]), pa.array(mem[k], pa.int64())], ["key", "sig", "member"])
+        key, s, m = np.concatenate([key, key[extra]]), np.concatenate([s, s[extra]]), np.concatenate([m, lead[extra]])
+        part = (key % U64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(p, order[a:z]) for p, (a, z) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if z > a]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lanes[p] for p, _ in rows], pa.int32()), pa.array([p for p, _ in rows], pa.int32()), pa.array([pack_entries(key[i], s[i], m[i], parts) for _, i in rows], pa.binary())], ["lane", "part", "entries"]
+        )
 
     def run(batches):
         held, rows = [], 0
@@ -235,33 +283,57 @@ def index_rows(rule: Rule, heavy_list: list[int]):
                 held.append(signatures(r, g, n, one.view(np.int64), rule, heavy))
                 rows += len(held[-1][0])
                 if rows > COMBINE_ROWS:
-                    yield from out(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+                    yield from out(held)
                     held, rows = [], 0
         if rows:
-            yield from out(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+            yield from out(held)
 
     return run
 
 
-def shared_lists(batches):
-    """Of a task's index entries, those whose list has two members or more, with the smallest."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    key, sig, mem = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(3))
-    del held
-    order = np.lexsort((mem, key))
-    key, sig, mem = key[order], sig[order], mem[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (mem[1:] != mem[:-1])
-    key, sig, mem = key[new], sig[new], mem[new]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    start = np.flatnonzero(first)
-    size = np.diff(np.append(start, len(key)))
-    two = np.repeat(size > 1, size)
-    lead = mem[np.repeat(start, size)]
-    yield pa.RecordBatch.from_arrays([pa.array(x[two], pa.int64()) for x in (sig, mem, lead)], ["sig", "member", "leader"])
+def shared_lists(parts: int):
+    """Of a partition's index entries, those whose list has two members or more, with the
+    smallest of them."""
+
+    def run(batches):
+        held = [unpack_entries(raw.as_py(), part, parts) for b in batches for part, raw in zip(b.column(1).to_pylist(), b.column(2), strict=True)]
+        if not held:
+            return
+        key, sig, mem = (np.concatenate([x[i] for x in held]) for i in range(3))
+        del held
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        again = np.zeros(len(k), bool)  # keys met once go before the full sort
+        again[1:] = k[1:] == k[:-1]
+        again[:-1] |= again[1:]
+        order = order[again]
+        key, sig, mem = key[order], sig[order], mem[order]
+        order = np.lexsort((mem, key))
+        key, sig, mem = key[order], sig[order], mem[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (mem[1:] != mem[:-1])
+        key, sig, mem = key[new], sig[new], mem[new]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        start = np.flatnonzero(first)
+        size = np.diff(np.append(start, len(key)))
+        two = np.repeat(size > 1, size)
+        lead = mem[np.repeat(start, size)]
+        yield pa.RecordBatch.from_arrays([C.as_long(sig[two]), pa.array(mem[two], pa.int64()), pa.array(lead[two], pa.int64())], ["sig", "member", "leader"])
+
+    return run
+
+
+def lanes_of(spark, parts: int) -> list[int]:
+    """For each partition of a hash partitioning by an int, a number that falls into it."""
+    found: dict[int, int] = {}
+    upto = 0
+    while len(found) < parts:
+        more = spark.range(upto, upto + 16 * parts).select(F.col("id").cast("int").alias("i"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p")).groupBy("p").agg(F.min("i").alias("i")).collect()
+        for r in more:
+            found.setdefault(r.p, r.i)
+        upto += 16 * parts
+    return [found[p] for p in range(parts)]
 
 
 def texts_of(rule: Rule):
@@ -301,30 +373,47 @@ def linked_pairs(rule: Rule):
 BLOCK_STRANGERS, STRANGER_TOKENS = 256, 100_000
 BLOCK_MEMBERS, MEMBER_TOKENS = 1024, 400_000
 COLUMNS = 4096
+CLUSTER_BLOCKS = 16
 
 
 def across_components(rest: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): components that a link joins. rest: (home, member, comp, n), the members of
-    unfinished lists by the component of the list's smallest member.
+    """(a, b): components that a link joins. rest: (home, cluster, member, comp, n), the members
+    of unfinished lists by the component of the list's smallest member and by the cluster of
+    members that collisions connect.
 
-    Of two members in different components at least one is a stranger to the home, so blocks
-    of strangers meet blocks of members; no pair of texts is ever a row."""
+    A cluster of at most CLUSTER_BLOCKS blocks is compared block by block. In a larger one,
+    of two members in different components at least one is a stranger to the home, so blocks
+    of strangers meet blocks of members. No pair of texts is ever a row."""
+    own = lambda of: F.pmod(F.xxhash64("member"), of).cast("int")
+    once = rest.select("cluster", "member", "comp", "n").distinct()
+    blocks = once.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_STRANGERS, F.sum("n") / STRANGER_TOKENS)).cast("int").alias("nb"))
+    fits = F.col("nb") <= CLUSTER_BLOCKS
+    placed = once.join(blocks.filter(fits), "cluster").select(F.col("cluster").alias("home"), "member", "comp", "nb", own("nb").alias("mine"))
+    by_cluster = placed.select("home", "member", "comp", F.lit(True).alias("stranger"), F.col("mine").alias("mb"), F.explode(F.sequence("mine", F.col("nb") - 1)).alias("ob")).union(
+        placed.filter("mine > 0").select("home", "member", "comp", F.lit(False).alias("stranger"), F.explode(F.sequence(F.lit(0), F.col("mine") - 1)).alias("mb"), F.col("mine").alias("ob"))
+    )
+    rest = rest.join(blocks.filter(~fits), "cluster").select("home", "member", "comp", "n").distinct()
     count = rest.groupBy("home").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / MEMBER_TOKENS)).cast("int").alias("mbs"),
         F.ceil(F.greatest(F.count_if(F.col("comp") != F.col("home")) / BLOCK_STRANGERS, F.sum(F.when(F.col("comp") != F.col("home"), F.col("n"))) / STRANGER_TOKENS)).cast("int").alias("obs"),
     )
-    own = lambda of: F.pmod(F.xxhash64("member"), of).cast("int")
     every = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
     sized = rest.join(count, "home").select("home", "member", "comp", (F.col("comp") != F.col("home")).alias("stranger"), "mbs", "obs")
     work = sized.select("home", "member", "comp", F.lit(False).alias("stranger"), own("mbs").alias("mb"), F.explode(every("obs")).alias("ob")).union(
         sized.filter("stranger").select("home", "member", "comp", "stranger", F.explode(every("mbs")).alias("mb"), own("obs").alias("ob"))
     )
+    # the ids of large clusters' homes can't meet those of small clusters: members differ
+    work = work.union(by_cluster)
 
     def meet(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         flag = np.asarray(rows["stranger"])
         comp = np.asarray(rows["comp"])
-        if flag.any() and not flag.all():
+        if flag.all():  # one block with itself
+            rows = pa.concat_tables([rows, rows]).combine_chunks()
+            flag = np.repeat([True, False], len(flag))
+            comp = np.concatenate([comp, comp])
+        if flag.any():
             r, g, n = [], [], np.zeros(rows.num_rows, np.int64)
             at = 0
             for batch in rows.select(["text"]).to_batches():
@@ -378,8 +467,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, lower
         raise RuntimeError("two different shingle sets share a 64-bit id; change the hash constants")
     heavy_from = max(HEAVY_LEAST, sized.count() // HEAVY_SHARE)
     heavy = [x.token for x in docs.mapInArrow(local_heavy(rule), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= heavy_from).orderBy(F.desc("n")).limit(20_000).collect()]
-    entries = docs.mapInArrow(index_rows(rule, heavy), "key long, sig long, member long").repartition("key")
-    lists = scratch.keep(entries.mapInArrow(shared_lists, "sig long, member long, leader long"))
+    lanes = lanes_of(spark, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    entries = docs.mapInArrow(index_rows(rule, heavy, lanes), "lane int, part int, entries binary").repartition(len(lanes), "lane")
+    lists = scratch.keep(entries.mapInArrow(shared_lists(len(lanes)), "sig long, member long, leader long"))
     scratch.sweep()
     stars = lists.filter("member <> leader").select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct()
     members = lists.select("member").distinct().join(classes.select(F.col("set_id").alias("member"), "rep"), "member")
@@ -395,7 +485,8 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, lower
     # lists that still hold several components: compare across them, in blocks
     named = lists.select("sig", "member").distinct().join(comp, F.col("member") == F.col("node"), "left").select("sig", "member", F.coalesce("component", "member").alias("comp"))
     open_lists = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "member").alias("home")).filter("lo <> hi").select("sig", "home")
-    rest = named.join(open_lists, "sig").select("home", "member", "comp").distinct().join(classes.select(F.col("set_id").alias("member"), "n"), "member")
+    clusters = scratch.keep(C.components(spark, stars, scratch)).select(F.col("node").alias("member"), F.col("component").alias("cluster"))
+    rest = named.join(open_lists, "sig").select("home", "member", "comp").distinct().join(clusters, "member").join(classes.select(F.col("set_id").alias("member"), "n"), "member")
     bridges = scratch.keep(across_components(rest, texts, rule))
     if bridges.limit(1).count():
         up = C.components(spark, bridges, scratch).select(F.col("node").alias("component"), F.col("component").alias("top"))
