@@ -28,20 +28,21 @@ from pyspark.sql import functions as F
 from . import common as C
 
 # fixed values: what is looked for
-EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+WORDY = r"[\p{L}\p{N}._%+-]"
+EMAIL = rf"(?:(?<!{WORDY})|\G){WORDY}++@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]+)+"
 KEYWORDS = "password|passwd|pwd|secret|token|api_key|apikey"
-SECRET = rf"AKIA[0-9A-Z]{{16}}|(?<=\b(?i:{KEYWORDS})[ ]?[=:][ ]?[\"']?)[^\s\"'#$%&*]{{6,}}|(?<![\p{{L}}\p{{N}}])(?=[a-fA-F]{{0,40}}[0-9])(?![0-9]{{13,19}}(?![0-9a-fA-F]))[0-9a-fA-F]{{18,64}}(?![\p{{L}}\p{{N}}])"
-IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
-NATIONAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\d)"
-PHONE = r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\p{L}\d])\+\d{8,15}(?!\d)"
+SECRET = rf"AKIA[0-9A-Z]{{16}}|(?<=[=: \"'])(?<=\b(?i:{KEYWORDS})[ ]?[=:][ ]?[\"']?)[^\s\"'#$%&*]{{6,}}|(?<![\p{{L}}\p{{N}}])(?=[a-fA-F]{{0,40}}[0-9])(?![0-9]{{13,19}}(?![0-9a-fA-F]))[0-9a-fA-F]{{18,64}}(?![\p{{L}}\p{{N}}])"
+IP = r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
+NATIONAL = r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+CARD = r"(?=\d)(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\d)"
+PHONE = r"(?=[\d+(])(?<![\p{L}\d])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|\+\d{8,15}(?!\d))"
 MALE = r"Mr|Herr|Monsieur|Señor|Г-н|Господин"
 FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Г-жа|Госпожа"
 NAME = rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
 KINDS = [("email", EMAIL), ("secret", SECRET), ("ip", IP), ("national", NATIONAL), ("card", CARD), ("phone", PHONE), ("name", NAME)]
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
-# every entity holds one of these, and most texts none
-HINT = rf"[@0-9]|(?i:{KEYWORDS})|(?:{MALE}|{FEMALE})\.? "
+# every entity holds one of these, and most texts none; looked for only at their first characters
+HINT = rf"[@0-9]|(?=[=:AFHMSГ])(?:[=:](?<=(?i:{KEYWORDS})[ ]?[=:])|AKIA|(?:{MALE}|{FEMALE})\.? )"
 GIVEN = {
     ("latin", "m"): "Adam Bruno Carlo David Erik Felix Georg Hugo Ivan Jonas Karl Leon Marco Nils Oscar Paul Ruben Simon Tomas Viktor",
     ("latin", "f"): "Anna Berta Clara Diana Elena Frida Greta Helga Irene Julia Karin Laura Maria Nora Olga Paula Rosa Sofia Tina Vera",
