@@ -470,10 +470,11 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, lower
     lanes = lanes_of(spark, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     entries = docs.mapInArrow(index_rows(rule, heavy, lanes), "lane int, part int, entries binary").repartition(len(lanes), "lane")
     lists = scratch.keep(entries.mapInArrow(shared_lists(len(lanes)), "sig long, member long, leader long"))
-    scratch.sweep()
+    scratch.sweep()  # here and below: lets Spark remove the files of shuffles that are over
     stars = lists.filter("member <> leader").select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct()
     members = lists.select("member").distinct().join(classes.select(F.col("set_id").alias("member"), "rep"), "member")
     texts = scratch.keep(docs.join(members, docs.doc_id.eqNullSafe(members.rep)).select("member", "text").mapInArrow(texts_of(rule), "member long, text string").dropDuplicates(["member"]))
+    scratch.sweep()
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("member").alias("a"), F.col("text").alias("text_a"))
@@ -481,13 +482,19 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, lower
         return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(linked_pairs(rule), "a long, b long")
 
     links = scratch.keep(verified(stars))
+    scratch.sweep()
     comp = scratch.keep(C.components(spark, links, scratch))
+    scratch.drop(links)
+    scratch.sweep()
     # lists that still hold several components: compare across them, in blocks
     named = lists.select("sig", "member").distinct().join(comp, F.col("member") == F.col("node"), "left").select("sig", "member", F.coalesce("component", "member").alias("comp"))
     open_lists = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "member").alias("home")).filter("lo <> hi").select("sig", "home")
     clusters = scratch.keep(C.components(spark, stars, scratch)).select(F.col("node").alias("member"), F.col("component").alias("cluster"))
+    scratch.sweep()
     rest = named.join(open_lists, "sig").select("home", "member", "comp").distinct().join(clusters, "member").join(classes.select(F.col("set_id").alias("member"), "n"), "member")
     bridges = scratch.keep(across_components(rest, texts, rule))
+    scratch.drop(texts)
+    scratch.sweep()
     if bridges.limit(1).count():
         up = C.components(spark, bridges, scratch).select(F.col("node").alias("component"), F.col("component").alias("top"))
         ends = bridges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
