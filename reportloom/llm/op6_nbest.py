@@ -31,7 +31,7 @@ from . import common as C
 MARK = "▁"
 N_BEST = 4
 PENALTY = 10.0
-CACHE = 1_200_000
+CACHE = 300_000
 TABLE = 0x250
 MATRIX = 48
 U64 = np.uint64
