@@ -3,6 +3,7 @@ vectorised word hashing over Arrow text columns, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -71,6 +72,15 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def release_memory() -> None:
+    """Give memory that a reused worker's earlier tasks freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 # ------------------------------------------------------------- vectorised words
 
 

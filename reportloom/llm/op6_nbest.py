@@ -361,6 +361,7 @@ def model(path: str, n_best: int) -> Pieces:
 
 def encoded(path: str, n_best: int, digest: bool):
     def run(batches):
+        C.release_memory()
         m = model(path, n_best)
         for whole in batches:
             for b in C.chunks(whole, "text", C.CHUNK_BYTES // 2):
