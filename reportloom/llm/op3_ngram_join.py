@@ -275,6 +275,7 @@ def index_rows(rule: Rule, heavy_list: list[int], lanes: list[int]):
         )
 
     def run(batches):
+        C.release_memory()
         held, rows = [], 0
         for whole in batches:
             for b in C.chunks(whole, "text"):
