@@ -1,20 +1,21 @@
 """Operator 7: near-duplicate vectors by NN-descent, with audited recall.
 
-1. Start: random-projection blocks of bounded size give every vector its first neighbours.
-2. Descent: each vector's neighbours meet at the vector (neighbours of neighbours) and every
-   better pair enters both lists; lists are ordered by cosine.
-3. A list that is full of pairs at the threshold or above is saturated, and the vectors'
-   lists are enlarged until none is, so groups of any size keep all their links.
-4. Audit: AUDIT_ROWS vectors, those of least hash, are compared with all rows in blocks; if
+1. Equal vectors are one node with a count, so copies fill no list.
+2. Start: random-projection leaves are compared in full (a crowded leaf block by block); every
+   pair at the threshold or above is kept as a link, whatever the lists of nearest keep.
+3. Descent: each vector's neighbours meet at the vector (neighbours of neighbours); every link
+   seen is kept and every better pair enters both lists; lists are ordered by cosine.
+4. A vector with more than NEIGHBOURS links is saturated. All that it reaches is one group, and
+   groups are compared in full, in blocks of BLOCK rows; links are counted there, not listed.
+5. Audit: AUDIT_ROWS vectors, those of least hash, are compared with all rows in blocks; if
    fewer than RECALL of their links were found, more rounds run with further projections.
 
-Every link kept is computed in double precision, none below the threshold. Saturated groups
-are finished exactly: vectors whose lists are saturated are grouped by the smallest member
-they reach, and their groups are compared in blocks of BLOCK rows.
+Every link is computed in double precision, none below the threshold.
 
 Defined results: null, zero-length, zero, or non-finite vectors (null components included)
-and vectors of another length than their partner link with nothing; repeated vec_ids are
-compared as separate rows and share counts by row; an empty table gives no rows.
+and vectors of another length than their partner link with nothing; the rows of a repeated
+vec_id are compared each with its own vector and share the number of other vec_ids linked;
+a null vec_id links with nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def stack(col) -> np.ndarray:
 
 
 def codes(depth: int, trees: int, seed: int):
-    """(vid, dim, unit, tree, code): sides of `depth` random hyperplanes for each tree."""
+    """(rid, dim, unit, tree, code): sides of `depth` random hyperplanes for each tree."""
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
@@ -84,41 +85,83 @@ def codes(depth: int, trees: int, seed: int):
                 code = (side * (1 << np.arange(depth))).sum(2) + (int(d) << 32)
                 n = len(x)
                 pick = pa.array(np.repeat(np.arange(n), trees))
-                yield pa.RecordBatch.from_arrays([*(part.column(i).take(pick) for i in range(3)), pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), pa.array(code.reshape(-1).astype(np.int64))], ["vid", "dim", "unit", "tree", "code"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(pick) for i in range(3)), pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), pa.array(code.reshape(-1).astype(np.int64))], ["rid", "dim", "unit", "tree", "code"])
 
     return run
 
 
-EMPTY = {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cos": pa.array([], pa.float64())}
+FOUND = "a long, b long, cos double, kind int"
+LINK, TIE, NEAR = 0, 1, 2  # a pair at the threshold; rows of one saturated group; a list's pair
 
 
-def best_pairs(ids: np.ndarray, x: np.ndarray, k: int) -> pa.Table:
-    """Each row's k nearest others in a block, as (a, b, cos) both ways."""
-    n = len(ids)
-    if n < 2:
-        return pa.table(EMPTY)
-    sim = x @ x.T
-    np.fill_diagonal(sim, -2)
-    k = min(k, n - 1)
-    top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-    a = np.repeat(np.arange(n), k)
-    b = top.reshape(-1)
-    return pa.table({"a": ids[a], "b": ids[b], "cos": sim[a, b]})
+def table_of(a, b, cos, kind: int) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cos": pa.array(cos, pa.float64()), "kind": pa.array(np.full(len(a), kind), pa.int32())})
 
 
-def local_lists(k: int):
+def nearest(ids, others, sim: np.ndarray, k: int) -> pa.Table:
+    """Each row's k nearest columns."""
+    k = min(k, sim.shape[1])
+    top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+    cos = np.take_along_axis(sim, top, 1).reshape(-1)
+    real = cos > -2
+    return table_of(np.repeat(ids, k)[real], others[top.reshape(-1)][real], cos[real], NEAR)
+
+
+def trees_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs: each row with the smallest of its tree."""
+    out = list(C.forest([pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])]))
+    return tuple(np.concatenate([np.asarray(x.column(i)) for x in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
+
+
+def compared(ids, x, left, threshold: float, k: int, most: int) -> pa.Table:
+    """Rows of a block with each other, or with the rows of a second block: every pair at the
+    threshold or above, and each row's k nearest. Where a row has more than `most` links, its
+    tree stands for them (ties): such groups are compared in full later."""
+    i, j = np.flatnonzero(left), np.flatnonzero(~left)
+    own = not len(j)
+    if own:
+        j = i
+    out = [table_of([], [], [], LINK)]
+    if len(i) and len(j) and not (own and len(i) < 2):
+        sim = x[i] @ x[j].T
+        if own:
+            np.fill_diagonal(sim, -2)
+        if k:
+            out.append(nearest(ids[i], ids[j], sim, k))
+            if not own:
+                out.append(nearest(ids[j], ids[i], sim.T, k))
+        p, q = np.nonzero(sim >= threshold)
+        if own:
+            p, q = p[p < q], q[p < q]
+        a, b, cos = ids[i[p]], ids[j[q]], sim[p, q]
+        names, n = np.unique(np.concatenate([a, b]), return_counts=True)
+        if (n > most).any():
+            node, root = trees_of(a, b)
+            at = np.append(node, np.setdiff1d(names, node))
+            of = np.append(root, np.setdiff1d(names, node))
+            rank = np.argsort(at)
+            group = of[rank]
+            hot = np.isin(group, group[n > most])
+            tied = hot[np.searchsorted(names, node)]
+            out.append(table_of(node[tied], root[tied], np.ones(int(tied.sum())), TIE))
+            free = ~hot[np.searchsorted(names, a)]
+            a, b, cos = a[free], b[free], cos[free]
+        out.append(table_of(a, b, cos, LINK))
+    return pa.concat_tables(out)
+
+
+def block_search(threshold: float, k: int, most: int):
     def run(rows: pa.Table) -> pa.Table:
-        return best_pairs(np.asarray(rows["vid"]), stack(rows["unit"]), k)
+        return compared(np.asarray(rows["rid"]), stack(rows["unit"]), np.asarray(rows["left"]), threshold, k, most)
 
     return run
 
 
-def local_join(k: int):
-    """Neighbours that meet at a vector: each gets its k nearest of the others."""
+def local_join(threshold: float, k: int, most: int):
+    """Neighbours that meet at a vector: each with the others."""
 
     def run(rows: pa.Table) -> pa.Table:
-        ids, first = np.unique(np.asarray(rows["vid"]), return_index=True)
-        return best_pairs(ids, stack(C.packed(rows["unit"]).take(pa.array(first))), k)
+        return compared(np.asarray(rows["rid"]), stack(rows["unit"]), np.ones(rows.num_rows, bool), threshold, k, most)
 
     return run
 
@@ -130,41 +173,47 @@ def top_lists(pairs: DataFrame, k: int) -> DataFrame:
     return salted.select("a", F.col("x.b").alias("b"), (-F.col("x.far")).alias("cos")).groupBy("a").agg(best.alias("l")).select("a", F.explode("l").alias("x")).select("a", F.col("x.b").alias("b"), (-F.col("x.far")).alias("cos"))
 
 
-def block_links(threshold: float):
-    """Links between two blocks of one group; inside a block once."""
+def block_pairs(placed: DataFrame, keys: list, block: int) -> DataFrame:
+    """placed (rid, keys) in pairs of blocks (keys, bi, bj) of each group of keys."""
+    size = placed.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    dealt = placed.join(size, keys).withColumn("mine", F.pmod(F.xxhash64("rid", *keys), F.col("nb")).cast("int"))
+    return dealt.select("*", F.col("mine").alias("bi"), F.explode(F.sequence("mine", F.col("nb") - 1)).alias("bj"), F.lit(True).alias("left")).union(
+        dealt.filter("mine > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("mine") - 1)).alias("bi"), F.col("mine").alias("bj"), F.lit(False).alias("left"))
+    )
+
+
+def block_counts(threshold: float):
+    """Links between two blocks of one group, counted: (a, n) with kind NEAR, a forest of them
+    (TIE), and the pairs with a vector whose vec_id has other vectors too (LINK)."""
 
     def run(rows: pa.Table) -> pa.Table:
-        left = np.asarray(rows["left"])
-        ids = np.asarray(rows["vid"])
-        x = stack(rows["unit"])
+        left, ids, x = np.asarray(rows["left"]), np.asarray(rows["rid"]), stack(rows["unit"])
+        w, shared = np.asarray(rows["w"]), np.asarray(rows["shared"])
         i, j = np.flatnonzero(left), np.flatnonzero(~left)
-        if not len(i):
-            return pa.table(EMPTY)
-        if not len(j):
+        own, inside = not len(j), bool(rows["bi"][0].as_py() == rows["bj"][0].as_py())
+        if not len(i) or own and not inside:
+            return table_of([], [], [], LINK)
+        if own:
             j = i
-            sim = x[i] @ x[i].T
-            sim[np.tril_indices(len(i))] = -2
-        else:
-            sim = x[i] @ x[j].T
-        p, q = np.nonzero(sim >= threshold)
-        return pa.table({"a": ids[i[p]], "b": ids[j[q]], "cos": sim[p, q]})
+        near = x[i] @ x[j].T >= threshold
+        if own:
+            np.fill_diagonal(near, False)
+        out = [table_of(ids[i], ids[i], (near @ w[j]).astype(float), NEAR)]
+        if not own:
+            out.append(table_of(ids[j], ids[j], (near.T @ w[i]).astype(float), NEAR))
+        p, q = np.nonzero(near)
+        node, root = trees_of(ids[i[p]], ids[j[q]])
+        out.append(table_of(node, root, np.ones(len(node)), TIE))
+        some = shared[i[p]] | shared[j[q]]
+        out.append(table_of(ids[i[p[some]]], ids[j[q[some]]], np.ones(int(some.sum())), LINK))
+        return pa.concat_tables(out)
 
     return run
 
 
-def group_links(groups: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
-    """All links inside each group (vid, grp), block against block."""
-    size = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    placed = groups.join(size, "grp").select("vid", "grp", "nb", F.pmod(F.xxhash64("vid"), F.col("nb")).cast("int").alias("mine"))
-    work = placed.select("vid", "grp", F.col("mine").alias("bi"), F.explode(F.sequence("mine", F.col("nb") - 1)).alias("bj"), F.lit(True).alias("left")).union(
-        placed.filter("mine > 0").select("vid", "grp", F.explode(F.sequence(F.lit(0), F.col("mine") - 1)).alias("bi"), F.col("mine").alias("bj"), F.lit(False).alias("left"))
-    )
-    return work.join(units, "vid").groupBy("grp", "bi", "bj").applyInArrow(block_links(threshold), "a long, b long, cos double")
-
-
 def audit(units: DataFrame, queries: list, threshold: float) -> DataFrame:
     """(a, b) links of the audited vectors with all rows."""
-    ids = np.array([q.vid for q in queries], np.int64)
+    ids = np.array([q.rid for q in queries], np.int64)
     by_dim = {}
     for i, q in enumerate(queries):
         by_dim.setdefault(q.dim, []).append(i)
@@ -184,7 +233,7 @@ def audit(units: DataFrame, queries: list, threshold: float) -> DataFrame:
                 p, r = p[names[p] != v[r]], r[names[p] != v[r]]
                 yield pa.RecordBatch.from_arrays([pa.array(names[p]), pa.array(v[r])], ["a", "b"])
 
-    return units.mapInArrow(run, "a long, b long")
+    return units.select("rid", "dim", "unit").mapInArrow(run, "a long, b long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, seed: int = 11) -> DataFrame:
@@ -192,47 +241,72 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, seed: int = 11) ->
     spark = vectors.sparkSession
     scratch = C.Scratch(spark, "nn-descent")
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding")
-    units = scratch.keep(rows.filter("embedding is not null").mapInArrow(unit_rows, "vid long, dim int, unit binary"))
-    count = units.count()
+    units = scratch.keep(rows.filter("vec_id is not null and embedding is not null").mapInArrow(unit_rows, "vid long, dim int, unit binary").distinct())
+    # equal vectors are one node, so copies fill no list
+    nodes = scratch.keep(units.groupBy("dim", "unit").agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("rid"), "dim", "unit"))
+    members = scratch.keep(units.join(nodes, ["dim", "unit"]).select("vid", "rid"))
+    several = scratch.keep(members.groupBy("vid").agg(F.count("*").alias("n")).filter("n > 1").select("vid"))
+    weights = members.join(several.withColumn("more", F.lit(True)), "vid", "left").groupBy("rid").agg(F.count(F.when(F.col("more").isNull(), 1)).alias("w"), F.coalesce(F.max("more"), F.lit(False)).alias("shared"))
+    nodes = scratch.keep(nodes.join(weights, "rid"))
+    found = nodes.select("rid", "unit")
+    count = nodes.count()
     depth = max(0, int(np.ceil(np.log2(max(count, 1) / (LEAF / 2)))))
-    pairs, links, comp = None, None, None
-    queries = units.orderBy(F.xxhash64("vid")).limit(AUDIT_ROWS).collect()  # bounded
-    truth = scratch.keep(audit(units, queries, threshold))
+    edges, lists, groups = None, None, None
+    queries = nodes.orderBy(F.xxhash64("rid")).limit(AUDIT_ROWS).collect()  # bounded
+    truth = scratch.keep(audit(nodes, queries, threshold).distinct())
     wanted = truth.count()
+
+    def merged(new: DataFrame) -> DataFrame:
+        new = new.filter(F.col("kind") < NEAR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind")
+        return scratch.keep((new if edges is None else new.union(edges)).distinct())
+
     for turn in range(ROUNDS):
-        coded = units.mapInArrow(codes(max(depth, 1), TREES, seed + turn), "vid long, dim int, unit binary, tree int, code long")
-        # a crowded leaf is dealt into pieces of about LEAF rows; the descent joins them again
-        size = coded.groupBy("tree", "code").agg(F.ceil(F.count("*") / (2 * LEAF)).cast("int").alias("pieces"))
-        leaves = coded.join(size, ["tree", "code"]).withColumn("piece", F.pmod(F.xxhash64("vid", "tree"), F.col("pieces")))
-        found = leaves.groupBy("tree", "code", "piece").applyInArrow(local_lists(NEIGHBOURS), "a long, b long, cos double")
-        lists = scratch.keep(top_lists(found if pairs is None else found.union(pairs), NEIGHBOURS))
+        coded = nodes.select("rid", "dim", "unit").mapInArrow(codes(depth, TREES, seed + turn), "rid long, dim int, unit binary, tree int, code long").select("rid", "unit", "tree", "code")
+        # a crowded leaf is compared block by block
+        leaves = scratch.keep(block_pairs(coded, ["tree", "code"], 2 * LEAF).groupBy("tree", "code", "bi", "bj").applyInArrow(block_search(threshold, NEIGHBOURS, NEIGHBOURS), FOUND))
+        edges = merged(leaves)
+        near = leaves.filter(F.col("kind") == NEAR).select("a", "b", "cos")
+        lists = scratch.keep(top_lists(near if lists is None else near.union(lists), NEIGHBOURS))
         # descent: the vectors of a list and of the lists it stands in meet at the vector
-        meet = lists.select(F.col("a").alias("at"), F.col("b").alias("vid")).union(lists.select(F.col("b").alias("at"), F.col("a").alias("vid"))).union(lists.select(F.col("a").alias("at"), F.col("a").alias("vid"))).distinct()
+        meet = lists.select(F.col("a").alias("at"), F.col("b").alias("rid")).union(lists.select(F.col("b").alias("at"), F.col("a").alias("rid"))).union(lists.select(F.col("a").alias("at"), F.col("a").alias("rid"))).distinct()
         crowd = meet.groupBy("at").agg(F.ceil(F.count("*") / (2 * LEAF)).cast("int").alias("pieces"))
-        meet = meet.join(crowd, "at").withColumn("piece", F.pmod(F.xxhash64("vid", "at"), F.col("pieces")))
-        nearer = meet.join(units.select("vid", "unit"), "vid").groupBy("at", "piece").applyInArrow(local_join(NEIGHBOURS), "a long, b long, cos double")
-        pairs = scratch.keep(top_lists(lists.union(nearer), NEIGHBOURS))
-        near = pairs.filter(F.col("cos") >= threshold)
-        # enlarge saturated lists: what such a list reaches is one group, compared in full
-        full = near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= NEIGHBOURS).select("a")
-        comp = scratch.keep(C.components(spark, near.select("a", "b"), scratch))
+        meet = meet.join(crowd, "at").withColumn("piece", F.pmod(F.xxhash64("rid", "at"), F.col("pieces")))
+        nearer = scratch.keep(meet.join(found, "rid").groupBy("at", "piece").applyInArrow(local_join(threshold, NEIGHBOURS, NEIGHBOURS), FOUND))
+        lists = scratch.keep(top_lists(lists.union(nearer.filter(F.col("kind") == NEAR).select("a", "b", "cos")), NEIGHBOURS))
+        edges = merged(nearer)
+        # what a saturated list reaches is one group, compared in full at the end
+        comp = scratch.keep(C.components(spark, edges.select("a", "b"), scratch))
+        ends = edges.select("a", "kind").union(edges.select(F.col("b").alias("a"), "kind"))
+        full = ends.groupBy("a").agg(F.count("*").alias("n"), F.max("kind").alias("kind")).filter((F.col("n") >= NEIGHBOURS) | (F.col("kind") == TIE)).select("a")
         hot = full.join(comp, full.a == comp.node).select("component").distinct()
-        groups = scratch.keep(comp.join(hot, "component").select(F.col("node").alias("vid"), F.col("component").alias("grp")))
-        some = near.join(groups.select(F.col("vid").alias("a")), "a", "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        all_ = group_links(groups, units.select("vid", "unit"), threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        earlier = [] if links is None else [links]
-        every = some.union(all_)
-        for x in earlier:
-            every = every.union(x)
-        links = scratch.keep(every.filter("a <> b").distinct())
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        got = truth.distinct().join(both, ["a", "b"], "left_semi").count()
-        if got >= RECALL * truth.distinct().count() or not wanted:
+        groups = scratch.keep(comp.join(hot, "component").select(F.col("node").alias("rid"), F.col("component").alias("grp")))
+        left, right = groups.select(F.col("rid").alias("a"), F.col("grp").alias("ga")), groups.select(F.col("rid").alias("b"), F.col("grp").alias("gb"))
+        links = edges.filter(F.col("kind") == LINK).select("a", "b")
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("seen", F.lit(True))
+        got = truth.join(left, "a", "left").join(right, "b", "left").join(both, ["a", "b"], "left").filter("seen or ga = gb").count()
+        if got >= RECALL * wanted:
             break
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy("a").agg(F.count("*").alias("n"))
-    comp = C.components(spark, links, scratch)
-    out = rows.select("vec_id").join(degree, F.col("vec_id") == F.col("a"), "left").join(comp, F.col("vec_id") == F.col("node"), "left")
+    tallied = scratch.keep(block_pairs(groups, ["grp"], BLOCK).join(nodes, "rid").groupBy("grp", "bi", "bj").applyInArrow(block_counts(threshold), FOUND))
+    links = links.join(groups.select(F.col("rid").alias("a")), "a", "left_anti")
+    both = links.union(links.select(F.col("b"), F.col("a")))
+    # n_links: the vec_ids of a vector's copies and of every linked vector
+    sums = both.join(nodes.select(F.col("rid").alias("b"), "w"), "b").select("a", "w").union(tallied.filter(F.col("kind") == NEAR).select("a", F.col("cos").cast("long")))
+    sums = sums.union(nodes.select("rid", F.col("w") - 1)).groupBy("a").agg(F.sum("w").alias("n"))
+    many = members.join(several, "vid")
+    some = tallied.filter(F.col("kind") == LINK).select("a", "b")
+    all_ = both.union(some).union(some.select(F.col("b"), F.col("a"))).union(nodes.select("rid", "rid"))
+    beside = all_.join(many.select(F.col("rid").alias("b"), "vid"), "b").select("a", "vid").distinct().groupBy("a").agg(F.count("*").alias("more"))
+    single = members.join(several, "vid", "left_anti").join(sums, F.col("rid") == sums.a).drop("a").join(beside, F.col("rid") == beside.a, "left").select("vid", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+    partner = members.select(F.col("rid").alias("b"), F.col("vid").alias("other"))
+    spread = many.join(all_, F.col("rid") == F.col("a")).join(partner, "b").filter("vid <> other").select("vid", "other").distinct().groupBy("vid").agg(F.count("*").alias("n"))
+    degree = single.union(spread)
+    # a vec_id with several vectors joins their groups
+    bound = many.join(many.groupBy("vid").agg(F.min("rid").alias("b")), "vid").select(F.col("rid").alias("a"), "b")
+    ties = edges.select("a", "b").union(tallied.filter(F.col("kind") == TIE).select("a", "b")).union(bound)
+    comp = C.components(spark, ties, scratch)
+    label = scratch.keep(members.join(comp, F.col("rid") == F.col("node"), "left").select("vid", F.coalesce("component", "rid").alias("label")).distinct())
+    named = label.join(label.groupBy("label").agg(F.min("vid").alias("component")), "label").select(F.col("vid").alias("node"), "component")
+    out = rows.select("vec_id").join(degree, F.col("vec_id") == F.col("vid"), "left").join(named, F.col("vec_id") == F.col("node"), "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), (F.coalesce("component", "vec_id") == F.col("vec_id")).alias("kept"))
 
 

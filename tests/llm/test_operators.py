@@ -312,6 +312,41 @@ def test_nn_descent(spark):
     assert op7.near_vectors(df.limit(0)).count() == 0
 
 
+def linked(vectors):
+    """(n_links, component_id) of each vec_id by brute force."""
+    x = np.array([v for _, v in vectors], np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = [i for i, _ in vectors]
+    beside = {i: set() for i in ids}
+    for p, q in zip(*np.nonzero(x @ x.T >= 0.9), strict=True):
+        if ids[p] != ids[q]:
+            beside[ids[p]].add(ids[q])
+    low = {i: i for i in ids}
+    for i in sorted(low):
+        todo = [i] if low[i] == i else []
+        while todo:
+            for k in beside[todo.pop()]:
+                if low[k] > i:
+                    low[k] = i
+                    todo.append(k)
+    return {i: (len(beside[i]), low[i]) for i in ids}
+
+
+@pytest.mark.parametrize("noise", [0, 0.004])
+def test_links_between_full_lists(spark, monkeypatch, noise):
+    monkeypatch.setattr(op7, "LEAF", 32)
+    g = np.random.default_rng(6)
+    a, b = np.eye(16)[0], 0.95 * np.eye(16)[0] + np.sqrt(1 - 0.95**2) * np.eye(16)[1]
+    vectors = [(i, ((a if i % 2 else b) + g.normal(size=16) * noise).tolist()) for i in range(80)]
+    vectors += [(200 + i, g.normal(size=16).tolist()) for i in range(120)]
+    if not noise:  # one vec_id with several vectors, and a repeated row
+        vectors += [(7, vectors[100][1]), (9, vectors[9][1]), (201, vectors[130][1])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, (r.n_links, r.component_id)) for r in op7.near_vectors(df).collect()]
+    assert len(got) == len(vectors) and dict(got) == linked(vectors)
+    assert min(n for i, (n, _) in got if i < 80) >= 79
+
+
 def test_substring(docs, empty):
     rows = rows_of(docs)
     seen = Counter()
