@@ -7,8 +7,13 @@
    seen is kept and every better pair enters both lists; lists are ordered by cosine.
 4. A vector with more than NEIGHBOURS links is saturated. All that it reaches is one group, and
    groups are compared in full, in blocks of BLOCK rows; links are counted there, not listed.
-5. Audit: AUDIT_ROWS vectors, those of least hash, are compared with all rows in blocks; if
-   fewer than RECALL of their links were found, more rounds run with further projections.
+5. Audit: vectors of least hash, AUDIT_ROWS at first and more until AUDIT_LINKS links hang on
+   them (AUDIT_MOST at most), are compared with all rows in blocks; if fewer than RECALL of
+   their links were found, more rounds run with further projections, and after ROUNDS all
+   vectors are compared in full, block by block.
+
+The number of projections follows the table's size: a pair at the threshold shares no leaf with
+probability MISS at most, so recall doesn't rest on the audit where it meets no link.
 
 Every link is computed in double precision, none below the threshold.
 
@@ -32,8 +37,11 @@ TREES = 6
 NEIGHBOURS = 12
 BLOCK = 1024
 AUDIT_ROWS = 400
+AUDIT_MOST = 6400
+AUDIT_LINKS = 200
 RECALL = 0.97
 ROUNDS = 3
+MISS = 0.01
 
 
 def _matrix(col) -> np.ndarray:
@@ -68,6 +76,12 @@ def stack(col) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.float64).reshape(len(col), -1)
 
 
+def trees_needed(depth: int, threshold: float) -> int:
+    """So many trees that a pair at the threshold shares a leaf of one but for MISS."""
+    same = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** depth
+    return 1 if same >= 1 - MISS else int(np.ceil(np.log(MISS) / np.log1p(-same)))
+
+
 def codes(depth: int, trees: int, seed: int):
     """(rid, dim, unit, tree, code): sides of `depth` random hyperplanes for each tree."""
 
@@ -226,12 +240,13 @@ def audit(units: DataFrame, queries: list, threshold: float) -> DataFrame:
                 if d not in mats:
                     continue
                 own = pa.array(np.flatnonzero(dims == d))
-                part = b.take(own)
-                v = np.asarray(part.column(0))
                 names, q = mats[d]
-                p, r = np.nonzero(q @ stack(part.column(2)).T >= threshold)
-                p, r = p[names[p] != v[r]], r[names[p] != v[r]]
-                yield pa.RecordBatch.from_arrays([pa.array(names[p]), pa.array(v[r])], ["a", "b"])
+                for at in range(0, len(own), BLOCK):
+                    part = b.take(own[at : at + BLOCK])
+                    v = np.asarray(part.column(0))
+                    p, r = np.nonzero(q @ stack(part.column(2)).T >= threshold)
+                    p, r = p[names[p] != v[r]], r[names[p] != v[r]]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[p]), pa.array(v[r])], ["a", "b"])
 
     return units.select("rid", "dim", "unit").mapInArrow(run, "a long, b long")
 
@@ -252,28 +267,42 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, seed: int = 11) ->
     count = nodes.count()
     depth = max(0, int(np.ceil(np.log2(max(count, 1) / (LEAF / 2)))))
     edges, lists, groups = None, None, None
-    queries = nodes.orderBy(F.xxhash64("rid")).limit(AUDIT_ROWS).collect()  # bounded
-    truth = scratch.keep(audit(nodes, queries, threshold).distinct())
-    wanted = truth.count()
+    needed = trees_needed(depth, threshold)
+    audited, wanted = AUDIT_ROWS, -1
+    while wanted < 0 or wanted < AUDIT_LINKS and audited < min(count, AUDIT_MOST):
+        audited = audited if wanted < 0 else min(4 * audited, AUDIT_MOST)
+        queries = nodes.orderBy(F.xxhash64("rid")).limit(audited).collect()  # bounded
+        truth = scratch.keep(audit(nodes, queries, threshold).distinct())
+        wanted = truth.count()
 
     def merged(new: DataFrame) -> DataFrame:
         new = new.filter(F.col("kind") < NEAR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind")
         return scratch.keep((new if edges is None else new.union(edges)).distinct())
 
     for turn in range(ROUNDS):
-        coded = nodes.select("rid", "dim", "unit").mapInArrow(codes(depth, TREES, seed + turn), "rid long, dim int, unit binary, tree int, code long").select("rid", "unit", "tree", "code")
-        # a crowded leaf is compared block by block
-        leaves = scratch.keep(block_pairs(coded, ["tree", "code"], 2 * LEAF).groupBy("tree", "code", "bi", "bj").applyInArrow(block_search(threshold, NEIGHBOURS, NEIGHBOURS), FOUND))
-        edges = merged(leaves)
-        near = leaves.filter(F.col("kind") == NEAR).select("a", "b", "cos")
-        lists = scratch.keep(top_lists(near if lists is None else near.union(lists), NEIGHBOURS))
-        # descent: the vectors of a list and of the lists it stands in meet at the vector
-        meet = lists.select(F.col("a").alias("at"), F.col("b").alias("rid")).union(lists.select(F.col("b").alias("at"), F.col("a").alias("rid"))).union(lists.select(F.col("a").alias("at"), F.col("a").alias("rid"))).distinct()
-        crowd = meet.groupBy("at").agg(F.ceil(F.count("*") / (2 * LEAF)).cast("int").alias("pieces"))
-        meet = meet.join(crowd, "at").withColumn("piece", F.pmod(F.xxhash64("rid", "at"), F.col("pieces")))
-        nearer = scratch.keep(meet.join(found, "rid").groupBy("at", "piece").applyInArrow(local_join(threshold, NEIGHBOURS, NEIGHBOURS), FOUND))
-        lists = scratch.keep(top_lists(lists.union(nearer.filter(F.col("kind") == NEAR).select("a", "b", "cos")), NEIGHBOURS))
-        edges = merged(nearer)
+        for first in range(0, needed, TREES):
+            trees, k = min(TREES, needed - first), NEIGHBOURS if first == 0 else 0
+            coded = nodes.select("rid", "dim", "unit").mapInArrow(codes(depth, trees, seed + turn * needed + first), "rid long, dim int, unit binary, tree int, code long").select("rid", "unit", "tree", "code")
+            # a crowded leaf is compared block by block
+            leaves = scratch.keep(block_pairs(coded, ["tree", "code"], 2 * LEAF).groupBy("tree", "code", "bi", "bj").applyInArrow(block_search(threshold, k, NEIGHBOURS), FOUND))
+            edges = merged(leaves)
+            if k:
+                near = leaves.filter(F.col("kind") == NEAR).select("a", "b", "cos")
+                lists = scratch.keep(top_lists(near if lists is None else near.union(lists), NEIGHBOURS))
+            scratch.drop(leaves)
+            scratch.sweep()
+        known, before = edges.filter(F.col("kind") == LINK).count(), -1
+        while known != before:
+            # descent: the vectors of a list and of the lists it stands in meet at the vector
+            meet = lists.select(F.col("a").alias("at"), F.col("b").alias("rid")).union(lists.select(F.col("b").alias("at"), F.col("a").alias("rid"))).union(lists.select(F.col("a").alias("at"), F.col("a").alias("rid"))).distinct()
+            crowd = meet.groupBy("at").agg(F.ceil(F.count("*") / (2 * LEAF)).cast("int").alias("pieces"))
+            meet = meet.join(crowd, "at").withColumn("piece", F.pmod(F.xxhash64("rid", "at"), F.col("pieces")))
+            nearer = scratch.keep(meet.join(found, "rid").groupBy("at", "piece").applyInArrow(local_join(threshold, NEIGHBOURS, NEIGHBOURS), FOUND))
+            lists = scratch.keep(top_lists(lists.union(nearer.filter(F.col("kind") == NEAR).select("a", "b", "cos")), NEIGHBOURS))
+            edges = merged(nearer)
+            scratch.drop(nearer)
+            scratch.sweep()
+            before, known = known, edges.filter(F.col("kind") == LINK).count()
         # what a saturated list reaches is one group, compared in full at the end
         comp = scratch.keep(C.components(spark, edges.select("a", "b"), scratch))
         ends = edges.select("a", "kind").union(edges.select(F.col("b").alias("a"), "kind"))
@@ -286,6 +315,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, seed: int = 11) ->
         got = truth.join(left, "a", "left").join(right, "b", "left").join(both, ["a", "b"], "left").filter("seen or ga = gb").count()
         if got >= RECALL * wanted:
             break
+    else:  # the audit never passed: one group of all vectors of a length
+        groups = nodes.select("rid", F.col("dim").cast("long").alias("grp"))
     tallied = scratch.keep(block_pairs(groups, ["grp"], BLOCK).join(nodes, "rid").groupBy("grp", "bi", "bj").applyInArrow(block_counts(threshold), FOUND))
     links = links.join(groups.select(F.col("rid").alias("a")), "a", "left_anti")
     both = links.union(links.select(F.col("b"), F.col("a")))

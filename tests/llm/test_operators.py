@@ -347,6 +347,34 @@ def test_links_between_full_lists(spark, monkeypatch, noise):
     assert min(n for i, (n, _) in got if i < 80) >= 79
 
 
+@pytest.mark.parametrize("trees", [None, 1])
+def test_rare_links_are_found(spark, monkeypatch, trees):
+    monkeypatch.setattr(op7, "LEAF", 8)
+    monkeypatch.setattr(op7, "AUDIT_ROWS", 1)
+    if trees:  # the audit fails and all vectors are compared
+        monkeypatch.setattr(op7, "trees_needed", lambda depth, threshold: trees)
+        monkeypatch.setattr(op7, "ROUNDS", 1)
+    g = np.random.default_rng(8)
+    x = g.normal(size=(1200, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = g.normal(size=(40, 32))
+    side -= (side * x[:40]).sum(1)[:, None] * x[:40]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    x = np.concatenate([x, 0.905 * x[:40] + np.sqrt(1 - 0.905**2) * side])
+    vectors = list(enumerate(x.tolist()))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op7.near_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()}
+    want = linked(vectors)
+    assert sum(n for n, _ in want.values()) == 80
+    assert sum(got[i] == want[i] for i in want if want[i][0]) >= 0.97 * 80
+
+
+def test_trees_needed():
+    same = lambda depth: (1 - np.arccos(0.9) / np.pi) ** depth
+    for depth in (0, 1, 9, 13, 20):
+        n = op7.trees_needed(depth, 0.9)
+        assert (1 - same(depth)) ** n <= op7.MISS and (n == 1 or (1 - same(depth)) ** (n - 1) > op7.MISS)
+
+
 def test_substring(docs, empty):
     rows = rows_of(docs)
     seen = Counter()
