@@ -6,7 +6,8 @@
 2. A host's pages are dealt into bounded groups. A group's undecided blocks are concatenated
    into one token stream with a separator per page, a suffix array is built by prefix
    doubling, and runs of at least LEAST_TOKENS tokens that stand on several distinct pages
-   are boilerplate.
+   are boilerplate. Where a host has several groups, its runs of LEAST_TOKENS tokens are also
+   counted over the whole host, so the groups don't shape the result.
 3. Undecided blocks keep the runs that are unique; blocks that boilerplate covers go. Blocks
    of an article are kept whole: a mirrored article is no boilerplate.
 
@@ -20,6 +21,7 @@ page_id and url count as one page for boilerplate); a null url is a host of its
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html.parser import HTMLParser
 
@@ -175,6 +177,22 @@ def repeated_tokens(tokens: np.ndarray, page: np.ndarray, least: int) -> np.ndar
     return np.cumsum(cover[:n]) > 0
 
 
+def runs_of(words: list[str]) -> list[bytes]:
+    """128 bits of each run of LEAST_TOKENS words."""
+    return [hashlib.blake2b(" ".join(words[i : i + LEAST_TOKENS]).encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in range(len(words) - LEAST_TOKENS + 1)]
+
+
+def page_runs(batches):
+    """(host, page, run): the distinct runs of each page that markup doesn't decide."""
+    for b in batches:
+        hosts, pages = b.column(0), b.column(1)
+        for i, html in enumerate(b.column(2)):
+            has, blocks = blocks_of(html.as_py())
+            runs = [] if has else sorted(set(runs_of([w for _, t in blocks for w in t.split(" ")])))
+            pick = pa.array(np.full(len(runs), i))
+            yield pa.RecordBatch.from_arrays([hosts.take(pick), pages.take(pick), pa.array(runs, pa.binary())], ["host", "page", "run"])
+
+
 def host_texts(rows: pa.Table) -> pa.Table:
     """Texts of one group of a host's pages."""
     pages = rows["html"].to_pylist()
@@ -196,6 +214,12 @@ def host_texts(rows: pa.Table) -> pa.Table:
         stream.append(-1 - i)
         page_of.append(k)
     gone = repeated_tokens(np.array(stream, np.int64), np.array(page_of, np.int64), LEAST_TOKENS) if stream else None
+    for i, (known, (has, blocks)) in enumerate(zip(rows["known"].to_pylist(), parsed, strict=True)):
+        if known and not has and blocks:
+            known, start = set(known), starts[i, 0]
+            for j, run in enumerate(runs_of([w for _, t in blocks for w in t.split(" ")])):
+                if run in known:
+                    gone[start + j : start + j + LEAST_TOKENS] = True
     out = []
     for i, (has, blocks) in enumerate(parsed):
         kept = []
@@ -221,9 +245,15 @@ def main_texts(pages: DataFrame) -> DataFrame:
     # a hot host is dealt into groups of about GROUP_BYTES of html
     groups = keyed.groupBy("host").agg(F.ceil((F.sum(F.coalesce(F.length("html"), F.lit(0))) + 1) / GROUP_BYTES).cast("int").alias("groups"))
     dealt = keyed.join(groups, "host").withColumn("grp", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")))
+    dealt = dealt.withColumn("page", F.xxhash64("page_id", "url", F.col("page_id").isNull(), F.col("url").isNull()))
+    # runs on two pages of a host of several groups, counted over the host and handed to its pages
+    runs = dealt.filter("groups > 1").select("host", "page", "html").mapInArrow(page_runs, "host string, page long, run binary")
+    common = runs.groupBy("host", "run").agg(F.min("page").alias("low"), F.max("page").alias("high")).filter("low <> high").select("host", "run")
+    known = runs.join(common, ["host", "run"]).groupBy("host", "page").agg(F.collect_set("run").alias("known"))
+    dealt = dealt.join(known, ["host", "page"], "left")
     kind = pages.schema["page_id"].dataType.simpleString()
     # one key for host and group: on two keys a partitioning by host alone would do
-    dealt = dealt.select(F.concat_ws("#", F.col("grp").cast("string"), "host").alias("lot"), "page_id", "url", "html")
+    dealt = dealt.select(F.concat_ws("#", F.col("grp").cast("string"), "host").alias("lot"), "page_id", "url", "html", "known")
     return dealt.groupBy("lot").applyInArrow(host_texts, f"page_id {kind}, url string, text string, n_chars long")
 
 

@@ -205,6 +205,15 @@ def test_html_text(spark):
     assert op4.main_texts(df.limit(0)).count() == 0
 
 
+def test_groups_of_a_host_share_repeats(spark, monkeypatch):
+    rows = [(i, f"http://h.example/{i}", f"<div>Notice number {i // 2} stands on two pages</div><div>{VOCAB[i]} {VOCAB[i + 50]} {VOCAB[i + 100]} own {i}</div>") for i in range(40)]
+    df = spark.createDataFrame([*rows, (None, None, None)], "page_id long, url string, html string")
+    whole = {tuple(r) for r in op4.main_texts(df).collect()}
+    monkeypatch.setattr(op4, "GROUP_BYTES", 300)
+    assert {tuple(r) for r in op4.main_texts(df).collect()} == whole
+    assert not any("Notice" in t for _, _, t, _ in whole)
+
+
 def test_repeated_tokens():
     g = np.random.default_rng(3)
     for _ in range(40):
