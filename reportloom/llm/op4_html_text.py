@@ -8,8 +8,9 @@
    doubling, and runs of at least LEAST_TOKENS tokens that stand on several distinct pages
    are boilerplate. Where a host has several groups, its runs of LEAST_TOKENS tokens are also
    counted over the whole host, so the groups don't shape the result.
-3. Undecided blocks keep the runs that are unique; blocks that boilerplate covers go. Blocks
-   of an article are kept whole: a mirrored article is no boilerplate.
+3. Undecided blocks that boilerplate covers from end to end go; a block of which only a part
+   repeats is kept whole. Blocks of an article are kept whole: a mirrored article is no
+   boilerplate.
 
 A page with an <article> or <main> yields just that region, less the regions inside it that
 never hold main text; the suffix array decides only where markup doesn't.
@@ -232,7 +233,7 @@ def host_texts(rows: pa.Table) -> pa.Table:
             bad = gone[starts[i, j] : starts[i, j] + len(words)]
             if bad.all():
                 continue
-            kept.append(text if not bad.any() else " ".join(w for w, b in zip(words, bad, strict=True) if not b))
+            kept.append(text)
         out.append(" ".join(kept))
     return pa.table({"page_id": C.packed(ids), "url": C.packed(urls), "text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())})
 

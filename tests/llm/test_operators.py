@@ -205,6 +205,13 @@ def test_html_text(spark):
     assert op4.main_texts(df.limit(0)).count() == 0
 
 
+def test_paragraphs_keep_shared_phrases(spark):
+    texts = [f"{VOCAB[i]} on the other hand the {VOCAB[i + 40]} stays {VOCAB[i + 80]}" for i in range(6)]
+    rows = [(i, f"http://h.example/{i}", f"<div>Home About Contact Imprint</div><p>{t}</p>") for i, t in enumerate(texts)]
+    got = {r.page_id: r.text for r in op4.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(texts))
+
+
 def test_groups_of_a_host_share_repeats(spark, monkeypatch):
     rows = [(i, f"http://h.example/{i}", f"<div>Notice number {i // 2} stands on two pages</div><div>{VOCAB[i]} {VOCAB[i + 50]} {VOCAB[i + 100]} own {i}</div>") for i in range(40)]
     df = spark.createDataFrame([*rows, (None, None, None)], "page_id long, url string, html string")
