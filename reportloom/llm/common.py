@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import tempfile
 import uuid
 
@@ -32,12 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a temporary
-    one is set only where the session names none (tests)."""
+    one is set only where the session names none and runs on this machine alone (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return set_dir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -152,12 +155,33 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return ws, we, np.searchsorted(off, ws, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    up, down = powers(len(data) + 1)
-    run = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=run[1:])
-    return mix((run[we] - run[ws]) * down[ws] + (we - ws).astype(U64) * U64(0xD6E8FEB86659FD93))
+SEEDS = [U64(0x243F6A8885A308D3), U64(0xA4093822299F31D0)]  # fixed values: digits of pi
+LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+LONG_WORD = 256
+
+
+def word_hashes(data: np.ndarray, ws: np.ndarray, we: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; the two lanes are independent of each other.
+
+    Eight bytes a step, each mixed before it is folded in, so no sum over powers of a base
+    is taken that words could be built to satisfy. Long words go through BLAKE2."""
+    size = we - ws
+    seed = SEEDS[lane]
+    pad = np.concatenate([data, np.zeros(8, np.uint8)])
+    loads = np.ndarray((len(data) + 1,), "<u8", buffer=pad, strides=(1,))  # eight bytes from each place
+    h = mix(size.astype(U64) ^ seed)
+    on = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at, left, done = ws[on], size[on], 0
+    while len(on):
+        x = loads[at + done] & LOW_BYTES[np.minimum(left, 8)]
+        h[on] = (h[on] ^ mix(x + seed)) * BASE + seed
+        h[on] ^= h[on] >> U64(32)
+        done, left = done + 8, left - 8
+        more = left > 0
+        on, at, left = on[more], at[more], left[more]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[ws[i] : we[i]].tobytes(), digest_size=8, salt=int(seed).to_bytes(8, "little")).digest(), "little")
+    return mix(h)
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -239,9 +263,10 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     Each task first reduces its edges to a spanning forest (blocks of bounded size), then
     alternating large-star and small-star steps, each an aggregation and a join over the
     edge table, run until nothing changes; every round is written to shared storage.
-    Nothing reaches the driver but the edge count and a checksum."""
+    Nothing reaches the driver but the edge count and 128 bits over the edge set."""
     now = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(forest, "a long, b long").distinct())
-    mark = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+    state = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first()
+    mark = state(now)
     while mark[0]:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")).select("k", F.least("k", "m").alias("m"))
@@ -249,7 +274,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
         down = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
         small = large.join(down, large.a == down.k).select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("k", "m")).filter("a <> b").distinct()
         after = scratch.keep(small)
-        seen, mark = mark, after.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        seen, mark = mark, state(after)
         scratch.drop(now)
         now = after
         if mark == seen:

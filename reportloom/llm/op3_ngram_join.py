@@ -63,14 +63,15 @@ class Rule:
         self.m = self.most + 1 + self.slack
 
 
-def shingle_sets(batch: pa.RecordBatch, col: str, rule: Rule):
-    """(row, hash) of the distinct shingles of each text, in that order, and sizes by row."""
+def shingle_sets(batch: pa.RecordBatch, col: str, rule: Rule, lane: int = 0):
+    """(row, hash) of the distinct shingles of each text, in that order, and sizes by row.
+    Lane 0 serves the index, lane 1, which is independent of it, whatever verifies it."""
     data, off = C.text_bytes(batch.column(batch.schema.get_field_index(col)))
     if rule.lower:
         data = C.LOWER[data]
     ws, we, row = C.words(data, off)
     n_rows = batch.num_rows
-    h = C.word_hashes(data, ws, we)
+    h = C.word_hashes(data, ws, we, lane)
     g = C.gram_hashes(h, rule.width)
     same = row[: len(g)] == row[rule.width - 1 :] if len(g) else np.zeros(0, bool)
     r, g = row[: len(g)][same], g[same]
@@ -101,8 +102,7 @@ def sums(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 def set_ids(r, g, n_rows):
-    m = C.mix(g)
-    return C.mix(sums(r, m, n_rows)), C.mix(sums(r, C.mix(m ^ U64(0x5851F42D4C957F2D)), n_rows))
+    return C.mix(sums(r, C.mix(g), n_rows))
 
 
 def sizes_of(rule: Rule):
@@ -112,7 +112,9 @@ def sizes_of(rule: Rule):
         for whole in batches:
             for b in C.chunks(whole, "text"):
                 r, g, n = shingle_sets(b, "text", rule)
-                one, two = set_ids(r, g, b.num_rows)
+                one = set_ids(r, g, b.num_rows)
+                r, g, _ = shingle_sets(b, "text", rule, 1)
+                two = set_ids(r, g, b.num_rows)
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), C.as_long(one), C.as_long(two)], ["doc_id", "n_shingles", "set_id", "check_id"])
 
     return run
@@ -280,7 +282,7 @@ def index_rows(rule: Rule, heavy_list: list[int], lanes: list[int]):
         for whole in batches:
             for b in C.chunks(whole, "text"):
                 r, g, n = shingle_sets(b, "text", rule)
-                one, _ = set_ids(r, g, b.num_rows)
+                one = set_ids(r, g, b.num_rows)
                 held.append(signatures(r, g, n, one.view(np.int64), rule, heavy))
                 rows += len(held[-1][0])
                 if rows > COMBINE_ROWS:
@@ -344,7 +346,7 @@ def texts_of(rule: Rule):
         for whole in batches:
             for b in C.chunks(whole, "text"):
                 r, g, n = shingle_sets(b, "text", rule)
-                one, _ = set_ids(r, g, b.num_rows)
+                one = set_ids(r, g, b.num_rows)
                 keep = one.view(np.int64) == b.column(b.schema.get_field_index("member")).to_numpy()
                 yield b.select(["member", "text"]).filter(pa.array(keep))
 
@@ -358,8 +360,8 @@ def linked_pairs(rule: Rule):
         for whole in batches:
             for half in C.chunks(whole, "text_a", C.CHUNK_BYTES // 2):
                 for b in C.chunks(half, "text_b", C.CHUNK_BYTES // 2):
-                    ra, ga, na = shingle_sets(b, "text_a", rule)
-                    rb, gb, nb = shingle_sets(b, "text_b", rule)
+                    ra, ga, na = shingle_sets(b, "text_a", rule, 1)
+                    rb, gb, nb = shingle_sets(b, "text_b", rule, 1)
                     r, g = np.concatenate([ra, rb]), np.concatenate([ga, gb])
                     order = np.lexsort((g, r))
                     r, g = r[order], g[order]
@@ -419,7 +421,7 @@ def across_components(rest: DataFrame, texts: DataFrame, rule: Rule) -> DataFram
             at = 0
             for batch in rows.select(["text"]).to_batches():
                 for b in C.chunks(batch, "text"):
-                    rr, gg, nn = shingle_sets(b, "text", rule)
+                    rr, gg, nn = shingle_sets(b, "text", rule, 1)
                     r.append(rr + at)
                     g.append(gg)
                     n[at : at + b.num_rows] = nn
@@ -463,7 +465,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, lower
     docs = docs.select("doc_id", "text")
     sized = scratch.keep(docs.mapInArrow(sizes_of(rule), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_id long, check_id long"))
     classes = sized.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("check_id").alias("c1"), F.max("check_id").alias("c2"), F.max("n_shingles").alias("n"))
-    # proves that no two different sets share an id
+    # sets of one id must agree in the other lane's id too, which rests on other word hashes
     if classes.filter("c1 <> c2").limit(1).count():
         raise RuntimeError("two different shingle sets share a 64-bit id; change the hash constants")
     heavy_from = max(HEAVY_LEAST, sized.count() // HEAVY_SHARE)

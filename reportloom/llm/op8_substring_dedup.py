@@ -12,7 +12,8 @@ bucket. Consecutive windows of one minimiser are a super-k-mer.
    and each document drops the words that a repeated window covers.
 
 Windows are judged on the input; every place of a repeated window is removed, the first one
-included. Window identity is a 128-bit fingerprint of the 35 words' bytes.
+included. Window identity is a 128-bit fingerprint of the 35 words, 64 bits from each of two
+independent hashes of the words' bytes.
 
 Defined results: null, empty and word-less texts have no words and the hash of no bytes;
 shorter texts than a window lose nothing; white space never distinguishes windows; repeated
@@ -109,12 +110,11 @@ def joined_words(data, ws, we):
 
 def fingerprints(data, ws, we, row):
     """Two 64-bit fingerprints of each row's word sequence."""
-    h = C.word_hashes(data, ws, we)
     n = int(row[-1]) + 1 if len(row) else 0
     first = np.searchsorted(row, np.arange(n))
     out = []
-    for salt in (0x1234567, 0x7654321):
-        x = C.mix(h ^ U64(salt))
+    for lane in (0, 1):
+        x = C.word_hashes(data, ws, we, lane)
         up, down = C.powers(len(x) + 1)
         p = np.concatenate([[U64(0)], np.cumsum(x * up[: len(x)])])
         last = np.append(first[1:], len(x))
@@ -139,10 +139,9 @@ def _packed(b, window):
     base = np.searchsorted(row, owner) + s
     text, at = joined_words(data, ws, we)
     a, z = at[base], at[base + k + window - 1] - 1
-    h = C.word_hashes(data, ws, we)
     fp = []
-    for salt in (0x1234567, 0x7654321):
-        x = C.mix(h ^ U64(salt))
+    for lane in (0, 1):
+        x = C.word_hashes(data, ws, we, lane)
         up, down = C.powers(len(x) + 1)
         p = np.concatenate([[U64(0)], np.cumsum(x * up[: len(x)])])
         end = base + k + window - 1
@@ -209,11 +208,10 @@ def counted(window: int):
                 data, off = C.text_bytes(b.column(1))
                 ws, we, row = C.words(data, off)
                 n = b.column(2).to_numpy()
-                h = C.word_hashes(data, ws, we)
-                w = len(h) - window + 1
+                w = len(ws) - window + 1
                 inside = row[:w] == row[window - 1 :]
-                for salt, to in ((0x1234567, f), (0x7654321, g)):
-                    x = C.mix(h ^ U64(salt))
+                for lane, to in ((0, f), (1, g)):
+                    x = C.word_hashes(data, ws, we, lane)
                     up, down = C.powers(len(x) + 1)
                     p = np.concatenate([[U64(0)], np.cumsum(x * up[: len(x)])])
                     to.append(((p[window:] - p[:w]) * down[:w])[inside])
