@@ -14,8 +14,11 @@ Encoding runs once over each distinct piece: a text is cut before single spaces
 a non-space, where the byte-level pattern can't carry a token across, and a worker keeps the
 ids of pieces it has seen.
 
-Defined results: a null or empty text holds the end id alone; special-token strings are
-ordinary text; repeated doc_ids keep one entry each; an empty table gives an empty file set.
+Cached ids are used only where the cached bytes equal the text's own.
+
+Defined results: a null or empty text holds the end id alone; added tokens are taken as the
+library takes them; repeated doc_ids keep one entry each; null doc_ids come first and stay
+null; a doc_id that is no integer is refused; an empty table gives an empty file set.
 """
 
 from __future__ import annotations
@@ -32,30 +35,33 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MAGIC = b"FRVB1\0\0\0"
+MAGIC = b"FRVB2\0\0\0"
+HEAD = "<8sQQQQQ"
 BLOCK_TOKENS = 2_000_000
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_000_000
+CACHE_BYTES = 32 << 20
 U64 = np.uint64
 
 
 # ------------------------------------------------------------------- file format
 
 
-def encode_block(docs: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """docs: int64 document ids; lengths: tokens of each; ids: all tokens, uint32."""
-    top = int(ids.max()) + 1 if len(ids) else 0
-    counts = np.bincount(ids, minlength=top)
-    ranked = np.lexsort((np.arange(top), -counts))[: int((counts > 0).sum())].astype(np.uint32)
-    rank_of = np.zeros(top, np.uint32)
-    rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
-    ranks = rank_of[ids] if len(ids) else np.zeros(0, np.uint32)
+def encode_block(docs: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nulls: int = 0) -> bytes:
+    """docs: int64 document ids, of which the first `nulls` are null; lengths: tokens of each;
+    ids: all tokens, uint32."""
+    names, back, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.lexsort((names, -counts))
+    ranked = names[order].astype(np.uint32)
+    rank_of = np.zeros(len(order), np.uint32)
+    rank_of[order] = np.arange(len(order), dtype=np.uint32)
+    ranks = rank_of[back]
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     pad = np.zeros(-len(size) % 4, np.uint8)
     four = np.concatenate([(size - 1).astype(np.uint8), pad]).reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
     raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
     data = raw[np.arange(4)[None, :] < size[:, None]]
-    head = struct.pack("<8sQQQQ", MAGIC, len(docs), len(ids), len(ranked), len(data))
+    head = struct.pack(HEAD, MAGIC, len(docs), nulls, len(ids), len(ranked), len(data))
     return b"".join([head, ranked.astype("<u4").tobytes(), docs.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), control.astype(np.uint8).tobytes(), data.tobytes()])
 
 
@@ -63,12 +69,12 @@ _C = np.arange(256)
 LENGTHS = np.stack([(_C >> s & 3) + 1 for s in (0, 2, 4, 6)], 1)
 
 
-def decode_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decode_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The inverse of encode_block."""
-    magic, n_docs, n, n_ranked, n_data = struct.unpack_from("<8sQQQQ", payload)
+    magic, n_docs, nulls, n, n_ranked, n_data = struct.unpack_from(HEAD, payload)
     if magic != MAGIC:
         raise ValueError("not a token block")
-    at = struct.calcsize("<8sQQQQ")
+    at = struct.calcsize(HEAD)
 
     def take(kind, count):
         nonlocal at
@@ -85,7 +91,7 @@ def decode_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for b in range(int(size.max()) if n else 0):
         has = size > b
         ranks[has] |= data[start[has] + b].astype(np.uint32) << np.uint32(8 * b)
-    return docs, lengths, ranked[ranks]
+    return docs, lengths, ranked[ranks], nulls
 
 
 # ----------------------------------------------------------------------- encoding
@@ -99,11 +105,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        # an added token takes effect wherever it stands, so no piece ends inside one
+        self.added = sorted({t.content.encode() for t in self.tok.get_added_tokens_decoder().values()}, key=len, reverse=True)
         self.forget()
 
     def forget(self):
         self.slot: dict[int, int] = {}
+        self.raw, self.raw_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
         self.at = np.zeros(1, np.int64)
 
@@ -116,28 +124,39 @@ class Encoder:
         gap = data == 32
         solid = ~C.SPACE[data]
         cut[1:-1] = gap[1:-1] & solid[:-2] & solid[2:]
+        whole = data.tobytes()
+        for t in self.added:
+            at = whole.find(t)
+            while at >= 0:  # the spaces inside and beside an added token cut nothing
+                cut[max(0, at - 1) : at + len(t) + 1] = False
+                at = whole.find(t, at + 1)
         starts = off[:-1][off[1:] > off[:-1]]
         cut[starts] = True
         s = np.flatnonzero(cut)
         e = np.append(s[1:], len(data))
         key = C.word_hashes(data, s, e)
         uniq, first, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.slot) + len(uniq) > CACHE_PIECES:
+        if len(self.slot) + len(uniq) > CACHE_PIECES or len(self.raw) > CACHE_BYTES:
             self.forget()
         get = self.slot.get
         slots = np.fromiter((get(k, -1) for k in uniq.tolist()), np.int64, len(uniq))
         new = np.flatnonzero(slots < 0)
         if len(new):
-            raw = data.tobytes()
-            pieces = [raw[a:b].decode("utf-8") for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)]
+            pieces = [whole[a:b].decode("utf-8") for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)]
             got = [x.ids for x in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
             sizes = np.fromiter(map(len, got), np.int64, len(got))
             base = len(self.at) - 1
+            self.raw = np.concatenate([self.raw, np.frombuffer("".join(pieces).encode(), np.uint8)])
+            self.raw_at = np.concatenate([self.raw_at, self.raw_at[-1] + np.cumsum(e[first[new]] - s[first[new]])])
             self.flat = np.concatenate([self.flat, np.array(list(chain.from_iterable(got)), np.uint32)])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
             slots[new] = base + np.arange(len(new))
             self.slot.update(zip(uniq[new].tolist(), slots[new].tolist(), strict=True))
         slots = slots[back]
+        # the pieces tile the rows, so their cached bytes, joined, must be the rows' own
+        a, b = self.raw_at[slots], self.raw_at[slots + 1]
+        if (b - a != e - s).any() or not np.array_equal(self.raw[np.arange(len(data)) + np.repeat(a - s, e - s)], data):
+            return self.plain(data, off)
         a, b = self.at[slots], self.at[slots + 1]
         size = b - a
         ends = np.cumsum(size)
@@ -146,6 +165,13 @@ class Encoder:
         return ids, np.bincount(row, weights=size, minlength=n_rows).astype(np.int64)
 
 
+    def plain(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same without pieces or cache, for rows in which two pieces share a key."""
+        raw = data.tobytes()
+        got = [x.ids for x in self.tok.encode_batch_fast([raw[a:b].decode("utf-8") for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(got)), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -163,11 +189,11 @@ def write_blocks(path: str, end_id: int):
 
         part = TaskContext.get().partitionId()
         enc = encoder(path)
-        docs, lengths, ids, held, block = [], [], [], 0, 0
+        docs, lengths, ids, held, block, nulls = [], [], [], 0, 0, 0
 
         def flush():
             d, n, i = (np.concatenate(x) for x in (docs, lengths, ids))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([len(i)], pa.int64()), pa.array([encode_block(d, n, i)], pa.binary())], ["part", "block", "tokens", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([len(i)], pa.int64()), pa.array([encode_block(d, n, i, nulls)], pa.binary())], ["part", "block", "tokens", "payload"])
 
         for whole in batches:
             for b in C.chunks(whole, "text"):
@@ -178,13 +204,14 @@ def write_blocks(path: str, end_id: int):
                 mask = np.ones(len(out), bool)
                 mask[last] = False
                 out[mask] = got
-                docs.append(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                docs.append(b.column(0).fill_null(0).to_numpy().astype(np.int64, copy=False))
+                nulls += b.column(0).null_count  # they come first
                 lengths.append(n + 1)
                 ids.append(out)
                 held += len(out)
                 if held > BLOCK_TOKENS:
                     yield flush()
-                    docs, lengths, ids, held = [], [], [], 0
+                    docs, lengths, ids, held, nulls = [], [], [], 0, 0
                     block += 1
         if docs:
             yield flush()
@@ -196,20 +223,22 @@ def read_blocks(batches):
     """(part, block, place, doc_id, n_tokens, ids_crc32, before): documents of each block, in order."""
     for b in batches:
         for part, block, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            docs, lengths, ids = decode_block(payload.as_py())
+            docs, lengths, ids, nulls = decode_block(payload.as_py())
             raw = memoryview(ids.astype("<u4").tobytes())
             end = np.cumsum(lengths.astype(np.int64))
             start = end - lengths
             crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(start.tolist(), end.tolist(), strict=True)]
             n = len(docs)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, block, np.int32)), pa.array(docs, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(start, pa.int64())],
+                [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, block, np.int32)), pa.array(docs, pa.int64(), mask=np.arange(n) < nulls), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(start, pa.int64())],
                 ["part", "block", "doc_id", "n_tokens", "ids_crc32", "before"],
             )
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int, scratch: C.Scratch) -> DataFrame:
     """Encode docs (doc_id, text) into blocks in ascending doc_id order; returns the file table."""
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("doc_id must be an integer")
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", F.crc32("text")).sortWithinPartitions("doc_id")
     return scratch.keep(ordered.mapInArrow(write_blocks(path, end_id), "part int, block int, tokens long, payload binary"), codec="none")
 

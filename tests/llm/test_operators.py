@@ -240,6 +240,32 @@ def test_repeated_tokens():
         assert op4.repeated_tokens(np.array(stream), np.array(page), 4).tolist() == want
 
 
+def thue_morse():
+    """Two texts of 1,024 letters that agree in every sum of powers of an odd base modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_word_hashes():
+    texts = [*thue_morse(), "", "a", "b", "ab", "ba", "a" * 8, "a" * 9, "a" * 16, "a" * 17, "a" * 300, "a" * 301]
+    data, off = C.text_bytes(pa.array(texts))
+    one, two = (C.word_hashes(data, off[:-1], off[1:], lane) for lane in (0, 1))
+    assert len({*one.tolist(), *two.tolist()}) == 2 * len(texts)
+    again, off2 = C.text_bytes(pa.array(["zz" + t for t in texts]))
+    assert (C.word_hashes(again, off2[:-1] + 2, off2[1:]) == one).all()
+
+
+def test_built_words_are_not_taken_for_each_other(spark):
+    a, b = thue_morse()
+    rest = " ".join(VOCAB[:60])
+    df = spark.createDataFrame([(1, f"{a} {a}"), (2, f"{b} {b}"), (3, f"{rest} {a} {rest}"), (4, f"{rest} {b} {rest}")], "doc_id long, text string")
+    rows = rows_of(df)
+    out = op3.ngram_jaccard_join(df.filter("doc_id < 3"), 4, 85).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == expected_components(rows[:2], 4, 85)
+    gone = {r.doc_id: r.n_removed for r in op8.drop_repeated_windows(df.filter("doc_id > 2").withColumn("text", F.substring_index("text", " ", 90))).collect()}
+    assert gone == {3: 60, 4: 60}
+
+
 def tokenizer_path():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
@@ -249,31 +275,33 @@ def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    d = docs.filter("doc_id is not null")
+    d = docs.select("doc_id", "text").union(spark.createDataFrame([(2**62 + 1, "a <|endoftext|> b"), (-5, "x<|endoftext|><|endoftext|>  y")], "doc_id long, text string"))
     out = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in op5.read_tokens(op5.write_tokens(d, path, 2, C.Scratch(spark, "t"))).collect())
     want = Counter()
     for k, t in rows_of(d):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
         want[k, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))] += 1
     assert Counter(x[1:] for x in out) == want
-    assert [x[1] for x in out] == sorted(x[1] for x in out) and all(b[0] == a[0] + a[2] for a, b in zip(out, out[1:], strict=False))
+    order = [(x[1] is not None, x[1] or 0) for x in out]
+    assert order == sorted(order) and all(b[0] == a[0] + a[2] for a, b in zip(out, out[1:], strict=False))
     assert op5.read_tokens(op5.write_tokens(empty, path, 2, C.Scratch(spark, "t"))).count() == 0
+    with pytest.raises(TypeError):
+        op5.write_tokens(d.select(F.lit("a").alias("doc_id"), "text"), path, 2, C.Scratch(spark, "t"))
 
 
 def test_token_block_round_trip():
     g = np.random.default_rng(2)
     for n in (0, 1, 3, 4, 5, 1000):
         ids = np.minimum(g.zipf(1.3, n), 2**31).astype(np.uint32)
-        d, lengths, back = op5.decode_block(op5.encode_block(np.array([5]), np.array([n]), ids))
-        assert d.tolist() == [5] and lengths.tolist() == [n] and (back == ids).all()
+        d, lengths, back, nulls = op5.decode_block(op5.encode_block(np.array([5]), np.array([n]), ids, 1))
+        assert d.tolist() == [5] and nulls == 1 and lengths.tolist() == [n] and (back == ids).all()
     many = np.arange(70_000, dtype=np.uint32)  # three-byte ranks
     assert (op5.decode_block(op5.encode_block(np.array([1]), np.array([len(many)]), many))[2] == many).all()
 
 
 def test_token_pieces_match_whole_texts():
     enc = op5.Encoder(tokenizer_path())
-    texts = ["a  b\n\nc  d", " lead", "trail ", "don't we'll\t\tx 's", "日本 語　テ", "a\n b", "é  è", "<|endoftext|> x", "", "\r\n\r\n x", "a  b"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>a  <|endoftext|>\n b", thue_morse()[0], thue_morse()[1], "a  b\n\nc  d", " lead", "trail ", "don't we'll\t\tx 's", "日本 語　テ", "a\n b", "é  è", "<|endoftext|> x", "", "\r\n\r\n x", "a  b"]
     data, off = C.text_bytes(pa.array(texts))
     ids, n = enc(data, off)
     want = [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
