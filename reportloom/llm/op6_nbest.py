@@ -8,7 +8,9 @@ from the chain with a heap: only the n - 1 links with the least loss can take pa
 
 A character without a piece of its own falls back to its byte pieces at a penalty (the least
 score less 10), as the library's unigram mode does. Scores are the model's piece scores.
-Ties go to the longer last piece.
+A place is expanded at most n times, which is exact under an exact
+heuristic and bounds the search on texts with many equal segmentations. Which of several
+segmentations of one score come first is unspecified but the same on every run.
 
 Decoding maps ids back through a byte table, with byte pieces joined to characters.
 
@@ -32,6 +34,7 @@ MARK = "▁"
 N_BEST = 4
 PENALTY = 10.0
 CACHE = 300_000
+CACHE_CHARS = 8_000_000
 TABLE = 0x250
 MATRIX = 48
 U64 = np.uint64
@@ -64,8 +67,10 @@ class Pieces:
         self.longest = max(map(len, self.piece))
         # lengths of pieces by their first character: how far to look from it
         self.reach: dict[str, int] = {}
+        self.back_reach: dict[str, int] = {}
         for p in self.piece:
             self.reach[p[0]] = max(self.reach.get(p[0], 0), len(p))
+            self.back_reach[p[-1]] = max(self.back_reach.get(p[-1], 0), len(p))
         self.beside = np.zeros((TABLE, TABLE), bool)
         self.far_beside = set()
         for p in self.piece:
@@ -94,6 +99,7 @@ class Pieces:
     def forget(self):
         self.slot: dict[int, int] = {}
         self.text: list[str] = []
+        self.held = 0
         self.score = np.zeros(0)
         self.loss = np.zeros(0)
         self.flat = np.zeros(0, np.int32)
@@ -230,17 +236,30 @@ class Pieces:
         came[j, rows] = np.where(up, i, came[j, rows])
         piece[j, rows] = np.where(up, ids, piece[j, rows])
 
+    def endings(self, s: str, j: int):
+        """(start, id, score) of the pieces that end at j."""
+        get = self.piece.get
+        alone = False
+        for i in range(j - 1, max(0, j - self.back_reach.get(s[j - 1], 0)) - 1, -1):
+            p = get(s[i:j])
+            if p:
+                alone |= i == j - 1
+                yield i, p[0], p[1]
+        if not alone:
+            yield j - 1, None, self.floor
+
     def a_star(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations, searched backwards with exact forward scores."""
+        """The n best segmentations, searched backwards with exact forward scores.
+
+        The first n visits to a place bring its n best tails, so later ones are dropped; of
+        equal scores the smaller place goes first, so ties are walked to their end one by one.
+        At most n visits a place bound the search on any text."""
         best, _, _ = self.forward(s)
-        ends: list[list] = [[] for _ in range(len(s) + 1)]
-        for i in range(len(s)):
-            for j, p, x in self.edges(s, i):
-                ends[j].append((i, p, x))
-        # an entry: -(score of the tail + best score of the rest), order, place, tail score, tail
-        heap, tick, out = [(-best[-1], 0, len(s), 0.0, None)], 0, []
+        visits: dict[int, int] = {}
+        # an entry: -(score of the tail + best score of the rest), place, order, tail score, tail
+        heap, tick, out = [(-best[-1], len(s), 0, 0.0, None)], 0, []
         while heap and len(out) < n:
-            _, _, j, tail, path = heapq.heappop(heap)
+            _, j, _, tail, path = heapq.heappop(heap)
             if not j:
                 ids = []
                 while path:
@@ -248,10 +267,13 @@ class Pieces:
                     path = path[1]
                 out.append((tail, tuple(ids)))
                 continue
-            for i, p, x in ends[j]:
+            visits[j] = visits.get(j, 0) + 1
+            if visits[j] > n:
+                continue
+            for i, p, x in self.endings(s, j):
                 tick += 1
                 ids = (p,) if p is not None else self.fallback(s[i])
-                heapq.heappush(heap, (-(tail + x + best[i]), tick, i, tail + x, (ids, path)))
+                heapq.heappush(heap, (-(tail + x + best[i]), i, tick, tail + x, (ids, path)))
         return out
 
     def links(self, points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,9 +291,9 @@ class Pieces:
 
     def slots(self, whole: str, data: np.ndarray, s: np.ndarray) -> np.ndarray:
         e = np.append(s[1:], len(data))
-        key = C.word_hashes(data, s, e)
+        key = C.word_hashes(data.view(np.uint8), 4 * s, 4 * e)
         uniq, first, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.slot) + len(uniq) > CACHE:
+        if len(self.slot) + len(uniq) > CACHE or self.held > CACHE_CHARS:
             self.forget()
         get = self.slot.get
         slot = np.fromiter((get(k, -1) for k in uniq.tolist()), np.int64, len(uniq))
@@ -281,6 +303,7 @@ class Pieces:
             got = self.solve_many(texts)
             base = len(self.text)
             self.text += texts
+            self.held += sum(map(len, texts))
             sizes = np.array([len(g[0]) for g in got], np.int64)
             self.flat = np.concatenate([self.flat, np.array([i for g in got for i in g[0]], np.int32)])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
@@ -288,7 +311,11 @@ class Pieces:
             self.loss = np.concatenate([self.loss, [g[2] for g in got]])
             slot[new] = base + np.arange(len(new))
             self.slot.update(zip(uniq[new].tolist(), slot[new].tolist(), strict=True))
-        return slot[back]
+        slot = slot[back]
+        # the links tile the chunk, so their cached texts, joined, must be the chunk itself
+        if "".join(map(self.text.__getitem__, slot.tolist())) != whole:
+            raise RuntimeError("two words share a 64-bit key")
+        return slot
 
     def options(self, slot: int) -> list[tuple[float, tuple[int, ...]]]:
         if slot not in self.more:

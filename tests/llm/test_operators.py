@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -320,12 +321,19 @@ def test_nbest(spark, docs, empty):
             for y, q in paths(s[j:]):
                 yield x + y, (*((p,) if p is not None else m.fallback(s[0])), *q)
 
-    for t in ["ab", "the cat", "né à", "x\ny z", "  lead", "日本 a", "hello wor"]:
+    for t in ["ab", "the cat", "né à", "x\ny z", "  lead", "日本 a", "hello wor", "aaaaaaaa", "----------", "xxxxxxx", "= = =="]:
         best = sorted(paths(m.sp.normalize(t).replace("▁", " ")), key=lambda z: -z[0])[:4]
         got = next(iter(m.segmentations([t])))
         assert [round(x[0], 6) for x in best] == [round(x[0], 6) for x in got]
         assert len({tuple(x[1].tolist()) for x in got}) == len(got)
         assert all(m.decode(x[1]) == m.sp.decode(x[1].tolist()) for x in got)
+    for t in ["-" * 20_000, "x" * 50_000, "ab" * 10_000, "a" * 20_000]:  # many equal segmentations
+        begun = time.time()
+        got = next(iter(m.segmentations([t])))
+        assert len(got) == op6.N_BEST and all(m.decode(x[1]) == t for x in got) and time.time() - begun < 20
+        assert len({tuple(x[1].tolist()) for x in got}) == len(got)
+    built = m.segmentations([*thue_morse()])
+    assert [m.decode(x[0][1]) for x in built] == [*thue_morse()]
     out = op6.nbest_digests(docs).collect()
     assert len(out) == docs.count()
     for r in out:
