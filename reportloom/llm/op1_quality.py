@@ -7,8 +7,10 @@ second term is negative the step follows its own gradient instead, as in Kiryo e
 Only rows whose crc32(doc_id as text) mod 5 is not 0 give labels or training texts.
 
 Inputs of a score are whole-text shape statistics: byte classes, word lengths, repetition.
-Training uses at most SAMPLE_ROWS positives and as many unlabelled rows, those of least
-xxhash64(doc_id), so it is bounded and the same on every run; scoring covers every row.
+Training uses at most SAMPLE_ROWS labelled positives, those of least xxhash64(doc_id), one
+text each. The unlabelled text is every document outside the held-out fold: PLANES random
+hyperplanes cut feature space into cells, and each cell counts its documents and their mean,
+so what training sees is bounded and yet covers all rows. Scoring covers every row.
 
 Defined results: null and empty texts are scored as a text without bytes; repeated doc_ids
 give repeated rows; a null doc_id is scored and not held out; without any positive label in
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SAMPLE_ROWS = 20_000
+PLANES = 12
+STEPS = 1600
 THRESHOLD = 0.3
 SYMBOLS = b"#$%&*|!?.,:;@<>{}[]()=_/\\\"'-"
 
@@ -115,18 +119,20 @@ class Model:
         return expit(self.raw(x))
 
 
-def train(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 24, epochs: int = 40, seed: int = 7) -> Model:
-    """Minimise the non-negative unbiased risk with Adam."""
+def train(pos: np.ndarray, unl: np.ndarray, prior: float, weight: np.ndarray | None = None, hidden: int = 24, seed: int = 7, steps: int = STEPS) -> Model:
+    """Minimise the non-negative unbiased risk with Adam; weight: documents of each row of unl."""
     rng = np.random.default_rng(seed)
-    both = np.concatenate([pos, unl])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
+    weight = np.ones(len(unl)) if weight is None else weight
+    share = np.cumsum(weight) / weight.sum()
+    both, w = np.concatenate([pos, unl]), np.concatenate([np.full(len(pos), weight.sum() / len(pos)), weight])
+    mean = np.average(both, 0, w)
+    scale = np.sqrt(np.average((both - mean) ** 2, 0, w)) + 1e-3
     norm = lambda x: np.clip((x - mean) / scale, -6, 6)
     pos, unl = norm(pos), norm(unl)
     theta = [rng.normal(0, 1 / np.sqrt(pos.shape[1]), (pos.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden), np.zeros(1)]
     m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-    steps = max(60, epochs * (len(unl) // 512 + 1))
     for step in range(1, steps + 1):
-        p, u = pos[rng.integers(0, len(pos), 512)], unl[rng.integers(0, len(unl), 512)]
+        p, u = pos[rng.integers(0, len(pos), 512)], unl[np.minimum(np.searchsorted(share, rng.random(512)), len(unl) - 1)]
         x = np.concatenate([p, u])
         h = np.tanh(x @ theta[0] + theta[1])
         s = expit(h @ theta[2] + theta[3])
@@ -156,6 +162,38 @@ def held_out(col="doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def celled(mean: np.ndarray, scale: np.ndarray):
+    """(cell, n, x): how many documents of a task fall into each cell of feature space, and
+    their summed features; at most 2**PLANES rows a task."""
+    planes = np.random.default_rng(5).normal(size=(N_FEATURES, PLANES))
+
+    def run(batches):
+        count, total = np.zeros(1 << PLANES), np.zeros((1 << PLANES, N_FEATURES))
+        for whole in batches:
+            for b in C.chunks(whole, "text"):
+                x = features(b)
+                cell = ((np.clip((x - mean) / scale, -6, 6) @ planes > 0) * (1 << np.arange(PLANES))).sum(1)
+                np.add.at(count, cell, 1)
+                np.add.at(total, cell, x)
+        yield cells_of(np.flatnonzero(count), count, total)
+
+    return run
+
+
+def cells_of(at, count, total) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(count[at], pa.float64()), pa.array([x.tobytes() for x in total[at]], pa.binary())], ["cell", "n", "x"])
+
+
+def merged_cells(batches):
+    """The cells of several tasks added up."""
+    count, total = np.zeros(1 << PLANES), np.zeros((1 << PLANES, N_FEATURES))
+    for b in batches:
+        cell = np.asarray(b.column(0))
+        np.add.at(count, cell, np.asarray(b.column(1)))
+        np.add.at(total, cell, np.frombuffer(b"".join(b.column(2).to_pylist()), np.float64).reshape(-1, N_FEATURES))
+    yield cells_of(np.flatnonzero(count), count, total)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Learn from docs (doc_id, text) and labels (doc_id, quality); None without positives."""
     known = labels.filter(~held_out() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -163,21 +201,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     if not prior:
         return None
     prior = min(max(prior, 0.01), 0.99)
-    ids = docs.filter(~held_out() & F.col("doc_id").isNotNull()).select("doc_id")
-    # texts are fetched for the chosen rows alone
-    chosen = known.filter("quality = 1").select("doc_id", F.lit(True).alias("positive")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rest = ids.join(known, "doc_id", "left_anti").select("doc_id", F.lit(False).alias("positive")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    if not rest.limit(1).count():  # everything is labelled: the labelled rows, unmarked, stand for web text
-        rest = known.select("doc_id", F.lit(False).alias("positive")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    wanted = F.broadcast(chosen.union(rest))  # at most 2 * sample_rows ids
-    got = docs.select("doc_id", "text").join(wanted, "doc_id").select("positive", "text").mapInArrow(featured, "positive boolean, x array<float>").toArrow()
-    flag = np.asarray(got["positive"])
-    x = np.asarray(got["x"].combine_chunks().flatten()).reshape(-1, N_FEATURES).astype(np.float64)
-    order = np.lexsort(x.T)  # the same order whatever the partitioning
-    flag, x = flag[order], x[order]
-    if not flag.any() or flag.all():
+    # texts are fetched for the chosen positives alone, each text of a doc_id once
+    chosen = known.filter("quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # of repeated ids one text
+    got = texts.select(F.lit(True).alias("positive"), "text").mapInArrow(featured, "positive boolean, x array<float>").toArrow()
+    if not got.num_rows:
         return None
-    return train(x[flag], x[~flag], prior)
+    pos = np.asarray(got["x"].combine_chunks().flatten()).reshape(-1, N_FEATURES).astype(np.float64)
+    pos = pos[np.lexsort(pos.T)]  # the same order whatever the partitioning
+    # all documents outside the held-out fold, unmarked, stand for web text
+    web = docs.filter(~held_out()).select("text").mapInArrow(celled(pos.mean(0), pos.std(0) + 1e-3), "cell int, n double, x binary")
+    cells = web.repartition("cell").mapInArrow(merged_cells, "cell int, n double, x binary").orderBy("cell").collect()  # at most 2**PLANES rows
+    weight = np.array([r.n for r in cells])
+    unl = np.stack([np.frombuffer(r.x, np.float64) for r in cells]) / weight[:, None]
+    return train(pos, unl, prior, weight)
 
 
 def scored(model: Model | None):
@@ -185,17 +223,17 @@ def scored(model: Model | None):
         for whole in batches:
             for b in C.chunks(whole, "text"):
                 s = model.score(features(b)) if model else np.full(b.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     return run
 
 
-def quality_scores(docs: DataFrame, model: Model | None, keep_text: bool = False, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted (and the text, if wanted) of every row."""
+def quality_scores(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row."""
     cols = docs.select("doc_id", "text")
     kind = cols.schema["doc_id"].dataType.simpleString()
-    out = cols.mapInArrow(scored(model), f"doc_id {kind}, text string, score double")
-    return out.select("doc_id", *["text"] * keep_text, held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = cols.mapInArrow(scored(model), f"doc_id {kind}, score double")
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
