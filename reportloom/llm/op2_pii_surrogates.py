@@ -20,6 +20,8 @@ a null doc_id is kept; other columns pass through; text outside entities is unch
 
 from __future__ import annotations
 
+import secrets
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,7 +56,9 @@ ACCENTS = "àâäçéèêëîïôöùûüßñóíáú"
 CAPITALS = "ÀÂÄÇÉÈÊËÎÏÔÖÙÛÜÑÓÍÁÚ"
 CYRILLIC = "абвгдежзиклмнопрстуфхцчшщэюя"
 GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
-MOST_ATTEMPTS = 30
+SAME_LENGTH = 4
+MOST_ATTEMPTS = 200
+KEY_SETTING = "spark.reportloom.surrogate.key"
 
 
 def letters_of(text: Column) -> Column:
@@ -114,16 +118,6 @@ def shaped(text: Column, hexes: Column, letters: str = "abcdefghijklmnopqrstuvwx
     return F.array_join(F.transform(letters_of(text), one), "")
 
 
-def shifted(text: Column, hexes: Column) -> Column:
-    """A keyed shift of each letter and digit: one to one, so it needs no collision check."""
-
-    def one(c, i):
-        h = byte(hexes, i)
-        return F.when(c.rlike("^[0-9]$"), ((F.ascii(c) - 48 + 1 + h % 9) % 10).cast("string")).when(c.rlike("^[a-z]$"), F.char(97 + (F.ascii(c) - 97 + 1 + h % 25) % 26)).otherwise(c)
-
-    return F.array_join(F.transform(letters_of(text), one), "")
-
-
 def luhn(number: Column) -> Column:
     """The Luhn sum of a digit string modulo 10."""
 
@@ -139,14 +133,24 @@ def partial_syllable(s: Column, syllables: Column, n: int):
     return lambda i: F.get(syllables, byte(s, i) % n)
 
 
+def more_letters(s: Column, attempt: Column) -> Column:
+    """Short names run out of strings of their length, so later attempts are longer."""
+    return F.translate(F.substring(s, F.lit(1), attempt - SAME_LENGTH), "0123456789", "ghijklmnop")
+
+
+def draw_domain(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
+    """The surrogate of an e-mail domain: its last label stays."""
+    s = stream(key, kind, canon, attempt)
+    label = F.regexp_extract(canon, r"(\.[^.]*)$", 1)
+    return F.concat(shaped(F.substring(canon, F.lit(1), F.length(canon) - F.length(label)), s), more_letters(s, attempt), label)
+
+
 def draw(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The surrogate of a canonical form."""
     s = stream(key, kind, canon, attempt)
     at = lambda i: byte(s, F.lit(i))
-    domain = F.regexp_extract(canon, "@(.*)$", 1)
-    label = F.regexp_extract(domain, r"(\.[^.]*)$", 1)
-    head = F.substring(domain, F.lit(1), F.length(domain) - F.length(label))
-    email = F.concat(shaped(F.regexp_extract(canon, "^([^@]*)@", 1), s), F.lit("@"), shifted(head, stream(key, F.lit("domain"), F.length(head), label)), label)
+    # e-mails are drawn at their own domain, which is replaced by its surrogate afterwards
+    email = F.concat(shaped(F.regexp_extract(canon, "^([^@]*)@", 1), s), more_letters(s, attempt), F.regexp_extract(canon, "(@.*)$", 1))
     octets = F.concat_ws(".", *[(at(i) % 254 + 1).cast("string") for i in range(4)])
     number = shaped(canon, s)
     body = F.substring(number, F.lit(1), F.length(number) - 1)
@@ -191,19 +195,19 @@ def rendered(kind: Column, e: Column, sur: Column) -> Column:
 
     return (
         F.when(kind.isin("phone", "card", "national"), F.array_join(F.transform(chars, digit), ""))
-        .when(kind == "email", F.array_join(F.transform(chars, cased), ""))
+        .when((kind == "email") & (F.length(sur) == F.length(e)), F.array_join(F.transform(chars, cased), ""))
         .when(kind == "name", F.concat(F.regexp_extract(e, r"^(\S+ )", 1), F.substring(sur, 3, 1000)))
         .otherwise(sur)
     )
 
 
-def surrogate_table(found: DataFrame, key: str, scratch: C.Scratch) -> DataFrame:
+def surrogate_table(found: DataFrame, key: str, scratch: C.Scratch, drawing=draw) -> DataFrame:
     """(kind, canon, sur) of the distinct entities of found (kind, canon), free of collisions."""
     plain = lambda k, s: F.when(k == "name", F.lower(s)).otherwise(s)  # noqa: E731  as canonical forms are written
     entities = scratch.keep(found.distinct())
     now = entities.withColumn("attempt", F.lit(0))
     for _ in range(MOST_ATTEMPTS):
-        drawn = now.withColumn("sur", draw(key, F.col("kind"), F.col("canon"), F.col("attempt")))
+        drawn = now.withColumn("sur", drawing(key, F.col("kind"), F.col("canon"), F.col("attempt")))
         first = drawn.groupBy("kind", "sur").agg(F.min(F.struct("attempt", "canon")).alias("first"))
         real = entities.select(F.col("kind").alias("rk"), F.col("canon").alias("rc"))
         judged = drawn.join(first, ["kind", "sur"]).join(real, (F.col("kind") == F.col("rk")) & (plain(F.col("kind"), F.col("sur")) == F.col("rc")), "left")
@@ -214,8 +218,26 @@ def surrogate_table(found: DataFrame, key: str, scratch: C.Scratch) -> DataFrame
     raise RuntimeError("no room for distinct surrogates of some kind")
 
 
-def replace_pii(docs: DataFrame, key: str = "surrogate-key", text: str = "text") -> DataFrame:
+def secret_key(spark) -> str:
+    """The key of the session's setting KEY_SETTING. Without one, a random key is drawn once
+    and kept in the shared folder, so runs that share the folder agree."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key:
+        return key
+    at = f"{C.shared_dir(spark)}/surrogate-key-{uuid.uuid4().hex}"
+    known = f"{C.shared_dir(spark)}/surrogate-key"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(known).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path(known)):
+        spark.createDataFrame([(secrets.token_hex(32),)], "value string").coalesce(1).write.text(at)
+        if not files.rename(path(at), path(known)):  # another run was first
+            files.delete(path(at), True)
+    return min(r.value for r in spark.read.text(known).collect())  # one line
+
+
+def replace_pii(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
     """docs (doc_id, text, any others) -> the same columns, entities replaced, and n_entities."""
+    key = key or secret_key(docs.sparkSession)
     scratch = C.Scratch(docs.sparkSession, "pii")
     names = docs.columns
     mine = docs.withColumn("_found", F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
@@ -223,7 +245,12 @@ def replace_pii(docs: DataFrame, key: str = "surrogate-key", text: str = "text")
     hit = mine.filter(some).withColumn("_uid", F.xxhash64("doc_id", text)).withColumn("_gaps", F.split(text, ANY, -1))
     mentions = hit.select("doc_id", "_uid", F.posexplode("_found").alias("pos", "e")).withColumn("kind", kind_of(F.col("e"))).withColumn("canon", canonical(F.col("kind"), F.col("e")))
     mentions = scratch.keep(mentions.distinct())
-    table = surrogate_table(mentions.select("kind", "canon"), key, scratch)
+    entities = mentions.select("kind", "canon")
+    own = F.regexp_extract("canon", "@(.*)$", 1)
+    domains = surrogate_table(entities.filter("kind = 'email'").select(F.lit("domain").alias("kind"), own.alias("canon")), key, scratch, draw_domain)
+    table = surrogate_table(entities, key, scratch).withColumn("domain", F.when(F.col("kind") == "email", own))
+    table = table.join(domains.select(F.col("canon").alias("domain"), F.col("sur").alias("new_domain")), "domain", "left")
+    table = table.select("kind", "canon", F.when(F.col("kind") == "email", F.concat(F.regexp_extract("sur", "^([^@]*@)", 1), "new_domain")).otherwise(F.col("sur")).alias("sur"))
     swapped = mentions.join(table, ["kind", "canon"]).select("doc_id", "_uid", "pos", rendered(F.col("kind"), F.col("e"), F.col("sur")).alias("new"))
     by_doc = swapped.groupBy("doc_id", "_uid").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("_new")).select(F.col("doc_id").alias("_id"), F.col("_uid").alias("_key"), "_new")
     pieces = F.zip_with("_gaps", F.transform("_new", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
