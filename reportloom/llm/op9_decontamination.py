@@ -4,8 +4,7 @@ Texts and items are compared as lower-cased UTF-8 bytes with one space for each
 characters other than letters and digits. An item of n bytes may differ by k = n // ERROR_DIVISOR edits; it is cut into
 k + 1 pieces, so any occurrence within k edits holds one piece unchanged. All pieces form one
 Aho-Corasick automaton; each piece hit places the item in the text, and the hits' windows are
-verified with Myers' bit-parallel distance (Python integers as bit vectors, so an item of any
-length is one vector). An item is reported once a document with its least distance.
+verified with Myers' bit-parallel distance (Python integers as bit vectors, so an item of any length is one vector). An item is reported once a document with its least distance.
 
 The benchmark goes to every task; its size is checked against BENCHMARK_BYTES first, and a
 larger one is processed in slices of that size.
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 ERROR_DIVISOR = 20
-LEAST_CHARS = 40
+LEAST_CHARS = ERROR_DIVISOR  # from here on an item may differ by an edit
 BENCHMARK_BYTES = 8 << 20
 _KEEP = np.zeros(256, bool)
 _KEEP[48:58] = _KEEP[97:123] = _KEEP[128:] = True
