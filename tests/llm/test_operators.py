@@ -1,6 +1,7 @@
 """The training-data operators on small hostile tables, against brute force."""
 
 import hashlib
+import os
 import re
 import struct
 import time
@@ -24,6 +25,7 @@ from reportloom.llm import op9_decontamination as op9
 from reportloom.llm import op10_sharding as op10
 from reportloom.llm import common as C
 
+SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 rng = np.random.default_rng(5)
 VOCAB = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
@@ -69,6 +71,32 @@ def test_quality(spark, docs, empty):
     assert op1.good_documents(docs, None).columns == docs.columns
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_quality_on_held_out_labels(spark):
+    """Accuracy on the fold that gave no label, and what a score may not depend on."""
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = op1.fit(d, labels)
+    out = op1.quality_scores(d, model)
+    got = out.filter("held_out").join(labels, "doc_id").select("predicted", "quality").collect()
+    assert len(got) > 10 and sum(r.predicted == r.quality for r in got) >= 0.95 * len(got)
+    moved = d.withColumns({"lang": F.lit("zz"), "source": F.lit("other"), "doc_id": F.col("doc_id") + 1_000_000})
+    before, after = ({r.doc_id % 1_000_000: r.score for r in op1.quality_scores(x, model).collect()} for x in (d, moved))
+    assert before == after
+    flipped = labels.withColumn("quality", F.when(op1.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = op1.fit(d, flipped)
+    assert all(np.allclose(a, b) for a, b in zip(again.parts, model.parts, strict=True))
+
+
+def test_quality_with_repeated_ids(spark):
+    rows = [(7, f"good words number {i}") for i in range(30)] + [(i, None if i % 4 else "bad !!!! bad") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1, 0)] * 5 + [(8, 0, 0)], "doc_id long, quality int, toxic int")
+    model = op1.fit(df, labels)
+    assert op1.quality_scores(df, model).count() == len(rows)
+    nothing = df.withColumn("text", F.lit(None).cast("string"))
+    assert len({r.score for r in op1.quality_scores(nothing, op1.fit(nothing, labels)).collect()}) == 1
+
+
 def test_quality_learns():
     g = np.random.default_rng(1)
     pos = g.normal(1, 1, (800, op1.N_FEATURES))
@@ -122,6 +150,26 @@ def test_surrogates_are_distinct(spark):
     assert len({r.sur for r in t}) == 3000 and not {r.sur for r in t} & {r.canon for r in t}
 
 
+def test_rendered_surrogates_are_distinct(spark):
+    """Brute force over the rendered texts: one surrogate an entity, none shared, none real."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}{b}@{c}.org" for a in "abc" for b in "xyz" for c in letters]
+    phones = [f"+{cc} 555 123 45{n:02d}" for cc in (1, 44) for n in range(40)]
+    found = [*mails, *phones]
+    df = spark.createDataFrame(list(enumerate(found)) + [(10_000 + i, f"again {x}") for i, x in enumerate(found)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in op2.replace_pii(df, "key").collect()}
+    assert all(out[10_000 + i] == f"again {out[i]}" for i in range(len(found)))
+    new = [out[i] for i in range(len(found))]
+    assert len(set(new)) == len(found) and not set(new) & set(found)
+    domains = {}
+    for old, got in zip(mails, new, strict=False):
+        assert domains.setdefault(old.split("@")[1], got.split("@")[1]) == got.split("@")[1] and got.split(".")[-1] == old.split(".")[-1]
+    assert len(set(domains.values())) == len(domains)
+    other = {r.doc_id: r.text for r in op2.replace_pii(df.filter(F.col("doc_id") % 20 == 0), "other key").collect()}
+    assert sum(other[i] == out[i] for i in other) < len(other) // 10
+    assert op2.secret_key(spark) == op2.secret_key(spark) and len(op2.secret_key(spark)) == 64
+
+
 def sets_of(text, width, lower=True):
     w = WORD.findall(text or "")
     if lower:
@@ -457,6 +505,42 @@ def test_decontamination(spark, docs, empty):
     assert op9.contaminated(empty, bench).count() == 0 and op9.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [3, 19, 20, 39, 40, 130])
+def test_items_against_brute_force(spark, size):
+    """Every item at every distance, by plain dynamic programming over the normal forms."""
+    g = np.random.default_rng(size)
+
+    def word():
+        return "".join(g.choice(list("abcdefgh"), g.integers(1, 9)))
+
+    items = [(i, " ".join(word() for _ in range(60))[:size].strip() or "x") for i in range(8)]
+    docs = []
+    for i in range(60):
+        t = list(items[i % 8][1])
+        for _ in range(g.integers(0, 1 + 2 * max(1, size // 20))):
+            at = g.integers(0, len(t) + 1)
+            t[at : at + int(g.integers(0, 2))] = [] if g.random() < 0.3 else [str(g.choice(list("abq ")))]
+        docs.append((i, " ".join([word(), word(), "".join(t), word()])))
+    want = set()
+    for i, text in docs:
+        for k, item in items:
+            t, p = op9.normal(text), op9.normal(item)
+            if len(p) < op9.ERROR_DIVISOR:
+                if f" {p} " in f" {t} ":
+                    want.add((i, k, 0))
+                continue
+            row = [0] * (len(t) + 1)
+            for a, c in enumerate(p, 1):
+                new = [a]
+                for b, d in enumerate(t, 1):
+                    new.append(min(row[b - 1] + (c != d), row[b] + 1, new[-1] + 1))
+                row = new
+            if min(row) <= len(p) // op9.ERROR_DIVISOR:
+                want.add((i, k, min(row)))
+    out = op9.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.distance) for r in out.collect()} == want and want
+
+
 def test_edit_distance():
     g = np.random.default_rng(6)
     for _ in range(60):
@@ -489,15 +573,45 @@ def test_sharding(spark, docs, empty):
     assert Counter(x[2:] for x in out) == Counter((k if k is not None else -1, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for k, t in rows)
     for s in {x[0] for x in out}:
         assert [x[1] for x in out if x[0] == s] == list(range(sum(x[0] == s for x in out)))
-    assert [x[2] for x in out] == sorted(x[2] for x in out)
+    where = {}
+    for shard, _, _, size, crc in out:  # equal texts
+        where.setdefault((crc, size), []).append((shard, size))
     total, largest = sum(x[3] for x in out), max(x[3] for x in out)
     at = 0
     for s in range(5):
         at += sum(x[3] for x in out if x[0] == s)
-        assert abs(at - total * (s + 1) / 5) <= largest
+        assert abs(at - total * (s + 1) / 5) <= largest + total / 5 / op10.HOLD
+    for group in where.values():
+        if sum(n for _, n in group) * 5 * op10.HOLD <= total:
+            assert len({s for s, _ in group}) == 1
     assert op10.shard_by_bytes(empty, 5).count() == 0
 
 
+def test_sharding_holds_groups(spark):
+    """Groups over many range partitions, one of them a third of all rows."""
+    g = np.random.default_rng(9)
+    texts = [f"text {i} " * int(g.integers(1, 9)) for i in range(400)]
+    rows = [(i, t) for i, t in enumerate(texts * 3)] + [(5000 + i, "hot") for i in range(700)] + [(None, None), (None, "hot")]
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = op10.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 6).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(out) == len(rows)
+    total = sum(r.size for r in out)
+    sizes, shards = Counter(), {}
+    for r in out:
+        sizes[r.shard] += r.size
+        shards.setdefault(r.text_crc32, []).append(r)
+    for group in shards.values():
+        if sum(r.size for r in group) * 6 * op10.HOLD <= total:
+            assert len({r.shard for r in group}) == 1
+    most = max(r.size for r in out)
+    assert all(abs(sizes[s] - total / 6) <= 2 * (most + total / 6 / op10.HOLD) for s in range(6))
+    for s in range(6):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
 def test_components(spark):
     g = np.random.default_rng(8)
     edges = [(int(a), int(b)) for a, b in g.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 440)]
