@@ -316,9 +316,9 @@ def block_type(top: Column, bottom: Column, height: Column, heading: Column, wat
 
 
 def header_similar(a: Column, b: Column) -> Column:
-    """Whether at least three fifths of the headers agree or contain each other."""
-    hit = F.zip_with(F.transform(a, lambda x: F.lower(F.trim(x))), F.transform(b, lambda x: F.lower(F.trim(x))), lambda x, y: F.coalesce((x == y) | ((F.length(x) > 2) & y.contains(x)) | ((F.length(y) > 2) & x.contains(y)), F.lit(False)).cast("int"))
-    return (F.size(a) == F.size(b)) & (F.aggregate(hit, F.lit(0), lambda s, x: s + x) >= F.greatest(F.lit(1), F.floor(F.size(a) * 0.6)))
+    """Whether at least three fifths of the headers of a equal those of b or are contained in them."""
+    hit = F.zip_with(a, b, lambda x, y: F.coalesce((F.lower(F.trim(x)) == F.lower(F.trim(y))) | ((F.length(x) > 2) & F.contains(F.lower(F.trim(y)), F.lower(F.trim(x)))), F.lit(False)).cast("int"))
+    return (F.size(a) > 0) & (F.size(a) == F.size(b)) & (F.aggregate(hit, F.lit(0), lambda s, x: s + x) >= F.greatest(F.lit(1), F.floor(F.size(a) * 0.6)))
 
 
 # fixed values: letters without their marks

@@ -62,15 +62,46 @@ def heatmap(rows: DataFrame) -> DataFrame:
     return counts.join(who, "category", "left").join(why, "category", "left").orderBy(F.desc("occurrences"), "first_ord")
 
 
+GRAM = 3
+
+
+def grams(c: Column, n: Column) -> Column:
+    """The distinct pieces of n characters of a text of n characters or more."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))
+
+
+def containing(short: DataFrame, long: DataFrame) -> DataFrame:
+    """short (s), long (l), distinct texts -> the pairs (s, l) in which l contains s. Each s looks
+    up one of its pieces, the one that fewest l hold, so this is an equi-join whose candidates are
+    then verified; a text shorter than a piece is a piece of its own length. An empty s is in every
+    l by definition and is left to the caller."""
+    index = None
+    for n in range(1, GRAM + 1):
+        part = long.filter(F.length("l") >= n).select("l", F.explode(grams(F.col("l"), F.lit(n))).alias("g"))
+        index = part if index is None else index.union(part)
+    sizes = short.select(F.least(F.length("s"), F.lit(GRAM)).alias("n")).filter("n > 0").distinct()
+    index = index.join(F.broadcast(sizes), F.length("g") == F.col("n")).select("l", "g")  # at most GRAM rows
+    held = index.groupBy("g").agg(F.count("*").alias("hits"))
+    asked = short.filter(F.length("s") > 0).select("s", F.explode(grams(F.col("s"), F.least(F.length("s"), F.lit(GRAM)))).alias("g"))
+    # a piece that no l holds decides against its s
+    rarest = asked.join(held, "g", "left").groupBy("s").agg(F.min_by("g", F.struct(F.coalesce("hits", F.lit(0)), "g")).alias("g"))
+    return rarest.join(index, "g").filter(F.col("l").contains(F.col("s"))).select("s", "l")
+
+
 def compare_metrics(a: DataFrame, b: DataFrame) -> DataFrame:
     """a, b (ord, indicator, value, status): each row of a with the first of b of equal or
-    containing name (J1). Equal names are matched by an equi-join first; only the rest takes
-    part in the containment search, over distinct names."""
+    containing name (J1). Distinct names meet by an equi-join on rare pieces, both ways round."""
     name = lambda c: F.lower(F.trim(c))
     left = a.withColumn("na", name("indicator"))
     names_a = left.select("na").distinct()
     names_b = b.groupBy(name("indicator").alias("nb")).agg(F.min("ord").alias("ob"))
-    best = names_a.join(names_b, F.col("nb").contains(F.col("na")) | F.col("na").contains(F.col("nb"))).groupBy("na").agg(F.min("ob").alias("ob"))
+    shorter = containing(names_a.select(F.col("na").alias("s")), names_b.select(F.col("nb").alias("l"))).select(F.col("s").alias("na"), F.col("l").alias("nb"))
+    longer = containing(names_b.select(F.col("nb").alias("s")), names_a.select(F.col("na").alias("l"))).select(F.col("l").alias("na"), F.col("s").alias("nb"))
+    # an empty name is part of every name: it takes, or gives, the first row of b
+    anything = names_a.filter("na = ''").join(F.broadcast(names_b.agg(F.min("ob").alias("ob"))))  # one row each
+    blank = names_a.join(F.broadcast(names_b.filter("nb = ''").select("ob")))  # at most one row
+    hits = shorter.union(longer).join(names_b, "nb").select("na", "ob").union(anything).union(blank)
+    best = hits.groupBy("na").agg(F.min("ob").alias("ob"))
     right = b.select(F.col("ord").alias("ob"), F.col("value").alias("value_b"), F.col("status").alias("status_b"))
     out = left.join(best, "na", "left").join(right, "ob", "left")
     both = F.col("value").isNotNull() & F.col("value_b").isNotNull()
@@ -80,14 +111,70 @@ def compare_metrics(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def persistent(b: DataFrame, a: DataFrame, text: str, width: int = 15, keep: bool = True) -> DataFrame:
     """Rows of b whose text shares a leading piece with some text of a (J2), or the others
-    (J3). Distinct texts of both sides are compared, so copies add no work."""
-    ta = a.select(F.col(text).alias("ta")).distinct()
-    tb = b.select(F.col(text).alias("tb")).distinct()
-    cond = F.col("ta").contains(F.substring("tb", 1, width)) | F.col("tb").contains(F.substring("ta", 1, width))
-    hit = tb.join(ta, cond, "left_semi")
+    (J3). Distinct leading pieces and texts of both sides meet by an equi-join on rare pieces. An
+    empty text is part of every text."""
+    ta = a.select(F.col(text).alias("ta")).filter(F.col(text).isNotNull()).distinct()
+    tb = b.select(F.col(text).alias("tb")).filter(F.col(text).isNotNull()).distinct()
+    head = lambda c: F.substring(c, 1, width)
+    begun = containing(tb.select(head("tb").alias("s")).distinct(), ta.select(F.col("ta").alias("l"))).select("s").distinct()
+    found = containing(ta.select(head("ta").alias("s")).distinct(), tb.select(F.col("tb").alias("l"))).select(F.col("l").alias("tb"))
+    hit = tb.join(begun, head("tb") == F.col("s"), "left_semi").union(found)
+    some_a, blank_a = ta.limit(1).withColumn("one", F.lit(1)), ta.filter("ta = ''").withColumn("one", F.lit(1))
+    empty = tb.withColumn("one", F.lit(1)).join(F.broadcast(blank_a.select("one")), "one", "left_semi").select("tb").union(tb.filter("tb = ''").withColumn("one", F.lit(1)).join(F.broadcast(some_a.select("one")), "one", "left_semi").select("tb"))
+    hit = hit.union(empty).distinct()
     return b.join(hit, b[text].eqNullSafe(hit["tb"]), "left_semi" if keep else "left_anti")
 
 
+def report_pair(reports: DataFrame, a: str, b: str) -> DataFrame:
+    """One row with both reports as structs, no row if either is missing."""
+    one = lambda i, name: reports.filter(F.col("id") == i).limit(1).select(F.struct("*").alias(name))
+    return one(a, "a").join(F.broadcast(one(b, "b")))  # one row each
+
+
+def kpi_matches(expected: DataFrame, extracted: DataFrame) -> DataFrame:
+    """expected, extracted (doc_id, indicator) -> precision, recall and F1 of each document, names
+    matching where one contains the other (J11, A16)."""
+    name = lambda c: F.lower(c)
+    e = extracted.groupBy("doc_id").agg(F.collect_set(name("indicator")).alias("names"), F.count("*").alias("found"))  # one document's metrics
+    rows = expected.join(e, "doc_id", "left")
+    hit = F.exists("names", lambda n: F.contains(n, name("indicator")) | F.contains(name("indicator"), n))
+    g = rows.groupBy("doc_id").agg(F.count("*").alias("truth"), F.count_if(F.coalesce(hit, F.lit(False))).alias("tp"), F.coalesce(F.max("found"), F.lit(0)).alias("found"))
+    g = g.withColumn("precision", F.when(F.col("found") > 0, F.col("tp") / F.col("found")).otherwise(0.0)).withColumn("recall", F.col("tp") / F.col("truth"))
+    both = F.col("precision") + F.col("recall")
+    return g.select("doc_id", "truth", "found", "tp", "precision", "recall", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0).alias("f1"))
+
+
+def header_hits(expected: Column, extracted: Column) -> Column:
+    """How many expected headers contain an extracted one or are contained in one."""
+    low = F.transform(extracted, F.lower)
+    return F.size(F.filter(F.transform(expected, F.lower), lambda e: F.exists(low, lambda h: F.contains(h, e) | F.contains(e, h))))
+
+
+def status_counts(rows: DataFrame, status: str = "status") -> DataFrame:
+    """Documents by audit status."""
+    c = F.col(status)
+    return rows.agg(F.count("*").alias("total"), *[F.count_if(c == s).alias(s.lower()) for s in ("PERFECT", "WARNING", "ERROR", "FAILED")])
+
+
+def run_rollup(rows: DataFrame, status: str = "status") -> DataFrame:
+    """Results of a test run: passed, failed, skipped, and the share of passes among the supported."""
+    c = F.col(status)
+    g = rows.agg(F.count("*").alias("total"), F.count_if(c == "PASS").alias("passed"), F.count_if(c == "FAIL").alias("failed"), F.count_if(c == "UNSUPPORTED_FORMAT").alias("skipped"))
+    valid = F.col("total") - F.col("skipped")
+    return g.withColumn("pass_percent", F.when(valid > 0, F.round(F.col("passed") * 100.0 / valid, 1)))
+
+
+def text_preservation(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, source_chars, text) -> share of the text that an output kept, and the traces of
+    broken output in it (S34)."""
+    t = F.coalesce("text", F.lit(""))
+    ratio = F.length(t) / F.when(F.coalesce("source_chars", F.lit(0)) == 0, 1).otherwise(F.col("source_chars"))
+    count = lambda p, fold=False: F.regexp_count(t, F.lit(("(?i)" if fold else "") + p))
+    out = rows.select("doc_id", S.half_up(ratio * 100).alias("kept_percent"), ((ratio < 0.6) & (F.col("source_chars") > 500)).alias("low"), count("\ufffd").alias("ufffd"), count(r"\bundefined\b", True).alias("undefined"), count(r"\bnull\b", True).alias("nulls"), count(r"\bNaN\b").alias("nan"))
+    broken = (F.col("ufffd") > 0) | (F.col("undefined") > 0) | (F.col("nan") > 0)
+    return out.withColumn("status", F.when(broken, "ERROR").when(F.coalesce("low", F.lit(False)), "WARNING").otherwise("PERFECT"))
+
+
 def executive_summary(reports: DataFrame, metrics: DataFrame, bottlenecks: DataFrame) -> DataFrame:
     """One row of counts (A4). Absent authorities count as one."""
     r = reports.agg(F.count("*").alias("total_reports"), (F.count_distinct("authority") + F.max(F.col("authority").isNull().cast("int"))).alias("authorities"))
@@ -101,12 +188,17 @@ def category_counts(rows: DataFrame, category: str, order: str) -> DataFrame:
     return rows.groupBy(category).agg(F.count("*").alias("n"), F.min(order).alias("first_ord")).orderBy(F.desc("n"), "first_ord")
 
 
+MOST_DOMAINS = 1000
+
+
 def resolve_taxonomy(values: DataFrame, taxonomy: DataFrame, default: str) -> DataFrame:
     """values (raw), taxonomy (ord, code, name, keywords) -> raw, code: the first row of the
     registry whose name or a keyword contains the value or is contained in it (J13). The
     registry is a fixed small table."""
     raw = values.select("raw").distinct().withColumn("q", F.lower(F.trim("raw")))
     either = lambda x: x.contains(F.col("q")) | F.col("q").contains(x)
+    if len(taxonomy.head(MOST_DOMAINS + 1)) > MOST_DOMAINS:
+        raise ValueError(f"the registry has more than {MOST_DOMAINS} rows")
     hit = raw.join(F.broadcast(taxonomy), either(F.lower("name")) | F.exists("keywords", either)).groupBy("raw").agg(F.min_by("code", "ord").alias("code"))
     return values.join(hit, "raw", "left").withColumn("code", F.coalesce("code", F.lit(default)))
 
@@ -141,15 +233,15 @@ def nearest_above(lines: DataFrame, boxes: DataFrame, key: str, gap: float, want
 
 
 def confusion(rows: DataFrame, extracted: Column, expected: Column) -> DataFrame:
-    """Precision, recall and F1 with guards for empty sides."""
+    """Precision, recall and F1 (A16): all 1 where nothing was expected, precision 0 where nothing
+    was extracted."""
     n = rows.agg(F.count_if(extracted & expected).alias("tp"), F.count_if(extracted).alias("found"), F.count_if(expected).alias("truth"))
-    p = F.when(F.col("found") == 0, F.when(F.col("truth") == 0, 1.0).otherwise(0.0)).otherwise(F.col("tp") / F.col("found"))
+    p = F.when(F.col("truth") == 0, 1.0).when(F.col("found") == 0, 0.0).otherwise(F.col("tp") / F.col("found"))
     r = F.when(F.col("truth") == 0, 1.0).otherwise(F.col("tp") / F.col("truth"))
     return n.select("tp", "found", "truth", p.alias("precision"), r.alias("recall")).withColumn("f1", F.when(F.col("precision") + F.col("recall") == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))
 
 
 def table_accuracy(header_hits: Column, headers: Column, rows_got: Column, rows_want: Column) -> Column:
-    """0.6 of the header share and 0.4 of the row-count share."""
-    head = F.when(headers == 0, 1.0).otherwise(header_hits / headers)
-    row = F.when(rows_want == 0, F.when(rows_got == 0, 1.0).otherwise(0.0)).otherwise(F.least(rows_got, rows_want) / F.greatest(rows_got, rows_want))
-    return 0.6 * head + 0.4 * row
+    """0.6 of the header share and 0.4 of how near the row counts are."""
+    row = F.greatest(F.lit(0.0), 1 - F.abs(rows_want - rows_got) / F.greatest(F.lit(1), rows_want))
+    return F.when(headers == 0, 1.0).otherwise(0.6 * header_hits / headers + 0.4 * row)

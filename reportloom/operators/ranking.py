@@ -30,6 +30,19 @@ def cards(decisions: DataFrame, incidents: DataFrame, bottlenecks: DataFrame, re
     return all_.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
 
 
+def cards_with_fallback(shown: DataFrame, counts: DataFrame, least: int = 2) -> DataFrame:
+    """Cards of every document of counts (doc_id, metrics, actions); a document with fewer than
+    `least` is filled up from the two summary cards, in their order (O3, X10)."""
+    have = counts.join(shown.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    told = F.array(
+        F.struct(F.lit(9).alias("rank"), F.concat(F.col("metrics").cast("string"), F.lit(" chỉ tiêu đã được số hóa và chuẩn hóa")).alias("title")),
+        F.struct(F.lit(11).alias("rank"), F.concat(F.col("actions").cast("string"), F.lit(" nhiệm vụ tiếp theo")).alias("title")),
+    )
+    more = have.filter(F.col("n") < least).select("doc_id", "n", F.posexplode(told).alias("i", "x")).filter(F.col("n") + F.col("i") < least)
+    filled = more.select("doc_id", F.col("x.rank").alias("rank"), F.col("i").cast("long").alias("seq"), F.col("x.title").alias("title"), F.lit("INFO").alias("level"), F.lit("BLUE").alias("colour"), (F.col("n") + F.col("i") + 1).cast("int").alias("place"))
+    return shown.select(*CARD, "place").withColumn("seq", F.col("seq").cast("long")).unionByName(filled)
+
+
 def zero_groups(metrics: DataFrame) -> DataFrame:
     """One sentence a document about its zero metrics, naming the first four."""
     rows = metrics.filter(F.col("actual").isin(ZEROS_TOLD))

@@ -44,6 +44,7 @@ def first_k(rows: DataFrame, k: int, key: str = "doc_id", order: tuple[str, ...]
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("n") <= k)
 
 
+# fixed values: patterns of the extractor
 BACKGROUND = r"^(?:I|1)\.\s*(?:ĐẶC ĐIỂM TÌNH HÌNH|BỐI CẢNH VĨ MÔ|ĐIỀU KIỆN TỰ NHIÊN|TỔNG QUAN VỀ ĐỊA BÀN)\b"
 RESULTS = r"^(?:II|2|[I|V|X]+)\.\s*(?:KẾT QUẢ|TÌNH HÌNH THỰC HIỆN|NHIỆM VỤ|CÔNG TÁC|KẾ HOẠCH|ĐÁNH GIÁ)"
 UNITS = "%|tỷ đồng|triệu đồng|nghìn đồng|ha|m2|hộ|người|vụ|vụ việc|hồ sơ|văn bản|nhiệm vụ|dự án|công trình|km|lượt|tthc|thủ tục"
@@ -81,8 +82,11 @@ def metrics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def keyword_lines(docs: DataFrame, pattern: str, low: int, high: int, cap: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines that match and whose length lies strictly between, first `cap` of a document."""
-    rows = lines(docs, key, text).filter(F.col("line").rlike(S.web_regex(pattern)) & (F.length("line") > low) & (F.length("line") < high))
-    return first_k(rows, cap, key)
+    sized = lambda x: (F.length(x) > low) & (F.length(x) < high)  # noqa: E731  tested first: it costs least
+    fits = lambda x: F.when(sized(x["line"]), x["line"].rlike(S.web_regex(pattern))).otherwise(False)
+    every = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("ord"), S.web_trim(x).alias("line")))
+    kept = F.slice(F.filter(every, fits), 1, cap)  # a document's lines are one array: no shuffle, no window
+    return docs.select(key, F.posexplode(kept).alias("at", "x")).select(key, F.col("x.ord").alias("ord"), F.col("x.line").alias("line"), (F.col("at") + 1).alias("n"))
 
 
 PROBLEM = "khó khăn|vướng mắc|tồn tại|hạn chế|chưa đạt|chậm tiến độ|khiếu nại|vi phạm|vấn đề|trở ngại"
@@ -113,6 +117,54 @@ def recommendations(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return keyword_lines(docs, RECOMMEND, 15, 250, 4, key, text).select(key, "n", F.col("line").alias("request_content"))
 
 
+FREE_METRIC = rf"^[-*•+]?\s*([^,.;:]{{4,60}})\s+(?:đạt|là|khoảng|có|được)\s+{VALUE}\s*({UNITS})?"
+
+
+def fallback_metrics(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Up to three loosely worded metrics of the documents without any in `found`."""
+    p = S.web_regex(FREE_METRIC)
+    rows = first_k(lines(docs.join(found.select(key).distinct(), key, "left_anti"), key, text).filter(F.col("line").rlike(p)), 3, key)
+    part = lambda i: F.trim(F.regexp_extract("line", p, i))
+    unit = F.nullif(part(3), F.lit(""))
+    return rows.select(key, "n", "ord", part(1).alias("indicator"), part(2).alias("actual"), F.when(unit == "%", part(2)).alias("percentage"), unit.alias("unit"), F.lit("THUC_HIEN_THUC_TE").alias("data_nature"), F.lit("GREEN").alias("status"), F.lit("ON_DINH").alias("trend"), F.col("line").alias("quote"))
+
+
+def actions_or_default(docs: DataFrame, titles: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The actions, bullets removed; one made from the title where a document has none."""
+    got = actions(docs, key, text).select(key, "n", F.regexp_replace("action_title", S.web_regex(BULLET), "").alias("action_title"), F.lit("PHYSICAL").alias("provenance"))
+    rest = titles.join(got.select(key).distinct(), key, "left_anti")
+    return got.union(rest.select(key, F.lit(1), F.concat(F.lit("Tổ chức triển khai các nhiệm vụ, giải pháp trọng tâm theo "), "document_title"), F.lit("SYNTHETIC")))
+
+
+def decisions_needed(docs: DataFrame, recs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """What each document asks its reader to decide, from its first recommendation."""
+    first = recs.groupBy(key).agg(F.min_by("request_content", "n").alias("asked"))
+    has = F.col("asked").isNotNull()
+    return docs.select(key).join(first, key, "left").select(
+        key, has.alias("is_required"), F.when(has, F.concat(F.lit("Xem xét phê duyệt kiến nghị: "), F.regexp_replace("asked", S.web_regex(BULLET), ""))).otherwise("Báo cáo theo dõi phục vụ chỉ đạo điều hành").alias("decision_summary"),
+        F.when(has, "XEM_XET_CHO_CHU_TRUONG").otherwise("BAO_CAO_DE_BIET").alias("action_verb"), F.when(has, "Trước kỳ họp điều hành kế tiếp").alias("deadline"),
+    )
+
+
+# fixed values: words of marks printed across a page, and of rows left over from tables
+MARKS = r"dự\s*thảo|tài\s*liệu\s*mật|tuyệt\s*mật|tối\s*mật|mật|bản\s*lưu|confidential|draft|sample\s*document|watermark|dấu\s*chìm|bản\s*nháp|camscanner|adobe\s*scan|scanned\s*by"
+RESIDUE = r"^\[Bảng:\s*[^\]]+\]|^TT\s*\|\s*CHỈ TIÊU|^(?:BIỂU|BẢNG|PHỤ LỤC)\s*[:.]\s*KẾT QUẢ THỰC HIỆN CÁC CHỈ TIÊU"
+
+
+def without_marks(text: Column) -> Column:
+    """Text without invisible characters and without short lines that hold a mark."""
+    plain = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), "[\u00ad\u200b\ufeff]", ""), "\u00a0", " ")
+    keep = lambda x: (S.web_trim(x) == "") | (F.length(S.web_trim(x)) >= 25) | ~x.rlike(S.web_regex(MARKS))
+    return F.array_join(F.filter(F.split(plain, "\n"), keep), "\n")
+
+
+def body_lines(text: Column) -> Column:
+    """Trimmed lines of a text that are neither empty nor left over from a table (F8)."""
+    bars = lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit("")))
+    residue = lambda x: x.rlike(S.web_regex(RESIDUE)) | (bars(x) >= 2) | x.startswith("|") | x.rlike(r"[-*•]\s*\|")
+    return F.filter(F.transform(F.split(without_marks(text), "\n"), S.web_trim), lambda x: (x != "") & ~residue(x))
+
+
 def achievements(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     found = F.regexp_extract_all(text, F.lit(S.web_regex(ACHIEVE)), F.lit(0))
     return docs.select(key, F.posexplode(F.slice(found, 1, 5)).alias("n", "achievement_title"))
@@ -185,10 +237,17 @@ def stitched_parts(texts: list[str]) -> list[tuple[str, str]]:
                 last[1] += " " + text
                 continue
         out.append([kind, text])
-    # footnotes that follow a heading without a body stand before it
-    for i in range(len(out) - 1):
-        if out[i][0] == "HEADING" and out[i + 1][0] == "FOOTNOTE":
-            out[i], out[i + 1] = out[i + 1], out[i]
+    # the footnotes right after a heading belong to what stands before it
+    ordered: list[list[str]] = []
+    heading = None  # where a heading without a body yet stands
+    for part in out:
+        if part[0] == "FOOTNOTE" and heading is not None:
+            ordered.insert(heading, part)
+            heading += 1
+            continue
+        heading = len(ordered) if part[0] == "HEADING" else None
+        ordered.append(part)
+    out = ordered
     return [(k, t) for k, t in out]
 
 
@@ -203,15 +262,48 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, ord int, type string, text string")
 
 
+CONTINUES = r"^(?:[IVXLCDM]+|\d+|[a-zđ]\))\b|^$"
+
+
 def stitch_tables(tables: DataFrame) -> DataFrame:
-    """tables (doc_id, ord, headers, rows) -> master tables continued over pages (V7): a table
-    continues the one before it when it has as many columns and a similar header or a first
-    cell that is empty or a number. One ordered window; then one group per master table."""
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    first = F.trim(F.coalesce(F.get(F.get("rows", F.lit(0)), F.lit(0)), F.lit("")))
-    goes_on = (F.size("headers") == F.size(F.lag("headers").over(w))) & (S.header_similar(F.col("headers"), F.lag("headers").over(w)) | first.rlike(r"^(|\d+\.?|[IVX]+\.?|[a-z]\)?)$"))
-    marked = tables.withColumn("start", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("master", F.sum("start").over(w))
-    return marked.groupBy("doc_id", "master").agg(F.min_by("headers", "ord").alias("headers"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "rows"))), lambda x: x["rows"])).alias("rows"), F.count("*").alias("pieces"))
+    """tables (doc_id, ord, page if known, headers, rows; the header row apart) -> master tables continued over
+    pages (V7). A table continues the master before it if it has as many columns and its first row
+    repeats the master's headers or starts like a data row; a repeated header row goes, another first
+    row is data; a row with an empty first cell flows into the row before it.
+
+    The master carried along is a fold over one document's tables; documents are independent."""
+    cell = lambda x: F.replace(F.trim(F.coalesce(x, F.lit(""))), F.lit("\n"), F.lit(" "))
+    clean = lambda r: F.transform(r, cell)
+    page = F.col("page") if "page" in tables.columns else F.lit(None).cast("int")
+    item = F.struct("ord", page.alias("page"), clean(F.col("headers")).alias("h"), F.transform("rows", clean).alias("r"))
+    seq = tables.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("seq"))
+    master = "struct<headers:array<string>,rows:array<array<string>>,pages:array<int>,pieces:int>"
+    start = F.struct(F.array().cast(f"array<{master}>").alias("done"), F.lit(None).cast(master).alias("now"))
+    filled = lambda rows: F.filter(rows, lambda r: F.exists(r, lambda x: x != ""))
+
+    def flow(rows, extra):
+        """Rows with the extra ones added, overflowing rows joined to the row before them."""
+
+        def add(acc, r):
+            last = F.element_at(acc, -1)
+            joined = F.transform(last, lambda x, i: F.when((i >= 1) & (F.coalesce(F.get(r, i), F.lit("")) != ""), F.trim(F.concat(x, F.when(i == 1, " ").otherwise("; "), F.get(r, i)))).otherwise(x))
+            spills = (F.get(r, F.lit(0)) == "") & (F.size(acc) > 0)
+            return F.when(spills, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(r)))
+
+        return F.aggregate(extra, rows, add)
+
+    def step(acc, x):
+        now = acc["now"]
+        same = S.header_similar(x["h"], now["headers"])
+        goes_on = F.coalesce(now.isNotNull() & (F.size(x["h"]) == F.size(now["headers"])) & (same | F.get(x["h"], F.lit(0)).rlike(S.web_regex(CONTINUES))), F.lit(False))
+        more = filled(F.when(same, x["r"]).otherwise(F.concat(F.array(x["h"]), x["r"])))
+        grown = F.struct(now["headers"].alias("headers"), flow(now["rows"], more).alias("rows"), F.array_distinct(F.concat(now["pages"], F.array(x["page"].cast("int")))).alias("pages"), (now["pieces"] + 1).alias("pieces"))
+        fresh = F.struct(x["h"].alias("headers"), filled(x["r"]).alias("rows"), F.array(x["page"].cast("int")).alias("pages"), F.lit(1).alias("pieces"))
+        closed = F.when(goes_on | now.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(now)))
+        return F.struct(closed.alias("done"), F.when(goes_on, grown).otherwise(fresh).alias("now"))
+
+    every = F.aggregate("seq", start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+    return seq.select("doc_id", F.posexplode(every).alias("m", "t")).select("doc_id", (F.col("m") + 1).alias("master"), "t.headers", "t.rows", "t.pages", "t.pieces")
 
 
 def watermarks(spans: DataFrame, keywords: list[str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -90,20 +92,48 @@ def replace_slice(table: DataFrame, fresh: DataFrame, key: str = "report_id") ->
     return table.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
-def save_reports(spark: SparkSession, reports: DataFrame, raw_text: str, path: str) -> None:
-    """Store new reports under a path: de-duplicated by text against what is there."""
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def save_reports(spark: SparkSession, reports: DataFrame, raw_text: str, path: str, batch_id: str | int | None = None) -> None:
+    """Store new reports under a path: de-duplicated by text against what is there.
+
+    Each call writes one partition `batch` of every table, child tables first and `reports` last:
+    that last write commits the batch. A call that failed before it left nothing that readers
+    see, and the same batch, saved again, overwrites its own leavings; a committed batch is not
+    written twice. A stream passes its batch number, so replays are harmless."""
+    batch = str(batch_id) if batch_id is not None else uuid.uuid4().hex
+    if exists(spark, f"{path}/reports/batch={batch}/_SUCCESS"):
+        return
     known = read_table(spark, path, "reports", "file_hash_sha256 string")
-    fresh = with_record_id(dedup_by_hash(reports, F.coalesce(F.col(raw_text), F.to_json("metadata")), F.col("ord"), known))
-    for name, rows in fan_out(fresh).items():
-        rows.write.mode("append").parquet(f"{path}/{name}")
+    fresh = with_record_id(dedup_by_hash(reports, F.coalesce(F.col(raw_text), F.to_json("metadata")), F.col("ord"), known)).persist()
+    parts = fan_out(fresh)
+    for name in [*TABLES[1:], TABLES[0]]:
+        parts[name].write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+    fresh.unpersist()
 
 
 def read_table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """A stored table; one that was never written is empty."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    """The committed rows of a stored table; one that was never written is empty."""
+    if not exists(spark, f"{path}/{name}") or not exists(spark, f"{path}/reports"):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/{name}")
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/reports")
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [str(f.getPath()) for f in files.listStatus(top) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]  # one a batch
+    at = [f"{path}/{name}/{x.rsplit('/', 1)[-1]}" for x in done]
+    return spark.read.schema(schema).parquet(*at) if at else spark.createDataFrame([], schema)
+
+
+def shaped_pages(pages: DataFrame) -> DataFrame:
+    """Pages as a reader is shown them, with their number of tables."""
+    return pages.select("doc_id", F.col("page").alias("page_number"), F.length(F.coalesce("text", F.lit(""))).alias("char_count"), "text", F.coalesce(F.size("tables"), F.lit(0)).alias("tables_count"))
+
+
+def newest_first(index: DataFrame, time: str = "synced_at", order: str = "ord") -> DataFrame:
+    """The index as it is listed: what was stored last stands first."""
+    return index.orderBy(F.desc(time), F.desc(order))
 
 
 def get_report(reports: DataFrame, report_id: str) -> DataFrame:

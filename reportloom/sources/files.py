@@ -64,6 +64,52 @@ def docx_scan(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, ord int, kind string, text string, error string")
 
 
+BLOCK = "path string, ord int, kind string, text string, page int, error string"
+
+
+def pdf_blocks(content: bytes) -> list[tuple[str, str, int]]:
+    """(kind, text, page) of a PDF's text blocks and tables (R2). The reader is optional."""
+    import fitz
+
+    out = []
+    with fitz.open(stream=content, filetype="pdf") as pdf:
+        for number, page in enumerate(pdf, 1):
+            out += [("paragraph", b[4].strip(), number) for b in page.get_text("blocks") if b[4].strip()]
+            out += [("table", "\n".join("\t".join(" ".join((c or "").split()) for c in r) for r in t.extract()), number) for t in page.find_tables().tables]
+    return out
+
+
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of every supported file below a path, by the reader of its format (R1, R2, R3). A file
+    that can't be read, for want of a reader (old .doc always, PDF without its library) or because
+    it is broken, gives one row with its error (R4) and never fails the others."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    files = files.select("path", kind.alias("format"), "content").filter(F.col("format").isin(*SUPPORTED))
+
+    def blocks(format_: str, content: bytes) -> list[tuple[str, str, int]]:
+        if format_ == "doc":
+            raise NotImplementedError("UNSUPPORTED_FORMAT: convert .doc to .docx first")
+        if format_ == "pdf":
+            try:
+                return pdf_blocks(content)
+            except ImportError as e:
+                raise NotImplementedError("UNSUPPORTED_FORMAT: no PDF reader is installed") from e
+        return [(k, t, 1) for k, t in docx_blocks(content)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for p, kind, c in zip(f["path"], f["format"], f["content"], strict=True):
+                try:
+                    rows += [(p, i, k, t, n, None) for i, (k, t, n) in enumerate(blocks(kind, bytes(c)))]
+                except Exception as e:  # noqa: BLE001  one broken file must not fail the others
+                    rows.append((p, 0, None, None, None, f"{type(e).__name__}: {e}"[:300]))
+            yield pd.DataFrame(rows, columns=["path", "ord", "kind", "text", "page", "error"]).astype({"page": "Int32"})
+
+    return files.mapInPandas(run, BLOCK)
+
+
 def needs_ocr(pages: DataFrame) -> DataFrame:
     """The routing rule of image pages (R6) and scanned documents."""
     return pages.withColumn("needs_ocr", ((F.col("char_count") < 40) & F.col("has_images")) | (F.col("char_count") == 0))
@@ -73,6 +119,17 @@ def scanned(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.sum("char_count").alias("total_chars"), F.count("*").alias("pages")).withColumn("is_scanned", F.col("total_chars") < 50 * F.col("pages"))
 
 
+def vacuum_uploads(spark: SparkSession, path: str, now, hours: int = 2) -> int:
+    """Delete the expired uploads of a landing folder; the number deleted (W8). Listed by the driver:
+    a landing folder holds what came in during some hours."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "modificationTime")
+    gone = 0
+    for r in expired_uploads(files, now, hours).select("path").toLocalIterator():
+        at = spark._jvm.org.apache.hadoop.fs.Path(r.path)
+        gone += at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, False)
+    return gone
+
+
 def expired_uploads(files: DataFrame, now, hours: int = 2) -> DataFrame:
     """Uploads named by their millisecond stamp that are too old."""
     return files.filter(F.col("file_name").rlike(r"^\d{13}_") & (F.col("modificationTime") < F.lit(now) - F.make_dt_interval(hours=F.lit(hours))))
