@@ -192,14 +192,16 @@ def pack_pages(rows: DataFrame, key: str = "doc_id", full: int = 2200, section:
     a section begins (V6). The reset is a fold over each document's lines, in order."""
     item = F.struct(F.col("ord"), F.length("line").alias("size"), F.col("line").rlike(heading).alias("head"))
     seq = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("seq"))  # one document's lines
-    start = F.struct(F.lit(1).alias("page"), F.lit(0).alias("held"), F.array().cast("array<struct<ord:int,page:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("held"), F.array().cast("array<int>").alias("breaks"))
 
     def step(acc, x):
         flush = (acc["held"] > 0) & ((acc["held"] + x["size"] > full) | (x["head"] & (acc["held"] >= section)))
-        page = acc["page"] + F.when(flush, 1).otherwise(0)
-        return F.struct(page.alias("page"), (F.when(flush, 0).otherwise(acc["held"]) + x["size"]).alias("held"), F.concat(acc["out"], F.array(F.struct(x["ord"].cast("int").alias("ord"), page.alias("page")))).alias("out"))
+        breaks = F.when(flush, F.concat(acc["breaks"], F.array(x["ord"].cast("int")))).otherwise(acc["breaks"])
+        return F.struct((F.when(flush, 0).otherwise(acc["held"]) + x["size"]).alias("held"), breaks.alias("breaks"))
 
-    return seq.select(key, F.explode(F.aggregate("seq", start, step, lambda a: a["out"])).alias("x")).select(key, F.col("x.ord").alias("ord"), F.col("x.page").alias("page"))
+    found = seq.select(key, F.transform("seq", lambda x: x["ord"]).alias("ords"), F.aggregate("seq", start, step, lambda a: a["breaks"]).alias("breaks"))
+    spread = found.select(key, "breaks", F.explode("ords").alias("ord"))
+    return spread.select(key, "ord", (F.size(F.filter("breaks", lambda b: b <= F.col("ord"))) + 1).alias("page"))
 
 
 ABBREVIATIONS = ("tp.", "ths.", "ts.", "gs.", "pgs.", "kts.", "st.", "tx.", "q.", "p.")
