@@ -37,9 +37,10 @@ from . import common as C
 
 MAGIC = b"FRVB2\0\0\0"
 HEAD = "<8sQQQQQ"
-BLOCK_TOKENS = 2_000_000
-CACHE_PIECES = 1_000_000
-CACHE_BYTES = 32 << 20
+BLOCK_TOKENS = 1_000_000
+TABLE = 1 << 18
+CACHE_PIECES = 800_000
+CACHE_BYTES = 48 << 20
 U64 = np.uint64
 
 
@@ -49,12 +50,17 @@ U64 = np.uint64
 def encode_block(docs: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nulls: int = 0) -> bytes:
     """docs: int64 document ids, of which the first `nulls` are null; lengths: tokens of each;
     ids: all tokens, uint32."""
-    names, back, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and int(ids.max()) < TABLE + 4 * len(ids):  # a table by id, bounded by the block's size
+        counts = np.bincount(ids)
+        names = np.flatnonzero(counts)
+        counts, back = counts[names], None
+    else:
+        names, back, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.lexsort((names, -counts))
     ranked = names[order].astype(np.uint32)
-    rank_of = np.zeros(len(order), np.uint32)
-    rank_of[order] = np.arange(len(order), dtype=np.uint32)
-    ranks = rank_of[back]
+    rank_of = np.zeros(len(order) if back is not None else int(ranked.max()) + 1, np.uint32)
+    rank_of[order if back is not None else ranked] = np.arange(len(order), dtype=np.uint32)
+    ranks = rank_of[ids if back is None else back]
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     pad = np.zeros(-len(size) % 4, np.uint8)
     four = np.concatenate([(size - 1).astype(np.uint8), pad]).reshape(-1, 4)
@@ -155,12 +161,14 @@ class Encoder:
         slots = slots[back]
         # the pieces tile the rows, so their cached bytes, joined, must be the rows' own
         a, b = self.raw_at[slots], self.raw_at[slots + 1]
-        if (b - a != e - s).any() or not np.array_equal(self.raw[np.arange(len(data)) + np.repeat(a - s, e - s)], data):
+        place = np.repeat((a - s).astype(np.int32), e - s) if (b - a == e - s).all() else np.zeros(0, np.int32)
+        if len(place) != len(data) or not np.array_equal(self.raw.take(place + np.arange(len(data), dtype=np.int32)), data):
             return self.plain(data, off)
+        del place
         a, b = self.at[slots], self.at[slots + 1]
         size = b - a
         ends = np.cumsum(size)
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(a - (ends - size), size)]
+        ids = self.flat.take(np.repeat((a - (ends - size)).astype(np.int32), size) + np.arange(ends[-1], dtype=np.int32))
         row = np.searchsorted(off, s, side="right") - 1
         return ids, np.bincount(row, weights=size, minlength=n_rows).astype(np.int64)
 
@@ -187,6 +195,7 @@ def write_blocks(path: str, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
+        C.release_memory()
         part = TaskContext.get().partitionId()
         enc = encoder(path)
         docs, lengths, ids, held, block, nulls = [], [], [], 0, 0, 0
@@ -196,7 +205,7 @@ def write_blocks(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([len(i)], pa.int64()), pa.array([encode_block(d, n, i, nulls)], pa.binary())], ["part", "block", "tokens", "payload"])
 
         for whole in batches:
-            for b in C.chunks(whole, "text"):
+            for b in C.chunks(whole, "text", C.CHUNK_BYTES // 2):
                 data, off = C.text_bytes(b.column(1))
                 got, n = enc(data, off)
                 out = np.full(len(got) + len(n), end_id, np.uint32)
