@@ -93,13 +93,16 @@ def period_comparison(spark, sf):
     return A.compare_metrics(month_metrics(spark, sf, 1996), month_metrics(spark, sf, 1997))
 
 
-PIECES = "a AS (SELECT DISTINCT p_name AS t FROM part JOIN lineitem ON l_partkey = p_partkey WHERE year(l_shipdate) = 1996 AND month(l_shipdate) = 3), b AS (SELECT DISTINCT p_name AS t FROM part JOIN lineitem ON l_partkey = p_partkey WHERE year(l_shipdate) = 1997 AND month(l_shipdate) = 3)"
+MONTH = "SELECT DISTINCT p_name || ' ' || p_brand || CASE WHEN p_size > 25 THEN ' x' ELSE p_size::VARCHAR END AS t FROM part JOIN lineitem ON l_partkey = p_partkey WHERE year(l_shipdate) = {} AND month(l_shipdate) = 3 AND day(l_shipdate) <= 9"
+PIECES = f"a AS ({MONTH.format(1996)}), b AS ({MONTH.format(1997)})"
 NEAR = "EXISTS (SELECT 1 FROM a WHERE contains(a.t, b.t[:15]) OR contains(b.t, a.t[:15]))"
 
 
 def month_names(spark, sf, year: int) -> DataFrame:
     l, p = read(spark, sf, "lineitem"), read(spark, sf, "part")
-    return l.filter((F.year("l_shipdate") == year) & (F.month("l_shipdate") == 3)).join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_name").alias("t")).distinct()
+    name = F.concat("p_name", F.lit(" "), "p_brand", F.when(F.col("p_size") > 25, " x").otherwise(F.col("p_size").cast("string")))
+    days = (F.year("l_shipdate") == year) & (F.month("l_shipdate") == 3) & (F.dayofmonth("l_shipdate") <= 9)
+    return l.filter(days).join(p, F.col("l_partkey") == F.col("p_partkey")).select(name.alias("t")).distinct()
 
 
 @query(f"WITH {PIECES} SELECT t FROM b WHERE {NEAR}")
@@ -159,7 +162,7 @@ def order_reports(spark, sf) -> DataFrame:
     metric = lambda x: F.struct(F.concat(F.lit("line "), x["l_linenumber"]).alias("indicator"), none.alias("plan_target"), s(x["l_quantity"].cast("int")).alias("actual"), none.alias("percentage"), none.alias("unit"), F.when(x["l_returnflag"] == "R", "RED").otherwise("").alias("status"), none.alias("trend"), x["l_linenumber"].cast("int").alias("page_ref"), none.alias("quote"))
     rel = lambda x: F.struct(F.lit("").alias("problem"), F.concat(F.lit("thủ tục "), x["l_returnflag"]).alias("issue"), none.alias("root_cause"), none.alias("cause_description"), none.alias("cause"), none.alias("consequence"), none.alias("impact"), none.alias("urgency"), F.when(x["l_returnflag"] == "R", "HIGH").alias("severity"), none.alias("responsible_agency"), none.alias("responsible_party"))
     act = lambda x: F.struct(none.alias("task_title"), F.concat(F.lit("ship "), x["l_linenumber"]).alias("action_title"), none.alias("lead_assignee"), none.alias("owner_department"), none.alias("deadline"), none.alias("status"))
-    tab = lambda x: F.struct(none.alias("table_title"), F.array(F.lit("a"), F.lit("b")).alias("headers"), F.array(F.array(F.lit("1"), F.lit("2"))).alias("rows"), F.lit(None).cast("int").alias("row_count"), F.lit(None).cast("int").alias("col_count"), F.lit(0).alias("page_ref"))
+    tab = lambda x: F.struct(F.when(x["l_returnflag"] == "R", F.concat(F.lit("T"), x["l_linenumber"])).alias("table_title"), F.array(F.lit("a"), F.lit("b")).alias("headers"), F.array_repeat(F.array(F.lit("1"), F.lit("2")), x["l_linenumber"].cast("int")).alias("rows"), F.lit(None).cast("int").alias("row_count"), F.when(x["l_returnflag"] == "A", 7).alias("col_count"), (x["l_linenumber"].cast("int") - 1).alias("page_ref"))
     empty = F.filter(F.transform("lines", act), lambda _: F.lit(False))
     meta = F.struct(none.alias("document_title"), none.alias("document_type"), s(F.col("o_orderkey")).alias("document_number"), F.col("o_orderpriority").alias("issuing_authority"), none.alias("receiving_authority"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("issuance_date"), F.date_format("o_orderdate", "yyyy-MM").alias("reporting_period"), F.lit("").alias("primary_domain"), F.array(F.col("o_orderstatus")).alias("domain_tags"))
     detail = F.struct(F.transform("lines", metric).alias("metrics"), F.transform(F.slice("lines", 1, 1), tab).alias("tables"), F.transform("lines", rel).alias("relationships"), empty.alias("action_items"), F.transform("lines", act).alias("actions_next_period"))
@@ -181,7 +184,7 @@ def fanout_metrics(spark, sf):
     return W.fan_out(order_reports(spark, sf))["report_metrics"].select("id", "report_id", "issuing_authority", "indicator_name", "actual_value", "status", "trend", "page_ref")
 
 
-@query("SELECT DISTINCT 'rt-' || l_orderkey || '-1' AS id, l_orderkey::VARCHAR AS report_id, 'Bảng 1' AS table_title, 1 AS row_count, 2 AS col_count, 1 AS page_ref FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+@query(f"""SELECT 'rt-' || l_orderkey || '-1' AS id, l_orderkey::VARCHAR AS report_id, CASE WHEN l_returnflag = 'R' THEN 'T' || l_linenumber ELSE 'Bảng 1' END AS table_title, l_linenumber::INTEGER AS row_count, CASE WHEN l_returnflag = 'A' THEN 7 ELSE 2 END AS col_count, greatest(l_linenumber - 1, 1)::INTEGER AS page_ref {LINES} QUALIFY {NTH} = 1""")
 def fanout_tables(spark, sf):
     return W.fan_out(order_reports(spark, sf))["report_tables"].select("id", "report_id", "table_title", "row_count", "col_count", "page_ref")
 
@@ -314,12 +317,13 @@ def page_packing(spark, sf):
     return TX.pack_pages(TX.lines(read(spark, sf, "documents").select("doc_id", "text")))
 
 
-@query()
+@query("""WITH t AS (SELECT o_orderkey AS doc_id, floor(o_totalprice)::BIGINT::VARCHAR AS n FROM orders) SELECT doc_id, 1 AS n, 'Thu ngân sách' AS indicator, n AS actual, 'tỷ đồng' AS unit, 'THUC_HIEN_THUC_TE' AS data_nature, 'GREEN' AS status, 'ON_DINH' AS trend FROM t
+ UNION ALL SELECT doc_id, 2, 'Tổng vốn đầu tư', n, 'triệu đồng', 'UOC_THUC_HIEN', 'GREEN', 'ON_DINH' FROM t""")
 def metric_extraction(spark, sf):
-    return TX.metrics(report_texts(spark, sf))
+    return TX.metrics(report_texts(spark, sf)).select("doc_id", "n", "indicator", "actual", "unit", "data_nature", "status", "trend")
 
 
-@query()
+@query("""SELECT o_orderkey AS doc_id, 1 AS n, 'Khó khăn vướng mắc do thiếu vật liệu, ảnh hưởng đến tiến độ thi công.' AS issue, 'HIGH' AS severity, 'Do thiếu vật liệu' AS cause, 'ảnh hưởng đến tiến độ thi công' AS impact FROM orders""")
 def relationship_extraction(spark, sf):
     return TX.relationships(report_texts(spark, sf))
 
@@ -327,7 +331,7 @@ def relationship_extraction(spark, sf):
 def report_texts(spark, sf) -> DataFrame:
     """Orders as short Vietnamese reports."""
     n = F.floor("o_totalprice").cast("string")
-    text = F.concat(F.lit("- Thu ngân sách: "), n, F.lit(" tỷ đồng\nTổng vốn đầu tư ước đạt "), n, F.lit(" triệu đồng.\nKhó khăn vướng mắc do thiếu vật liệu, ảnh hưởng đến tiến độ thi công."))
+    text = F.concat(F.lit("- Thu ngân sách: "), n, F.lit(" tỷ đồng;\nTổng vốn đầu tư ước đạt "), n, F.lit(" triệu đồng.\nKhó khăn vướng mắc do thiếu vật liệu, ảnh hưởng đến tiến độ thi công."))
     return read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
 
 
@@ -336,12 +340,18 @@ def html_flow(spark, sf):
     return TX.html_flow(read(spark, sf, "pages")).select("page_id", "ord", "tag")
 
 
-@query("""WITH s AS (SELECT item_id % 10 AS doc_id, item_id AS sid, text FROM benchmark), p AS (SELECT item_id % 10 AS doc_id, item_id AS page, text FROM benchmark)
- SELECT doc_id, sid, sid AS page, 'EXACT' AS tier FROM s""")
+TURN_WORDS = "SELECT conv_id AS doc_id, turn, lower(trim(regexp_replace(regexp_replace(regexp_replace({0}, '-[\\s]*\\n[\\s]*', '', 'g'), '[\\s]+', ' ', 'g'), '^[-*•+\\d.)\\s]+', ''))) AS t FROM conversations"
+
+
+@query(f"""WITH p AS ({TURN_WORDS.format("text")}), s AS ({TURN_WORDS.format("CASE WHEN turn % 3 = 0 THEN text WHEN turn % 3 = 1 THEN 'qqq zzz ' || text ELSE 'qqq zzz ' || turn END")}),
+ w AS (SELECT doc_id, turn AS sid, t, list_distinct(list_filter(string_split(t, ' '), lambda x: length(x) >= 3)) AS k FROM s), b AS (SELECT w.doc_id, sid, p.turn AS page, contains(p.t, left(w.t, 20)) AS exact, CASE WHEN len(k) >= 2 THEN len(list_filter(k, lambda x: list_contains(string_split(p.t, ' '), x))) / len(k)::DOUBLE ELSE 0.0 END AS share FROM w JOIN p ON p.doc_id = w.doc_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sid ORDER BY NOT exact, CASE WHEN exact THEN 0.0 ELSE -share END, page) AS n FROM b WHERE exact OR share >= 0.4)
+ SELECT w.doc_id, w.sid, page, CASE WHEN exact THEN 'EXACT' WHEN page IS NOT NULL THEN 'OVERLAP' ELSE 'FALLBACK' END AS tier FROM w LEFT JOIN (SELECT * FROM r WHERE n = 1) r ON r.doc_id = w.doc_id AND r.sid = w.sid""")
 def snippet_locate(spark, sf):
-    b = read(spark, sf, "benchmark")
-    key = (F.col("item_id") % 10).alias("doc_id")
-    return TX.locate_snippets(b.select(key, F.col("item_id").alias("sid"), F.substring("text", 1, 60).alias("snippet")), b.select(key, F.col("item_id").alias("page"), "text")).select("doc_id", "sid", "page", "tier")
+    c = read(spark, sf, "conversations")
+    k = F.col("turn") % 3
+    cut = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("qqq zzz "), "text")).otherwise(F.concat(F.lit("qqq zzz "), F.col("turn").cast("string")))
+    return TX.locate_snippets(c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("sid"), cut.alias("snippet")), c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")).select("doc_id", "sid", "page", "tier")
 
 
 TEST_DOMAINS = [("A", "Alpha", ["tion", "ment"], ["tion"], 3), ("B", "Beta", ["license"], ["license", "apache"], 2), ("C", "Gamma", ["keit"], ["keit", "ung"], 2)]
@@ -407,9 +417,23 @@ def csv_sanitize(spark, sf):
     return read(spark, sf, "part").select("p_partkey", S.csv_cell(F.concat(head, F.col("p_name"))).alias("cell"))
 
 
-@query("""SELECT p_partkey, trim(regexp_replace(p_name, '\\s+', ' ', 'g')) || ' x, y' AS t FROM part""")
+def cleaned_sql(x: str) -> str:
+    """The cleaner's rules as nested SQL replacements."""
+    space = "[\\\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]".replace("\\\\s", "\\s")
+    rules = [
+        (rf"(?i)\[{space}*(?:CRITICAL|HIGH|MEDIUM|LOW|NGHIEM_TRONG|CAO|TRUNG_BINH|THAP|CAN_XU_LY|CẦN XỬ LÝ){space}*\]", ""), (rf"(?i)\[{space}*(?:Trang|Page){space}*[^\]]+\]", ""),
+        (r"[\x{1F300}-\x{1F9FF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{FE00}-\x{FE0F}]", ""), (r"\*\*([^*]+)\*\*", r"\1"), (r"\*([^*]+)\*", r"\1"), (r"__([^_]+)__", r"\1"), (r"(?m)^#+[\t\n\v\f\r ]+", ""),
+        (r"\([\t\n\v\f\r ]*\)|\[[\t\n\v\f\r ]*\]", ""), (f"{space}+", " "), (r" ([.,;:!?])", r"\1"), *[(rf"({c})[\t\n\v\f\r ]*(?:{c})+", m) for c, m in ((r"\.", "."), (",", ","), (";", ";"), (":", ":"), ("!", "!"), (r"\?", "?"))], ("\ufffd", ""),
+    ]
+    for pattern, to in rules:
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return f"regexp_replace({x}, '^{space}+|{space}+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, sha256({cleaned_sql("'[HIGH] **' || source || '** ( ) x ,, y . . [Trang 3] # ' || text")}) AS h FROM documents")
 def text_clean(spark, sf):
-    return read(spark, sf, "part").select("p_partkey", S.clean_text(F.concat(F.lit("[HIGH]  **"), F.col("p_name"), F.lit("**  x ,  y ( ) [Trang 3]"))).alias("t"))
+    made = F.concat(F.lit("[HIGH] **"), "source", F.lit("** ( ) x ,, y . . [Trang 3] # "), "text")
+    return read(spark, sf, "documents").select("doc_id", S.content_hash(S.clean_text(made)).alias("h"))
 
 
 @query("SELECT p_partkey, CASE WHEN contains(p_type, 'STEEL') THEN '%' WHEN contains(p_type, 'TIN') THEN 'ha' ELSE '' END AS unit FROM part")
@@ -485,11 +509,11 @@ def range_context(spark, sf):
     return A.nearest_above(lines, boxes, "k", 70.0, F.col("text").startswith("view")).select("k", "box", "top", "title")
 
 
-@query("""WITH s AS (SELECT p_type AS t, p_size - 25 AS angle, p_partkey % 50 AS page FROM part) SELECT t AS text, count(*) AS n, max(abs(angle)) AS tilt, count(DISTINCT page) AS pages FROM s WHERE length(t) >= 4 GROUP BY 1 HAVING max(abs(angle)) > 24 OR (contains(lower(t), 'steel') AND length(t) <= 80)""")
+@query("""WITH s AS (SELECT p_name AS t, CASE WHEN p_name < 'm' THEN p_size - 25 ELSE p_size / 10 END::INTEGER AS angle, p_partkey % 50 AS page FROM part) SELECT t AS text, count(*) AS n, max(abs(angle)) AS tilt, count(DISTINCT page) AS pages FROM s WHERE length(t) >= 4 GROUP BY 1 HAVING max(abs(angle)) > 10 OR (contains(lower(t), 'ring') AND length(t) <= 80)""")
 def watermark_stats(spark, sf):
-    s = read(spark, sf, "part").select(F.col("p_type").alias("text"), (F.col("p_size") - 25).alias("angle"), (F.col("p_partkey") % 50).alias("page"))
-    # the tilt bound of the operator is 10; angles here reach it through p_size
-    return TX.watermarks(s.withColumn("angle", F.when(F.abs("angle") > 24, F.col("angle")).otherwise(F.col("angle") * 0)), ["steel"]).join(s.groupBy("text").agg(F.max(F.abs("angle")).alias("real")), "text").select("text", "n", F.col("real").alias("tilt"), "pages")
+    angle = F.when(F.col("p_name") < "m", F.col("p_size") - 25).otherwise(F.rint(F.col("p_size") / 10).cast("int"))
+    s = read(spark, sf, "part").select(F.col("p_name").alias("text"), angle.alias("angle"), (F.col("p_partkey") % 50).alias("page"))
+    return TX.watermarks(s, ["ring"]).select("text", "n", "tilt", "pages")
 
 
 @query("SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS page FROM conversations WHERE NOT (trim(text) = '' OR (length(trim(text)) <= 5 AND regexp_matches(trim(text), '^\\d+$'))) OR turn % 4 = 0")
