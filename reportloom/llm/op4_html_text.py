@@ -1,28 +1,37 @@
 """Operator 4: main text of web pages with a host suffix array over page token streams.
 
-1. Each page is parsed into text blocks, each with its place in the page (inside the article,
-   inside a region that never holds the main text, or neither). The parser closes what the
-   page left open; character references are decoded once, by HTML's rules.
-2. A host's pages are dealt into bounded groups. A group's undecided blocks are concatenated
-   into one token stream with a separator per page, a suffix array is built by prefix
-   doubling, and runs of at least LEAST_TOKENS tokens that stand on several distinct pages
-   are boilerplate. Where a host has several groups, its runs of LEAST_TOKENS tokens are also
-   counted over the whole host, so the groups don't shape the result.
-3. Undecided blocks that boilerplate covers from end to end go; a block of which only a part
-   repeats is kept whole. Blocks of an article are kept whole: a mirrored article is no
-   boilerplate.
-
-A page with an <article> or <main> yields just that region, less the regions inside it that
-never hold main text; the suffix array decides only where markup doesn't.
+1. Each page is parsed into text blocks and their place: in the article, nominated as
+   boilerplate inside it by a class or id, elsewhere on a page that has an article, or open (a
+   page without an article). Regions that never hold main text (menus, scripts, forms, ...)
+   give no block. The parser closes what the page left open; character references are decoded
+   once, by HTML's rules.
+2. The blocks of a page, joined, are its token stream. Streams of all pages are cut into
+   super-k-mers: runs of windows of RUN words under one minimiser. (host, minimiser) is a
+   bucket, so windows that agree meet whatever the host's size, and no stage is keyed by host.
+   Blocks shorter than RUN words, neighbours of few words taken together, are buckets of
+   their own. Buckets without a second page, or without a nominated or open block, go.
+3. The strings of the buckets left are concatenated with separators and a suffix array is built
+   by prefix doubling; runs of RUN tokens or more that stand on distinct pages of the host are
+   boilerplate. A bucket too large for one array is taken in several, whose runs are merged
+   by their 128-bit fingerprints, so nothing depends on the size of a group.
+4. A nominated or open block that boilerplate covers from end to end goes; a block of which only
+   a part repeats is kept whole. Other blocks of an article stay even where they repeat: a
+   mirrored or quoted article is no boilerplate.
+
+On a page with an <article> or <main> the blocks outside it go. Class and id hints remove a
+region outside articles; inside an article only whole names that mean nothing else do, and the
+looser hints nominate. Nominations that hold half of an article's words or more are void.
+
+Pages without a nominated or open block are never shuffled; the pages with one meet their
+findings by page key, and html moves only where these findings are too large to broadcast.
 
 Defined results: null and empty html give an empty text and 0 characters; pages of one host
-never share a group with another host's; repeated rows are extracted alike (rows of equal
-page_id and url count as one page for boilerplate); a null url is a host of its own.
+never meet another host's; repeated rows are extracted alike (rows of equal page_id and url
+count as one page); a null url is a host of its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from html.parser import HTMLParser
 
@@ -32,28 +41,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import op8_substring_dedup as op8
 
-GROUP_BYTES = 2 << 20
-LEAST_TOKENS = 4
+U64 = np.uint64
+RUN = 24
+LEAST_UNIT = 4
+ARRAY_STRINGS = 50_000
+UNIT_SALT = U64(0x9FB21C651E98DF25)
 # fixed values: HTML's element classes
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe object svg math canvas noframes noembed textarea title".split())
 NEVER = RAW | set("head nav header footer aside form button select option dialog menu datalist fieldset label audio video".split())
 BLOCKS = set("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul br".split())
+EDGES = BLOCKS | NEVER
+CDATA = RAW - {"svg", "math", "object", "noscript", "template"}
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HINTS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adv|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|footer\w*|header|masthead|cookies?|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscri\w*|share\w*|sharing|social\w*|comments?|comment-?list|respond|disqus\w*|related|recommend\w*|trending|pagination|pager|login|signup|search\w*|toolbar|skip\w*|copyright|legal|disclaimer)(?=$|[\s_-])", re.I)
-CLOSES_P = BLOCKS - {"br"}
+NAMES = set("ad ads advert advertisement sponsored breadcrumb breadcrumbs sidebar cookie-notice cookie-banner newsletter share-bar share-buttons social-share social-links comments comment-list disqus_thread respond related-posts pagination".split())
 SPACES = re.compile(r"\s+")
+ARTICLE, NOMINATED, ELSEWHERE, OPEN = 0, 1, 2, 3
 
 
 class Page(HTMLParser):
-    """Blocks of a page: (inside the article, text)."""
+    """Blocks of a page: (kind, text). Every tag costs a constant, whatever the nesting."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, never, article
-        self.never = self.article = 0
-        self.blocks: list[tuple[bool, str]] = []
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, never, article, nominated
+        self.places: dict[str, list[int]] = {}  # where each tag stands in the stack
+        self.edges: list[int] = []  # where elements that end a paragraph stand
+        self.never = self.article = self.nominated = 0
+        self.blocks: list[tuple[int, str]] = []
         self.held: list[str] = []
         self.seen_article = False
 
@@ -61,90 +79,214 @@ class Page(HTMLParser):
         if self.held:
             text = SPACES.sub(" ", "".join(self.held)).strip()
             if text:
-                self.blocks.append((self.article > 0, text))
+                self.blocks.append((OPEN if not self.article else NOMINATED if self.nominated else ARTICLE, text))
             self.held = []
 
     def pop(self):
-        tag, never, article = self.stack.pop()
+        tag, never, article, nominated = self.stack.pop()
+        self.places[tag].pop()
+        if tag in EDGES:
+            self.edges.pop()
         self.never -= never
         self.article -= article
+        self.nominated -= nominated
+
+    def close_to(self, at: int):
+        while len(self.stack) > at:
+            self.pop()
 
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS or tag in NEVER:
+        edge = tag in EDGES
+        if edge:
             self.flush()
         if tag in VOID:
             return
-        if tag in CLOSES_P and any(t == "p" for t, _, _ in self.stack):
-            at = max(i for i, x in enumerate(self.stack) if x[0] == "p")
-            inner = self.stack[at + 1 :]
-            if not any(t in BLOCKS or t in NEVER for t, _, _ in inner):
-                while len(self.stack) > at:
-                    self.pop()
+        if edge and tag in BLOCKS and self.places.get("p") and self.edges[-1] == self.places["p"][-1]:
+            self.close_to(self.edges[-1])  # a block ends an open paragraph
         if tag == "li" and self.stack and self.stack[-1][0] == "li":
             self.pop()
-        values = dict(attrs)
-        article = tag in ("article", "main") or values.get("role") in ("main", "article")
-        named = f"{values.get('class') or ''} {values.get('id') or ''}"
-        never = tag in NEVER and not (tag == "header" and self.article) or values.get("role") in ROLES or "hidden" in values or values.get("aria-hidden") == "true"
-        never = never or (tag not in ("html", "body", "article", "main") and bool(HINTS.search(named)))
-        self.stack.append((tag, never, article and not self.never))
+        article = tag in ("article", "main")
+        never = tag in NEVER and not (tag == "header" and self.article)
+        nominated = False
+        if attrs and not self.never:
+            values = dict(attrs)
+            role = values.get("role")
+            article = article or role in ("main", "article")
+            never = never or role in ROLES or "hidden" in values or values.get("aria-hidden") == "true"
+            named = f"{values.get('class') or ''} {values.get('id') or ''}"
+            if len(named) > 1 and not article and tag not in ("html", "body"):
+                if not NAMES.isdisjoint(named.lower().split()):
+                    never = True
+                elif HINTS.search(named):
+                    nominated = self.article > 0
+                    never = never or not nominated
+        article = article and not self.never
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if edge:
+            self.edges.append(len(self.stack))
+        self.stack.append((tag, never, article, nominated))
         self.never += never
-        if self.stack[-1][2]:
-            self.article += 1
-            self.seen_article = True
-        if tag in RAW:
-            self.set_cdata_mode(tag) if tag not in ("svg", "math", "object", "noscript", "template") else None
+        self.article += article
+        self.nominated += nominated
+        self.seen_article |= article
+        if tag in CDATA:
+            self.set_cdata_mode(tag)
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCKS:
             self.flush()
 
     def handle_endtag(self, tag):
-        if tag in BLOCKS or tag in NEVER:
+        if tag in EDGES:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                # inline end tags don't close blocks around them
-                if tag not in BLOCKS and tag not in NEVER and any(t in BLOCKS for t, _, _ in self.stack[i + 1 :]):
-                    return
-                while len(self.stack) > i:
-                    self.pop()
-                return
+        at = self.places.get(tag)
+        # inline end tags don't close blocks around them
+        if at and (tag in EDGES or not self.edges or self.edges[-1] < at[-1]):
+            self.close_to(at[-1])
 
     def handle_data(self, data):
         if not self.never:
             self.held.append(data)
 
 
-def blocks_of(page: str | None) -> tuple[bool, list[tuple[bool, str]]]:
-    if not page:
-        return False, []
+def blocks_of(html: str | None) -> list[tuple[int, str]]:
+    """(kind, text) of a page's blocks."""
+    if not html:
+        return []
     p = Page()
-    p.feed(page)
+    p.feed(html)
     p.close()
     p.flush()
-    return p.seen_article, p.blocks
-
-
-def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array by prefix doubling, and the length of the prefix that each suffix shares
-    with the one before it (compared up to LEAST_TOKENS * 2**k as the doubling goes)."""
+    blocks = p.blocks
+    if p.seen_article:
+        blocks = [(ELSEWHERE if k == OPEN else k, t) for k, t in blocks]
+        sizes = [0, 0]
+        for k, t in blocks:
+            if k != ELSEWHERE:
+                sizes[k] += t.count(" ") + 1
+        if sizes[NOMINATED] >= sizes[ARTICLE]:
+            blocks = [(ARTICLE if k == NOMINATED else k, t) for k, t in blocks]
+    return blocks
+
+
+def judged(kind: int) -> bool:
+    return kind in (NOMINATED, OPEN)
+
+
+def units_of(sizes: np.ndarray, kinds: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """The unit that each block belongs to: neighbours of few words and one kind together."""
+    few = sizes < LEAST_UNIT
+    new = np.ones(len(sizes), bool)
+    new[1:] = ~(few[1:] & few[:-1]) | (page[1:] != page[:-1]) | (kinds[1:] != kinds[:-1])
+    return np.cumsum(new) - 1
+
+
+class Streams:
+    """Token streams of some pages, their blocks and units."""
+
+    def __init__(self, hosts: np.ndarray, htmls: list):
+        self.blocks = [blocks_of(x) for x in htmls]
+        self.n = len(htmls)
+        flat = [b for p in self.blocks for b in p]
+        self.page = np.repeat(np.arange(self.n), [len(p) for p in self.blocks])
+        self.kind = np.array([k for k, _ in flat], np.int8)
+        self.size = np.array([t.count(" ") + 1 for _, t in flat], np.int64)
+        self.host = C.mix(hosts.view(U64) + U64(1))
+        self.data, self.off = C.text_bytes(pa.array([" ".join(t for _, t in p) for p in self.blocks], pa.string()))
+        self.ws, self.we, self.row = C.words(self.data, self.off)
+        self.end = np.cumsum(self.size)  # words before each block's end: the stream's words are the blocks'
+        self.start = self.end - self.size
+
+    def kmers(self):
+        """First word, windows, and bucket of each super-k-mer, and whether a judged block lies in it."""
+        s, k, mz, _ = op8.super_kmers(self.data, self.ws, self.we, self.row, np.zeros(0, U64), RUN)
+        bucket = C.mix(mz ^ self.host[self.row[s]])
+        marks = np.concatenate([[0], np.cumsum(np.repeat(self.kind, self.size) % 2)])  # judged kinds are odd
+        return s, k, bucket, marks[s + k + RUN - 1] > marks[s]
+
+    def units(self):
+        """Unit of each block; and of each unit its page, bucket, check, words, and kind."""
+        of = units_of(self.size, self.kind, self.page)
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(of)) - 1
+        words = self.end[last] - self.start[first]
+        a, z = self.ws[self.start[first]], self.we[self.end[last] - 1]
+        page = self.page[first]
+        bucket = C.mix(C.word_hashes(self.data, a, z) ^ self.host[page] ^ UNIT_SALT)
+        check = C.word_hashes(self.data, a, z, 1) | U64(1)
+        return of, page, bucket, check, words, self.kind[first]
+
+
+def pieces_of(batches, most: int = C.CHUNK_BYTES):
+    for whole in batches:
+        yield from C.chunks(whole, "html", most)
+
+
+def page_entries(batches):
+    """(bucket, check, page, judged): the buckets of each page once; check is 0 but for units."""
+    for b in pieces_of(batches):
+        x = Streams(b.column(0).to_numpy(), b.column(2).to_pylist())
+        s, _, bucket, mark = x.kmers()
+        _, upage, ubucket, ucheck, words, kind = x.units()
+        some = (words >= LEAST_UNIT) & (words < RUN)
+        row = np.concatenate([x.row[s], upage[some]])
+        bucket = np.concatenate([bucket, ubucket[some]])
+        check = np.concatenate([np.zeros(len(s), U64), ucheck[some]])
+        mark = np.concatenate([mark, kind[some] % 2 > 0])
+        order = np.lexsort((~mark, check, bucket, row))
+        row, bucket, check, mark = row[order], bucket[order], check[order], mark[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1]) | (check[1:] != check[:-1])
+        yield pa.RecordBatch.from_arrays([C.as_long(bucket[new]), C.as_long(check[new]), b.column(1).take(pa.array(row[new])), pa.array(mark[new])], ["bucket", "check", "page", "judged"])
+
+
+def window_prints(data, ws, we) -> list[np.ndarray]:
+    """128 bits of each window of RUN words."""
+    out = []
+    for lane in (0, 1):
+        x = C.word_hashes(data, ws, we, lane)
+        up, down = C.powers(len(x) + 1)
+        p = np.concatenate([[U64(0)], np.cumsum(x * up[: len(x)])])
+        n = len(x) - RUN + 1
+        out.append(C.mix((p[RUN:] - p[:n]) * down[:n]) if n > 0 else np.zeros(0, U64))
+    return out
+
+
+def page_strings(batches):
+    """(bucket, page, string, n, judged) of the super-k-mers of open buckets."""
+    for b in pieces_of(batches):
+        x = Streams(b.column(0).to_numpy(), b.column(2).to_pylist())
+        s, k, bucket, mark = x.kmers()
+        lists = b.column(3)
+        wanted = np.asarray(lists.flatten()).view(U64)
+        owner = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
+        key = C.mix(bucket ^ C.mix(x.row[s].astype(U64)))
+        keep = np.isin(key, C.mix(wanted ^ C.mix(owner.astype(U64))))
+        s, k, bucket, mark, row = s[keep], k[keep], bucket[keep], mark[keep], x.row[s[keep]]
+        yield pa.RecordBatch.from_arrays(
+            [C.as_long(bucket), b.column(1).take(pa.array(row)), C.binary(x.data, x.ws[s], x.we[s + k + RUN - 2]), pa.array(s - np.searchsorted(x.row, row)), pa.array(mark)], ["bucket", "page", "string", "place", "judged"]
+        )
+
+
+def suffix_array(s: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array by prefix doubling, as far as `most` tokens tell suffixes apart, and the length
+    of the prefix that each suffix shares with the one before it."""
     n = len(s)
     _, rank = np.unique(s, return_inverse=True)
     ranks, width = [rank.astype(np.int64)], 1
-    while True:
+    order = np.argsort(rank, kind="stable")
+    while width < min(most, n):
         second = np.full(n, -1, np.int64)
-        second[: n - width] = rank[width:] if width < n else []
+        second[: n - width] = rank[width:]
         order = np.lexsort((second, rank))
         a, b = rank[order], second[order]
-        step = np.ones(n, np.int64)
-        step[0] = 0
+        step = np.zeros(n, np.int64)
         step[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(step)
         ranks.append(rank)
         width *= 2
-        if step[1:].all() or width >= n:
+        if step[1:].all():
             break
     shared = np.zeros(n, np.int64)
     x, y = order[1:].copy(), order[:-1].copy()
@@ -158,104 +300,134 @@ def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def repeated_tokens(tokens: np.ndarray, page: np.ndarray, least: int) -> np.ndarray:
-    """Tokens covered by a run of at least `least` tokens that stands on two distinct pages.
-    tokens holds a distinct separator after each page, so no run crosses pages."""
-    n = len(tokens)
-    cover = np.zeros(n + 1, np.int64)
-    if n < 2:
-        return np.zeros(n, bool)
-    order, shared = suffix_array(tokens)
-    # suffixes that share `least` tokens stand together; a run counts if its pages differ
-    long = shared >= least
-    group = np.cumsum(~long)
-    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    low, high = np.minimum.reduceat(page[order], first), np.maximum.reduceat(page[order], first)
-    many = np.repeat(low != high, np.diff(np.append(first, n)))
-    at = order[many]
-    np.add.at(cover, at, 1)
-    np.add.at(cover, np.minimum(at + least, n), -1)
-    return np.cumsum(cover[:n]) > 0
-
-
-def runs_of(words: list[str]) -> list[bytes]:
-    """128 bits of each run of LEAST_TOKENS words."""
-    return [hashlib.blake2b(" ".join(words[i : i + LEAST_TOKENS]).encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in range(len(words) - LEAST_TOKENS + 1)]
-
-
-def page_runs(batches):
-    """(host, page, run): the distinct runs of each page that markup doesn't decide."""
+def repeated_runs(tokens: np.ndarray, apart: np.ndarray, low: np.ndarray, high: np.ndarray, least: int):
+    """Groups of places whose next `least` tokens agree and whose `apart` (bucket) is one: the first
+    place of each group, its smallest `low` and largest `high` page. A distinct separator after
+    each string keeps runs inside strings."""
+    order, shared = suffix_array(tokens, least)
+    group = np.cumsum(shared < least)
+    by = np.lexsort((apart[order], group))  # suffixes of one group, bucket by bucket
+    order, group = order[by], group[by]
+    key = apart[order]
+    first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1]))) if len(order) else np.zeros(0, np.int64)
+    if not len(first):
+        return first, first, first
+    return order[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+
+
+def array_runs(batches):
+    """(f, g, bucket, low, high): the runs of RUN tokens in strings sorted by bucket. Runs of one
+    page in a bucket that lies whole in one array can't come again and go at once."""
+
+    def out(rows: pa.Table, cut: set):
+        rows = rows.combine_chunks()
+        data, off = C.text_bytes(rows["string"])
+        ws, we, row = C.words(data, off)
+        h = C.word_hashes(data, ws, we)
+        n = np.bincount(row, minlength=rows.num_rows)
+        _, code = np.unique(h, return_inverse=True)
+        at = np.arange(len(ws)) + row  # a separator after each string
+        tokens = np.full(len(ws) + rows.num_rows, -1, np.int64)
+        tokens[at] = code
+        gaps = np.flatnonzero(tokens < 0)
+        tokens[gaps] = len(ws) + np.arange(len(gaps))
+        bucket, low, high = (np.asarray(rows[c]) for c in ("bucket", "low", "high"))
+        wide = lambda x: np.repeat(x, n + 1)
+        first, lo, hi = repeated_runs(tokens, wide(bucket), wide(low), wide(high), RUN)
+        word = first - np.searchsorted(gaps, first)  # the group's first word
+        inside = (tokens[first] < len(ws)) & (word + RUN <= len(ws))
+        inside[inside] = row[word[inside]] == row[word[inside] + RUN - 1]
+        first, lo, hi, word = first[inside], lo[inside], hi[inside], word[inside]
+        name = wide(bucket)[first]
+        keep = (lo != hi) | np.isin(name, np.array(list(cut), np.int64))
+        f, g = window_prints(data, ws, we)
+        return pa.RecordBatch.from_arrays([C.as_long(f[word[keep]]), C.as_long(g[word[keep]]), pa.array(name[keep]), pa.array(lo[keep]), pa.array(hi[keep])], ["f", "g", "bucket", "low", "high"])
+
+    held, size, cut = [], 0, set()
     for b in batches:
-        hosts, pages = b.column(0), b.column(1)
-        for i, html in enumerate(b.column(2)):
-            has, blocks = blocks_of(html.as_py())
-            runs = [] if has else sorted(set(runs_of([w for _, t in blocks for w in t.split(" ")])))
-            pick = pa.array(np.full(len(runs), i))
-            yield pa.RecordBatch.from_arrays([hosts.take(pick), pages.take(pick), pa.array(runs, pa.binary())], ["host", "page", "run"])
-
-
-def host_texts(rows: pa.Table) -> pa.Table:
-    """Texts of one group of a host's pages."""
-    pages = rows["html"].to_pylist()
-    ids, urls = rows["page_id"], rows["url"]
-    keys = list(zip(ids.to_pylist(), urls.to_pylist(), strict=True))
-    parsed = [blocks_of(p) for p in pages]
-    code: dict[str, int] = {}
-    number: dict[tuple, int] = {}
-    stream, page_of, starts = [], [], {}
-    for i, (has, blocks) in enumerate(parsed):
-        if has:
-            continue
-        k = number.setdefault(keys[i], len(number))
-        for j, (_, text) in enumerate(blocks):
-            starts[i, j] = len(stream)
-            for w in text.split(" "):
-                stream.append(code.setdefault(w, len(code)))
-                page_of.append(k)
-        stream.append(-1 - i)
-        page_of.append(k)
-    gone = repeated_tokens(np.array(stream, np.int64), np.array(page_of, np.int64), LEAST_TOKENS) if stream else None
-    for i, (known, (has, blocks)) in enumerate(zip(rows["known"].to_pylist(), parsed, strict=True)):
-        if known and not has and blocks:
-            known, start = set(known), starts[i, 0]
-            for j, run in enumerate(runs_of([w for _, t in blocks for w in t.split(" ")])):
-                if run in known:
-                    gone[start + j : start + j + LEAST_TOKENS] = True
-    out = []
-    for i, (has, blocks) in enumerate(parsed):
-        kept = []
-        for j, (inside, text) in enumerate(blocks):
-            if has:
-                if inside:
-                    kept.append(text)
-                continue
-            words = text.split(" ")
-            bad = gone[starts[i, j] : starts[i, j] + len(words)]
-            if bad.all():
-                continue
-            kept.append(text)
-        out.append(" ".join(kept))
-    return pa.table({"page_id": C.packed(ids), "url": C.packed(urls), "text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())})
+        at = 0
+        while at < b.num_rows:
+            part = b.slice(at, ARRAY_STRINGS - size)
+            at += part.num_rows
+            held.append(part)
+            size += part.num_rows
+            if size >= ARRAY_STRINGS:  # the last bucket may go on in the next array
+                last = part.column(0)[part.num_rows - 1].as_py()
+                yield out(pa.Table.from_batches(held), cut | {last})
+                held, size, cut = [], 0, {last}
+    if held:
+        yield out(pa.Table.from_batches(held), cut)
+
+
+def string_windows(batches):
+    """(page, place, bucket, f, g): the windows of judged strings; place counts words of the stream."""
+    for whole in batches:
+        for b in C.chunks(whole, "string"):
+            data, off = C.text_bytes(b.column(2))
+            ws, we, row = C.words(data, off)
+            f, g = window_prints(data, ws, we)
+            inside = np.flatnonzero(row[: len(f)] == row[RUN - 1 :]) if len(f) else np.zeros(0, np.int64)
+            r = row[inside]
+            place = b.column(3).to_numpy()[r] + inside - np.searchsorted(row, r)
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(r)), pa.array(place), b.column(0).take(pa.array(r)), C.as_long(f[inside]), C.as_long(g[inside])], ["page", "place", "bucket", "f", "g"])
+
+
+def page_texts(found: bool):
+    """(page_id, url, text, n_chars); with findings, columns 4 and 5 hold the repeated windows'
+    places and the repeated units' buckets of the page."""
+
+    def run(batches):
+        for b in pieces_of(batches):
+            if not found:
+                pages = [blocks_of(x) for x in b.column(2).to_pylist()]
+                out = [" ".join(t for k, t in p if k != ELSEWHERE) for p in pages]
+            else:
+                x = Streams(b.column(3).to_numpy(), b.column(2).to_pylist())
+                step = np.zeros(len(x.ws) + RUN + 1, np.int64)
+                first = np.searchsorted(x.row, np.arange(x.n))
+                of, page, bucket, _, words, _ = x.units()
+                small = np.zeros(len(page), bool)
+                for i in range(b.num_rows):
+                    if (runs := b.column(4)[i]).is_valid:
+                        at = first[i] + np.asarray(runs.values)
+                        np.add.at(step, at, 1)
+                        np.add.at(step, at + RUN, -1)
+                    if (units := b.column(5)[i]).is_valid:
+                        small |= (page == i) & (words < RUN) & np.isin(bucket, np.asarray(units.values).view(U64))
+                gone = np.concatenate([[0], np.cumsum(np.cumsum(step)[: len(x.ws)] > 0)])
+                whole = (gone[x.end] - gone[x.start] == x.size) | small[of] if len(of) else np.zeros(0, bool)
+                keep = (x.kind != ELSEWHERE) & ~(whole & (x.kind % 2 > 0))
+                cut = np.searchsorted(x.page, np.arange(x.n + 1)).tolist()
+                out = [" ".join(t for (_, t), ok in zip(p, keep[a:z].tolist(), strict=True) if ok) for p, a, z in zip(x.blocks, cut, cut[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html, any others) -> page_id, url, text, n_chars."""
-    pages = pages.select("page_id", "url", "html")
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    keyed = pages.withColumn("host", host)
-    # a hot host is dealt into groups of about GROUP_BYTES of html
-    groups = keyed.groupBy("host").agg(F.ceil((F.sum(F.coalesce(F.length("html"), F.lit(0))) + 1) / GROUP_BYTES).cast("int").alias("groups"))
-    dealt = keyed.join(groups, "host").withColumn("grp", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")))
-    dealt = dealt.withColumn("page", F.xxhash64("page_id", "url", F.col("page_id").isNull(), F.col("url").isNull()))
-    # runs on two pages of a host of several groups, counted over the host and handed to its pages
-    runs = dealt.filter("groups > 1").select("host", "page", "html").mapInArrow(page_runs, "host string, page long, run binary")
-    common = runs.groupBy("host", "run").agg(F.min("page").alias("low"), F.max("page").alias("high")).filter("low <> high").select("host", "run")
-    known = runs.join(common, ["host", "run"]).groupBy("host", "page").agg(F.collect_set("run").alias("known"))
-    dealt = dealt.join(known, ["host", "page"], "left")
+    spark = pages.sparkSession
+    scratch = C.Scratch(spark, "html-text")
     kind = pages.schema["page_id"].dataType.simpleString()
-    # one key for host and group: on two keys a partitioning by host alone would do
-    dealt = dealt.select(F.concat_ws("#", F.col("grp").cast("string"), "host").alias("lot"), "page_id", "url", "html", "known")
-    return dealt.groupBy("lot").applyInArrow(host_texts, f"page_id {kind}, url string, text string, n_chars long")
+    out = f"page_id {kind}, url string, text string, n_chars long"
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    keyed = pages.select("page_id", "url", "html", F.xxhash64(host, F.col("url").isNull()).alias("host"), F.xxhash64("page_id", "url", F.col("page_id").isNull(), F.col("url").isNull()).alias("page"))
+    entries = scratch.keep(keyed.select("host", "page", "html").mapInArrow(page_entries, "bucket long, check long, page long, judged boolean"))
+    open_ = entries.groupBy("bucket", "check").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.max("judged").alias("any")).filter("any and low <> high")
+    open_ = scratch.keep(open_.select("bucket", "check"))
+    if not open_.limit(1).count():  # no block is in doubt
+        return pages.select("page_id", "url", "html").mapInArrow(page_texts(False), out)
+    met = scratch.keep(entries.join(open_, ["bucket", "check"]))
+    lists = scratch.keep(met.filter("check = 0").groupBy("page").agg(F.collect_set("bucket").alias("open")))
+    strings = scratch.keep(keyed.join(lists, "page").select("host", "page", "html", "open").mapInArrow(page_strings, "bucket long, page long, string binary, place long, judged boolean"))
+    distinct = strings.groupBy("bucket", "string").agg(F.min("page").alias("low"), F.max("page").alias("high"))
+    runs = distinct.select("bucket", "string", "low", "high").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(array_runs, "f long, g long, bucket long, low long, high long")
+    runs = scratch.keep(runs.groupBy("f", "g", "bucket").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("f", "g", "bucket"))
+    windows = strings.filter("judged").mapInArrow(string_windows, "page long, place long, bucket long, f long, g long")
+    places = windows.join(runs, ["f", "g", "bucket"]).groupBy("page").agg(F.collect_set("place").alias("runs"))
+    units = met.filter("check <> 0 and judged").groupBy("page").agg(F.collect_set("bucket").alias("units"))
+    findings = scratch.keep(places.join(units, "page", "full"))
+    return keyed.join(findings, "page", "left").select("page_id", "url", "html", "host", "runs", "units").mapInArrow(page_texts(True), out)
 
 
 def query(spark, sf_dir):
