@@ -38,6 +38,7 @@ HEAVY_LEAST = 50
 COMBINE_ROWS = 2_000_000
 LOCAL_LIST = 64
 SALT_ROWS = 1024
+PART_ENTRIES = 4_000_000
 
 
 class Rule:
@@ -339,6 +340,15 @@ def lanes_of(spark, parts: int) -> list[int]:
     return [found[p] for p in range(parts)]
 
 
+def parts_for(sized: DataFrame, rule: Rule, least: int) -> int:
+    """So many index partitions that one holds about PART_ENTRIES entries, whatever the input."""
+    step = F.floor(F.log2("n_shingles") * 4)  # sizes by quarter octaves: some hundred rows
+    sizes = sized.filter("n_shingles > 0").groupBy(step).agg(F.max("n_shingles").alias("n"), F.count("*").alias("sets")).collect()
+    band = lambda n: int(np.searchsorted(rule.low, n, side="right")) - 1
+    entries = sum(int(rule.m[band(r.n)] + rule.m[band(r.n) + 1]) * r.sets for r in sizes)
+    return max(1, least, -(-entries // PART_ENTRIES))
+
+
 def texts_of(rule: Rule):
     """Keeps the rows whose text has the set id asked for (a doc_id may be repeated)."""
 
@@ -470,7 +480,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, lower
         raise RuntimeError("two different shingle sets share a 64-bit id; change the hash constants")
     heavy_from = max(HEAVY_LEAST, sized.count() // HEAVY_SHARE)
     heavy = [x.token for x in docs.mapInArrow(local_heavy(rule), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= heavy_from).orderBy(F.desc("n")).limit(20_000).collect()]
-    lanes = lanes_of(spark, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    lanes = lanes_of(spark, parts_for(sized, rule, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     entries = docs.mapInArrow(index_rows(rule, heavy, lanes), "lane int, part int, entries binary").repartition(len(lanes), "lane")
     lists = scratch.keep(entries.mapInArrow(shared_lists(len(lanes)), "sig long, member long, leader long"))
     scratch.sweep()  # here and below: lets Spark remove the files of shuffles that are over
