@@ -7,7 +7,8 @@ bucket. Consecutive windows of one minimiser are a super-k-mer.
 1. Super-k-mers are counted by minimiser without their words; those whose minimiser is met
    once in the corpus hold no repeated window and go no further.
 2. The others travel as one packed string each to their minimiser's bucket, equal strings of
-   a task already counted together; sorting the bucket's windows counts them exactly.
+   a task already counted together; sorting the bucket's windows counts them exactly. A bucket
+   above BUCKET_BYTES is counted by window fingerprint over several pieces, so no task holds it.
 3. Strings with repeated windows, as bit maps, are joined back to the super-k-mers' places,
    and each document drops the words that a repeated window covers.
 
@@ -36,6 +37,7 @@ WINDOW, MMER = 35, 4
 HEAVY_SHARE = 20_000
 RUN = 64
 COMBINE_BYTES = 16 << 20
+BUCKET_BYTES = 32 << 20
 
 
 def mmers(batch: pa.RecordBatch) -> np.ndarray:
@@ -194,34 +196,51 @@ def string_places(window: int):
     return run
 
 
+def window_prints(data, ws, we, row, window: int):
+    """Two fingerprints of each window inside a row, and its row."""
+    n = max(len(ws) - window + 1, 0)
+    inside = row[:n] == row[window - 1 :] if n else np.zeros(0, bool)
+    out = []
+    for lane in (0, 1):
+        x = C.word_hashes(data, ws, we, lane)
+        up, down = C.powers(len(x) + 1)
+        p = np.concatenate([[U64(0)], np.cumsum(x * up[: len(x)])])
+        out.append(((p[window:] - p[:n]) * down[:n])[inside] if n else np.zeros(0, U64))
+    return *out, row[:n][inside]
+
+
+COUNTED = "f1 long, f2 long, repeats binary, pos int, f long, g long, n long"
+
+
 def counted(window: int):
-    """(f1, f2, repeats): of a task's buckets, the strings with repeated windows, one byte a
-    window (1: it is met more than once)."""
+    """Rows (mz, packed, n) sorted by mz -> (f1, f2, repeats): the strings with repeated windows, one
+    byte a window (1: it is met more than once).
 
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
+    Whole buckets are taken together, about BUCKET_BYTES of them at a time. A bucket that is larger
+    alone is never held: its windows leave one by one (f1, f2, pos, f, g, n), to be added up by
+    fingerprint across the pieces."""
+
+    def prints(rows: list[pa.RecordBatch]):
         f, g, weight, owner, names, sizes, seen = [], [], [], [], [], [], 0
-        for whole in held:
+        for whole in rows:
             for b in C.chunks(whole, "packed"):
                 data, off = C.text_bytes(b.column(1))
                 ws, we, row = C.words(data, off)
-                n = b.column(2).to_numpy()
-                w = len(ws) - window + 1
-                inside = row[:w] == row[window - 1 :]
-                for lane, to in ((0, f), (1, g)):
-                    x = C.word_hashes(data, ws, we, lane)
-                    up, down = C.powers(len(x) + 1)
-                    p = np.concatenate([[U64(0)], np.cumsum(x * up[: len(x)])])
-                    to.append(((p[window:] - p[:w]) * down[:w])[inside])
+                x, y, own = window_prints(data, ws, we, row, window)
+                f.append(x)
+                g.append(y)
                 names.append(np.stack(fingerprints(data, ws, we, row), 1))
-                own = row[:w][inside]
                 owner.append(own + seen)
-                weight.append(n[own])
+                weight.append(b.column(2).to_numpy()[own])
                 sizes.append(np.bincount(own, minlength=b.num_rows))
                 seen += b.num_rows
-        f, g, weight, owner, names = (np.concatenate(x) for x in (f, g, weight, owner, names))
+        return (*(np.concatenate(x) for x in (f, g, weight, owner, names, sizes)), seen)
+
+    def empty(n, kind):
+        return pa.nulls(n, kind)
+
+    def whole_buckets(rows):
+        f, g, weight, owner, names, size, seen = prints(rows)
         order = np.lexsort((g, f))
         a, b = f[order], g[order]
         new = np.ones(len(a), bool)
@@ -230,13 +249,78 @@ def counted(window: int):
         total = np.add.reduceat(weight[order], at) if len(at) else at
         twice = np.zeros(len(f), np.uint8)
         twice[order] = np.repeat(total > 1, np.diff(np.append(at, len(a))))
-        size = np.concatenate(sizes)
         end = np.cumsum(size)
         some = np.flatnonzero(np.bincount(owner, weights=twice, minlength=seen) > 0)
         # equal strings of several tasks give one row
         _, keep = np.unique(names[some], axis=0, return_index=True)
         some = some[keep]
-        yield pa.RecordBatch.from_arrays([C.as_long(names[some, 0]), C.as_long(names[some, 1]), C.binary(twice, (end - size)[some], end[some])], ["f1", "f2", "repeats"])
+        n = len(some)
+        return pa.RecordBatch.from_arrays(
+            [C.as_long(names[some, 0]), C.as_long(names[some, 1]), C.binary(twice, (end - size)[some], end[some]), empty(n, pa.int32()), empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64())],
+            ["f1", "f2", "repeats", "pos", "f", "g", "n"],
+        )
+
+    def piece(rows):
+        f, g, weight, owner, names, size, _ = prints(rows)
+        end = np.cumsum(size)
+        pos = np.arange(len(f)) - (end - size)[owner]
+        n = len(f)
+        return pa.RecordBatch.from_arrays([C.as_long(names[owner, 0]), C.as_long(names[owner, 1]), empty(n, pa.binary()), pa.array(pos.astype(np.int32)), C.as_long(f), C.as_long(g), pa.array(weight)], ["f1", "f2", "repeats", "pos", "f", "g", "n"])
+
+    def run(batches):
+        C.release_memory()
+        held, size, hot = [], 0, None  # rows of whole buckets so far; the bucket that leaves in pieces
+        for whole in batches:
+            for b in C.chunks(whole, "packed"):
+                mz = b.column(0).to_numpy()
+                if hot is not None:
+                    still = int(np.searchsorted(mz != hot, True)) if (mz != hot).any() else len(mz)
+                    if still:
+                        yield piece([b.slice(0, still)])
+                    if still == len(mz):
+                        continue
+                    b, mz, hot = b.slice(still), mz[still:], None
+                held.append(b)
+                size += b.nbytes
+                if size <= BUCKET_BYTES:
+                    continue
+                cut = np.flatnonzero(mz[1:] != mz[:-1])
+                last = mz[-1]
+                if len(cut):
+                    at = int(cut[-1]) + 1
+                    done, rest = [*held[:-1], b.slice(0, at)], [b.slice(at)]
+                else:  # the last bucket may have begun in an earlier batch
+                    k = len(held) - 1
+                    while k > 0 and held[k - 1].column(0)[held[k - 1].num_rows - 1].as_py() == last and held[k - 1].column(0)[0].as_py() == last:
+                        k -= 1
+                    done, rest = held[:k], held[k:]
+                    if k and (before := held[k - 1].column(0).to_numpy())[-1] == last:
+                        at = int(np.flatnonzero(before != last)[-1]) + 1
+                        done, rest = [*held[: k - 1], held[k - 1].slice(0, at)], [held[k - 1].slice(at), *rest]
+                if done:
+                    yield whole_buckets(done)
+                held, size = rest, sum(x.nbytes for x in rest)
+                if size > BUCKET_BYTES:
+                    yield piece(held)
+                    held, size, hot = [], 0, last
+        if held:
+            yield whole_buckets(held)
+
+    return run
+
+
+def bitmaps(window: int):
+    """(f1, f2, repeats) from (f1, f2, places) of repeated windows."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for places in b.column(2):
+                at = np.asarray(places.values)
+                flags = np.zeros(int(at.max()) + 1, np.uint8)
+                flags[at] = 1
+                out.append(flags.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["f1", "f2", "repeats"])
 
     return run
 
@@ -288,7 +372,11 @@ def drop_repeated_windows(docs: DataFrame, window: int = WINDOW, keep_text: bool
     places = kept.select(F.col("doc_id").alias("kid"), F.col("th").alias("kth"), "places")
     found = keyed.join(places, same & keyed.doc_id.eqNullSafe(F.col("kid"))).select("doc_id", "th", "text", "places")
     strings = found.mapInArrow(packed_rows(window), "mz long, packed binary, n long").repartition("mz")
-    repeats = scratch.keep(strings.mapInArrow(counted(window), "f1 long, f2 long, repeats binary"))
+    found_windows = scratch.keep(strings.sortWithinPartitions("mz").mapInArrow(counted(window), COUNTED))
+    pieces = found_windows.filter("pos is not null")
+    often = pieces.groupBy("f", "g").agg(F.sum("n").alias("n")).filter("n > 1").select("f", "g")
+    hot = pieces.join(often, ["f", "g"]).groupBy("f1", "f2").agg(F.collect_set("pos").alias("places")).mapInArrow(bitmaps(window), "f1 long, f2 long, repeats binary")
+    repeats = found_windows.filter("pos is null").select("f1", "f2", "repeats").union(hot)
     back = found.mapInArrow(string_places(window), f"f1 long, f2 long, doc_id {kind}, th long, start int").join(repeats, ["f1", "f2"])
     spans = scratch.keep(back.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "repeats")).alias("spans"))).select(F.col("doc_id").alias("kid"), F.col("th").alias("kth"), "spans")
     final = keyed.join(spans, same & keyed.doc_id.eqNullSafe(F.col("kid")), "left").select("doc_id", "text", "spans")
