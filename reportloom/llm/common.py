@@ -139,6 +139,22 @@ def chunks(batch: pa.RecordBatch, col: str, most: int = CHUNK_BYTES):
         at = to
 
 
+def white(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space, that of all Unicode included: C2 85, C2 A0, E1 9A 80,
+    E2 80 80-8A, E2 80 A8, A9 and AF, E2 81 9F, E3 80 80."""
+    m = SPACE[data]
+    n = len(data)
+    at = np.flatnonzero(data[: n - 1] == 0xC2)
+    at = at[np.isin(data[at + 1], (0x85, 0xA0))]
+    m[at] = m[at + 1] = True
+    at = np.flatnonzero((data[: max(n - 2, 0)] >= 0xE1) & (data[: max(n - 2, 0)] <= 0xE3))
+    a, b, c = data[at], data[at + 1], data[at + 2]
+    end = np.isin(c, (0xA8, 0xA9, 0xAF)) | (c <= 0x8A)
+    at = at[((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & (b == 0x80) & end) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))]
+    m[at] = m[at + 1] = m[at + 2] = True
+    return m
+
+
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each word (a run without the six ASCII white spaces)."""
     if not len(data):

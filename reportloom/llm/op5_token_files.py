@@ -10,9 +10,9 @@ lengths, then gathers all ranks with numpy; no loop runs over tokens.
 Blocks are the rows of a Parquet table in the shared folder (columns part, block, payload):
 Spark's committer makes the write atomic and safe against lost executors on any store.
 
-Encoding runs once over each distinct piece: a text is cut before single spaces that follow
-a non-space, where the byte-level pattern can't carry a token across, and a worker keeps the
-ids of pieces it has seen.
+Encoding runs once over each distinct piece: a text is cut before single spaces with no white
+space of Unicode on either side, where the byte-level pattern can't carry a token across, and a
+worker keeps the ids of pieces it has seen.
 
 Cached ids are used only where the cached bytes equal the text's own.
 
@@ -128,7 +128,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(n_rows, np.int64)
         cut = np.zeros(len(data), bool)
         gap = data == 32
-        solid = ~C.SPACE[data]
+        solid = ~C.white(data)
         cut[1:-1] = gap[1:-1] & solid[:-2] & solid[2:]
         whole = data.tobytes()
         for t in self.added:

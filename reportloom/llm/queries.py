@@ -11,6 +11,8 @@ from . import (
     op8_substring_dedup,
     op9_decontamination,
     op10_sharding,
+    op12_packing,
+    op13_resampling,
 )
 
 
@@ -32,6 +34,8 @@ def queries():
         "op8_substring_dedup": op8_substring_dedup.query,
         "op9_decontamination": op9_decontamination.query,
         "op10_sharding": op10_sharding.query,
+        "op12_packing": op12_packing.query,
+        "op13_resampling": op13_resampling.query,
         "pipeline": pipeline,
     }
 
