@@ -11,6 +11,7 @@ from . import (
     op8_substring_dedup,
     op9_decontamination,
     op10_sharding,
+    op11_alignment,
     op12_packing,
     op13_resampling,
 )
@@ -34,6 +35,7 @@ def queries():
         "op8_substring_dedup": op8_substring_dedup.query,
         "op9_decontamination": op9_decontamination.query,
         "op10_sharding": op10_sharding.query,
+        "op11_alignment": op11_alignment.query,
         "op12_packing": op12_packing.query,
         "op13_resampling": op13_resampling.query,
         "pipeline": pipeline,
