@@ -1,21 +1,30 @@
 """Operator 2: keyed, type-consistent surrogates for personal data, in DataFrame functions.
 
-Found kinds: e-mail, IPv4, payment card, phone, national id (3-2-4), access keys and other
+Found kinds: e-mail, IBAN, IPv4, payment card, phone, national id (3-2-4), access keys and other
 secrets, and names after a title. Each distinct entity of a kind, in a canonical form (so two
 spellings of one number or address corefer), gets one surrogate from SHA-512 of a secret key,
 its kind, its canonical form and an attempt number. Surrogates keep the kind's format: digits
 stay digits, letters stay in their script and case, punctuation stays in place, an e-mail's
 domain maps the same way wherever it stands and keeps its last label, a phone keeps its
-country code, a card keeps its Luhn remainder, a name keeps its title and takes a given name
-of the title's gender in the script it was written in.
+country code and trunk zeros, a card its Luhn remainder, an IBAN its country and its remainder
+modulo 97, a name its title.
+
+Family names and given names are entities of their own: "Frau Müller" gets the family name of
+"Frau Anna Müller", and a given name comes from the title's gender in the script it was written
+in. A name of one word after a title is taken for a family name. A phone's entity is its national
+number, without country code and trunk zeros, in all its digits.
 
 Collision checks run on the table of distinct entities: a surrogate that two entities share,
 or that equals an entity of the corpus, is drawn again with the next attempt until none is
-left. The table is joined back by entity; hot entities are one row there, and the join's
-skewed side can be split. Documents without entities never enter a shuffle.
+left; only those are drawn again. The table is joined back by entity; hot entities are one row
+there, and the join's skewed side can be split. Documents without entities never enter a shuffle.
+
+Not looked for: names without a title, dates of birth, postal addresses.
 
 Defined results: a null text stays null, an empty one empty; equal rows are treated alike;
-a null doc_id is kept; other columns pass through; text outside entities is unchanged.
+a null doc_id is kept; text outside entities is unchanged. Other columns pass through, whatever
+their names; the number of entities is `n_entities`, or where docs has such a column the first
+of n_entities_1, n_entities_2... that it hasn't.
 """
 
 from __future__ import annotations
@@ -37,11 +46,17 @@ SECRET = rf"AKIA[0-9A-Z]{{16}}|(?<=[=: \"'])(?<=\b(?i:{KEYWORDS})[ ]?[=:][ ]?[\"
 IP = r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 NATIONAL = r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?=\d)(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\d)"
-PHONE = r"(?=[\d+(])(?<![\p{L}\d])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|\+\d{8,15}(?!\d))"
+# two letters, check digits, then 11 to 30 more in one run or in groups of four
+IBAN = r"(?=[A-Z])(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|(?=[A-Z]{0,30}\d)[A-Z0-9]{11,30})(?![\p{L}\p{N}])"
+INTERNATIONAL = r"\+\d(?:[ ./-]?\(\d{1,5}\)[ ./-]?|[ ./-]?\d){6,14}(?!\d)"
+TRUNK = r"0\d{2,5}(?: ?[/-] ?| )\d{3,4}[ .-]\d{3,5}(?!\d)|0\d{2,5}(?: ?[/-] ?| )\d{6,8}(?!\d)"
+PHONE = rf"(?=[\d+(])(?<![\p{{L}}\d])(?:{INTERNATIONAL}|(?:\(\d{{2,5}}\)[ .-]?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]\d{{3,4}}(?!\d)|{TRUNK})"
+# country calling codes by their first digits: one digit, two, or three
+CALLING = r"^(?:\+|00)(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 MALE = r"Mr|Herr|Monsieur|Señor|Г-н|Господин"
 FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Г-жа|Госпожа"
 NAME = rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
-KINDS = [("email", EMAIL), ("secret", SECRET), ("ip", IP), ("national", NATIONAL), ("card", CARD), ("phone", PHONE), ("name", NAME)]
+KINDS = [("email", EMAIL), ("iban", IBAN), ("secret", SECRET), ("ip", IP), ("national", NATIONAL), ("card", CARD), ("phone", PHONE), ("name", NAME)]
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 # every entity holds one of these, and most texts none; looked for only at their first characters
 HINT = rf"[@0-9]|(?=[=:AFHMSГ])(?:[=:](?<=(?i:{KEYWORDS})[ ]?[=:])|AKIA|(?:{MALE}|{FEMALE})\.? )"
@@ -66,20 +81,39 @@ def letters_of(text: Column) -> Column:
 
 
 def kind_of(e: Column) -> Column:
-    """The kind of a found entity. A secret after its keyword has no form of its own."""
+    """The kind of a found entity. A secret after its keyword has no form of its own; an unbroken
+    run that could be an IBAN is one only with right check digits."""
     forms = [("email", EMAIL), ("ip", IP), ("national", NATIONAL), ("card", CARD), ("phone", PHONE), ("name", NAME)]
-    return reduce(lambda rest, f: F.when(e.rlike(f"^(?:{f[1]})$"), f[0]).otherwise(rest), reversed(forms), F.lit("secret"))
+    last = F.when(e.rlike(f"^(?:{IBAN})$") & (e.contains(" ") | (remainder(F.regexp_replace(e, " ", "")) == 1)), "iban").otherwise("secret")
+    return reduce(lambda rest, f: F.when(e.rlike(f"^(?:{f[1]})$"), f[0]).otherwise(rest), reversed(forms), last)
 
 
 def digits(e: Column) -> Column:
     return F.regexp_replace(e, r"\D", "")
 
 
+def national_number(e: Column) -> Column:
+    """All digits of a phone but its country code and trunk zeros (one digit is left at least)."""
+    plain = F.regexp_replace(e, r"[^\d+]", "")
+    return F.regexp_replace(F.when(plain.rlike(r"^(?:\+|00)"), F.regexp_replace(plain, CALLING, "")).otherwise(plain), r"^0+(?=\d)", "")
+
+
+def remainder(iban: Column) -> Column:
+    """An account number modulo 97, its first four characters moved to the end and letters as 10 to 35."""
+
+    def step(r, c):
+        n = F.ascii(c)
+        return F.when(n < 58, (r * 10 + n - 48) % 97).otherwise((r * 100 + n - 55) % 97)
+
+    return F.aggregate(letters_of(F.concat(F.substring(iban, 5, 100), F.substring(iban, 1, 4))), F.lit(0), step)
+
+
 def canonical(kind: Column, e: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(e))
-        .when(kind == "phone", F.when(F.length(digits(e)) > 10, F.right(digits(e), F.lit(10))).otherwise(digits(e)))
+        .when(kind == "phone", national_number(e))
         .when(kind.isin("card", "national"), digits(e))
+        .when(kind == "iban", F.regexp_replace(e, " ", ""))
         .when(kind == "name", F.concat(F.when(e.rlike(f"^(?:{FEMALE})\\b"), "f:").otherwise("m:"), F.lower(F.regexp_replace(e, r"^\S+ ", ""))))
         .otherwise(e)
     )
@@ -157,29 +191,41 @@ def draw(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     card = F.concat(body, ((luhn(canon) - luhn(F.concat(body, F.lit("0"))) + 10) % 10).cast("string"))
     access = F.concat(F.lit("AKIA"), shaped(F.substring(canon, 5, 1000), s))
     hexes = shaped(canon, s, "abcdef")
-    script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    names = []
-    for (sc, g), pool in GIVEN.items():
-        given = F.split(F.lit(pool), " ")
-        syl = F.split(F.lit(SYLLABLES[sc]), " ")
-        size_g, size_s = len(pool.split()), len(SYLLABLES[sc].split())
-        # later attempts have longer family names, so there is always room
-        family = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3) + attempt), partial_syllable(s, syl, size_s)), "")
-        full = F.when(canon.contains(" "), F.concat(F.get(given, at(0) % size_g), F.lit(" "), F.initcap(family))).otherwise(F.initcap(family))
-        names.append(((script == sc) & F.startswith(canon, F.lit(f"{g}:")), F.concat(F.lit(f"{g}:"), full)))
-    name = reduce(lambda rest, x: F.when(x[0], x[1]).otherwise(rest), names, F.lit(None).cast("string"))
+    # the check digits that give the remainder of the original
+    bban = shaped(F.substring(canon, 5, 100), s)
+    open_ = F.concat(F.substring(canon, 1, 2), F.lit("00"), bban)
+    check = (remainder(canon) - remainder(open_) + 97) % 97
+    iban = F.concat(F.substring(canon, 1, 2), F.lpad((check + F.when(check < 2, 97).otherwise(0)).cast("string"), 2, "0"), bban)
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", octets)
         .when(kind == "card", card)
-        .when(kind.isin("phone", "national"), number)
-        .when(kind == "name", name)
+        .when(kind == "iban", iban)
+        .when(kind == "phone", F.concat((at(0) % 9 + 1).cast("string"), F.substring(number, 2, 100)))  # no trunk zero
+        .when(kind == "national", number)
         .when(canon.rlike("^AKIA[0-9A-Z]{16}$"), access)
         .when(canon.rlike("^[0-9a-fA-F]+$"), hexes)
         .otherwise(number)
     )
 
 
+def draw_part(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
+    """The surrogate of a given name (canon "m:..." or "f:...") or of a family name."""
+    s = stream(key, kind, canon, attempt)
+    at = lambda i: byte(s, F.lit(i))
+    script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    # later attempts are longer, so there is always room
+    syllables = {sc: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3) + attempt), partial_syllable(s, F.split(F.lit(x), " "), len(x.split()))), "") for sc, x in SYLLABLES.items()}
+    drawn = []
+    for (sc, g), pool in GIVEN.items():
+        more = F.when(attempt > 0, F.concat(F.lit("-"), F.initcap(syllables[sc]))).otherwise("")
+        first = F.get(F.split(F.lit(pool), " "), at(0) % len(pool.split()))
+        drawn.append(((script == sc) & F.startswith(canon, F.lit(f"{g}:")), F.concat(F.lit(f"{g}:"), first, more)))
+    given = reduce(lambda rest, x: F.when(x[0], x[1]).otherwise(rest), drawn, F.lit(None).cast("string"))
+    family = F.initcap(F.when(script == "latin", syllables["latin"]).otherwise(syllables["cyrillic"]))
+    return F.when(kind == "given", given).otherwise(family)
+
+
 def rendered(kind: Column, e: Column, sur: Column) -> Column:
     """The surrogate in the format of this mention."""
     chars = letters_of(e)
@@ -193,8 +239,13 @@ def rendered(kind: Column, e: Column, sur: Column) -> Column:
         x = F.substring(sur, i + 1, F.lit(1))
         return F.when((F.upper(c) == c) & (F.lower(c) != c), F.upper(x)).otherwise(x)
 
+    def in_place(c, i):
+        at = F.length(F.regexp_replace(F.substring(e, F.lit(1), i + 1), " ", ""))
+        return F.when(c == " ", c).otherwise(F.substring(sur, at, F.lit(1)))
+
     return (
         F.when(kind.isin("phone", "card", "national"), F.array_join(F.transform(chars, digit), ""))
+        .when(kind == "iban", F.array_join(F.transform(chars, in_place), ""))
         .when((kind == "email") & (F.length(sur) == F.length(e)), F.array_join(F.transform(chars, cased), ""))
         .when(kind == "name", F.concat(F.regexp_extract(e, r"^(\S+ )", 1), F.substring(sur, 3, 1000)))
         .otherwise(sur)
@@ -202,22 +253,41 @@ def rendered(kind: Column, e: Column, sur: Column) -> Column:
 
 
 def surrogate_table(found: DataFrame, key: str, scratch: C.Scratch, drawing=draw) -> DataFrame:
-    """(kind, canon, sur) of the distinct entities of found (kind, canon), free of collisions."""
-    plain = lambda k, s: F.when(k == "name", F.lower(s)).otherwise(s)  # noqa: E731  as canonical forms are written
+    """(kind, canon, sur) of the distinct entities of found (kind, canon), free of collisions.
+
+    An entity whose surrogate no other holds and no real one equals is settled and not drawn
+    again; of those that drew one surrogate in the same round the first by canon settles."""
+    spark = found.sparkSession
+    plain = lambda k, s: F.when(k.isin("given", "family"), F.lower(s)).otherwise(s)  # noqa: E731  as canonical forms are written
     entities = scratch.keep(found.distinct())
-    now = entities.withColumn("attempt", F.lit(0))
-    for _ in range(MOST_ATTEMPTS):
-        drawn = now.withColumn("sur", drawing(key, F.col("kind"), F.col("canon"), F.col("attempt")))
-        first = drawn.groupBy("kind", "sur").agg(F.min(F.struct("attempt", "canon")).alias("first"))
-        real = entities.select(F.col("kind").alias("rk"), F.col("canon").alias("rc"))
-        judged = drawn.join(first, ["kind", "sur"]).join(real, (F.col("kind") == F.col("rk")) & (plain(F.col("kind"), F.col("sur")) == F.col("rc")), "left")
-        judged = scratch.keep(judged.select("kind", "canon", "sur", "attempt", ((F.col("first.canon") != F.col("canon")) | F.col("rc").isNotNull()).alias("again")))
-        if not judged.filter("again").limit(1).count():
-            return judged.select("kind", "canon", "sur")
-        now = judged.select("kind", "canon", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+    taken = entities.select("kind", F.col("canon").alias("held"))
+    settled, waiting = [], entities
+    for attempt in range(MOST_ATTEMPTS):
+        drawn = waiting.withColumn("sur", drawing(key, F.col("kind"), F.col("canon"), F.lit(attempt)))
+        drawn = scratch.keep(drawn.withColumn("held", plain(F.col("kind"), F.col("sur"))))
+        first = drawn.groupBy("kind", "held").agg(F.min("canon").alias("winner"))
+        clash = taken.join(drawn.select("kind", "held").distinct(), ["kind", "held"], "left_semi").withColumn("clash", F.lit(True)).distinct()
+        judged = scratch.keep(drawn.join(first, ["kind", "held"]).join(clash, ["kind", "held"], "left").withColumn("fine", F.col("clash").isNull() & (F.col("winner") == F.col("canon"))))
+        settled.append(judged.filter("fine").select("kind", "canon", "sur"))
+        taken = taken.union(judged.filter("fine").select("kind", "held"))
+        waiting = judged.filter("not fine").select("kind", "canon")
+        scratch.drop(drawn)
+        if not waiting.limit(1).count():
+            return reduce(DataFrame.union, settled) if settled else spark.createDataFrame([], "kind string, canon string, sur string")
     raise RuntimeError("no room for distinct surrogates of some kind")
 
 
+def name_table(names: DataFrame, key: str, scratch: C.Scratch) -> DataFrame:
+    """(kind, canon, sur) of names (canon): put together from their parts' surrogates."""
+    part = names.select("canon", F.substring("canon", 1, 2).alias("g"), F.regexp_extract("canon", r"([^ :]+)$", 1).alias("family"), F.regexp_extract("canon", r"^..([^ ]+) ", 1).alias("given"))
+    part = scratch.keep(part.distinct().withColumn("given", F.when(F.col("given") != "", F.concat("g", "given"))))
+    found = part.select(F.lit("family").alias("kind"), F.col("family").alias("canon")).union(part.filter("given is not null").select(F.lit("given"), "given"))
+    table = scratch.keep(surrogate_table(found, key, scratch, draw_part))
+    of = lambda kind: table.filter(F.col("kind") == kind).select(F.col("canon").alias(kind), F.col("sur").alias(f"new_{kind}"))
+    whole = part.join(of("family"), "family").join(of("given"), "given", "left")
+    return whole.select(F.lit("name").alias("kind"), "canon", F.concat("g", F.coalesce(F.concat(F.substring("new_given", 3, 1000), F.lit(" ")), F.lit("")), "new_family").alias("sur"))
+
+
 def secret_key(spark) -> str:
     """The key of the session's setting KEY_SETTING. Without one, a random key is drawn once
     and kept in the shared folder, so runs that share the folder agree."""
@@ -239,24 +309,30 @@ def replace_pii(docs: DataFrame, key: str | None = None, text: str = "text") ->
     """docs (doc_id, text, any others) -> the same columns, entities replaced, and n_entities."""
     key = key or secret_key(docs.sparkSession)
     scratch = C.Scratch(docs.sparkSession, "pii")
-    names = docs.columns
-    mine = docs.withColumn("_found", F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    some = F.size(F.coalesce("_found", F.array().cast("array<string>"))) > 0
-    hit = mine.filter(some).withColumn("_uid", F.xxhash64("doc_id", text)).withColumn("_gaps", F.split(text, ANY, -1))
-    mentions = hit.select("doc_id", "_uid", F.posexplode("_found").alias("pos", "e")).withColumn("kind", kind_of(F.col("e"))).withColumn("canon", canonical(F.col("kind"), F.col("e")))
+    count = next(c for c in ("n_entities", *(f"n_entities_{i}" for i in range(1, len(docs.columns) + 1))) if c not in docs.columns)
+    own = [c for c in docs.columns if c not in ("doc_id", text)]
+    inner = {c: f"other_{i}" for i, c in enumerate(own)} | {text: "text"}  # columns of the work itself can't clash
+    names = [inner.get(c, c) for c in docs.columns]
+    mine = docs.withColumnsRenamed(inner)
+    mine = mine.withColumn("found", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
+    some = F.size(F.coalesce("found", F.array().cast("array<string>"))) > 0
+    hit = mine.filter(some).withColumn("uid", F.xxhash64("doc_id", "text")).withColumn("gaps", F.split("text", ANY, -1))
+    mentions = hit.select("doc_id", "uid", F.posexplode("found").alias("pos", "e")).withColumn("kind", kind_of(F.col("e"))).withColumn("canon", canonical(F.col("kind"), F.col("e")))
     mentions = scratch.keep(mentions.distinct())
     entities = mentions.select("kind", "canon")
-    own = F.regexp_extract("canon", "@(.*)$", 1)
-    domains = surrogate_table(entities.filter("kind = 'email'").select(F.lit("domain").alias("kind"), own.alias("canon")), key, scratch, draw_domain)
-    table = surrogate_table(entities, key, scratch).withColumn("domain", F.when(F.col("kind") == "email", own))
+    host = F.regexp_extract("canon", "@(.*)$", 1)
+    domains = surrogate_table(entities.filter("kind = 'email'").select(F.lit("domain").alias("kind"), host.alias("canon")), key, scratch, draw_domain)
+    table = surrogate_table(entities.filter("kind <> 'name'"), key, scratch).withColumn("domain", F.when(F.col("kind") == "email", host))
     table = table.join(domains.select(F.col("canon").alias("domain"), F.col("sur").alias("new_domain")), "domain", "left")
     table = table.select("kind", "canon", F.when(F.col("kind") == "email", F.concat(F.regexp_extract("sur", "^([^@]*@)", 1), "new_domain")).otherwise(F.col("sur")).alias("sur"))
-    swapped = mentions.join(table, ["kind", "canon"]).select("doc_id", "_uid", "pos", rendered(F.col("kind"), F.col("e"), F.col("sur")).alias("new"))
-    by_doc = swapped.groupBy("doc_id", "_uid").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("_new")).select(F.col("doc_id").alias("_id"), F.col("_uid").alias("_key"), "_new")
-    pieces = F.zip_with("_gaps", F.transform("_new", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    done = hit.join(by_doc, (F.col("_uid") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    done = done.select(*[F.array_join(pieces, "").alias(text) if c == text else F.col(c) for c in names], F.size("_found").alias("n_entities"))
-    return mine.filter(~some).select(*names, F.lit(0).alias("n_entities")).unionByName(done)
+    table = table.union(name_table(entities.filter("kind = 'name'").select("canon"), key, scratch))
+    swapped = mentions.join(table, ["kind", "canon"]).select("doc_id", "uid", "pos", rendered(F.col("kind"), F.col("e"), F.col("sur")).alias("new"))
+    by_doc = swapped.groupBy("doc_id", "uid").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("new")).select(F.col("doc_id").alias("id"), F.col("uid").alias("key"), "new")
+    pieces = F.zip_with("gaps", F.transform("new", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    done = hit.join(by_doc, (F.col("uid") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    done = done.select(*[F.array_join(pieces, "").alias(c) if c == "text" else F.col(c) for c in names], F.size("found").alias(count))
+    out = mine.filter(~some).select(*names, F.lit(0).alias(count)).unionByName(done)
+    return out.select(*[F.col(x).alias(c) for x, c in zip(names, docs.columns, strict=True)], count)
 
 
 def query(spark, sf_dir):
