@@ -18,9 +18,13 @@
    a part repeats is kept whole. Other blocks of an article stay even where they repeat: a
    mirrored or quoted article is no boilerplate.
 
-On a page with an <article> or <main> the blocks outside it go. Class and id hints remove a
-region outside articles; inside an article only whole names that mean nothing else do, and the
-looser hints nominate. Nominations that hold half of an article's words or more are void.
+On a page with an <article> or <main> the blocks outside it go, whatever holds the article.
+Containers of reader comments and adverts go everywhere, by their whole class or id. Looser
+hints nominate a region of an article (void if nominations hold half of its words or more) and
+remove a region of a page without one; so does a form in either. Such a removed region that
+holds half of the page's words or more is a wrapper: its blocks are open like the rest. Names that
+speak about something else (has-sidebar, no-sidebar, ad-free, share-count-enabled) hint at
+nothing, nor does what a name marks as content.
 
 Pages without a nominated or open block are never shuffled; the pages with one meet their
 findings by page key, and html moves only where these findings are too large to broadcast.
@@ -51,13 +55,19 @@ UNIT_SALT = U64(0x9FB21C651E98DF25)
 # fixed values: HTML's element classes
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe object svg math canvas noframes noembed textarea title".split())
-NEVER = RAW | set("head nav header footer aside form button select option dialog menu datalist fieldset label audio video".split())
+NEVER = RAW | set("head nav header footer aside select option dialog menu datalist audio video".split())
 BLOCKS = set("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul br".split())
-EDGES = BLOCKS | NEVER
+EDGES = BLOCKS | NEVER - {"select", "option"} | {"form"}
 CDATA = RAW - {"svg", "math", "object", "noscript", "template"}
-ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 HINTS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adv|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|footer\w*|header|masthead|cookies?|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscri\w*|share\w*|sharing|social\w*|comments?|comment-?list|respond|disqus\w*|related|recommend\w*|trending|pagination|pager|login|signup|search\w*|toolbar|skip\w*|copyright|legal|disclaimer)(?=$|[\s_-])", re.I)
-NAMES = set("ad ads advert advertisement sponsored breadcrumb breadcrumbs sidebar cookie-notice cookie-banner newsletter share-bar share-buttons social-share social-links comments comment-list disqus_thread respond related-posts pagination".split())
+NAMES = set("ad ads advert advertisement sponsored breadcrumb breadcrumbs sidebar cookie-notice cookie-banner newsletter share-bar share-buttons social-share social-links related-posts pagination".split())
+# whole names of comment and advert containers
+COMMENTS = re.compile(r"(?:(?:user|reader|post|article|page|site|blog|fb|facebook)[_-]?)?comments?(?:[_-]?(?:area|list|section|wrap(?:per)?|thread|container|box|block|form|body|content|respond|holder|panel|template))?(?:[_-]\d+)?|respond|disqus\w*|(?:user|reader)[_-](?:reviews|replies)", re.I)
+ADVERTS = re.compile(r"(?:(?:google|dfp|gpt|banner|top|bottom|side|inline|in-?(?:article|content|text)|mid|native|text)[_-]?)?(?:ads?|advert(?:s|isement|isements|ising|orial)?)(?:[_-]?(?:slot|box|unit|banner|container|wrap(?:per)?|block|space|placement|area|zone|holder|label|frame|section|inner|\d+))*|adsbygoogle|sponsor(?:ed)?[_-](?:content|links?|box|message|block|ads?)|promoted[_-](?:content|links?|box)|taboola\w*|outbrain\w*", re.I)
+# names about something else: a part that is there or not, or an option
+ABOUT = re.compile(r"(?:has|have|no|not|non|with|without|is|hide|show|can|site|page|layout)[_-].*|.*[_-](?:free|less|enabled|disabled|none|hidden|visible|on|off|open|closed|layout|page|template)", re.I)
+CONTENT = re.compile(r"(?:(?:entry|post|article|story|page|main|body|single|news|blog)[_-]?(?:content|body|text|main|inner|copy)|content|main|(?:content|main)[_-](?:area|body|inner|wrap(?:per)?|container|main|column|text))", re.I)
 SPACES = re.compile(r"\s+")
 ARTICLE, NOMINATED, ELSEWHERE, OPEN = 0, 1, 2, 3
 
@@ -67,11 +77,14 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, never, article, nominated
+        self.stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, never, article, nominated, region before
         self.places: dict[str, list[int]] = {}  # where each tag stands in the stack
         self.edges: list[int] = []  # where elements that end a paragraph stand
         self.never = self.article = self.nominated = 0
+        self.above: list[int] = []  # of each hinted region or form, the one around it
+        self.region = -1
         self.blocks: list[tuple[int, str]] = []
+        self.regions: list[int] = []  # of each block
         self.held: list[str] = []
         self.seen_article = False
 
@@ -80,10 +93,11 @@ class Page(HTMLParser):
             text = SPACES.sub(" ", "".join(self.held)).strip()
             if text:
                 self.blocks.append((OPEN if not self.article else NOMINATED if self.nominated else ARTICLE, text))
+                self.regions.append(self.region)
             self.held = []
 
     def pop(self):
-        tag, never, article, nominated = self.stack.pop()
+        tag, never, article, nominated, self.region = self.stack.pop()
         self.places[tag].pop()
         if tag in EDGES:
             self.edges.pop()
@@ -107,24 +121,39 @@ class Page(HTMLParser):
             self.pop()
         article = tag in ("article", "main")
         never = tag in NEVER and not (tag == "header" and self.article)
-        nominated = False
+        if tag == "button":  # a button in a sentence is a word of it
+            never = not "".join(self.held).strip()
+        nominated, hinted = False, tag == "form"
         if attrs and not self.never:
             values = dict(attrs)
             role = values.get("role")
             article = article or role in ("main", "article")
             never = never or role in ROLES or "hidden" in values or values.get("aria-hidden") == "true"
-            named = f"{values.get('class') or ''} {values.get('id') or ''}"
-            if len(named) > 1 and not article and tag not in ("html", "body"):
-                if not NAMES.isdisjoint(named.lower().split()):
+            hinted = hinted or role == "form"
+            names = f"{values.get('class') or ''} {values.get('id') or ''}".split()
+            if names and tag not in ("html", "body"):
+                names = [x for x in names if not ABOUT.fullmatch(x)]
+                if any(map(COMMENTS.fullmatch, names)):
                     never = True
-                elif HINTS.search(named):
-                    nominated = self.article > 0
-                    never = never or not nominated
-        article = article and not self.never
+                elif not article:
+                    if any(map(ADVERTS.fullmatch, names)):
+                        never = True
+                    elif not any(map(CONTENT.fullmatch, names)) and names:
+                        if self.article and not NAMES.isdisjoint(x.lower() for x in names):
+                            never = True
+                        elif HINTS.search(" ".join(names)):
+                            nominated = self.article > 0
+                            hinted = hinted or not nominated
+        article = article and not self.never and not never
         self.places.setdefault(tag, []).append(len(self.stack))
         if edge:
             self.edges.append(len(self.stack))
-        self.stack.append((tag, never, article, nominated))
+        self.stack.append((tag, never, article, nominated, self.region))
+        if article:
+            self.region = -1  # what stands around an article says nothing of it
+        elif hinted and not never:
+            self.above.append(self.region)
+            self.region = len(self.above) - 1
         self.never += never
         self.article += article
         self.nominated += nominated
@@ -157,18 +186,35 @@ def blocks_of(html: str | None) -> list[tuple[int, str]]:
     p.feed(html)
     p.close()
     p.flush()
-    blocks = p.blocks
+    blocks = resolved(p)
     if p.seen_article:
         blocks = [(ELSEWHERE if k == OPEN else k, t) for k, t in blocks]
-        sizes = [0, 0]
+        sizes = [0, 0, 0]
         for k, t in blocks:
-            if k != ELSEWHERE:
-                sizes[k] += t.count(" ") + 1
+            sizes[k] += t.count(" ") + 1
         if sizes[NOMINATED] >= sizes[ARTICLE]:
             blocks = [(ARTICLE if k == NOMINATED else k, t) for k, t in blocks]
     return blocks
 
 
+def resolved(p: Page) -> list[tuple[int, str]]:
+    """A page's blocks without those in hinted regions or forms, unless these are wrappers."""
+    if not p.above:
+        return p.blocks
+    words = [t.count(" ") + 1 for _, t in p.blocks]
+    size = [0] * len(p.above)
+    for r, n in zip(p.regions, words, strict=True):
+        if r >= 0:
+            size[r] += n
+    for r in range(len(size) - 1, -1, -1):  # a region stands after the one around it
+        if p.above[r] >= 0:
+            size[p.above[r]] += size[r]
+    total, gone = sum(words), []
+    for r, n in enumerate(size):
+        gone.append(2 * n < total or (p.above[r] >= 0 and gone[p.above[r]]))
+    return [(ELSEWHERE, t) if r >= 0 and gone[r] else (k, t) for (k, t), r in zip(p.blocks, p.regions, strict=True)]
+
+
 def judged(kind: int) -> bool:
     return kind in (NOMINATED, OPEN)
 
