@@ -556,15 +556,14 @@ def job_states(spark, sf):
 
 @query()
 def stream_dedup_ingest(spark, sf):
-    """Events as a stream: the first of each payload within the watermark, in one run."""
-    import uuid
+    """Events as a stream: the first of each payload within the watermark, in one run, into files."""
+    from ..sources.shared import shared_folder
 
-    source = read(spark, sf, "events")
-    name = f"dedup_{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    q = I.dedup_stream(stream, "props", "ts", "60 days").select("event_id", "content_hash").writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    schema, at = read(spark, sf, "events").schema, shared_folder(spark, "dedup-ingest")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
+    rows = I.dedup_stream(stream, "props", "ts", "60 days").select("event_id", "content_hash")
+    rows.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{at}/rows")
 
 
 @query("SELECT ts::DATE::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -662,4 +661,4 @@ def block_types(spark, sf):
     return read(spark, sf, "part").select("p_partkey", S.block_type(top, top + 10, F.lit(700), F.col("p_partkey") % 3 == 0, F.col("p_size") < 5).alias("block_type"))
 
 
-from . import documents  # noqa: E402, F401  registers its queries
+from . import documents, structure  # noqa: E402, F401  registers their queries
