@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import export as X
 from ..operators import footnotes as FN
+from ..sources import docx as DX
 from ..sources.shared import shared_folder
 from ..streaming import queue as JQ
 from .catalog import query, read
@@ -76,3 +78,51 @@ def job_queue(spark, sf):
     at = shared_folder(spark, "job-queue")
     JQ.run_queue(job_events(spark, sf), f"{at}/transitions", f"{at}/checkpoint", **LIMITS)
     return spark.read.schema(JQ.TRANSITION).parquet(f"{at}/transitions")
+
+
+# ------------------------------------------------------------------------ documents as files
+
+
+def supplier_documents(spark, sf) -> DataFrame:
+    """One document a supplier: a heading, a paragraph of a length by its number, and a table."""
+    s = read(spark, sf, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    block = lambda kind, text, rows: F.struct(F.lit(kind).alias("kind"), text.alias("text"), rows.alias("rows"))
+    none = F.lit(None).cast("array<array<string>>")
+    text = F.repeat(F.concat(F.lit("Báo cáo <"), F.col("s_name"), F.lit("> & kỳ "), key, F.lit(".")), (F.col("s_suppkey") % 90 + 1).cast("int"))
+    table = F.array(F.array(F.lit("STT"), F.lit("Tên"), F.lit("Số dư")), F.array(key, F.col("s_name"), F.floor("s_acctbal").cast("string")), F.array(F.lit(""), F.lit("tổng  cộng"), F.lit(None).cast("string")))
+    blocks = F.array(block("heading", F.concat(F.lit("I. "), F.col("s_name")), none), block("paragraph", text, none), block("table", F.lit(None).cast("string"), table), block("heading", F.lit("II. HẾT"), none))
+    return s.select(F.concat(F.lit("supplier-"), key).alias("name"), blocks.alias("blocks"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, s_name AS n, floor(s_acctbal)::BIGINT AS b, repeat('Báo cáo <' || s_name || '> & kỳ ' || s_suppkey || '.', (s_suppkey % 90 + 1)::INTEGER) AS t FROM supplier),
+ h AS (SELECT *, length('I. ' || n) AS c0, length('I. ' || n) + length(t) AS c1, 50 + greatest(18, ceil(length('I. ' || n) / 80.0) * 16) + 10 AS y0, greatest(18, ceil(length(t) / 80.0) * 16) + 10 AS dy FROM s),
+ p AS (SELECT *, CASE WHEN c1 >= 2200 OR y0 + dy >= 760 THEN 2 ELSE 1 END AS p2, length('STT' || chr(9) || 'Tên' || chr(9) || 'Số dư' || chr(10) || k || chr(9) || n || chr(9) || b || chr(10) || chr(9) || 'tổng cộng' || chr(9)) AS tl FROM h),
+ q AS (SELECT *, CASE WHEN p2 = 2 THEN tl ELSE c1 + tl END AS c2 FROM p)
+ SELECT 'supplier-' || k AS name, 0 AS ord, 'heading' AS kind, 'I. ' || n AS text, 1 AS page, NULL AS table_id, 0 AS n_rows, NULL AS last_cell FROM q
+ UNION ALL SELECT 'supplier-' || k, 1, 'paragraph', t, 1, NULL, 0, NULL FROM q
+ UNION ALL SELECT 'supplier-' || k, 2, 'table', 'STT' || chr(9) || 'Tên' || chr(9) || 'Số dư' || chr(10) || k || chr(9) || n || chr(9) || b || chr(10) || chr(9) || 'tổng cộng' || chr(9), p2, 'word-table-1', 3, '' FROM q
+ UNION ALL SELECT 'supplier-' || k, 3, 'heading', 'II. HẾT', CASE WHEN p2 = 2 THEN 2 WHEN c2 >= 800 THEN 2 ELSE 1 END, NULL, 0, NULL FROM q""")
+def docx_round_trip(spark, sf):
+    """Documents written as DOCX files by the data source and read back by it."""
+    DX.register(spark)
+    at = shared_folder(spark, "documents")
+    supplier_documents(spark, sf).write.format("report_docx").mode("overwrite").save(at)
+    back = spark.read.format("report_docx").load(at)
+    return back.select(F.regexp_extract("path", r"([^/]+)\.docx$", 1).alias("name"), "ord", "kind", "text", "page", "table_id", F.coalesce(F.size("rows"), F.lit(0)).alias("n_rows"), F.element_at(F.element_at("rows", -1), -1).alias("last_cell"))
+
+
+@query(
+    """SELECT 'supplier-' || s_suppkey || '.csv' AS name, strlen(chr(65279) || '"=== BẢNG 1: ' || s_name || ' (Trang 2) ==="' || chr(13) || chr(10) || '"k","v"' || chr(13) || chr(10) || '"' || s_suppkey || '","' || CASE WHEN floor(s_acctbal) < 0 THEN chr(39) ELSE '' END || floor(s_acctbal)::BIGINT || '"' || repeat(chr(13) || chr(10), 2)) AS bytes FROM supplier"""
+)
+def csv_files(spark, sf):
+    """CSV exports of suppliers' tables written as files, and the files' sizes."""
+    DX.register(spark)
+    at = shared_folder(spark, "csv-files")
+    s = read(spark, sf, "supplier")
+    rows = F.array(F.array(F.col("s_suppkey").cast("string"), F.floor("s_acctbal").cast("string")))
+    tables = s.select(F.col("s_suppkey").alias("doc_id"), F.lit(1).alias("ord"), F.col("s_name").alias("title"), F.lit(2).alias("page_ref"), F.array(F.lit("k"), F.lit("v")).alias("headers"), rows.alias("rows"))
+    files = X.csv_documents(tables).select(F.concat(F.lit("supplier-"), F.col("doc_id").cast("string")).alias("name"), F.col("csv").alias("content"))
+    files.write.format("report_files").option("extension", "csv").mode("overwrite").save(at)
+    back = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(at)
+    return back.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.octet_length("content").cast("long").alias("bytes"))

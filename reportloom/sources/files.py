@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -12,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .docx import Block, body_blocks, paged
+
 SUPPORTED = ("pdf", "docx", "doc")
-WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -33,17 +32,7 @@ def inside(root: str, path: str) -> bool:
 
 def docx_blocks(content: bytes) -> list[tuple[str, str]]:
     """(kind, text) of a DOCX body: headings, paragraphs, and tables as tab-separated rows."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{WORD}body")
-    text = lambda e: "".join(t.text or "" for t in e.iter(f"{WORD}t"))
-    out = []
-    for e in body if body is not None else []:
-        if e.tag == f"{WORD}p" and text(e).strip():
-            style = e.find(f"{WORD}pPr/{WORD}pStyle")
-            out.append(("heading" if style is not None and re.match("(?i)heading|title", style.get(f"{WORD}val") or "") else "paragraph", text(e).strip()))
-        elif e.tag == f"{WORD}tbl":
-            out.append(("table", "\n".join("\t".join(" ".join(text(c).split()) for c in r.iter(f"{WORD}tc")) for r in e.iter(f"{WORD}tr"))))
-    return out
+    return [(b.kind, b.text) for b in body_blocks(content)]
 
 
 def docx_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -64,30 +53,32 @@ def docx_scan(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, ord int, kind string, text string, error string")
 
 
-BLOCK = "path string, ord int, kind string, text string, page int, error string"
+BLOCK = "path string, ord int, kind string, text string, page int, table_id string, rows array<array<string>>, error string"
 
 
-def pdf_blocks(content: bytes) -> list[tuple[str, str, int]]:
+def pdf_blocks(content: bytes) -> list[Block]:
     """(kind, text, page) of a PDF's text blocks and tables (R2). The reader is optional."""
     import fitz
 
     out = []
     with fitz.open(stream=content, filetype="pdf") as pdf:
         for number, page in enumerate(pdf, 1):
-            out += [("paragraph", b[4].strip(), number) for b in page.get_text("blocks") if b[4].strip()]
-            out += [("table", "\n".join("\t".join(" ".join((c or "").split()) for c in r) for r in t.extract()), number) for t in page.find_tables().tables]
+            out += [Block("paragraph", b[4].strip(), None, number) for b in page.get_text("blocks") if b[4].strip()]
+            tables = [[[" ".join((c or "").split()) for c in r] for r in t.extract()] for t in page.find_tables().tables]
+            out += [Block("table", "\n".join("\t".join(r) for r in t), t, number, f"table-p{number}-{i}") for i, t in enumerate(tables, 1)]
     return out
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of every supported file below a path, by the reader of its format (R1, R2, R3). A file
+    """Blocks of every supported file below a path, by the reader of its format, with logical pages and
+    tables' numbers and cells (R1, R2, R3, X15). A file
     that can't be read, for want of a reader (old .doc always, PDF without its library) or because
     it is broken, gives one row with its error (R4) and never fails the others."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     files = files.select("path", kind.alias("format"), "content").filter(F.col("format").isin(*SUPPORTED))
 
-    def blocks(format_: str, content: bytes) -> list[tuple[str, str, int]]:
+    def blocks(format_: str, content: bytes) -> list[Block]:
         if format_ == "doc":
             raise NotImplementedError("UNSUPPORTED_FORMAT: convert .doc to .docx first")
         if format_ == "pdf":
@@ -95,17 +86,17 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
                 return pdf_blocks(content)
             except ImportError as e:
                 raise NotImplementedError("UNSUPPORTED_FORMAT: no PDF reader is installed") from e
-        return [(k, t, 1) for k, t in docx_blocks(content)]
+        return paged(body_blocks(content))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for p, kind, c in zip(f["path"], f["format"], f["content"], strict=True):
                 try:
-                    rows += [(p, i, k, t, n, None) for i, (k, t, n) in enumerate(blocks(kind, bytes(c)))]
+                    rows += [(p, i, b.kind, b.text, b.page, b.table_id, b.rows, None) for i, b in enumerate(blocks(kind, bytes(c)))]
                 except Exception as e:  # noqa: BLE001  one broken file must not fail the others
-                    rows.append((p, 0, None, None, None, f"{type(e).__name__}: {e}"[:300]))
-            yield pd.DataFrame(rows, columns=["path", "ord", "kind", "text", "page", "error"]).astype({"page": "Int32"})
+                    rows.append((p, 0, None, None, None, None, None, f"{type(e).__name__}: {e}"[:300]))
+            yield pd.DataFrame(rows, columns=["path", "ord", "kind", "text", "page", "table_id", "rows", "error"]).astype({"page": "Int32"})
 
     return files.mapInPandas(run, BLOCK)
 
