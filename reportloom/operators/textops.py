@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,66 +200,6 @@ def pack_pages(rows: DataFrame, key: str = "doc_id", full: int = 2200, section:
     return spread.select(key, "ord", (F.size(F.filter("breaks", lambda b: b <= F.col("ord"))) + 1).alias("page"))
 
 
-ABBREVIATIONS = ("tp.", "ths.", "ts.", "gs.", "pgs.", "kts.", "st.", "tx.", "q.", "p.")
-
-
-def classify_line(text: str) -> str:
-    import re
-
-    if re.match(r"^(?:\d{1,2}|\*|\(\d{1,2}\))\s+(?:Theo|Nguồn|Ghi chú|Xem|Số liệu)", text):
-        return "FOOTNOTE"
-    if re.match(r"^(?:[IVX]+\.|[A-Z]\.|\d+(?:\.\d+)*\.)\s*\S", text) and len(text) < 160:
-        return "HEADING"
-    if text[:1] in "-*•+" or re.match(r"^(?:[a-zđ]\)|\(\d+\))\s", text):
-        return "LIST_ITEM"
-    return "PARAGRAPH"
-
-
-def stitched_parts(texts: list[str]) -> list[tuple[str, str]]:
-    """The body of one document as (type, text): broken lines joined, with sentence ends,
-    abbreviations, headings, list marks and footnotes respected (V5, V12, X11)."""
-    out: list[list[str]] = []
-    for raw in texts:
-        text = " ".join(unicodedata.normalize("NFC", raw).split())
-        if not text:
-            continue
-        kind = classify_line(text)
-        last = out[-1] if out else None
-        if last and kind == "PARAGRAPH":
-            ended = last[1].endswith((".", ":", ";", "?", "!")) and not last[1].lower().endswith(ABBREVIATIONS)
-            if last[0] == "HEADING":
-                grows = text[:1].islower() or (last[1].isupper() and text.isupper())
-            else:
-                grows = not ended
-            if grows:
-                last[1] += " " + text
-                continue
-        out.append([kind, text])
-    # the footnotes right after a heading belong to what stands before it
-    ordered: list[list[str]] = []
-    heading = None  # where a heading without a body yet stands
-    for part in out:
-        if part[0] == "FOOTNOTE" and heading is not None:
-            ordered.insert(heading, part)
-            heading += 1
-            continue
-        heading = len(ordered) if part[0] == "HEADING" else None
-        ordered.append(part)
-    out = ordered
-    return [(k, t) for k, t in out]
-
-
-def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ord, type, text: one document at a time, so memory is one text."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, i, kind, part) for k, t in zip(f[key], f[text], strict=True) for i, (kind, part) in enumerate(stitched_parts((t or "").split("\n")))]
-            yield pd.DataFrame(rows, columns=[key, "ord", "type", "text"])
-
-    return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, ord int, type string, text string")
-
-
 CONTINUES = r"^(?:[IVXLCDM]+|\d+|[a-zđ]\))\b|^$"
 
 

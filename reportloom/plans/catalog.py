@@ -304,11 +304,6 @@ def extract_lines(spark, sf):
     return TX.keyword_lines(read(spark, sf, "documents"), "license|tion|ment", 15, 250, 6).select("doc_id", "n", "ord", S.content_hash(F.col("line")).alias("h"))
 
 
-@query()
-def paragraph_stitch(spark, sf):
-    return TX.paragraphs(read(spark, sf, "documents").select("doc_id", "text"))
-
-
 @query("""WITH RECURSIVE l AS (SELECT doc_id, o::INTEGER AS ord, trim(x) AS line FROM (SELECT doc_id, unnest(range(len(s))) AS o, unnest(s) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
  f AS (SELECT doc_id, ord, length(line) AS n, regexp_matches(line, '^([IVX]+|\\d+)\\.') AS head FROM l),
  r AS (SELECT doc_id, ord, 1 AS page, n AS held FROM f WHERE ord = 0 UNION ALL SELECT f.doc_id, f.ord, CASE WHEN held > 0 AND (held + n > 2200 OR (head AND held >= 800)) THEN page + 1 ELSE page END, CASE WHEN held > 0 AND (held + n > 2200 OR (head AND held >= 800)) THEN n ELSE held + n END FROM r JOIN f ON f.doc_id = r.doc_id AND f.ord = r.ord + 1)

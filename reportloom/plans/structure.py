@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import export as X
 from ..operators import footnotes as FN
+from ..operators import structure as ST
 from ..sources import docx as DX
 from ..sources.shared import shared_folder
 from ..streaming import queue as JQ
 from .catalog import query, read
+from .documents import by_kind
 
 # Bodies made from the documents' lines: every fourth element is a note of one of five forms, the
 # others carry markers of three forms (after a letter, after a year, in brackets) or none.
@@ -126,3 +128,77 @@ def csv_files(spark, sf):
     files.write.format("report_files").option("extension", "csv").mode("overwrite").save(at)
     back = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(at)
     return back.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.octet_length("content").cast("long").alias("bytes"))
+
+
+# ------------------------------------------------------------------------ structure
+
+BODY_LINES = r"""raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS ord FROM documents),
+ made AS (SELECT doc_id, ord, CASE (doc_id * 7 + ord) % 13 WHEN 0 THEN 'II. ' || t WHEN 1 THEN '1. A' || t WHEN 2 THEN '- ' || t WHEN 3 THEN '(ghi)' WHEN 4 THEN 'Ghi chú: ' || t WHEN 5 THEN 'và ' || t WHEN 6 THEN t || ',' WHEN 7 THEN 'thêm ' || t || ' TP.' WHEN 8 THEN ord::VARCHAR WHEN 9 THEN 'PHẦN II' WHEN 10 THEN 'ABC' WHEN 11 THEN t || ' xong.' ELSE t END AS t FROM raw),
+ b AS (SELECT doc_id, ord, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM made)"""
+LINE_RULES = r"""f AS (SELECT doc_id, ord, t, regexp_matches(t, '^(?i:---\s*PAGE\s+\d+\s*---)$|^\d{1,3}$') AS page,
+  length(t) <= 1 OR (length(regexp_replace(t, '^(?:[-*•+]|\s)+', '')) <= 2 AND NOT regexp_matches(regexp_replace(t, '^(?:[-*•+]|\s)+', ''), '^\d+\.?$')) OR regexp_matches(t, '^(?i:CỘNG\s*HÒA\s*XÃ\s*HỘI|Độc\s*lập\s*[-–]\s*Tự\s*do|UBND|Số:)') AS skip,
+  regexp_matches(t, '^(?i:I|II|III|IV|V|VI|VII|VIII|IX|X)\.|^(?i:PHẦN|MỤC)\s+(?:(?i:THỨ)\s+)?[A-Z\x{C0}-\x{1EF8}a-z\x{E0}-\x{1EF9}\d]+|^[A-Z]\.\s+[A-Z\x{C0}-\x{1EF8}\p{Lu}]') AS h1, regexp_matches(t, '^\d+(?:\s*\.\s*\d+)*[.)]\s+[A-Z\x{C0}-\x{1EF8}\p{Lu}]') AS h2,
+  regexp_matches(t, '^[-*•+]|^[A-Za-zđĐ]\)\s+') AS item, regexp_matches(t, '^\([^)]+\)$') AS sub,
+  regexp_matches(t, '^(?:\*?\s*(?:Ghi chú|Chú thích|Nguồn|Lưu ý)\s*:|\(\*\)|\(\d+\)\s+|\[\d+\]|[*†‡]\s*(?:Bảng|Nguồn|Số liệu|Ghi chú)|[1-9]\d?(?:\s*[-–—]\s*|\s+)[A-Z\x{C0}-\x{1EF8}\p{Lu}])') AS note,
+  regexp_matches(t, '^\p{Ll}') AS low, regexp_matches(t, '^(?:[\p{Ll},;)\]”’]|[-–—]\s+[a-zà-ỹ\p{Ll}])') AS goes, regexp_matches(t, '^(?i:và|về|của|trong|tại|theo|giai đoạn)(?:[^0-9A-Za-z_]|$)') AS of_, regexp_matches(t, '^[-*•+]') AS bullet, regexp_matches(t, '^\d') AS digit,
+  regexp_matches(t, '^(?i:PHẦN|MỤC)\s+(?:(?i:THỨ)\s+)?[A-Z\x{C0}-\x{1EF8}a-z\x{E0}-\x{1EF9}\d]+$') AS sect, t = upper(t) AS up, regexp_matches(t, '[.:!?]$') AS eh, regexp_matches(t, '[.:!?]["''”’]?$') AS ep, regexp_matches(t, '[.;!?]$') AS el,
+  regexp_matches(t, '(?i:TP|Tx|Tt|Ths|Bs|Gs|TS|PGS|K/g|Đ/c|Đc|v\.v|NĐ-CP|QĐ-UBND|BC-UBND|TTr-UBND|CV-UBND|Số)\.$') AS es, regexp_matches(t, '\d\.$') AS en FROM b)"""
+AUTOMATON = """x AS (SELECT DISTINCT doc_id, -1::BIGINT AS ord, '' AS t, ''::VARCHAR AS act, '' AS kind, false AS peh, false AS pep, false AS pel, false AS pes, false AS pen, false AS psec, false AS inside, 0 AS waits, false AS stopped, 0 AS n, -1 AS u, -1 AS element, '' AS sep FROM b
+ UNION ALL SELECT doc_id, ord, t, act, CASE act WHEN 'sub' THEN 'SUB_NOTE' WHEN 'note' THEN 'FOOTNOTE' WHEN 'new' THEN kind2 WHEN 'keep' THEN kind2 ELSE kind END,
+  CASE WHEN held THEN peh ELSE eh END, CASE WHEN held THEN pep ELSE ep END, CASE WHEN held THEN pel ELSE el END, CASE WHEN held THEN pes ELSE es END, CASE WHEN held THEN pen ELSE en END,
+  CASE WHEN act IN ('new', 'keep') THEN sect AND h1 WHEN act IN ('page', 'skip', 'foot', 'wait') THEN psec ELSE false END, CASE act WHEN 'page' THEN false WHEN 'skip' THEN inside WHEN 'sub' THEN false WHEN 'note' THEN true ELSE inside AND NOT head END, w2,
+  CASE WHEN act IN ('sub', 'note', 'keep') THEN CASE WHEN waits = 1 THEN pep ELSE stopped END WHEN act IN ('wait', 'list', 'para', 'new') THEN false ELSE stopped END, n2, CASE WHEN w2 = 1 THEN n2 - 1 ELSE u END,
+  CASE WHEN n2 > n THEN n WHEN act = 'wait' THEN u WHEN act IN ('page', 'skip') THEN -1 ELSE n - 1 END, CASE WHEN n2 > n THEN '' WHEN act = 'foot' AND (bullet OR (pel AND NOT low)) THEN chr(10) WHEN act = 'h1' AND psec THEN ': ' ELSE ' ' END
+ FROM (SELECT *, act IN ('page', 'skip') OR (act = 'wait' AND waits = 2) AS held, n + CASE WHEN act IN ('sub', 'note', 'keep', 'new') THEN 1 ELSE 0 END AS n2,
+   CASE WHEN act IN ('sub', 'note', 'keep') THEN CASE WHEN waits = 1 THEN 2 ELSE waits END WHEN act = 'wait' THEN CASE WHEN ep THEN 0 ELSE waits END WHEN act = 'list' THEN CASE WHEN el THEN 0 ELSE 1 END WHEN act IN ('para', 'new') THEN CASE WHEN ep THEN 0 ELSE 1 END ELSE waits END AS w2
+  FROM (SELECT *, CASE WHEN page THEN 'page' WHEN skip THEN 'skip' WHEN sub THEN 'sub' WHEN note THEN 'note' WHEN inside AND NOT head AND kind = 'FOOTNOTE' THEN 'foot' WHEN NOT (inside AND NOT head) AND waits > 0 AND NOT CASE WHEN waits = 1 THEN pep ELSE stopped END AND low AND NOT head AND NOT item THEN 'wait' WHEN kind = 'SUB_NOTE' THEN 'keep'
+    WHEN kind = 'HEADING_1' AND NOT head AND NOT item AND NOT peh AND (up OR low) THEN 'h1' WHEN kind = 'HEADING_2' AND NOT head AND NOT item AND NOT peh AND (low OR of_) THEN 'h2' WHEN kind = 'LIST_ITEM' AND NOT head AND NOT item AND (NOT pel OR goes) THEN 'list'
+    WHEN kind = 'PARAGRAPH' AND NOT head AND NOT item AND (goes OR NOT (pep AND NOT pes AND NOT (pen AND digit))) THEN 'para' ELSE 'new' END AS act
+   FROM (SELECT f.*, f.h1 OR f.h2 AS head, CASE WHEN f.h1 THEN 'HEADING_1' WHEN f.h2 THEN 'HEADING_2' WHEN f.item THEN 'LIST_ITEM' ELSE 'PARAGRAPH' END AS kind2, x.kind, x.peh, x.pep, x.pel, x.pes, x.pen, x.psec, x.inside, x.waits, x.stopped, x.n, x.u FROM x JOIN f ON f.doc_id = x.doc_id AND f.ord = x.ord + 1))))"""
+
+
+ELEMENTS_OF = r"""p AS (SELECT doc_id, element AS e, arg_min(kind, ord) AS type, count(*) AS lines, string_agg(sep || t, '' ORDER BY ord) AS text FROM x WHERE element >= 0 GROUP BY 1, 2),
+ q AS (SELECT *, max(CASE WHEN type <> 'FOOTNOTE' THEN e END) OVER (PARTITION BY doc_id ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS body FROM p),
+ m AS (SELECT a.doc_id, a.body, count(*) AS k FROM q a JOIN q h ON h.doc_id = a.doc_id AND h.e = a.body AND starts_with(h.type, 'HEADING') WHERE a.type = 'FOOTNOTE' GROUP BY 1, 2)
+ SELECT q.doc_id, (CASE WHEN m.k IS NULL THEN q.e WHEN q.type = 'FOOTNOTE' THEN q.e - 1 ELSE q.e + m.k END)::BIGINT AS ord, q.type, CASE WHEN lines = 1 THEN text WHEN q.type = 'FOOTNOTE' THEN regexp_replace(text, '[ \t]+', ' ', 'g') ELSE regexp_replace(text, '\s+', ' ', 'g') END AS text
+ FROM q LEFT JOIN m ON m.doc_id = q.doc_id AND m.body = CASE WHEN q.type = 'FOOTNOTE' THEN q.body ELSE q.e END"""
+
+
+@query(f"WITH RECURSIVE {BODY_LINES}, {LINE_RULES}, {AUTOMATON}, {ELEMENTS_OF}")
+def document_elements(spark, sf):
+    """Bodies made from the documents' lines, stitched to elements."""
+    d = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "t"))
+    k = (F.col("doc_id") * 7 + F.col("ord")) % 13
+    t = F.col("t")
+    text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    line = F.when(k == 0, text("II. ", t)).when(k == 1, text("1. A", t)).when(k == 2, text("- ", t)).when(k == 3, "(ghi)").when(k == 4, text("Ghi chú: ", t)).when(k == 5, text("và ", t)).when(k == 6, text(t, ","))
+    line = line.when(k == 7, text("thêm ", t, " TP.")).when(k == 8, F.col("ord").cast("string")).when(k == 9, "PHẦN II").when(k == 10, "ABC").when(k == 11, text(t, " xong.")).otherwise(t)
+    return ST.stitched(d.select("doc_id", "ord", line.alias("line")))
+
+
+PLAIN_LINES = BODY_LINES[: BODY_LINES.index(" made AS")] + BODY_LINES[BODY_LINES.index(" b AS") :].replace("FROM made", "FROM raw")
+
+
+@query(f"WITH RECURSIVE {PLAIN_LINES}, {LINE_RULES}, {AUTOMATON}, {ELEMENTS_OF}")
+def paragraph_stitch(spark, sf):
+    """The documents' own lines, stitched to elements."""
+    return ST.stitched(read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line")))
+
+
+ZONED = {
+    "k0": "ỦY BAN NHÂN DÂN\nXÃ {s}\nCỘNG HÒA\nSố: {c}/BC-UBND\n{s}, ngày {d} tháng {m} năm {y}\nBÁO CÁO\nKết quả {p}\nđợt {c}.\nKính gửi: Sở {s}\nThu {n} tỷ.\nNơi nhận:\n- Như trên;\n- Lưu: VT;\nTM. ỦY BAN NHÂN DÂN\nCHỦ TỊCH\nNguyễn Văn {s}",
+    "k1": "TỔNG CÔNG TY {s} ABC\nSố:\n{c}/CV\nngày .... tháng {m} năm {y}\n{d}\nV/v {p}\nlần {c}\nKính gửi: A\nĐơn vị trình: B {c}\nNội dung {n}.\nGIÁM ĐỐC\n{c}",
+    "k2": "Tờ rơi {c}\nkhông đầu {p}",
+    "k3": "CÔNG TY {s}\nTỜ TRÌNH\nTheo {p}\nVề việc {c}\nhết",
+}
+PARTS = "o_orderstatus AS s, o_custkey AS c, o_orderpriority AS p, day(o_orderdate) AS d, month(o_orderdate) AS m, year(o_orderdate) AS y, o_orderkey % 4 AS k"
+
+
+@query(f"""SELECT o_orderkey AS doc_id, CASE k WHEN 0 THEN 'ỦY BAN NHÂN DÂN' WHEN 1 THEN 'TỔNG CÔNG TY' END AS superior, CASE k WHEN 0 THEN 'XÃ ' || s WHEN 1 THEN s || ' ABC' WHEN 2 THEN 'ỦY BAN NHÂN DÂN' ELSE 'CÔNG TY ' || s END AS issuer,
+ CASE k WHEN 0 THEN 'Số: ' || c || '/BC-UBND' WHEN 1 THEN 'Số: ' || c || '/CV' ELSE 'Số: .../BC-UBND' END AS number, CASE k WHEN 0 THEN s || ', ngày ' || d || ' tháng ' || m || ' năm ' || y WHEN 1 THEN 'ngày ' || d || ' tháng ' || m || ' năm ' || y ELSE 'Ngày ... tháng ... năm ...' END AS dated,
+ CASE k WHEN 1 THEN 'CÔNG VĂN' WHEN 3 THEN 'TỜ TRÌNH' ELSE 'BÁO CÁO' END AS title, CASE k WHEN 0 THEN 'Kết quả ' || p || ' đợt ' || c || '.' WHEN 1 THEN 'V/v ' || p || ' lần ' || c WHEN 3 THEN 'Về việc ' || c END AS subject, CASE k WHEN 0 THEN 'Kính gửi: Sở ' || s WHEN 1 THEN 'Kính gửi: A' END AS "to",
+ CASE k WHEN 1 THEN 'Đơn vị trình: B ' || c END AS unit, CASE k WHEN 0 THEN 'Như trên|Lưu: VT' ELSE '' END AS recipients, CASE k WHEN 0 THEN 'CHỦ TỊCH' WHEN 1 THEN 'GIÁM ĐỐC' ELSE 'CHỦ TỊCH' END AS signer_title, CASE k WHEN 0 THEN 'Nguyễn Văn ' || s END AS signer,
+ CASE k WHEN 0 THEN 10 WHEN 1 THEN 10 WHEN 2 THEN 1 ELSE 5 END AS "first", CASE k WHEN 0 THEN 10 WHEN 1 THEN 10 WHEN 2 THEN 2 ELSE 5 END AS "last" FROM (SELECT o_orderkey, {PARTS} FROM orders)""")
+def document_zones(spark, sf):
+    docs = read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), by_kind(4, **ZONED).alias("text"))
+    return ST.zones(docs).drop("lines").withColumn("recipients", F.array_join("recipients", "|"))

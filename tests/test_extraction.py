@@ -150,8 +150,6 @@ def test_text_filters(spark):
     assert asked[1].decision_summary == "Xem xét phê duyệt kiến nghị: Đề nghị tỉnh bố trí vốn kịp thời." and asked[1].is_required and not asked[3].is_required and asked[3].deadline is None
     acts = TX.actions_or_default(docs, docs.select("doc_id", F.lit("T").alias("document_title"))).collect()
     assert sorted((r.doc_id, r.provenance) for r in acts) == [(1, "SYNTHETIC"), (2, "SYNTHETIC"), (3, "SYNTHETIC")]
-    parts = TX.stitched_parts(["Đoạn một.", "II. Mục hai", "1 Theo số liệu A.", "2 Nguồn B.", "Đoạn hai."])
-    assert [k for k, _ in parts] == ["PARAGRAPH", "FOOTNOTE", "FOOTNOTE", "HEADING", "PARAGRAPH"]
 
 
 def test_evidence(spark):

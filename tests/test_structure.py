@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportloom.operators import footnotes as FN
+from reportloom.operators import structure as ST
 from reportloom.plans import structure
 from reportloom.streaming import queue as JQ
 
@@ -220,3 +221,90 @@ def test_queue_ignores_what_it_can_not_place(spark, tmp_path):
     stream = own.readStream.schema("queue long, batch_id string, job_id string, kind string, ms long, ts timestamp").parquet(f"{tmp_path}/in")
     JQ.run_queue(stream, f"{tmp_path}/out", f"{tmp_path}/check")
     assert sorted(transitions(spark, tmp_path)) == [(1, 0, "", "j", "PENDING", 1, 2), (1, 1, "", "j", "PARSING", 1, 2), (1, 2, "", "j", "COMPLETED", 1, 6)]
+
+
+# ------------------------------------------------------------------------ structure
+
+REPORT = """ỦY BAN NHÂN DÂN
+XÃ MINH
+CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM
+Số: 34/BC-UBND
+Minh, ngày 15 tháng 12 năm 2025
+
+BÁO CÁO
+Kết quả hoạt động phong trào văn
+hóa năm 2025
+
+I. TÌNH HÌNH CHUNG VỀ PHONG
+TRÀO
+1. Đặc điểm tình hình
+Xã được thành lập trên cơ sở sáp nhập diện tích tự nhiên
+và quy mô dân số, tỷ lệ hộ cận
+nghèo 2,9% thuộc TP.
+Hồ Chí Minh theo đ/c.
+Bí thư. Chú trọng
+tập trung đầu tư.
+- Tuyên truyền các tiêu
+chuẩn văn hóa;
+- Kiểm tra kỷ cương
+(số liệu tạm)
+2. Đánh giá
+Ghi chú: Số liệu ước tính chưa gồm
+nguồn vốn khác.
+- từ tỉnh
+(*) Lưu ý: nộp trước ngày 15/7.
+7
+hành chính.
+PHẦN II
+KIẾN NGHỊ
+Nơi nhận:
+- Như trên;
+- Lưu: VT.
+KT. CHỦ TỊCH
+PHÓ CHỦ TỊCH
+Nguyễn Văn A"""
+
+
+def test_document_structure(spark):
+    zones, body = ST.document_structure(spark.createDataFrame([(1, REPORT), (2, None), (3, "\n \n")], "doc_id long, text string"))
+    z = {r.doc_id: r for r in zones.collect()}
+    assert (z[1].superior, z[1].issuer, z[1].number, z[1].dated) == ("ỦY BAN NHÂN DÂN", "XÃ MINH", "Số: 34/BC-UBND", "Minh, ngày 15 tháng 12 năm 2025")
+    assert z[1].subject == "Kết quả hoạt động phong trào văn hóa năm 2025" and z[1].recipients == ["Như trên", "Lưu: VT."]
+    assert (z[1].signer_title, z[1].signer) == ("PHÓ CHỦ TỊCH", "Nguyễn Văn A") and z[2].title == z[3].title == "BÁO CÁO"
+    got = [(r.type, r.text) for r in body.orderBy("doc_id", "ord").collect()]
+    assert got == [
+        ("HEADING_1", "I. TÌNH HÌNH CHUNG VỀ PHONG TRÀO"), ("HEADING_2", "1. Đặc điểm tình hình"),
+        ("PARAGRAPH", "Xã được thành lập trên cơ sở sáp nhập diện tích tự nhiên và quy mô dân số, tỷ lệ hộ cận nghèo 2,9% thuộc TP. Hồ Chí Minh theo đ/c. Bí thư. Chú trọng tập trung đầu tư."),
+        ("LIST_ITEM", "- Tuyên truyền các tiêu chuẩn văn hóa;"), ("LIST_ITEM", "- Kiểm tra kỷ cương"), ("SUB_NOTE", "(số liệu tạm)"),
+        ("FOOTNOTE", "Ghi chú: Số liệu ước tính chưa gồm nguồn vốn khác.\n- từ tỉnh"), ("FOOTNOTE", "(*) Lưu ý: nộp trước ngày 15/7."), ("HEADING_2", "2. Đánh giá hành chính."), ("HEADING_1", "PHẦN II: KIẾN NGHỊ"),
+    ]
+
+
+def test_long_bodies_are_cut_in_blocks(spark, monkeypatch):
+    """Blocks of a few lines give what one block gives, and what the steps give one after the other."""
+    g = random.Random(7)
+    said = ["I. MỤC", "PHẦN II", "2. Việc", "- mục;", "- mục", "(ghi)", "Ghi chú: A", "Câu đầy đủ.", "câu thường", "câu hỏi:", "ABC", "TP.", "Số 5.", "7 ngày", "12", "", "và hết.", "“nói.”", None, "x"]
+    rows = [(d, o, g.choice(said)) for d in (1, None) for o in range(700)] + [(2, 5, "một dòng")]
+    df = spark.createDataFrame(rows, "doc_id long, ord int, line string").repartition(4)
+    want = None
+    for size in (10_000, 512, 13):
+        monkeypatch.setattr(ST, "BLOCK", size)
+        got = sorted(((str(r.doc_id), r.ord, r.type, r.text) for r in ST.stitched(df).collect()))
+        assert want is None or got == want
+        want = got
+    assert [x[1] for x in want if x[0] == "1"] == list(range(sum(x[0] == "1" for x in want)))
+    masks = {(r.doc_id, r.ord): r.m for r in df.filter("line is not null").select("doc_id", "ord", ST.mask(F.col("line")).alias("m")).collect()}
+    _, out = ST.followed([masks[1, o] for d, o, t in rows if d == 1 and t is not None], ST.Entry())
+    assert sum(1 for _, kind, _ in out if kind) == sum(x[0] == "1" for x in want)
+    assert ST.stitched(df.limit(0)).count() == 0
+
+
+def test_block_functions_agree_with_steps():
+    """The function of a run of lines, for every state, is what following the lines gives."""
+    g = random.Random(2)
+    masks = [None if g.random() < 0.1 else -1 if g.random() < 0.1 else sum(1 << i for i in range(len(ST.FEATURES)) if g.random() < 0.2) for _ in range(30)]
+    entries = [ST.Entry(s, 0, -1 if s.waits == 1 else ST.CARRIED) for s in ST.all_states()]
+    for n in (0, 1, 2, 5, 30):
+        for e, after in zip(entries, ST.summed(masks[:n], entries), strict=True):
+            want = ST.followed(masks[:n], e)[0]
+            assert (after.state, after.n) == (want.state, want.n) and (want.state.waits == 0 or after.waits == want.waits)
