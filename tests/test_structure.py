@@ -275,8 +275,8 @@ def test_document_structure(spark):
     assert got == [
         ("HEADING_1", "I. TÌNH HÌNH CHUNG VỀ PHONG TRÀO"), ("HEADING_2", "1. Đặc điểm tình hình"),
         ("PARAGRAPH", "Xã được thành lập trên cơ sở sáp nhập diện tích tự nhiên và quy mô dân số, tỷ lệ hộ cận nghèo 2,9% thuộc TP. Hồ Chí Minh theo đ/c. Bí thư. Chú trọng tập trung đầu tư."),
-        ("LIST_ITEM", "- Tuyên truyền các tiêu chuẩn văn hóa;"), ("LIST_ITEM", "- Kiểm tra kỷ cương"), ("SUB_NOTE", "(số liệu tạm)"),
-        ("FOOTNOTE", "Ghi chú: Số liệu ước tính chưa gồm nguồn vốn khác.\n- từ tỉnh"), ("FOOTNOTE", "(*) Lưu ý: nộp trước ngày 15/7."), ("HEADING_2", "2. Đánh giá hành chính."), ("HEADING_1", "PHẦN II: KIẾN NGHỊ"),
+        ("LIST_ITEM", "- Tuyên truyền các tiêu chuẩn văn hóa;"), ("LIST_ITEM", "- Kiểm tra kỷ cương hành chính."), ("SUB_NOTE", "(số liệu tạm)"),
+        ("FOOTNOTE", "Ghi chú: Số liệu ước tính chưa gồm nguồn vốn khác.\n- từ tỉnh"), ("FOOTNOTE", "(*) Lưu ý: nộp trước ngày 15/7."), ("HEADING_2", "2. Đánh giá"), ("HEADING_1", "PHẦN II: KIẾN NGHỊ"),
     ]
 
 
