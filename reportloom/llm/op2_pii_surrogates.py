@@ -313,7 +313,7 @@ def replace_pii(docs: DataFrame, key: str | None = None, text: str = "text") ->
     own = [c for c in docs.columns if c not in ("doc_id", text)]
     inner = {c: f"other_{i}" for i, c in enumerate(own)} | {text: "text"}  # columns of the work itself can't clash
     names = [inner.get(c, c) for c in docs.columns]
-    mine = docs.withColumnsRenamed(inner)
+    mine = docs.select(*[F.col(f"`{c}`").alias(inner.get(c, c)) for c in docs.columns])
     mine = mine.withColumn("found", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
     some = F.size(F.coalesce("found", F.array().cast("array<string>"))) > 0
     hit = mine.filter(some).withColumn("uid", F.xxhash64("doc_id", "text")).withColumn("gaps", F.split("text", ANY, -1))

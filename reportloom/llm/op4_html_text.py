@@ -64,7 +64,7 @@ HINTS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adv|banner|sponsor\w*|promo\w
 NAMES = set("ad ads advert advertisement sponsored breadcrumb breadcrumbs sidebar cookie-notice cookie-banner newsletter share-bar share-buttons social-share social-links related-posts pagination".split())
 # whole names of comment and advert containers
 COMMENTS = re.compile(r"(?:(?:user|reader|post|article|page|site|blog|fb|facebook)[_-]?)?comments?(?:[_-]?(?:area|list|section|wrap(?:per)?|thread|container|box|block|form|body|content|respond|holder|panel|template))?(?:[_-]\d+)?|respond|disqus\w*|(?:user|reader)[_-](?:reviews|replies)", re.I)
-ADVERTS = re.compile(r"(?:(?:google|dfp|gpt|banner|top|bottom|side|inline|in-?(?:article|content|text)|mid|native|text)[_-]?)?(?:ads?|advert(?:s|isement|isements|ising|orial)?)(?:[_-]?(?:slot|box|unit|banner|container|wrap(?:per)?|block|space|placement|area|zone|holder|label|frame|section|inner|\d+))*|adsbygoogle|sponsor(?:ed)?[_-](?:content|links?|box|message|block|ads?)|promoted[_-](?:content|links?|box)|taboola\w*|outbrain\w*", re.I)
+ADVERTS = re.compile(r"(?:(?:google|dfp|gpt|banner|top|bottom|side|inline|in-?(?:article|content|text)|mid|native|text)[_-]?)?(?:ads?|advert(?:s|isement|isements|ising|orial)?)(?:[_-]?(?:slot|box|unit|banner|container|wrap(?:per)?|block|space|placement|area|zone|holder|label|frame|section|inner|\d+))*|adsbygoogle|sponsor(?:ed)?[_-](?:content|links?|box|message|block|ads?)|promoted[_-](?:content|links?|box)|(?:taboola|outbrain)[\w-]*", re.I)
 # names about something else: a part that is there or not, or an option
 ABOUT = re.compile(r"(?:has|have|no|not|non|with|without|is|hide|show|can|site|page|layout)[_-].*|.*[_-](?:free|less|enabled|disabled|none|hidden|visible|on|off|open|closed|layout|page|template)", re.I)
 CONTENT = re.compile(r"(?:(?:entry|post|article|story|page|main|body|single|news|blog)[_-]?(?:content|body|text|main|inner|copy)|content|main|(?:content|main)[_-](?:area|body|inner|wrap(?:per)?|container|main|column|text))", re.I)
