@@ -45,7 +45,10 @@ def percent_audit(tables: DataFrame) -> DataFrame:
     roles = tables.withColumn("c", header_roles(F.col("headers"))).filter("c.rate is not null and c.plan is not null and c.actual is not null")
     cell = lambda role: S.vn_number(F.get("row", F.col(f"c.{role}") - 1))
     rows = roles.select("table_id", "c", F.posexplode("rows").alias("row_index", "row"))
-    found = rows.select("table_id", "row_index", (F.col("c.rate") - 1).alias("col_index"), percent_finding(cell("plan"), cell("actual"), cell("rate")).alias("expected"), cell("rate").alias("actual"))
+    # through a generator: the finding uses each number many times, and none is parsed again
+    three = F.struct(cell("plan").alias("plan"), cell("actual").alias("actual"), cell("rate").alias("rate"))
+    read = rows.select("table_id", "row_index", (F.col("c.rate") - 1).alias("col_index"), F.explode(F.array(three)).alias("x"))
+    found = read.select("table_id", "row_index", "col_index", percent_finding(F.col("x.plan"), F.col("x.actual"), F.col("x.rate")).alias("expected"), F.col("x.rate").alias("actual"))
     return found.filter("expected is not null").withColumn("finding", F.lit("PERCENTAGE_MISMATCH"))
 
 
@@ -234,7 +237,8 @@ def summary_metrics(tables: DataFrame) -> DataFrame:
 def process_tables(tables: DataFrame) -> DataFrame:
     """tables (table_id, headers, rows) -> clean headers and rows, header tree, markdown, counts and
     the findings of the three audits (T1)."""
-    clean = tables.select("table_id", clean_cells(F.array("headers"))[0].alias("headers"), clean_cells(F.col("rows")).alias("rows"))
+    # through a generator: the audits use the clean cells many times, and none makes them again
+    clean = tables.select("table_id", F.explode(F.array(F.struct(clean_cells(F.array("headers"))[0].alias("headers"), clean_cells(F.col("rows")).alias("rows")))).alias("t")).select("table_id", "t.headers", "t.rows")
     long = cells(clean)
     first = F.trim(F.get("row", F.lit(0)))
     numbers = clean.select("table_id", F.posexplode("rows").alias("row_index", "row")).select("table_id", "row_index", S.row_role(first).alias("role"), F.posexplode("row").alias("col_index", "text"))

@@ -93,26 +93,26 @@ def period_comparison(spark, sf):
     return A.compare_metrics(month_metrics(spark, sf, 1996), month_metrics(spark, sf, 1997))
 
 
-MONTH = "SELECT DISTINCT p_name || ' ' || p_brand || CASE WHEN p_size > 25 THEN ' x' ELSE p_size::VARCHAR END AS t FROM part JOIN lineitem ON l_partkey = p_partkey WHERE year(l_shipdate) = {} AND month(l_shipdate) = 3 AND day(l_shipdate) <= 9"
-PIECES = f"a AS ({MONTH.format(1996)}), b AS ({MONTH.format(1997)})"
+HALF = "SELECT DISTINCT p_name || ' ' || floor(l_quantity)::BIGINT || ' ' || p_brand || l_suppkey % 10 AS t FROM part JOIN lineitem ON l_partkey = p_partkey WHERE (year(l_shipdate) < 1997) = {}"
+PIECES = f"a AS ({HALF.format('true')}), b AS ({HALF.format('false')})"
 NEAR = "EXISTS (SELECT 1 FROM a WHERE contains(a.t, b.t[:15]) OR contains(b.t, a.t[:15]))"
 
 
-def month_names(spark, sf, year: int) -> DataFrame:
+def half_names(spark, sf, early: bool) -> DataFrame:
+    """Quantities and names of what was shipped before 1997, or from then on."""
     l, p = read(spark, sf, "lineitem"), read(spark, sf, "part")
-    name = F.concat("p_name", F.lit(" "), "p_brand", F.when(F.col("p_size") > 25, " x").otherwise(F.col("p_size").cast("string")))
-    days = (F.year("l_shipdate") == year) & (F.month("l_shipdate") == 3) & (F.dayofmonth("l_shipdate") <= 9)
-    return l.filter(days).join(p, F.col("l_partkey") == F.col("p_partkey")).select(name.alias("t")).distinct()
+    name = F.concat("p_name", F.lit(" "), F.floor("l_quantity").cast("string"), F.lit(" "), "p_brand", (F.col("l_suppkey") % 10).cast("string"))
+    return l.filter((F.year("l_shipdate") < 1997) == early).join(p, F.col("l_partkey") == F.col("p_partkey")).select(name.alias("t")).distinct()
 
 
 @query(f"WITH {PIECES} SELECT t FROM b WHERE {NEAR}")
 def persistent_items(spark, sf):
-    return A.persistent(month_names(spark, sf, 1997), month_names(spark, sf, 1996), "t")
+    return A.persistent(half_names(spark, sf, False), half_names(spark, sf, True), "t")
 
 
 @query(f"WITH {PIECES} SELECT t FROM b WHERE NOT {NEAR}")
 def new_items(spark, sf):
-    return A.persistent(month_names(spark, sf, 1997), month_names(spark, sf, 1996), "t", keep=False)
+    return A.persistent(half_names(spark, sf, False), half_names(spark, sf, True), "t", keep=False)
 
 
 @query("""SELECT (SELECT count(*) FROM orders) AS total_reports, (SELECT count(DISTINCT o_custkey) FROM orders) AS authorities, (SELECT count(*) FROM lineitem) AS total_metrics,
@@ -330,9 +330,9 @@ def report_texts(spark, sf) -> DataFrame:
     return read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
 
 
-@query("""SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS ord, lower(regexp_extract(x, '^<(\\w+)', 1)) AS tag FROM (SELECT page_id, unnest(m) AS x, unnest(range(len(m))) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h1(?:\\s[^>]*)?>.*?</h1>|<h2(?:\\s[^>]*)?>.*?</h2>|<h3(?:\\s[^>]*)?>.*?</h3>|<h4(?:\\s[^>]*)?>.*?</h4>|<h5(?:\\s[^>]*)?>.*?</h5>|<h6(?:\\s[^>]*)?>.*?</h6>|<p(?:\\s[^>]*)?>.*?</p>|<table(?:\\s[^>]*)?>.*?</table>') AS m FROM pages))""")
+@query("""SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS ord, lower(regexp_extract(x, '^<(\\w+)', 1)) AS tag, trim(regexp_replace(regexp_replace(regexp_replace(x, '(?i)<br\\s*/?>|</(?:div|li|p|tr)>', chr(10), 'g'), '<[^>]*>', '', 'g'), '[ \\t]*\\n\\s*', chr(10), 'g')) AS text FROM (SELECT page_id, unnest(m) AS x, unnest(range(len(m))) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h1(?:\\s[^>]*)?>.*?</h1>|<h2(?:\\s[^>]*)?>.*?</h2>|<h3(?:\\s[^>]*)?>.*?</h3>|<h4(?:\\s[^>]*)?>.*?</h4>|<h5(?:\\s[^>]*)?>.*?</h5>|<h6(?:\\s[^>]*)?>.*?</h6>|<p(?:\\s[^>]*)?>.*?</p>|<table(?:\\s[^>]*)?>.*?</table>') AS m FROM pages))""")
 def html_flow(spark, sf):
-    return TX.html_flow(read(spark, sf, "pages")).select("page_id", "ord", "tag")
+    return TX.html_flow(read(spark, sf, "pages")).select("page_id", "ord", "tag", "text")
 
 
 TURN_WORDS = "SELECT conv_id AS doc_id, turn, lower(trim(regexp_replace(regexp_replace(regexp_replace({0}, '-[\\s]*\\n[\\s]*', '', 'g'), '[\\s]+', ' ', 'g'), '^[-*•+\\d.)\\s]+', ''))) AS t FROM conversations"

@@ -93,10 +93,12 @@ def summary_metrics(spark, sf):
     return T.summary_metrics(raw_tables(spark, sf)).select("doc_id", "ord", "indicator", "actual", "plan_target", "data_nature")
 
 
-@query("""WITH t AS (SELECT o_orderkey AS table_id, floor(o_totalprice) AS n FROM orders WHERE o_orderkey % 8 = 0)
- SELECT table_id, 3 AS row_count, 4 AS col_count, '| STT | Chỉ tiêu | Kế hoạch | Thực hiện |' AS head, CASE WHEN n > 0 AND abs(n - 110) / n > 0.015 AND abs(n - 110) > 0.5 THEN 'SUM_MISMATCH:3' ELSE '' END AS findings FROM t""")
+@query("""WITH t AS (SELECT o_orderkey AS table_id, o_orderkey % 8 AS k, floor(o_totalprice) AS n, o_orderstatus AS s, o_orderpriority AS p, month(o_orderdate) AS m FROM orders)
+ SELECT table_id, CASE k WHEN 0 THEN 3 WHEN 2 THEN 1 WHEN 4 THEN 1 WHEN 7 THEN 1 ELSE 2 END AS row_count, CASE k WHEN 0 THEN 4 WHEN 1 THEN 1 WHEN 5 THEN 4 ELSE 2 END AS col_count,
+ CASE k WHEN 0 THEN '| STT | Chỉ tiêu | Kế hoạch | Thực hiện |' WHEN 1 THEN '| STT |' WHEN 2 THEN '| UBND TỈNH ' || s || ' | CỘNG HÒA XÃ HỘI |' WHEN 3 THEN '| STT | Nội dung |' WHEN 4 THEN '| Tên đơn vị | Địa chỉ |' WHEN 5 THEN '| STT | Nội dung ' || p || ' |  |  |' WHEN 6 THEN '| a | b |' ELSE '| BÁO CÁO ' || p || ' | tháng ' || m || ' |' END AS head,
+ CASE WHEN k = 0 AND n > 0 AND abs(n - 110) / n > 0.015 AND abs(n - 110) > 0.5 THEN 'SUM_MISMATCH:3' ELSE '' END AS findings FROM t""")
 def processed_tables(spark, sf):
-    t = T.process_tables(raw_tables(spark, sf).filter("ord % 8 = 0").select(F.col("ord").alias("table_id"), "headers", "rows"))
+    t = T.process_tables(raw_tables(spark, sf).select(F.col("ord").alias("table_id"), "headers", "rows"))
     return t.select("table_id", "row_count", "col_count", F.substring_index("markdown", "\n", 1).alias("head"), F.array_join(F.transform("findings", lambda x: F.concat(x["finding"], F.lit(":"), x["col_index"].cast("string"))), ",").alias("findings"))
 
 
@@ -108,12 +110,13 @@ def percent_audit_by_header(spark, sf):
     return T.percent_audit(t).select(F.col("table_id").alias("doc_id"), "row_index", "col_index", "expected", "actual")
 
 
-KINDS = "CASE o_orderkey % 8 WHEN 2 THEN 'HEADER' END"
-
-
-@query(f"SELECT o_orderkey AS ord, {KINDS} AS layout, CASE WHEN o_orderkey % 8 IN (4) THEN 'BUSINESS' ELSE 'BUSINESS' END AS kind FROM orders")
+@query("SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 16 IN (12, 14) THEN NULL WHEN o_orderkey % 8 = 2 THEN 'HEADER' END AS layout, CASE WHEN o_orderkey % 16 IN (12, 14) THEN 'SIGNATURE' ELSE 'BUSINESS' END AS kind FROM orders")
 def table_kinds(spark, sf):
-    t = raw_tables(spark, sf)
+    """The tables of raw_tables; one in eight has its header, or a row, made one of signatures."""
+    k = F.col("ord") % 16
+    heads = F.when(k == 12, F.array(F.lit("STT"), F.lit("Người ký"), F.lit("Thời gian ký"))).otherwise(F.col("headers"))
+    rows = F.when(k == 14, F.array(F.array(F.lit("1"), F.lit("Đã đóng dấu")), F.array(F.lit("Thời gian ký"), F.lit("x")))).otherwise(F.col("rows"))
+    t = raw_tables(spark, sf).withColumn("headers", heads).withColumn("rows", rows)
     return t.select("ord", T.layout_table(F.concat(F.array("headers"), F.col("rows"))).alias("layout"), T.table_kind(F.col("headers"), F.col("rows")).alias("kind"))
 
 
@@ -213,10 +216,10 @@ def run_results(spark, sf):
     return A.run_rollup(read(spark, sf, "orders").select(F.when(F.col("o_orderstatus") == "F", "PASS").when(F.col("o_orderstatus") == "O", "FAIL").otherwise("UNSUPPORTED_FORMAT").alias("status")))
 
 
-@query("""SELECT doc_id, floor((length(t) / src::DOUBLE) * 100 + 0.5)::BIGINT AS kept_percent, CASE WHEN contains(t, chr(65533)) OR regexp_matches(t, '\\b(?i:undefined)\\b') OR regexp_matches(t, '\\bNaN\\b') THEN 'ERROR' WHEN length(t) / src::DOUBLE < 0.6 AND src > 500 THEN 'WARNING' ELSE 'PERFECT' END AS status
- FROM (SELECT doc_id, n_chars * (2 - doc_id % 2) AS src, CASE WHEN doc_id % 5 = 0 THEN text || ' NaN' ELSE text END AS t FROM documents WHERE n_chars > 0)""")
+@query("""SELECT doc_id, floor((length(t) / greatest(src, 1)::DOUBLE) * 100 + 0.5)::BIGINT AS kept_percent, CASE WHEN contains(t, chr(65533)) OR regexp_matches(t, '\\b(?i:undefined)\\b') OR regexp_matches(t, '\\bNaN\\b') THEN 'ERROR' WHEN length(t) / greatest(src, 1)::DOUBLE < 0.6 AND src > 500 THEN 'WARNING' ELSE 'PERFECT' END AS status
+ FROM (SELECT doc_id, n_chars * (2 - doc_id % 2) AS src, CASE WHEN doc_id % 5 = 0 THEN text || ' NaN' ELSE text END AS t FROM documents)""")
 def text_kept(spark, sf):
-    d = read(spark, sf, "documents").filter("n_chars > 0")
+    d = read(spark, sf, "documents")
     text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" NaN"))).otherwise(F.col("text"))
     return A.text_preservation(d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("n_chars") * 2).otherwise(F.col("n_chars")).alias("source_chars"), text.alias("text"))).select("doc_id", F.col("kept_percent").cast("long").alias("kept_percent"), "status")
 
@@ -268,9 +271,13 @@ ROLES = {"TOTAL": ["Tổng cộng", "cộng", "Tổng thu ngân sách"], "SUBTOT
 LISTED = [(name, role) for role, names in ROLES.items() for name in names]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{r}')" for n, r in LISTED) + ") AS t(cell, role)")
+LISTED_SQL = " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(LISTED)), " ".join(f"WHEN {i} THEN '{r}'" for i, (_, r) in enumerate(LISTED))
+
+
+@query(f"SELECT o_orderkey, CASE o_orderkey % {len(LISTED)} {LISTED_SQL[0]} END AS cell, CASE o_orderkey % {len(LISTED)} {LISTED_SQL[1]} END AS role FROM orders")
 def row_roles(spark, sf):
-    return spark.createDataFrame([(n,) for n, _ in LISTED], "cell string").select("cell", S.row_role(F.col("cell")).alias("role"))
+    names = S.first_case([(F.col("o_orderkey") % len(LISTED) == i, F.lit(n)) for i, (n, _) in enumerate(LISTED)], F.lit(None).cast("string"))
+    return read(spark, sf, "orders").select("o_orderkey", names.alias("cell"), S.row_role(names).alias("role"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Vốn đầu tư' WHEN 1 THEN 'Nhân sự' WHEN 2 THEN 'Thi công và vật liệu' ELSE 'KHAC' END AS label, CASE p_partkey % 4 WHEN 0 THEN 'DAU_TU_CONG' WHEN 1 THEN 'NGAN_SACH,KIEN_NGHI' WHEN 2 THEN 'Y_TE' ELSE 'CHUYEN_NGANH' END AS tags, p_partkey % 4 = 1 AS periodic, CASE p_partkey % 4 WHEN 2 THEN 'KHAN' WHEN 3 THEN 'HOA_TOC' ELSE 'THUONG' END AS urgency FROM part")
@@ -312,8 +319,15 @@ def layout_rows(spark, sf):
     return X.layout_rows(t).select("doc_id", "ord", "row_no", "row_class", "has_sub_header")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("({}, '{}', '{}', '{}', '{}')".format(i, c, n.replace("'", "''"), g, "|".join(k).replace("'", "''")) for i, (c, n, g, k) in enumerate(TAXONOMY)) + ") AS t(ord, code, name, parent_group, keywords)")
+TAXONOMY_SQL = "(VALUES " + ", ".join("({}, '{}', '{}', '{}', '{}')".format(i, c, n.replace("'", "''"), g, "|".join(k).replace("'", "''")) for i, (c, n, g, k) in enumerate(TAXONOMY)) + ") AS t(ord, code, name, parent_group, keywords)"
+
+
+@query(f"SELECT ord, code, name, parent_group, keywords, count(p_partkey) AS parts, min(p_partkey) AS first_part FROM {TAXONOMY_SQL} LEFT JOIN part ON p_partkey % {len(TAXONOMY) + 1} = ord GROUP BY ALL")
 def taxonomy_rows(spark, sf):
+    """The taxonomy with the parts that fall to each entry by their keys; one entry in so many has none."""
     from ..sources.taxonomy import taxonomy
 
-    return taxonomy(spark).withColumn("keywords", F.array_join("keywords", "|"))
+    part = read(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % (len(TAXONOMY) + 1)).alias("k"))
+    held = part.groupBy("k").agg(F.count("*").alias("parts"), F.min("p_partkey").alias("first_part"))
+    rows = taxonomy(spark).join(held, F.col("ord") == F.col("k"), "left")
+    return rows.select("ord", "code", "name", "parent_group", F.array_join("keywords", "|").alias("keywords"), F.coalesce("parts", F.lit(0)).alias("parts"), "first_part")
