@@ -109,3 +109,27 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, seed: i
 
 def query(spark, sf_dir):
     return resample(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+#: DuckDB has no CRC-32, but it is linear: u holds the checksum register of a single bit k steps on, c
+#: that of each byte at each distance from a feature's end, i that of the initial register.
+ORACLE_SQL = r"""WITH RECURSIVE
+ texts AS (SELECT doc_id, 0 AS bench, row_number() OVER () AS r, text FROM documents UNION ALL SELECT item_id, 1, row_number() OVER (), text FROM benchmark),
+ w AS (SELECT doc_id, bench, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM texts),
+ f AS (SELECT bench, r, unnest(l) AS f FROM w UNION ALL SELECT bench, r, unnest(list_transform(list_zip(l[:-2], l[2:]), lambda x: x[1] || ' ' || x[2])) FROM w WHERE len(l) > 1),
+ n AS (SELECT bench, r, f, count(*) AS n FROM f GROUP BY 1, 2, 3),
+ d AS (SELECT f, octet_length(encode(f)) AS size, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM n)),
+ u(k, v) AS (SELECT 0, 1::BIGINT UNION ALL SELECT k + 1, xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END) FROM u WHERE k < (SELECT 8 * max(size) FROM d)),
+ c AS (SELECT q.at, b.b, bit_xor(u.v) AS v FROM (SELECT unnest(range(1, (SELECT max(size) FROM d) + 1)) AS at) q, (SELECT unnest(range(256)) AS b) b, (SELECT unnest(range(8)) AS j) j JOIN u ON u.k = 8 * q.at - j WHERE (b.b >> j) & 1 = 1 GROUP BY 1, 2),
+ i AS (SELECT s.size, bit_xor(CASE WHEN 8 * s.size >= j THEN u.v ELSE 1::BIGINT << (j - 8 * s.size) END) AS v FROM (SELECT DISTINCT size FROM d) s, (SELECT unnest(range(32)) AS j) j LEFT JOIN u ON u.k = 8 * s.size - j GROUP BY 1),
+ e AS (SELECT f, size, unnest(range(size)) AS p, h FROM d),
+ x AS (SELECT e.f, any_value(e.size) AS size, bit_xor(coalesce(c.v, 0)) AS v FROM e LEFT JOIN c ON c.at = e.size - e.p AND c.b = ('0x' || substr(e.h, 2 * e.p + 1, 2))::INTEGER GROUP BY 1),
+ b AS (SELECT x.f, xor(xor(x.v, i.v), 4294967295) % 10000 AS b FROM x JOIN i ON i.size = x.size),
+ m AS (SELECT n.bench, n.r, b.b, sum(n.n) AS n FROM n JOIN b ON b.f = n.f GROUP BY 1, 2, 3),
+ s AS (SELECT b, sum(n) FILTER (bench = 0) AS s, sum(n) FILTER (bench = 1) AS t FROM m GROUP BY 1),
+ z AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM s),
+ g AS (SELECT s.b, floor(1000 * ln((coalesce(s.t, 0) + 1)::DOUBLE * (z.s + 10000)::DOUBLE / ((coalesce(s.s, 0) + 1)::DOUBLE * (z.t + 10000)::DOUBLE)))::BIGINT AS gain FROM s, z),
+ k AS (SELECT m.r, sum(m.n)::BIGINT AS n, floor(sum(m.n * g.gain)::DOUBLE / sum(m.n))::BIGINT AS weight FROM m JOIN g ON g.b = m.b WHERE m.bench = 0 GROUP BY 1),
+ q AS (SELECT w.doc_id, len(w.l) >= 20 AS fits, coalesce(k.n, 0)::BIGINT AS n_features, coalesce(k.weight, 0)::BIGINT AS weight, coalesce(k.weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(w.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM w LEFT JOIN k ON k.r = w.r WHERE w.bench = 0),
+ o AS (SELECT *, row_number() OVER (PARTITION BY fits ORDER BY score DESC, doc_id) AS place FROM q)
+ SELECT doc_id, n_features, weight, score, CASE WHEN fits AND place <= (SELECT count(*) FILTER (fits) * 25 // 100 FROM q) THEN place END AS rank FROM o"""

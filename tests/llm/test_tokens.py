@@ -277,3 +277,18 @@ def test_resampling(spark, docs):
     assert op13.resample(df.limit(0), target).count() == 0
     nothing = op13.resample(df.filter("doc_id < 3"), target.limit(0)).collect()
     assert {(r.n_features, r.weight, r.rank) for r in nothing} == {(0, 0, None)}
+
+
+def test_resampling_sql(spark):
+    """The query against its SQL on whole tables."""
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = Counter(c.execute(op13.ORACLE_SQL).fetchall())
+    assert Counter((r.doc_id, r.n_features, r.weight, r.score, r.rank) for r in op13.query(spark, sf).collect()) == want
