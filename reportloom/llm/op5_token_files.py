@@ -11,8 +11,9 @@ Blocks are the rows of a Parquet table in the shared folder (columns part, block
 Spark's committer makes the write atomic and safe against lost executors on any store.
 
 Encoding runs once over each distinct piece: a text is cut before single spaces with no white
-space of Unicode on either side, where the byte-level pattern can't carry a token across, and a
-worker keeps the ids of pieces it has seen.
+space of Unicode on either side, and between letters, digits and punctuation marks of ASCII (but
+the apostrophe, which starts contractions), where the byte-level pattern can't carry a token
+across, and a worker keeps the ids of pieces it has seen.
 
 Cached ids are used only where the cached bytes equal the text's own.
 
@@ -103,6 +104,16 @@ def decode_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, in
 # ----------------------------------------------------------------------- encoding
 
 
+# of each byte: 1 ASCII letter, 2 digit, 3 punctuation mark but the apostrophe, else 0
+CLASS = np.array([1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if 33 <= b <= 126 and b != 39 else 0 for b in range(128)] + [0] * 128, np.uint8)
+
+
+# the byte-level alphabet: printable bytes as themselves, the others in order from 256 on
+SHOWN = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+SHOWN |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
+OLD_LETTERS = "\u0500"  # Latin, Greek and Cyrillic: letters to every version of Unicode
+
+
 class Encoder:
     """The tokenizers library over distinct pieces, with a bounded cache."""
 
@@ -113,6 +124,12 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         # an added token takes effect wherever it stands, so no piece ends inside one
         self.added = sorted({t.content.encode() for t in self.tok.get_added_tokens_decoder().values()}, key=len, reverse=True)
+        split = self.tok.pre_tokenizer.pre_tokenize_str("12") if self.tok.pre_tokenizer else []
+        self.digits_apart = len(split) == 2
+        # a piece of one class, with a space before it or not, is one word of the model
+        spaced = self.tok.pre_tokenizer.pre_tokenize_str(" ab") if self.tok.pre_tokenizer else []
+        self.space = spaced[0][0].removesuffix("ab") if len(spaced) == 1 else None
+        self.lower = bool(self.tok.normalizer) and self.tok.normalizer.normalize_str("A") == "a"
         self.forget()
 
     def forget(self):
@@ -130,6 +147,11 @@ class Encoder:
         gap = data == 32
         solid = ~C.white(data)
         cut[1:-1] = gap[1:-1] & solid[:-2] & solid[2:]
+        kind = CLASS[data]
+        change = kind[1:] != kind[:-1]
+        if self.digits_apart:
+            change |= kind[1:] == 2
+        cut[1:] |= change & (kind[1:] > 0) & (kind[:-1] > 0)
         whole = data.tobytes()
         for t in self.added:
             at = whole.find(t)
@@ -149,7 +171,7 @@ class Encoder:
         new = np.flatnonzero(slots < 0)
         if len(new):
             pieces = [whole[a:b].decode("utf-8") for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)]
-            got = [x.ids for x in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+            got = self.encoded(pieces, self.one_word(data, kind, s[first[new]], e[first[new]]))
             sizes = np.fromiter(map(len, got), np.int64, len(got))
             base = len(self.at) - 1
             self.raw = np.concatenate([self.raw, np.frombuffer("".join(pieces).encode(), np.uint8)])
@@ -172,6 +194,39 @@ class Encoder:
         row = np.searchsorted(off, s, side="right") - 1
         return ids, np.bincount(row, weights=size, minlength=n_rows).astype(np.int64)
 
+    def one_word(self, data: np.ndarray, kind: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Which pieces are of one class of ASCII but for a first space."""
+        after = s + (data[s] == 32)
+        whole = after < e
+        steps = np.concatenate([[0], np.cumsum(np.concatenate([[False], kind[1:] != kind[:-1]]))])  # changes of class up to a byte
+        at, last = np.minimum(after, e - 1), e - 1
+        return whole & (kind[at] > 0) & (steps[last + 1] == steps[at + 1])
+
+    def encoded(self, pieces: list[str], one_word: np.ndarray) -> list[list[int]]:
+        """Ids of pieces. One word goes to the model at once; the others take the whole way."""
+        if self.space is None:
+            one_word = np.zeros(len(pieces), bool)
+        words = self.tok.model.tokenize
+        out: list = [None] * len(pieces)
+        for i in np.flatnonzero(one_word).tolist():
+            x = pieces[i]
+            if x[0] == " ":
+                x = self.space + x[1:]
+            out[i] = [t.id for t in words(x.lower() if self.lower else x)]
+        if self.space is not None:
+            for i in np.flatnonzero(~one_word).tolist():
+                x = pieces[i]
+                spaced = x[0] == " "
+                y = x[1:] if spaced else x
+                if y.isalpha() and max(y) < OLD_LETTERS:
+                    if self.tok.normalizer:
+                        y = self.tok.normalizer.normalize_str(y)
+                    if y.isalpha():
+                        out[i] = [t.id for t in words((self.space if spaced else "") + "".join([SHOWN[b] for b in y.encode()]))]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.tok.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = x.ids
+        return out
 
     def plain(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same without pieces or cache, for rows in which two pieces share a key."""
