@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tabular as TB
 from ..operators import export as X
 from ..operators import footnotes as FN
 from ..operators import structure as ST
@@ -202,3 +203,25 @@ PARTS = "o_orderstatus AS s, o_custkey AS c, o_orderpriority AS p, day(o_orderda
 def document_zones(spark, sf):
     docs = read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), by_kind(4, **ZONED).alias("text"))
     return ST.zones(docs).drop("lines").withColumn("recipients", F.array_join("recipients", "|"))
+
+
+# ------------------------------------------------------------------------ table functions
+
+
+@query(r"""WITH o AS (SELECT o_orderkey AS doc_id, o_orderstatus AS s, o_orderpriority AS p, o_custkey AS c FROM orders)
+ SELECT doc_id, 0 AS ord, 'h2' AS tag, NULL AS row_index, NULL AS col_index, 'Bảng & ' || s AS text FROM o UNION ALL SELECT doc_id, 1, 'p', NULL, NULL, 'dòng ' || c || chr(10) || 'hai' FROM o
+ UNION ALL SELECT doc_id, 2, 'table', NULL, NULL, 'STTTên' || chr(10) || c || p FROM o UNION ALL SELECT doc_id, 2, 'table', 0, 0, 'STT' FROM o UNION ALL SELECT doc_id, 2, 'table', 0, 1, 'Tên' FROM o UNION ALL SELECT doc_id, 2, 'table', 1, 0, c::VARCHAR FROM o UNION ALL SELECT doc_id, 2, 'table', 1, 1, p FROM o""")
+def html_tables(spark, sf):
+    """Blocks, table rows and cells of made pages, by the table function in SQL."""
+    TB.register(spark)
+    o = read(spark, sf, "orders")
+    part = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    html = part("<body><h2 class='a'>Bảng &amp; ", F.col("o_orderstatus"), "</h2><p>dòng  ", F.col("o_custkey"), "<br>hai</p><table><tr><th>STT</th><th>Tên</th></tr><tr><td>", F.col("o_custkey"), "</td><td><b>", F.col("o_orderpriority"), "</b></td></tr></table></body>")
+    return spark.sql("SELECT o.doc_id, b.* FROM {o} o, LATERAL html_blocks(o.html) b", o=o.select(F.col("o_orderkey").alias("doc_id"), html.alias("html")))
+
+
+@query(r"SELECT doc_id, ord::INTEGER AS ord, line FROM (SELECT doc_id, unnest(range(len(s))) AS ord, trim(unnest(s), chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) WHERE line <> ''")
+def text_lines(spark, sf):
+    """The documents' lines by the table function in SQL."""
+    TB.register(spark)
+    return spark.sql("SELECT d.doc_id, l.* FROM {d} d, LATERAL text_lines(d.text) l", d=read(spark, sf, "documents"))
