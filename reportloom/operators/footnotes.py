@@ -81,15 +81,21 @@ def footnotes(elements: DataFrame) -> DataFrame:
 
 def with_references(text: Column, notes: Column) -> Column:
     """text with `[^number]` in place of each note's marker, in the notes' order: the first place that
-    carries the marker in what is left of the text; at the end where none does. notes is an array of
-    (number, marker)."""
+    carries the marker in what is left of the text; at the end where none does. A place is a letter, a
+    bracket or a said year (after "năm" or a date's stroke) before the marker, or the marker in brackets;
+    only where there is none, the tail of any other number (12341 for marker 1) is read as a place, since
+    it is rather a number of its own. notes is an array of (number, marker)."""
     said = lambda n: F.concat(F.lit("[^"), n["number"].cast("string"), F.lit("]"))
 
     def step(acc, n):
         m, sp = n["marker"], S.SPACE_CLASS
-        shape = F.concat(F.lit(r"(?s)\A(.*?)(?:([\p{L})]|\d{4})"), m, F.lit(rf"|{sp}*\[{sp}*"), m, F.lit(rf"{sp}*\]|{sp}*\({sp}*"), m, F.lit(rf"{sp}*\))({ENDS})(.*)\z"))
+        bracketed = F.concat(m, F.lit(rf"|{sp}*\[{sp}*"), m, F.lit(rf"{sp}*\]|{sp}*\({sp}*"), m, F.lit(rf"{sp}*\))({ENDS})(.*)\z"))
+        clear = F.concat(F.lit(rf"(?s)\A(.*?)(?:([\p{{L}})]|(?:[Nn]ăm{sp}*|/)\d{{4}})"), bracketed)
+        tail = F.concat(F.lit(r"(?s)\A(.*?)(?:(\d{4})"), bracketed)
+        is_clear = F.call_function("rlike", acc["rest"], clear)
+        shape = F.when(is_clear, clear).otherwise(tail)
         part = lambda i: F.call_function("regexp_extract", acc["rest"], shape, F.lit(i))
-        placed = (m != "") & F.call_function("rlike", acc["rest"], shape)
+        placed = (m != "") & (is_clear | F.call_function("rlike", acc["rest"], tail))
         done = F.when(placed, F.concat(acc["done"], part(1), part(2), said(n))).otherwise(acc["done"])
         rest = F.when(placed, F.concat(part(3), part(4))).otherwise(acc["rest"])
         late = F.when(placed, acc["late"]).otherwise(F.concat(acc["late"], said(n)))

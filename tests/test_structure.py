@@ -73,6 +73,14 @@ def test_note_texts(spark):
     assert [r.text for r in FN.anchored(df).collect()] == ["Thu tăng[^1], chi[^2][^3]"]
 
 
+def test_numbers_are_no_places_where_a_marker_stands_elsewhere(spark):
+    """Tails of long numbers are places only where nothing else carries the marker."""
+    texts = ["Thu 12341 tỷ1, chi.", "Thu 20201 tỷ, năm 20201; chi.", "Thu 12341 tỷ [ 1 ].", "Ngày 1/1/20201, số 55551.", "Thu 12341 tỷ."]
+    rows = [x for i, t in enumerate(texts) for x in ((i, 0, "PARAGRAPH", t), (i, 1, "FOOTNOTE", "1. Nguồn"))]
+    got = FN.anchored(spark.createDataFrame(rows, "doc_id long, ord int, type string, text string")).orderBy("doc_id").collect()
+    assert [r.text for r in got] == ["Thu 12341 tỷ[^1], chi.", "Thu 20201 tỷ, năm 2020[^1]; chi.", "Thu 12341 tỷ[^1].", "Ngày 1/1/2020[^1], số 55551.", "Thu 1234[^1] tỷ."]
+
+
 # ------------------------------------------------------------------------ job queues
 
 
