@@ -6,9 +6,11 @@ lease that runs out, sends it to the end of the queue again, after `retries` mor
 FAILED for good and the others go on. A batch takes at most `most` jobs (more are REJECTED); a
 queue keeps `retained` batches, and a new one makes room by forgetting the oldest complete ones.
 
-State is kept by queue (transformWithState): the waiting jobs by place, the running ones, each job's
-state, each batch's jobs. Steps cost a few lookups, whatever the queue's length, and states live in
-RocksDB, so they need not fit in memory. Queues are independent; a large tenant takes several.
+State is kept by queue (transformWithState) in RocksDB: the waiting jobs by place, the running ones,
+each batch's jobs, the complete batches by place. A micro-batch works on what it touches in memory and
+writes it back once at its end, as every access to the store is a round trip; what came and went within
+a micro-batch never reaches it. A queue has one timer, for the lease that ends first. Queues are
+independent; a large tenant takes several.
 
 Everything follows event time: before an event at t the leases that end at t or earlier end, and a
 timer ends those of queues without further events, once the watermark has passed. So the transitions
@@ -23,6 +25,7 @@ transition.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,6 +36,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TRANSITION = "queue long, number long, batch_id string, job_id string, state string, attempt int, ts timestamp"
 ORDER = {"DONE": 0, "ERROR": 1, "SUBMIT": 2}
+#: Transitions that are handed on at once.
+FRAME = 50_000
 
 
 class JobQueue(StatefulProcessor):
@@ -41,58 +46,97 @@ class JobQueue(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cursor = handle.getValueState("cursor", "head long, tail long, number long, batches long, complete long")
+        self.cursor = handle.getValueState("cursor", "head long, tail long, number long, batches long")
         self.waiting = handle.getMapState("waiting", "place long", "batch string, job string, attempt int")
         self.running = handle.getMapState("running", "batch string, job string", "attempt int, since long")
-        self.jobs = handle.getMapState("jobs", "batch string, job string", "state string")
         self.batches = handle.getMapState("batches", "batch string", "place long, jobs array<string>, open int")
+        self.complete = handle.getMapState("complete", "place long", "batch string")
 
     def start(self, key) -> None:
         self.key, self.out = key[0], []
         head = self.cursor.get() if self.cursor.exists() else None
-        self.head, self.tail, self.number, self.n_batches, self.complete = map(int, head) if head else (0, 0, 0, 0, 0)
-        self.active = {tuple(k): tuple(v) for k, v in self.running.iterator()}  # at most at_once
+        self.head, self.tail, self.number, self.n_batches = map(int, head) if head else (0, 0, 0, 0)
+        self.line = {}  # jobs that have come since: place -> (batch, job, attempt)
+        self.held_active = {tuple(k): tuple(v) for k, v in self.running.iterator()} if head else {}  # at most at_once
+        self.active = dict(self.held_active)
+        self.any_held = self.n_batches > 0
+        self.known: dict[str, list] = {}  # batches touched since: [place, jobs, open]
+        self.held: set[str] = set()  # those of them that the store has
+        self.gone: set[str] = set()  # those that the store has and that are forgotten
+        self.held_complete = {int(k[0]): v[0] for k, v in self.complete.iterator()} if self.any_held else {}
+        self.done = dict(self.held_complete)
+        self.oldest = sorted(self.done)  # a heap of their places; those reopened since are passed over
+
+    def frame(self) -> pd.DataFrame:
+        frame = pd.DataFrame(self.out, columns=["number", "batch_id", "job_id", "state", "attempt", "ts"])
+        frame.insert(0, "queue", self.key)
+        frame["ts"] = pd.to_datetime(frame["ts"], unit="ms")
+        self.out = []
+        return frame
 
     def end(self) -> Iterator[pd.DataFrame]:
-        self.cursor.update((self.head, self.tail, self.number, self.n_batches, self.complete))
+        """What has changed goes to the store."""
+        self.cursor.update((self.head, self.tail, self.number, self.n_batches))
+        for place, job in self.line.items():
+            self.waiting.updateValue((place,), job)
+        for job in self.held_active.keys() - self.active.keys():
+            self.running.removeKey(job)
+        for job, at in self.active.items():
+            if self.held_active.get(job) != at:
+                self.running.updateValue(job, at)
+        for batch in self.gone:
+            self.batches.removeKey((batch,))
+        for batch, (place, names, left) in self.known.items():
+            self.batches.updateValue((batch,), (place, list(names), left))
+        for place in self.held_complete.keys() - self.done.keys():
+            self.complete.removeKey((place,))
+        for place in self.done.keys() - self.held_complete.keys():
+            self.complete.updateValue((place,), (self.done[place],))
+        if self.active:
+            self.handle.registerTimer(min(since for _, since in self.active.values()) + self.lease)
         if self.out:
-            frame = pd.DataFrame(self.out, columns=["number", "batch_id", "job_id", "state", "attempt", "ts"])
-            frame.insert(0, "queue", self.key)
-            frame["ts"] = pd.to_datetime(frame["ts"], unit="ms")
-            yield frame
+            yield self.frame()
+
+    def batch_of(self, name: str) -> list | None:
+        """A known batch, from the store at first; its jobs in order."""
+        if name not in self.known and self.any_held and name not in self.gone and self.batches.containsKey((name,)):
+            place, names, left = self.batches.getValue((name,))
+            self.known[name] = [int(place), dict.fromkeys(names), int(left)]
+            self.held.add(name)
+        return self.known.get(name)
 
     def say(self, batch: str, job: str, state: str, attempt: int, at: int) -> None:
         self.out.append((self.number, batch, job, state, attempt, at))
         self.number += 1
 
     def wait(self, batch: str, job: str, attempt: int, at: int) -> None:
-        self.waiting.updateValue((self.tail,), (batch, job, attempt))
+        self.line[self.tail] = (batch, job, attempt)
         self.tail += 1
         self.say(batch, job, "PENDING", attempt, at)
 
     def admit(self, at: int) -> None:
         while len(self.active) < self.at_once and self.head < self.tail:
-            batch, job, attempt = self.waiting.getValue((self.head,))
-            self.waiting.removeKey((self.head,))
+            first = self.line.pop(self.head, None)
+            if first is None:
+                first = self.waiting.getValue((self.head,))
+                self.waiting.removeKey((self.head,))
+            batch, job, attempt = first
             self.head += 1
             self.active[batch, job] = (attempt, at)
-            self.running.updateValue((batch, job), (attempt, at))
-            self.handle.registerTimer(at + self.lease)
             self.say(batch, job, "PARSING", attempt, at)
 
     def leave(self, batch: str, job: str, failed: bool, at: int) -> None:
         """A running job ends, or goes back to the end of the queue."""
         attempt, _ = self.active.pop((batch, job))
-        self.running.removeKey((batch, job))
         if failed and attempt <= self.retries:
             self.wait(batch, job, attempt + 1, at)
         else:
-            state = "FAILED" if failed else "COMPLETED"
-            self.jobs.updateValue((batch, job), (state,))
-            self.say(batch, job, state, attempt, at)
-            place, names, left = self.batches.getValue((batch,))
-            self.batches.updateValue((batch,), (place, names, left - 1))
-            self.complete += left == 1
+            self.say(batch, job, "FAILED" if failed else "COMPLETED", attempt, at)
+            known = self.batch_of(batch)
+            known[2] -= 1
+            if not known[2]:
+                self.done[known[0]] = batch
+                heapq.heappush(self.oldest, known[0])
         self.admit(at)
 
     def expire(self, until: int) -> None:
@@ -105,57 +149,59 @@ class JobQueue(StatefulProcessor):
 
     def make_room(self) -> None:
         """The oldest complete batches are forgotten until fewer than `retained` are left."""
-        over = self.n_batches - self.retained + 1
-        if over <= 0 or not self.complete:
-            return
-        known = sorted((v[0], k[0], v[1]) for k, v in self.batches.iterator() if v[2] == 0)
-        for _, batch, names in known[:over]:
-            for job in names:
-                self.jobs.removeKey((batch, job))
-            self.batches.removeKey((batch,))
+        while self.n_batches >= self.retained and self.oldest:
+            batch = self.done.pop(heapq.heappop(self.oldest), None)
+            if batch is None:
+                continue
+            if self.known.pop(batch, None) is None or batch in self.held:
+                self.gone.add(batch)
             self.n_batches -= 1
-            self.complete -= 1
 
     def submit(self, batch: str, job: str, at: int) -> None:
-        if self.jobs.containsKey((batch, job)):
+        known = self.batch_of(batch)
+        if known is not None and job in known[1]:
             return
-        held = self.batches.getValue((batch,)) if self.batches.containsKey((batch,)) else None
-        if held is None:
+        if known is None:
             self.make_room()
             self.n_batches += 1
-            place, names, left = self.tail, [], 0
-        else:
-            place, names, left = held
-            self.complete -= left == 0 and len(names) < self.most
-        if len(names) >= self.most:
+            known = [self.tail, {}, 0]
+        if len(known[1]) >= self.most:
             self.say(batch, job, "REJECTED", 0, at)
             return
-        self.batches.updateValue((batch,), (place, [*names, job], left + 1))
-        self.jobs.updateValue((batch, job), ("PENDING",))
+        if not known[2]:
+            self.done.pop(known[0], None)
+        self.known[batch] = known
+        known[1][job] = None
+        known[2] += 1
         self.wait(batch, job, 1, at)
         self.admit(at)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         self.start(key)
-        events = pd.concat(rows)
-        events["ms"] = events["ts"].astype("datetime64[ms]").astype("int64")
-        events["rank"] = events["kind"].map(ORDER)
-        events = events.dropna(subset=["rank", "ts"]).sort_values(["ms", "rank", "batch_id", "job_id"])
-        for at, kind, batch, job in zip(events["ms"].tolist(), events["kind"], events["batch_id"], events["job_id"], strict=True):
+        parts = []
+        for part in rows:
+            rank = part["kind"].map(ORDER)
+            part = pd.DataFrame({"ms": part["ts"].astype("datetime64[ms]").astype("int64"), "rank": rank, "batch_id": part["batch_id"], "job_id": part["job_id"]})
+            parts.append(part[rank.notna()].astype({"rank": "int8"}))
+        events = pd.concat(parts, ignore_index=True).sort_values(["ms", "rank", "batch_id", "job_id"])
+        for at, kind, batch, job in zip(events["ms"].tolist(), events["rank"].tolist(), events["batch_id"], events["job_id"], strict=True):
             self.expire(at)
-            if kind == "SUBMIT":
+            if kind == ORDER["SUBMIT"]:
                 if job is not None:
                     self.submit(batch, job, at)
-                continue
-            if job is None and self.active:
-                (batch, job), _ = min(self.active.items(), key=lambda x: (x[1][1], x[0]))
-            if (batch, job) in self.active:
-                self.leave(batch, job, kind == "ERROR", at)
+            else:
+                if job is None and self.active:
+                    (batch, job), _ = min(self.active.items(), key=lambda x: (x[1][1], x[0]))
+                if (batch, job) in self.active:
+                    self.leave(batch, job, kind == ORDER["ERROR"], at)
+            if len(self.out) >= FRAME:
+                yield self.frame()
         yield from self.end()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """All leases that end before the watermark end, those given meanwhile too."""
         self.start(key)
-        self.expire(expiredTimerInfo.getExpiryTimeInMs())
+        self.expire(max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1))
         yield from self.end()
 
 

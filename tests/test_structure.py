@@ -3,6 +3,7 @@
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,6 +223,46 @@ def test_job_queue_query(spark):
     assert {(r.queue, r.number, r.batch_id, r.job_id, r.state, r.attempt, r.ms) for r in got} == want and len(got) == len(want)
 
 
+def test_queue_writes_its_state_once(spark):
+    """Many jobs that come and go within a micro-batch cost no access to the store: what is left goes there."""
+    calls = []
+
+    class Store:
+        def __init__(self):
+            self.d = {}
+
+        def __getattr__(self, name):
+            acts = {"exists": lambda: bool(self.d), "get": lambda: self.d.get(()), "update": lambda v: self.d.update({(): v}), "updateValue": lambda k, v: self.d.update({k: v}), "getValue": self.d.get, "removeKey": lambda k: self.d.pop(k, None), "containsKey": lambda k: k in self.d, "iterator": lambda: iter(list(self.d.items()))}
+            return lambda *x: (calls.append(name), acts[name](*x))[1]
+
+    class Handle:
+        def __init__(self):
+            self.stores = {}
+
+        def getMapState(self, name, *_):  # noqa: N802
+            return self.stores.setdefault(name, Store())
+
+        getValueState = getMapState  # noqa: N815
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append("timer")
+
+    events = [(0, f"b{i // 7}", f"j{i}", "SUBMIT", 10 * i) for i in range(2000)] + [(0, f"b{i // 7}", None, ("DONE", "ERROR")[i % 5 == 4], 10 * i + 5) for i in range(2000)]
+    queue, handle, out = JQ.JobQueue(**LIMITS), Handle(), []
+    queue.init(handle)
+    frame = pd.DataFrame(sorted(events, key=lambda e: e[4]), columns=["queue", "batch_id", "job_id", "kind", "ms"])
+    frame["ts"] = pd.to_datetime(frame["ms"], unit="ms")
+    for part in (frame[:2500], frame[2500:]):  # two micro-batches
+        out += list(queue.handleInputRows((0,), iter([part[:1000], part[1000:]]), None))
+    got = {(int(r.queue), r.number, r.batch_id, r.job_id, r.state, r.attempt, int(r.ts.timestamp() * 1000 + 0.5)) for r in pd.concat(out).itertuples()}
+    want = Replay(**LIMITS)
+    for _, batch, job, kind, at in sorted(events, key=lambda e: e[4]):
+        want.event(at, kind, batch, job)
+    assert got == {(0, *x) for x in want.log}
+    assert len(calls) < 1500 and calls.count("timer") <= 2
+    assert {k[0] for k in handle.stores["batches"].d} == set(want.batches)
+
+
 def test_queue_ignores_what_it_can_not_place(spark, tmp_path):
     rows = [(None, "b", "j", "SUBMIT", 1), (1, None, "j", "SUBMIT", 2), (1, "b", None, "SUBMIT", 3), (1, "b", "j", "BAD", 4), (1, "b", "x", "DONE", 5), (1, None, "j", "done", 6)]
     write(spark, rows, f"{tmp_path}/in")
