@@ -7,12 +7,15 @@ last element or an earlier one. So a run of lines is a function from state to st
 documents are cut into blocks of BLOCK lines; of documents with several blocks each block is first
 summed up as that function (entry states that have met are followed once), the functions are applied
 one after the other (one small row a block), and then every block is stitched from its own entry state.
-A document of any length is thus spread over many tasks; one of a single block is stitched at once.
+A document of any length is thus spread over many tasks; those of a single block, nearly all, are stitched
+whole in one pass over lines sorted by document, so they meet one shuffle and no step a group.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain, groupby
+from operator import itemgetter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -40,6 +43,8 @@ STARTS = {
     "section": rf"^(?iu:PHẦN|MỤC)\s+(?:(?iu:THỨ)\s+)?[{ANY_LETTER}\d]+$",
 }
 ENDS = {"head": r"[.:!?]$", "stop": "[.:!?][\"'”’]?$", "list": r"[.;!?]$", "short": r"(?iu:TP|Tx|Tt|Ths|Bs|Gs|TS|PGS|K/g|Đ/c|Đc|v\.v|v\.v\.|NĐ-CP|QĐ-UBND|BC-UBND|TTr-UBND|CV-UBND|Số)\.$", "number": r"\d\.$"}
+#: More than the longest end that the patterns look for.
+END_CHARS = 16
 PAGE_LINE = r"^(?i:---\s*PAGE\s+\d+\s*---)$|^\d{1,3}$"
 MOTTO = r"^(?iu:CỘNG\s*HÒA\s*XÃ\s*HỘI|CỘNGHÒAXÃHỘI|Độc\s*lập\s*-\s*Tự\s*do|Độc\s*lập\s*–\s*Tự\s*do|Độclập-Tựdo|UBND|Số:)"
 FEATURES = [*STARTS, "upper", *ENDS]
@@ -100,14 +105,21 @@ def step(s: State, line: frozenset | None) -> tuple[State, str, str]:
 
 def mask(line: Column) -> Column:
     """The features of a line as bits; null for a page's edge, -1 for a line that is left out."""
-    text = S.web_trim(line)
-    bits = [text.rlike(STARTS[n] if n in STARTS else ENDS[n]) if n != "upper" else text == F.upper(text) for n in FEATURES]
+    return trimmed_mask(S.web_trim(line))
+
+
+def trimmed_mask(text: Column) -> Column:
+    """The mask of a line that is trimmed. As a column it is trimmed once, as an expression in each use."""
+    # anchored as a whole, so that no other place of the line is tried; ends are read in the last characters
+    starts = lambda pattern: text.rlike(rf"\A(?:{pattern})")
+    tail = F.right(text, F.lit(END_CHARS))
+    bits = [starts(STARTS[n]) if n in STARTS else tail.rlike(ENDS[n]) if n in ENDS else text == F.upper(text) for n in FEATURES]
     sum_ = F.lit(0)
     for i, b in enumerate(bits):
         sum_ = sum_ + F.when(b, 1 << i).otherwise(0)
-    bare = S.web_trim(F.regexp_replace(text, rf"^(?:[-*•+]|{S.SPACE_CLASS})+", ""))
+    bare = F.regexp_replace(text, rf"^(?:[-*•+]|{S.SPACE_CLASS})+", "")
     out = (F.length(text) <= 1) | ((F.length(bare) <= 2) & ~bare.rlike(r"^\d+\.?$")) | text.rlike(MOTTO)
-    return F.when(text.rlike(PAGE_LINE), F.lit(None).cast("int")).when(out, -1).otherwise(sum_)
+    return F.when(starts(PAGE_LINE), F.lit(None).cast("int")).when(out, -1).otherwise(sum_)
 
 
 @lru_cache(maxsize=100_000)
@@ -123,14 +135,36 @@ class Entry(NamedTuple):
     waits: int = -1
 
 
+NUMBERS: dict[State, int] = {}
+STATES: list[State] = []
+MOVES: dict[tuple, tuple] = {}
+
+
+def number_of(s: State) -> int:
+    if s not in NUMBERS:
+        NUMBERS[s] = len(STATES)
+        STATES.append(s)
+    return NUMBERS[s]
+
+
+def move(at: int, m: int | None) -> tuple:
+    """A step between numbered states, kept (states and masks of real lines are few): the state after it,
+    what becomes of the line, what stands before it, and whether the last element waits."""
+    s, what, before = step(STATES[at], None if m is None else features(m))
+    if len(MOVES) > 200_000:
+        MOVES.clear()
+    MOVES[at, m] = (number_of(s), what, before, s.waits == 1)
+    return MOVES[at, m]
+
+
 def followed(masks: list, entry: Entry):
     """Entry after all lines, and (element, kind if it begins one, what stands before) of each line."""
-    s, n, waits, out = *entry, []
+    s, n, waits, out = number_of(entry.state), entry.n, entry.waits, []
     for m in masks:
         if m == -1:
             out.append((-1, "", ""))
             continue
-        s, what, before = step(s, None if m is None else features(m))
+        s, what, before, last_waits = MOVES.get((s, m)) or move(s, m)
         if what == "last":
             out.append((n - 1, "", before))
         elif what == "waiting":
@@ -140,9 +174,9 @@ def followed(masks: list, entry: Entry):
             n += 1
         else:
             out.append((-1, "", ""))
-        if s.waits == 1:
+        if last_waits:
             waits = n - 1
-    return Entry(s, n, waits), out
+    return Entry(STATES[s], n, waits), out
 
 
 def summed(masks: list, entries: list[Entry]) -> list[Entry]:
@@ -233,24 +267,99 @@ def stitch_block(key, table):
     return pa.table([table["doc_id"], table["ord"], table["line"], pa.array(el, pa.int64()), pa.array(kind), pa.array(before)], names=["doc_id", "ord", "line", "element", "kind", "before"])
 
 
+def elements_of(masks: list, lines: list) -> list[tuple]:
+    """(place, type, lines, text) of a whole document's elements; footnotes right after a heading stand
+    before it (V12)."""
+    kinds, texts = [], []
+    for (at, kind, before), line in zip(followed(masks, Entry())[1], lines, strict=True):
+        if kind:
+            kinds.append(kind)
+            texts.append([line])
+        elif at >= 0:
+            texts[at].append(before + line)
+    places = list(range(len(kinds)))
+    head = -1  # the heading that the footnotes here follow
+    for i, kind in enumerate(kinds):
+        if kind != "FOOTNOTE":
+            head = i if kind.startswith("HEADING") else -1
+        elif head >= 0:
+            places[i] -= 1
+            places[head] += 1
+    return [(p, k, len(t), "".join(t)) for p, k, t in zip(places, kinds, texts, strict=True)]
+
+
+def stitch_documents(batches):
+    """Whole documents of one block each, sorted; those marked as longer are passed over."""
+    schema = None
+
+    def rows():
+        nonlocal schema
+        for b in batches:
+            schema = schema or pa.schema([b.schema.field("doc_id"), ("ord", pa.int64()), ("type", pa.string()), ("n", pa.int64()), ("text", pa.string())])
+            yield zip(*(b[c].to_pylist() for c in ("doc_id", "is_long", "mask", "line")), strict=True)
+
+    out: list[tuple] = []
+    for doc, group in groupby(chain.from_iterable(rows()), itemgetter(0)):
+        _, longer, masks, lines = zip(*group, strict=True)
+        if not longer[0]:
+            out.extend((doc, *e) for e in elements_of(masks, lines))
+        if len(out) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
+def lines_of_longer(batches):
+    """The lines of documents that are marked as longer."""
+    doc, longer = object(), False
+    for b in batches:
+        keep = []
+        for d, is_mark in zip(b["doc_id"].to_pylist(), b["is_long"].to_pylist(), strict=True):
+            if d != doc:
+                doc, longer = d, is_mark  # the mark is sorted first
+            keep.append(longer and not is_mark)
+        if any(keep):
+            yield b.filter(pa.array(keep, pa.bool_())).drop_columns(["is_long"])
+
+
+def tidied(text: Column, n: Column, type_: Column) -> Column:
+    """The text of an element of so many lines."""
+    return F.when(n == 1, text).when(type_ == "FOOTNOTE", F.regexp_replace(text, r"[ \t]+", " ")).otherwise(F.regexp_replace(text, f"{S.SPACE_CLASS}+", " "))
+
+
 def stitched(lines: DataFrame) -> DataFrame:
     """lines (doc_id, ord, line) of bodies, ord in order -> (doc_id, ord, type, text): elements, numbered
     from 0. Null lines are left out, null doc_ids are one document; footnotes right after a heading stand
     before it (V12)."""
     kind = lines.schema["doc_id"].dataType.simpleString()
-    rows = lines.filter("line is not null").select("doc_id", F.col("ord").cast("long").alias("ord"), S.web_trim(F.col("line")).alias("line"))
-    rows = rows.withColumn("mask", mask(F.col("line"))).withColumn("block", F.floor(F.col("ord") / BLOCK).cast("long"))
-    several = rows.filter("block > 0").select(F.col("doc_id").alias("d")).distinct()
-    long = rows.join(several, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select("doc_id", "block", "ord", "mask")
-    functions = long.groupBy("doc_id", "block").applyInArrow(block_function, f"doc_id {kind}, block long, entry string, state string, n long, waits long")
+    rows = lines.filter("line is not null").select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("line").cast("string").alias("line"))
+
+    def masked(some: DataFrame) -> DataFrame:
+        # few lines begin or end with a space; the others aren't searched for one
+        spaced = F.concat(F.left("line", F.lit(1)), F.right("line", F.lit(3))).rlike(S.SPACE_CLASS)
+        return some.withColumn("line", F.when(spaced, S.web_trim(F.col("line"))).otherwise(F.col("line"))).withColumn("mask", trimmed_mask(F.col("line")))
+
+    first, later = rows.filter(F.col("ord") < BLOCK), rows.filter(F.col("ord") >= BLOCK)
+    marks = later.select("doc_id").distinct().select("doc_id", F.lit(-1).cast("long").alias("ord"), F.lit("").alias("line"), F.lit(-1).alias("mask"), F.lit(True).alias("is_long"))
+    sorted_ = masked(first).withColumn("is_long", F.lit(False)).unionByName(marks).repartition("doc_id").sortWithinPartitions("doc_id", F.desc("is_long"), "ord")
+    whole = sorted_.mapInArrow(stitch_documents, f"doc_id {kind}, ord long, type string, n long, text string")
+    whole = whole.select("doc_id", "ord", "type", tidied(F.col("text"), F.col("n"), F.col("type")).alias("text"))
+    longer = sorted_.mapInArrow(lines_of_longer, f"doc_id {kind}, ord long, line string, mask int").unionByName(masked(later))
+    return whole.unionByName(stitched_in_blocks(longer, kind))
+
+
+def stitched_in_blocks(rows: DataFrame, kind: str) -> DataFrame:
+    """Documents of several blocks (doc_id, ord, line, mask): blocks summed up, then stitched."""
+    rows = rows.withColumn("block", F.floor(F.col("ord") / BLOCK).cast("long"))
+    functions = rows.select("doc_id", "block", "ord", "mask").groupBy("doc_id", "block").applyInArrow(block_function, f"doc_id {kind}, block long, entry string, state string, n long, waits long")
     entries = functions.groupBy("doc_id").applyInArrow(entries_of, f"doc_id {kind}, block long, state string, n long, waits long")
     entries = entries.select(F.col("doc_id").alias("d"), F.col("block").alias("b"), "state", "n", "waits")
     joined = rows.join(entries, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("block") == F.col("b")), "left").drop("d", "b")
     parts = joined.groupBy("doc_id", "block").applyInArrow(stitch_block, f"doc_id {kind}, ord long, line string, element long, kind string, before string").filter("element >= 0")
     held = parts.groupBy("doc_id", "element").agg(F.max("kind").alias("type"), F.array_sort(F.collect_list(F.struct("ord", "before", "line"))).alias("l"))
-    whole = F.concat_ws("", F.transform("l", lambda x: F.concat(x["before"], x["line"])))
-    tidy = F.when(F.size("l") == 1, whole).when(F.col("type") == "FOOTNOTE", F.regexp_replace(whole, r"[ \t]+", " ")).otherwise(F.regexp_replace(whole, f"{S.SPACE_CLASS}+", " "))
-    return before_headings(held.select("doc_id", F.col("element").alias("ord"), "type", tidy.alias("text")))
+    text = F.concat_ws("", F.transform("l", lambda x: F.concat(x["before"], x["line"])))
+    return before_headings(held.select("doc_id", F.col("element").alias("ord"), "type", tidied(text, F.size("l"), F.col("type")).alias("text")))
 
 
 def before_headings(elements: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -348,6 +349,22 @@ def test_long_bodies_are_cut_in_blocks(spark, monkeypatch):
     assert ST.stitched(df.limit(0)).count() == 0
 
 
+def test_short_documents_meet_no_step_a_group(spark):
+    """Documents of one block are stitched in one pass over sorted lines, without a group a document or
+    block and without joins; the shuffle of the lines is the only one of theirs."""
+    said = ["I. MỤC", "Ghi chú: A", "Ghi chú: B", "câu thường", "và hết.", "  x y.\t"]
+    rows = [(d, o, said[(d * 5 + o * o) % 6]) for d in range(300) for o in range(d % 20)]
+    df = spark.createDataFrame(rows, "doc_id long, ord int, line string").repartition(4)
+    got = sorted((r.doc_id, r.ord, r.type, r.text) for r in ST.stitched(df).collect())
+    marked = df.withColumn("line", F.trim("line")).withColumn("mask", ST.mask(F.col("line"))).withColumn("ord", F.col("ord").cast("long"))
+    assert got == sorted((r.doc_id, r.ord, r.type, r.text.strip()) for r in ST.stitched_in_blocks(marked.withColumn("line", F.regexp_replace("line", r"\t$", "")), "bigint").collect())
+    b = pa.RecordBatch.from_pylist([{"doc_id": 1, "is_long": False, "mask": 0, "line": "x"}, {"doc_id": 2, "is_long": True, "mask": -1, "line": ""}, {"doc_id": 2, "is_long": False, "mask": 0, "line": "y"}])
+    assert [r for x in ST.stitch_documents(iter([b])) for r in x.to_pylist()] == [{"doc_id": 1, "ord": 0, "type": "PARAGRAPH", "n": 1, "text": "x"}]
+    assert [r for x in ST.lines_of_longer(iter([b])) for r in x.to_pylist()] == [{"doc_id": 2, "mask": 0, "line": "y"}]
+    line = "a" * 20_000
+    assert spark.range(1).select(ST.mask(F.lit(line)).alias("m")).first().m == spark.range(1).select(ST.mask(F.lit("aaa")).alias("m")).first().m
+
+
 def test_block_functions_agree_with_steps():
     """The function of a run of lines, for every state, is what following the lines gives."""
     g = random.Random(2)
