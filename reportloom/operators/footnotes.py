@@ -35,14 +35,20 @@ def carried_markers(text: Column) -> Column:
     """All markers that a text carries: a number right after a letter or a bracket, one after a
     year's four digits (every such tail of a run of digits), one alone in brackets. A note without a
     number is carried by any single digit, which is listed as ''."""
+    none = F.array().cast("array<string>")
     found = lambda pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    # what is used several times is bound as a lambda's variable, so that no regex runs twice
+    bound = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def of_runs(runs):
+        after_letter = F.transform(F.filter(runs, lambda x: x["before"] != ""), lambda x: x["run"])
+        long = F.filter(runs, lambda x: F.length(x["run"]) > 4)
+        return F.concat(after_letter, F.flatten(F.transform(long, lambda x: F.transform(F.sequence(F.lit(1), F.length(x["run"]) - 4), lambda n: F.right(x["run"], n)))))
+
     runs = F.arrays_zip(found(RUN, 1).alias("before"), found(RUN, 2).alias("run"))
-    after_letter = F.transform(F.filter(runs, lambda x: x["before"] != ""), lambda x: x["run"])
-    long = F.filter(runs, lambda x: F.length(x["run"]) > 4)
-    tails = F.flatten(F.transform(long, lambda x: F.transform(F.sequence(F.lit(1), F.length(x["run"]) - 4), lambda n: F.right(x["run"], n))))
-    every = F.concat(after_letter, tails, found(SQUARE, 1), found(ROUND, 1))
-    every = F.concat(every, F.when(F.exists(every, lambda m: F.length(m) == 1), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.coalesce(every, F.array().cast("array<string>")))
+    every = F.concat(bound(runs, of_runs), found(SQUARE, 1), found(ROUND, 1))
+    starred = lambda a: F.concat(a, F.when(F.exists(a, lambda m: F.length(m) == 1), F.array(F.lit(""))).otherwise(none))
+    return F.when(text.rlike(r"\d"), F.array_distinct(bound(every, starred))).otherwise(none)
 
 
 def numbered(elements: DataFrame) -> DataFrame:
@@ -64,10 +70,12 @@ def footnotes(elements: DataFrame) -> DataFrame:
     """(doc_id, ord, number, marker, target, text) of every footnote: target is the nearest element
     at most REACH positions before it that carries its marker, else the nearest body element before it
     (null where there is none); text is without the marker, one line a paragraph."""
-    rows = numbered(elements)
+    is_note = F.coalesce(F.col("type") == "FOOTNOTE", F.lit(False))
+    # the others' texts aren't needed for numbers and places
+    rows = numbered(elements.withColumn("text", F.when(is_note, F.col("text"))))
     notes = rows.filter("is_note").withColumn("marker", note_marker(F.coalesce("text", F.lit(""))))
     wanted = notes.select(F.col("doc_id").alias("d"), F.col("ord").alias("at"), F.col("marker").alias("m"), F.floor(F.col("ord") / REACH).alias("cell"))
-    carriers = rows.filter(~F.col("is_note")).select("doc_id", "ord", F.explode(carried_markers(F.col("text"))).alias("marker"))
+    carriers = elements.filter(~is_note).select("doc_id", F.col("ord").cast("long").alias("ord"), F.explode(carried_markers(F.col("text"))).alias("marker"))
     cells = F.array_distinct(F.array(F.floor((F.col("ord") + 1) / REACH), F.floor((F.col("ord") + REACH) / REACH)))
     carriers = carriers.select("doc_id", "ord", "marker", F.explode(cells).alias("block"))
     met = carriers.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("marker") == F.col("m")) & (F.col("block") == F.col("cell")) & (F.col("at") - F.col("ord")).between(1, REACH))

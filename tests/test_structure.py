@@ -75,6 +75,15 @@ def test_note_texts(spark):
     assert [r.text for r in FN.anchored(df).collect()] == ["Thu tăng[^1], chi[^2][^3]"]
 
 
+def test_markers_are_read_once_and_before_any_window(spark):
+    """Texts that may carry a marker go straight from the elements to the join, each regex once."""
+    df = spark.createDataFrame([(1, 0, "PARAGRAPH", "chữ1, năm 20203; [ 4 ] (55)."), (1, 1, None, None), (1, 2, "X", "không")], "doc_id long, ord int, type string, text string")
+    got = {r.ord: r.m for r in df.select("ord", FN.carried_markers(F.col("text")).alias("m")).collect()}
+    assert (sorted(got[0]), got[1], got[2]) == (["", "1", "3", "4", "55"], [], [])
+    plan = df.select(FN.carried_markers(F.col("text")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 4
+
+
 def test_numbers_are_no_places_where_a_marker_stands_elsewhere(spark):
     """Tails of long numbers are places only where nothing else carries the marker."""
     texts = ["Thu 12341 tỷ1, chi.", "Thu 20201 tỷ, năm 20201; chi.", "Thu 12341 tỷ [ 1 ].", "Ngày 1/1/20201, số 55551.", "Thu 12341 tỷ."]
