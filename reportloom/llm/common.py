@@ -8,6 +8,7 @@ import gc
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +76,16 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
-def release_memory() -> None:
-    """Give memory that a reused worker's earlier tasks freed back to the system."""
+#: What a worker holds from task to task and can do without, by its holder: how it is forgotten.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def release_memory(own: str = "") -> None:
+    """Give memory of a reused worker's earlier tasks back to the system: what they freed, and what they
+    held for more tasks of other operators than this task's own."""
+    for holder, forget in HELD.items():
+        if holder != own:
+            forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it

@@ -168,6 +168,7 @@ def celled(mean: np.ndarray, scale: np.ndarray):
     planes = np.random.default_rng(5).normal(size=(N_FEATURES, PLANES))
 
     def run(batches):
+        C.release_memory()
         count, total = np.zeros(1 << PLANES), np.zeros((1 << PLANES, N_FEATURES))
         for whole in batches:
             for b in C.chunks(whole, "text"):
@@ -220,6 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 def scored(model: Model | None):
     def run(batches):
+        C.release_memory()
         for whole in batches:
             for b in C.chunks(whole, "text"):
                 s = model.score(features(b)) if model else np.full(b.num_rows, 0.5)
@@ -240,6 +242,7 @@ def good_documents(docs: DataFrame, model: Model | None, threshold: float = THRE
     """The rows of docs, all columns, whose score reaches the threshold."""
 
     def run(batches):
+        C.release_memory()
         for whole in batches:
             for b in C.chunks(whole, "text"):
                 s = model.score(features(b)) if model else np.full(b.num_rows, 0.5)

@@ -110,6 +110,7 @@ def sizes_of(rule: Rule):
     """(doc_id, n_shingles, set_id, check_id) of each document."""
 
     def run(batches):
+        C.release_memory()
         for whole in batches:
             for b in C.chunks(whole, "text"):
                 r, g, n = shingle_sets(b, "text", rule)
@@ -125,6 +126,7 @@ def local_heavy(rule: Rule):
     """Shingles that many of this task's documents hold, with their counts."""
 
     def run(batches):
+        C.release_memory()
         docs, keys, counts = 0, np.zeros(0, U64), np.zeros(0, np.int64)
         waiting, held = [], 0
 

@@ -378,6 +378,7 @@ class Pieces:
 
 
 _MODELS: dict[tuple[str, int], Pieces] = {}
+C.HELD["nbest"] = _MODELS.clear
 
 
 def model(path: str, n_best: int) -> Pieces:
@@ -388,7 +389,7 @@ def model(path: str, n_best: int) -> Pieces:
 
 def encoded(path: str, n_best: int, digest: bool):
     def run(batches):
-        C.release_memory()
+        C.release_memory("nbest")
         m = model(path, n_best)
         for whole in batches:
             for b in C.chunks(whole, "text", C.CHUNK_BYTES // 2):

@@ -292,3 +292,15 @@ def test_resampling_sql(spark):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = Counter(c.execute(op13.ORACLE_SQL).fetchall())
     assert Counter((r.doc_id, r.n_features, r.weight, r.score, r.rank) for r in op13.query(spark, sf).collect()) == want
+
+
+def test_held_models_are_freed_by_other_operators():
+    """A reused worker keeps an operator's model for that operator's tasks alone."""
+    from reportloom.llm import common as C
+    from reportloom.llm import op6_nbest
+
+    op6_nbest._MODELS["x", 1] = object()
+    C.release_memory("nbest")
+    assert ("x", 1) in op6_nbest._MODELS
+    C.release_memory()
+    assert not op6_nbest._MODELS
