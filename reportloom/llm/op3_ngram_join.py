@@ -400,25 +400,29 @@ def across_components(rest: DataFrame, texts: DataFrame, rule: Rule) -> DataFram
     of two members in different components at least one is a stranger to the home, so blocks
     of strangers meet blocks of members. No pair of texts is ever a row."""
     own = lambda of: F.pmod(F.xxhash64("member"), of).cast("int")
+    every = lambda upto: F.sequence(F.lit(0), upto - 1)
+    block = lambda stranger, mb, ob: F.struct(F.lit(stranger).alias("stranger"), mb.alias("mb"), ob.alias("ob"))
+    spread = lambda rows, blocks: rows.select("home", "member", "comp", F.explode(blocks).alias("x")).select("home", "member", "comp", "x.*")
+    none = F.array().cast("array<struct<stranger:boolean,mb:int,ob:int>>")
+    # each row meets its blocks in one explode, so that the plan reads and joins the rows once for each kind of cluster
     once = rest.select("cluster", "member", "comp", "n").distinct()
     blocks = once.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_STRANGERS, F.sum("n") / STRANGER_TOKENS)).cast("int").alias("nb"))
     fits = F.col("nb") <= CLUSTER_BLOCKS
     placed = once.join(blocks.filter(fits), "cluster").select(F.col("cluster").alias("home"), "member", "comp", "nb", own("nb").alias("mine"))
-    by_cluster = placed.select("home", "member", "comp", F.lit(True).alias("stranger"), F.col("mine").alias("mb"), F.explode(F.sequence("mine", F.col("nb") - 1)).alias("ob")).union(
-        placed.filter("mine > 0").select("home", "member", "comp", F.lit(False).alias("stranger"), F.explode(F.sequence(F.lit(0), F.col("mine") - 1)).alias("mb"), F.col("mine").alias("ob"))
-    )
+    mine = F.col("mine")
+    later = F.transform(F.sequence(mine, F.col("nb") - 1), lambda ob: block(True, mine, ob))
+    earlier = F.when(mine > 0, F.transform(every(F.greatest(mine, F.lit(1))), lambda mb: block(False, mb, mine))).otherwise(none)
+    by_cluster = spread(placed, F.concat(later, earlier))
     rest = rest.join(blocks.filter(~fits), "cluster").select("home", "member", "comp", "n").distinct()
     count = rest.groupBy("home").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / MEMBER_TOKENS)).cast("int").alias("mbs"),
         F.ceil(F.greatest(F.count_if(F.col("comp") != F.col("home")) / BLOCK_STRANGERS, F.sum(F.when(F.col("comp") != F.col("home"), F.col("n"))) / STRANGER_TOKENS)).cast("int").alias("obs"),
     )
-    every = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
-    sized = rest.join(count, "home").select("home", "member", "comp", (F.col("comp") != F.col("home")).alias("stranger"), "mbs", "obs")
-    work = sized.select("home", "member", "comp", F.lit(False).alias("stranger"), own("mbs").alias("mb"), F.explode(every("obs")).alias("ob")).union(
-        sized.filter("stranger").select("home", "member", "comp", "stranger", F.explode(every("mbs")).alias("mb"), own("obs").alias("ob"))
-    )
+    sized = rest.join(count, "home").select("home", "member", "comp", "mbs", "obs", own("mbs").alias("mb"), own("obs").alias("ob"))
+    as_member = F.transform(every(F.col("obs")), lambda ob: block(False, F.col("mb"), ob))
+    as_stranger = F.when(F.col("comp") != F.col("home"), F.transform(every(F.col("mbs")), lambda mb: block(True, mb, F.col("ob")))).otherwise(none)
     # the ids of large clusters' homes can't meet those of small clusters: members differ
-    work = work.union(by_cluster)
+    work = spread(sized, F.concat(as_member, as_stranger)).union(by_cluster)
 
     def meet(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
@@ -506,7 +510,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, lower
     open_lists = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "member").alias("home")).filter("lo <> hi").select("sig", "home")
     clusters = scratch.keep(C.components(spark, stars, scratch)).select(F.col("node").alias("member"), F.col("component").alias("cluster"))
     scratch.sweep()
-    rest = named.join(open_lists, "sig").select("home", "member", "comp").distinct().join(clusters, "member").join(classes.select(F.col("set_id").alias("member"), "n"), "member")
+    # written once: as a plan inside the comparison it would be planned again for each of its uses
+    rest = scratch.keep(named.join(open_lists, "sig").select("home", "member", "comp").distinct().join(clusters, "member").join(classes.select(F.col("set_id").alias("member"), "n"), "member"))
+    scratch.sweep()
     bridges = scratch.keep(across_components(rest, texts, rule))
     scratch.drop(texts)
     scratch.sweep()

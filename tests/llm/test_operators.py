@@ -740,3 +740,37 @@ def test_components(spark):
     got = {r.node: r.component for r in C.components(spark, df, C.Scratch(spark, "t")).collect()}
     ends = {x for e in edges if e[0] != e[1] for x in e}
     assert got == {x: top(x) for x in ends}
+
+
+@pytest.mark.parametrize("most_blocks", [1, 16])
+def test_ngram_join_compares_components_with_a_small_plan(spark, monkeypatch, most_blocks):
+    """Lists that hold several components: the links are those of brute force in clusters of either kind,
+    and the comparison reads its members from one written table, whatever made them."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):  # a chain of drifting copies in random order
+        at = int(rng.integers(0, 12))
+        rows.append((i, " ".join(base[at : at + 45] + [f"x{int(rng.integers(0, 3))}"])))
+    monkeypatch.setattr(op3, "BLOCK_STRANGERS", 4)
+    monkeypatch.setattr(op3, "BLOCK_MEMBERS", 8)
+    monkeypatch.setattr(op3, "CLUSTER_BLOCKS", most_blocks)
+    seen, across = [], op3.across_components
+
+    def watched(rest, *more):
+        seen.append((rest._jdf.queryExecution().optimizedPlan().toString(), (out := across(rest, *more))._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(op3, "across_components", watched)
+    got = {r.doc_id: r.component_id for r in op3.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85).collect()}
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in rows}
+    want = {i: i for i in sets}
+    while True:
+        after = {i: min(want[j] for j in sets if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])) for i in sets}
+        if after == want:
+            break
+        want = after
+    assert got == want
+    rest, plan = seen[0]
+    assert "Join" not in rest and "Aggregate" not in rest
+    assert plan.count("Exchange") <= 40, plan.count("Exchange")
