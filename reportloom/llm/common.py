@@ -229,8 +229,11 @@ def binary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     size = ends - starts
     off = np.zeros(len(size) + 1, np.int64)
     np.cumsum(size, out=off[1:])
-    pick = np.arange(off[-1]) + np.repeat(starts - off[:-1], size)
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data[pick])])
+    if len(size) and (starts[1:] == ends[:-1]).all():  # one after the other
+        held = np.ascontiguousarray(data[starts[0] : ends[-1]])
+    else:
+        held = data[np.arange(off[-1]) + np.repeat(starts - off[:-1], size)]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(held)])
 
 
 def packed(col: pa.Array) -> pa.Array:

@@ -23,6 +23,7 @@ an empty table gives no piece; other columns are left out, whatever their names.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from typing import NamedTuple
 
 import numpy as np
@@ -91,6 +92,8 @@ def place(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if len(sizes) and (sizes > limits).any():
         raise ValueError("an item is larger than a sequence")
     kinds, kind, left = np.unique(sizes, axis=0, return_inverse=True, return_counts=True)
+    if (np.diff(kinds, axis=0) >= 0).all():
+        return place_nested(kinds, kind.reshape(-1), left, limits)
     share = kinds / limits
     asked = share * (left[:, None] / max(1, len(sizes)))
     gain = share * asked.sum(0)  # each limit weighted by what the group asks of it
@@ -121,6 +124,37 @@ def place(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return sequence, position
 
 
+def place_nested(kinds: np.ndarray, kind: np.ndarray, left: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`place` where each class holds the one before it in every size: all weights being positive, the
+    largest dot product is that of the last class that fits, which is looked up and not searched for."""
+    order = np.argsort(kind, kind="stable")
+    next_of, left, sizes, columns = (np.cumsum(left) - left).tolist(), left.tolist(), kinds.tolist(), kinds.T.tolist()
+    below = list(range(-1, len(sizes)))  # below[c + 1]: the last class up to c that isn't used up, or one nearer to it
+    items, sequences, positions, now = [], [], [], -1
+    while len(items) < len(order):
+        now, room, held = now + 1, limits.tolist(), 0
+        while True:
+            c = min(map(bisect_right, columns, room)) - 1
+            while c != below[c + 1]:
+                below[c + 1] = below[below[c + 1] + 1]
+                c = below[c + 1]
+            if c < 0:
+                break
+            items.append(next_of[c])
+            sequences.append(now)
+            positions.append(held)
+            next_of[c] += 1
+            left[c] -= 1
+            if not left[c]:
+                below[c + 1] = below[c]
+            room = [r - x for r, x in zip(room, sizes[c], strict=True)]
+            held += 1
+    sequence, position = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    at = order[np.array(items, np.int64)]
+    sequence[at], position[at] = sequences, positions
+    return sequence, position
+
+
 def pack_group(limits: Limits):
     room = np.array(limits, np.int64)
 

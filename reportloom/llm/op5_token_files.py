@@ -24,10 +24,11 @@ null; a doc_id that is no integer is refused; an empty table gives an empty file
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,7 @@ CLASS = np.array([1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if 33
 # the byte-level alphabet: printable bytes as themselves, the others in order from 256 on
 SHOWN = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
 SHOWN |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
+ONE_SPACE = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
 OLD_LETTERS = "\u0500"  # Latin, Greek and Cyrillic: letters to every version of Unicode
 
 
@@ -130,6 +132,10 @@ class Encoder:
         spaced = self.tok.pre_tokenizer.pre_tokenize_str(" ab") if self.tok.pre_tokenizer else []
         self.space = spaced[0][0].removesuffix("ab") if len(spaced) == 1 else None
         self.lower = bool(self.tok.normalizer) and self.tok.normalizer.normalize_str("A") == "a"
+        # lowering and the Unicode forms act on a letter and its marks, never across a space
+        state = json.loads(self.tok.normalizer.__getstate__()) if self.tok.normalizer else {"type": "none"}
+        steps = state["normalizers"] if state["type"] == "Sequence" else [state]
+        self.words_apart = all(x["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or x == ONE_SPACE for x in steps)
         self.forget()
 
     def forget(self):
@@ -167,7 +173,7 @@ class Encoder:
         if len(self.slot) + len(uniq) > CACHE_PIECES or len(self.raw) > CACHE_BYTES:
             self.forget()
         get = self.slot.get
-        slots = np.fromiter((get(k, -1) for k in uniq.tolist()), np.int64, len(uniq))
+        slots = np.fromiter(map(get, uniq.tolist(), repeat(-1)), np.int64, len(uniq))
         new = np.flatnonzero(slots < 0)
         if len(new):
             pieces = [whole[a:b].decode("utf-8") for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)]
@@ -214,20 +220,28 @@ class Encoder:
                 x = self.space + x[1:]
             out[i] = [t.id for t in words(x.lower() if self.lower else x)]
         if self.space is not None:
-            for i in np.flatnonzero(~one_word).tolist():
-                x = pieces[i]
-                spaced = x[0] == " "
-                y = x[1:] if spaced else x
-                if y.isalpha() and max(y) < OLD_LETTERS:
-                    if self.tok.normalizer:
-                        y = self.tok.normalizer.normalize_str(y)
-                    if y.isalpha():
-                        out[i] = [t.id for t in words((self.space if spaced else "") + "".join([SHOWN[b] for b in y.encode()]))]
+            # without a space, and of old letters alone; the normalizer takes them at once
+            bare = [(i, x[1:] if x[0] == " " else x) for i in np.flatnonzero(~one_word).tolist() for x in (pieces[i],)]
+            bare = [(i, y) for i, y in bare if y.isalpha() and max(y) < OLD_LETTERS]
+            for (i, _), y in zip(bare, self.normalized([y for _, y in bare]), strict=True):
+                if y.isalpha():
+                    out[i] = [t.id for t in words((self.space if pieces[i][0] == " " else "") + "".join([SHOWN[b] for b in y.encode()]))]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self.tok.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = x.ids
         return out
 
+    def normalized(self, words: list[str]) -> list[str]:
+        """Words of letters as the normalizer leaves them: in one text, where it keeps words apart."""
+        one = self.tok.normalizer.normalize_str if self.tok.normalizer else None
+        if one is None or not words:
+            return words
+        if self.words_apart:
+            got = one(" ".join(words)).split(" ")
+            if len(got) == len(words):
+                return got
+        return [one(w) for w in words]
+
     def plain(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same without pieces or cache, for rows in which two pieces share a key."""
         raw = data.tobytes()
