@@ -89,12 +89,23 @@ def appendix_title(page_one: Column) -> Column:
 
 def report_title(page_one: Column) -> Column:
     """Appendix heading, else kind of document with its continuation lines, else subject."""
+    return long_title(title_of(page_one, is_appendix(page_one), *title_parts(page_one)))
+
+
+def title_parts(page_one: Column) -> list[Column]:
+    """The kind of document that a line names, and what follows it."""
     p = S.web_regex(rf"(?:^|\n)\s*({TITLES})\b([\s\S]*)$")
-    kind, rest = F.regexp_extract(page_one, p, 1), F.regexp_extract(page_one, p, 2)
+    return [F.regexp_extract(page_one, p, i).alias(name) for i, name in ((1, "title_kind"), (2, "title_rest"))]
+
+
+def title_of(page_one: Column, appendix: Column, kind: Column, rest: Column) -> Column:
     more = taken(F.slice(filled_lines(rest), 1, 5), lambda x: ~fits(x, TITLE_ENDS) & (F.length(x) <= 250), lambda x: fits(x, r"[.:]\s*$"))
     titled = S.squeeze(F.array_join(F.concat(F.array(F.upper(kind)), more), " "))
     subject = S.squeeze(F.regexp_extract(page_one, S.web_regex(SUBJECT), 1))
-    title = S.first_case([(is_appendix(page_one), appendix_title(page_one)), (kind != "", titled), (subject != "", F.concat(F.lit("Công văn: "), subject))], DEFAULT_TITLE)
+    return S.first_case([(appendix, appendix_title(page_one)), (kind != "", titled), (subject != "", F.concat(F.lit("Công văn: "), subject))], DEFAULT_TITLE)
+
+
+def long_title(title: Column) -> Column:
     return F.when(F.length(title) < 5, SHORT_TITLE).otherwise(title)
 
 
@@ -105,14 +116,22 @@ def name_like(x: Column) -> Column:
 def signer(text: Column) -> Column:
     """struct<name, title> from the signature page (S14): title lines, then the first line that
     looks like a name; without a block, a title anywhere and a name among the last lines."""
+    return signer_of(text, *signer_parts(text))
+
+
+def signer_parts(text: Column) -> list[Column]:
+    """The lines of the signature block, and a signer's title anywhere."""
     block = filled_lines(F.substring(F.regexp_extract(text, S.web_regex(SIGN_START), 1), 1, 450))
+    return [block.alias("sign_block"), F.nullif(F.trim(F.regexp_extract(text, S.web_regex(SIGN_TITLE_ANY), 1)), F.lit("")).alias("sign_title")]
+
+
+def signer_of(text: Column, block: Column, anywhere: Column) -> Column:
     a_title = lambda x: fits(x, SIGN_TITLE)
     a_name = lambda x: ~a_title(x) & name_like(x) & ~fits(x, NOT_A_NAME)
     name = F.get(F.filter(block, a_name), F.lit(0))
     at = F.array_position(F.transform(block, a_name), True)
     above = F.when(at > 0, F.slice(block, 1, F.greatest(at - 1, F.lit(0)).cast("int"))).otherwise(block)
     titles = F.filter(above, a_title)
-    anywhere = F.nullif(F.trim(F.regexp_extract(text, S.web_regex(SIGN_TITLE_ANY), 1)), F.lit(""))
     tail = F.slice(F.reverse(F.filter(filled_lines(text), lambda x: F.length(x) > 2)), 1, 8)
     last_name = F.get(F.filter(tail, lambda x: ~fits(x, NOT_LAST_NAME) & name_like(x)), F.lit(0))
     return F.struct(F.coalesce(name, last_name).alias("name"), F.when(F.size(titles) > 0, F.array_join(titles, "\n")).otherwise(anywhere).alias("title"))
@@ -152,7 +171,9 @@ def key_pages(pages: DataFrame) -> DataFrame:
 def document_metadata(pages: DataFrame) -> DataFrame:
     """pages (doc_id, page, text, n_tables) -> the metadata record of each document."""
     one = F.col("page_one")
-    d = key_pages(pages).select("*", S.document_type(one).alias("kind"), is_appendix(one).alias("appendix"), report_title(one).alias("document_title"), issuing_authority(one).alias("issuing_authority"), recipients(F.col("sign_page")).alias("names"))
+    # step by step, in columns: as expressions the pages would be searched again in each of their uses
+    d = key_pages(pages).select("*", S.document_type(one).alias("kind"), is_appendix(one).alias("appendix"), *title_parts(one), issuing_authority(one).alias("issuing_authority"), recipients(F.col("sign_page")).alias("names"), *signer_parts(F.col("sign_page")))
+    d = d.withColumn("title", title_of(one, F.col("appendix"), F.col("title_kind"), F.col("title_rest"))).withColumn("document_title", long_title(F.col("title")))
     receiver = receiving_authority(F.col("names"))
     table_pages = F.col("pages_with_tables")
     pure = F.col("appendix") | (F.col("kind") == "PHU_LUC") | ((F.col("pages") > 0) & (table_pages > 0) & (table_pages >= F.col("pages") * 0.8))
@@ -161,7 +182,7 @@ def document_metadata(pages: DataFrame) -> DataFrame:
         "doc_id", "document_title", F.when(F.col("appendix"), "PHU_LUC").otherwise(F.col("kind")).alias("document_type"), S.document_number(one).alias("document_number"), "issuing_authority",
         F.coalesce(receiver, F.lit(DEFAULT_RECEIVER)).alias("receiving_authority"), F.when(F.size("names") > 0, F.col("names")).otherwise(F.array(F.lit(DEFAULT_RECIPIENT))).alias("recipients"),
         S.issuance_date(one).alias("issuance_date"), period.alias("reporting_period"), S.is_periodic(one).alias("is_periodic"),
-        (F.col("names_appendix") | F.col("appendix") | (table_pages > 0)).alias("has_appendix"), pure.alias("is_pure_table"), signer(F.col("sign_page")).alias("signer"),
+        (F.col("names_appendix") | F.col("appendix") | (table_pages > 0)).alias("has_appendix"), pure.alias("is_pure_table"), signer_of(F.col("sign_page"), F.col("sign_block"), F.col("sign_title")).alias("signer"),
     )
 
 

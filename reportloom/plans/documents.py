@@ -37,6 +37,11 @@ def by_kind(of: int, **kinds: str):
     return S.first_case([(F.col("o_orderkey") % of == int(k[1:]), words(t)) for k, t in kinds.items()], F.lit(None).cast("string"))
 
 
+def made_from(spark, sf) -> DataFrame:
+    """What texts are made from of the orders, dealt over all cores before they are made."""
+    return TX.spread(read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderdate", "o_totalprice"), "o_orderkey")
+
+
 PAGE_ONE = {
     "k0": "UBND TỈNH {s}\nSố: {c}/BC-UBND\n{s}, ngày {d} tháng {m} năm {y}\nBÁO CÁO\nTình hình {p}\nmục {c}.\nKính gửi: X",
     "k1": "PHỤ LỤC {c}\nBiểu {s}\nTT\nx",
@@ -50,7 +55,7 @@ PAGE_TWO = "Nơi nhận:\n- Sở {s};\n- Lưu: VT;\nHết\nTM. UBND\nGIÁM ĐỐ
  CASE k WHEN 1 THEN 'Cơ quan cấp trên / Lãnh đạo UBND' ELSE 'Sở ' || o_orderstatus END AS receiver, CASE k WHEN 1 THEN 'Lãnh đạo cơ quan' ELSE 'Sở ' || o_orderstatus || '|Lưu: VT' END AS recipients, CASE k WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS issued,
  CASE k WHEN 0 THEN 'tháng ' || month(o_orderdate) || ' năm ' || year(o_orderdate) ELSE 'Kỳ báo cáo' END AS period, k = 1 AS pure, CASE k WHEN 1 THEN NULL ELSE 'Nguyễn Văn ' || o_orderstatus END AS signer, CASE k WHEN 1 THEN NULL ELSE 'TM. UBND' || chr(10) || 'GIÁM ĐỐC' END AS signer_title FROM (SELECT *, o_orderkey % 3 AS k FROM orders)""")
 def metadata_record(spark, sf):
-    o = read(spark, sf, "orders")
+    o = made_from(spark, sf)
     one = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), by_kind(3, **PAGE_ONE).alias("text"), F.when(F.col("o_orderkey") % 3 == 1, 1).otherwise(0).alias("n_tables"))
     two = o.filter("o_orderkey % 3 <> 1").select(F.col("o_orderkey").alias("doc_id"), F.lit(2).alias("page"), words(PAGE_TWO).alias("text"), F.lit(0).alias("n_tables"))
     m = M.document_metadata(one.union(two))
