@@ -457,16 +457,18 @@ def zones(docs: DataFrame, text: str = "text") -> DataFrame:
     # number and date: the last line of the head that has one
     numbers = F.transform(H, lambda x, i: F.when(like(x, NUMBER) & ~like(F.regexp_extract(x, S.web_regex(NUMBER), 1), NO_NUMBER), F.trim(F.regexp_extract(x, S.web_regex(NUMBER), 1))).when(like(x, r"^Số\s*:\s*$") & line(i + 2).rlike(r"^[0-9a-zA-Z/\-_.]+$"), line(i + 2)))
     number = F.element_at(F.concat(F.array(nothing), F.filter(numbers, lambda x: x.isNotNull())), -1)
+    dates = F.filter(H, lambda x: like(x, DATED))
+    # as columns of their own: as expressions the lines would be searched again in each of their uses
+    d = d.withColumn("f", found).withColumn("number", number).withColumn("said", F.element_at(F.concat(F.array(nothing), dates), -1))
+    number, said = F.col("number"), F.col("said")
     alone = F.get(F.filter(top, lambda x: x.rlike(r"^\d{1,5}$")), F.lit(0))
     number = F.when(number.startswith("/"), F.concat(F.coalesce(alone, F.lit("")), number)).otherwise(number)
-    dates = F.filter(H, lambda x: like(x, DATED))
-    said = F.element_at(F.concat(F.array(nothing), dates), -1)
     part = lambda i: F.trim(F.regexp_extract(said, S.web_regex(DATED), i))
     day = F.get(F.filter(top, lambda x: x.rlike(r"^(?:0?[1-9]|[12]\d|3[01])$")), F.lit(0)).cast("int").cast("string")
     day = F.when((part(2) == "") | part(2).contains("."), day).otherwise(part(2))
     place = F.when(part(1) == "", "").otherwise(F.concat(part(1), F.lit(", ")))
     dated = F.when(day.isNotNull(), F.concat(place, F.lit("ngày "), day, F.lit(" tháng "), part(3), F.lit(" năm "), part(4))).otherwise(F.trim(F.regexp_extract(said, S.web_regex(DATED), 0)))
-    d = d.select("doc_id", "lines", "t", found.alias("f"), F.when(number.isNotNull(), F.concat(F.lit("Số: "), F.regexp_replace(number, r"\s*/\s*", "/"))).alias("number"), F.when(said.isNotNull(), dated).alias("dated"))
+    d = d.select("doc_id", "lines", "t", "f", F.when(number.isNotNull(), F.concat(F.lit("Số: "), F.regexp_replace(number, r"\s*/\s*", "/"))).alias("number"), F.when(said.isNotNull(), dated).alias("dated"))
 
     # title and subject
     t = F.col("t")

@@ -13,7 +13,7 @@ from ..sources import docx as DX
 from ..sources.shared import shared_folder
 from ..streaming import queue as JQ
 from .catalog import query, read
-from .documents import by_kind
+from .documents import by_kind, made_from
 
 # Bodies made from the documents' lines: every fourth element is a note of one of five forms, the
 # others carry markers of three forms (after a letter, after a year, in brackets) or none.
@@ -201,7 +201,7 @@ PARTS = "o_orderstatus AS s, o_custkey AS c, o_orderpriority AS p, day(o_orderda
  CASE k WHEN 1 THEN 'Đơn vị trình: B ' || c END AS unit, CASE k WHEN 0 THEN 'Như trên|Lưu: VT' ELSE '' END AS recipients, CASE k WHEN 0 THEN 'CHỦ TỊCH' WHEN 1 THEN 'GIÁM ĐỐC' ELSE 'CHỦ TỊCH' END AS signer_title, CASE k WHEN 0 THEN 'Nguyễn Văn ' || s END AS signer,
  CASE k WHEN 0 THEN 10 WHEN 1 THEN 10 WHEN 2 THEN 1 ELSE 5 END AS "first", CASE k WHEN 0 THEN 10 WHEN 1 THEN 10 WHEN 2 THEN 2 ELSE 5 END AS "last" FROM (SELECT o_orderkey, {PARTS} FROM orders)""")
 def document_zones(spark, sf):
-    docs = read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), by_kind(4, **ZONED).alias("text"))
+    docs = made_from(spark, sf).select(F.col("o_orderkey").alias("doc_id"), by_kind(4, **ZONED).alias("text"))
     return ST.zones(docs).drop("lines").withColumn("recipients", F.array_join("recipients", "|"))
 
 
